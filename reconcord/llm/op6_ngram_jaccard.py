@@ -13,8 +13,8 @@ may leave them out and still shares a rare one with each partner.
    still follow reach the needed overlap.
 3. The few groups made of frequent hashes get an exact prefix in order of
    document frequency.  Their lists, and groups of unlike sets, may be long:
-   each member is compared with a leader first, and then only with members
-   that are still in another component.
+   each member is compared with a few leaders first, and then only with members
+   of other components that the triangle inequality leaves within reach.
 4. Pairs are expanded to the members' sets and verified on whole sets.
 
 Documents with the same set share one node, so copies cost one row each.
@@ -43,6 +43,8 @@ from .common import Stage, components, semi_by_size
 from .shingles import buffers, fingerprint, shingle_sets, slices
 
 FREQUENT = 48
+#: Members of a list, by size, that all others are compared with first.
+LEADERS = 3
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -205,10 +207,11 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole = stage.keep(semi_by_size(source, ids, "id").select("text").mapInArrow(_set_rows(size), "set_id long, hashes array<long>").dropDuplicates(["set_id"]))
     stage.drop(ids)
 
-    def verified(candidates: DataFrame) -> DataFrame:
+    def similar(candidates: DataFrame) -> DataFrame:
+        """Adds the exact similarity and whether it makes a link."""
         a, b = (whole.select(F.col("set_id").alias(s), F.col("hashes").alias(f"hashes_{s}")) for s in "ab")
-        common = F.size(F.array_intersect("hashes_a", "hashes_b"))
-        return candidates.join(a, "a").join(b, "b").where((100 + percent) * common >= percent * (F.size("hashes_a") + F.size("hashes_b"))).select("a", "b")
+        both = candidates.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("hashes_a", "hashes_b"))).withColumn("total", F.size("hashes_a") + F.size("hashes_b"))
+        return both.select("a", "b", (F.col("common") / (F.col("total") - F.col("common"))).alias("sim"), ((100 + percent) * F.col("common") >= percent * F.col("total")).alias("link"))
 
     # lists that may be long: frequent hashes of groups made of them, and groups of unlike sets
     members = full.select("group_id", "set_id").distinct()
@@ -222,38 +225,60 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select(F.col("h.hash").alias("list"), "set_id", "n", (F.col("n") - F.col("alone") - F.col("k")).alias("room"))
     )
     unlike = group.where("kinds > 1").select("group_id", "n").join(members, "group_id").select(F.xxhash64(F.lit("group"), "group_id").alias("list"), "set_id", "n", F.col("n").alias("room"))
-    lists = stage.keep(lists.unionByName(unlike).withColumn("band", F.floor(F.log("n") / math.log(100 / percent))))
-
-    fits = lambda a, b: (100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")) & (F.least(f"{a}.room", f"{b}.room") >= need(F.col(f"{a}.n"), F.col(f"{b}.n")))
-    pair = lambda a, b: (F.least(F.col(f"{a}.set_id"), F.col(f"{b}.set_id")).alias("a"), F.greatest(F.col(f"{a}.set_id"), F.col(f"{b}.set_id")).alias("b"))
-    leader = lists.groupBy("list", "band").agg(F.min(F.struct(F.xxhash64("set_id", "list").alias("o"), "set_id", "n", "room")).alias("x")).select("list", "band", "x.*").drop("o")
-    star = lists.alias("m").join(leader.alias("l"), ["list", "band"]).where((F.col("m.set_id") != F.col("l.set_id")) & fits("m", "l")).select(*pair("m", "l"))
-    first = stage.keep(pairs.select(F.least("lead_a", "lead_b").alias("a"), F.greatest("lead_a", "lead_b").alias("b")).union(star).distinct())
-    links = stage.keep(verified(first))
+    lists = lists.unionByName(unlike).withColumn("band", F.floor(F.log("n") / math.log(100 / percent)).cast("int"))
+    # of two linked sets the smaller one has a common hash in this shorter prefix
+    lists = stage.keep(lists.withColumn("short", F.col("room") >= need(F.col("n"), F.col("n"))))
+
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    sized = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    leader = lists.where("short").groupBy("list", "band").agg(
+        F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("set_id", "list", F.lit(k)).alias("o"), "set_id", "n", "room")) for k in range(LEADERS)])).alias("leaders")
+    )
+    leader = leader.select("list", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.explode("leaders").alias("l"))
+    star = lists.join(leader, ["list", "band"]).where(
+        (F.col("set_id") != F.col("l.set_id")) & sized(F.col("n"), F.col("l.n")) & (F.least("room", "l.room") >= need(F.col("n"), F.col("l.n")))
+    ).select(*pair("set_id", "l.set_id"))
+    first = stage.keep(pairs.select(*pair("lead_a", "lead_b")).union(star).distinct())
+    links = stage.keep(similar(first).where("link").select("a", "b"))
     comp = components(stage, links)
 
-    # what is still in another component
-    now = lists.join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    mixed = now.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("list")
-    now = stage.keep(now.join(mixed, "list", "left_semi"))
-    part = now.select("list", "component").distinct()
-    cross = part.alias("s").join(part.alias("t"), "list").where("s.component < t.component").select("list", F.col("s.component").alias("c"), F.col("t.component").alias("d"))
-    later = (
-        cross.join(now.select("list", F.struct("set_id", "n", "room").alias("u"), F.col("component").alias("c")), ["list", "c"])
-        .join(now.select("list", F.struct("set_id", "n", "room").alias("v"), F.col("component").alias("d")), ["list", "d"])
-        .where(fits("u", "v")).select(*pair("u", "v"))
+    # What is still in another component.  1 - similarity is a metric, so the
+    # distance of two components' first members and the members' distances from
+    # these rule out nearly all pairs.
+    now = lists.join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("c", F.coalesce("component", "set_id"))
+    part = now.groupBy("list", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("room"), F.max("short").alias("short"))
+    mixed = part.groupBy("list").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("list")
+    part = stage.keep(part.join(mixed, "list", "left_semi"))
+    cross = part.where("short").alias("s").join(part.alias("t"), "list").where(
+        (F.col("s.c") != F.col("t.c")) & (~F.col("t.short") | (F.col("s.c") < F.col("t.c")))
+        & (100 * F.col("s.hi") >= percent * F.col("t.lo")) & (100 * F.col("t.hi") >= percent * F.col("s.lo"))
+        & (need(F.col("s.lo"), F.col("t.lo")) <= F.least("s.room", "t.room"))
+    ).select(*pair("s.c", "t.c")).distinct()
+    apart = stage.keep(similar(cross).select("a", "b", (1 - F.col("sim")).alias("apart")))
+    few = apart.select(F.col("a").alias("c")).union(apart.select("b")).distinct()
+    own = stage.keep(now.select("set_id", "n", "c").distinct().join(few, "c", "left_semi"))
+    radius = similar(own.where("set_id <> c").select(F.col("c").alias("a"), F.col("set_id").alias("b"))).select(F.col("b").alias("set_id"), (1 - F.col("sim")).alias("r"))
+    own = stage.keep(own.join(radius, "set_id", "left").fillna(0.0, ["r"]))
+    widest = own.groupBy("c").agg(F.max("r").alias("widest"))
+    reach = 1 - percent / 100 + 1e-9
+    near = stage.keep(
+        apart.join(widest.select(F.col("c").alias("a"), F.col("widest").alias("wa")), "a").join(widest.select(F.col("c").alias("b"), F.col("widest").alias("wb")), "b")
+        .where(F.col("apart") <= reach + F.col("wa") + F.col("wb"))
     )
+    u = near.join(own.select(F.col("c").alias("a"), F.struct("set_id", "n", "r").alias("u")), "a").where(F.col("apart") <= reach + F.col("u.r") + F.col("wb"))
+    v = own.select(F.col("c").alias("b"), F.struct("set_id", "n", "r").alias("v"))
+    later = u.join(v, "b").where((F.col("apart") <= reach + F.col("u.r") + F.col("v.r")) & sized(F.col("u.n"), F.col("v.n"))).select(*pair("u.set_id", "v.set_id"))
     kin = members.join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     spread = (
         pairs.where("unlike").select("a", "b")
         .join(kin.select(F.col("group_id").alias("a"), F.col("set_id").alias("u"), F.col("component").alias("c")), "a")
         .join(kin.select(F.col("group_id").alias("b"), F.col("set_id").alias("v"), F.col("component").alias("d")), "b")
-        .where("c <> d").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+        .where("c <> d").select(*pair("u", "v"))
     )
     second = stage.keep(later.union(spread).distinct().join(first, ["a", "b"], "left_anti"))
     if second.head(1):
-        comp = components(stage, links.union(verified(second)))
-    stage.drop(now, second, first, lists, rich, pairs, group, links)
+        comp = components(stage, stage.keep(links.union(similar(second).where("link").select("a", "b"))))
+    stage.drop(part, apart, near, second, first, lists, rich, pairs, group, links)
 
     out = base.select("id", "n", "set_id").join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("node", F.coalesce("component", "set_id"))
     smallest = out.where("node is not null").groupBy("node").agg(F.min("id").alias("low"))
