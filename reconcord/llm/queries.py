@@ -3,15 +3,66 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .op1_entropy_mixing import entropy_mix
+from .op2_pii import find_pii
+from .op3_packing import best_fit_pack
+from .op4_toxicity_mil import toxicity
+from .op5_chat_format import chat_format, masked_text
 from .op6_ngram_jaccard import ngram_jaccard
+from .op10_quality_pu import quality
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def op1_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy_mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_documents(spark, sf_dir))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(_documents(spark, sf_dir))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("sentences").alias("n_offending"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"select cast(col1 as bigint) conv_id, cast(col2 as bigint) turn, col3 role, col4 text from values (-7, 0, 'user', '{hard}'), (-7, 1, 'assistant', '{hard}')")
+    df = chat_format(own.unionByName(more))
+    turns = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    loss = masked_text(F.col("formatted"), F.col("loss_spans"), F.col("escaped"))
+    return df.select(
+        F.col("conv").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return ngram_jaccard(_documents(spark, sf_dir))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 QUERIES = {
+    "op1_entropy_mixing": op1_entropy_mixing,
+    "op2_pii": op2_pii,
+    "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
+    "op5_chat_format": op5_chat_format,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {}
