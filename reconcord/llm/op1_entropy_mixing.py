@@ -150,3 +150,11 @@ def entropy_mix(
     return taken.join(per.select("key", "source_size", "target"), "key").select(
         F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """Each row of ``docs``, all columns, as often as the mix takes it."""
+    taken = entropy_mix(docs, id_col, **options).groupBy(F.col(id_col).alias("mix_id")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("mix_copies"))
+    numbered = docs.withColumn("mix_row", F.row_number().over(Window.partitionBy(id_col).orderBy(id_col)))
+    both = numbered.join(taken, F.col(id_col).cast("long").eqNullSafe(F.col("mix_id")))
+    return both.withColumn("mix_copy", F.explode(F.expr("array_repeat(0, cast(element_at(mix_copies, mix_row) as int))"))).select(*docs.columns)

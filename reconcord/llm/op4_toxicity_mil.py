@@ -221,3 +221,24 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = source.mapInArrow(_score_rows(chosen, w), "id long, score double, sentences array<struct<start:int,end:int,score:double>>")
     return out.select(F.col("id").alias(id_col), held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "sentences")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST, slots: int = SLOTS, steps: int = STEPS) -> DataFrame:
+    """The rows of ``docs``, all columns, with a score under one half."""
+    stage = Stage(docs.sparkSession, "toxicity")
+    chosen, w = train(stage, labelled(docs, labels, label_col, id_col, text_col, most), slots, steps)
+    at = docs.columns.index(text_col)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = slot_table(chosen)
+        for batch in batches:
+            data, offsets = buffers(batch.column(at))
+            total = []
+            for i, j in slices(offsets):
+                sentence, slot, owner, _ = _bags(data, offsets[i : j + 1], table)
+                z = w[0] + np.bincount(sentence, w[1:][slot], minlength=len(owner))
+                total.append(np.bincount(owner, softplus(z), minlength=j - i))
+            if total:
+                yield batch.filter(pa.array(-np.expm1(-np.concatenate(total)) < 0.5))
+
+    return docs.mapInArrow(rows, docs.schema)

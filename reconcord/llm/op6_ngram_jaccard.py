@@ -286,3 +286,16 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("low", "id")).alias("component_id"),
     )
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that have the smallest id of their component; of rows repeated with one id and text, one."""
+    stage = Stage(docs.sparkSession, "near-copies")
+    found = stage.keep(ngram_jaccard(docs, id_col, text_col, **options).select(F.col(id_col).alias("near_id"), "component_id"))
+    gone = stage.keep(found.where("near_id <> component_id").select("near_id").distinct())
+    out = docs.join(gone, F.col(id_col).cast("long") == F.col("near_id"), "left_anti")
+    again = stage.keep(found.where("near_id is not null").groupBy("near_id").agg(F.count("*").alias("n")).where("n > 1").select("near_id"))
+    if again.head(1):
+        same = F.col(id_col).cast("long") == F.col("near_id")
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
+    return out

@@ -11,6 +11,9 @@ from .op3_packing import best_fit_pack
 from .op4_toxicity_mil import toxicity
 from .op5_chat_format import chat_format, masked_text
 from .op6_ngram_jaccard import ngram_jaccard
+from .op7_lattice_dedup import lattice_dedup
+from .op8_url_markov import url_filter
+from .op9_risk_rules import risk_rules
 from .op10_quality_pu import quality
 
 
@@ -52,6 +55,19 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(_documents(spark, sf_dir))
 
 
+def op7_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op8_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = risk_rules(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -63,6 +79,9 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_chat_format": op5_chat_format,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_lattice_dedup": op7_lattice_dedup,
+    "op8_url_markov": op8_url_markov,
+    "op9_risk_rules": op9_risk_rules,
     "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {}

@@ -59,13 +59,13 @@ def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of each word of the texts data[offsets[i]:offsets[i+1]]."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of each word of the texts data[offsets[i]:offsets[i+1]]; ``fold`` lower-cases A-Z."""
     low = int(offsets[0])
     raw, at = data[low : int(offsets[-1])], offsets - low
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    byte = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
+    byte = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw) if fold else raw
     inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
