@@ -96,6 +96,7 @@ def allocate(promises: DataFrame, payouts: DataFrame) -> DataFrame:
                     add("PHANTOM_CREDIT")
         return pd.DataFrame(out, columns=["source", "payout_reference", "reason", "transaction_id", "amount_kobo"]).astype({"amount_kobo": "Int64"})
 
+    payouts = payouts.toDF(*payouts.columns)  # new names for columns that both sides may have from one table
     return promises.groupBy("source").cogroup(payouts.groupBy("source")).applyInPandas(fold, schema)
 
 

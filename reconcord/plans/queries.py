@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import money, protect
-from ..operators import calendar, fees, ledger, matching, payouts, queue, reserves
-from .views import DUCK, register, with_views
+from ..operators import calendar, fees, ledger, matching, payouts, queue, reserves, sequential
+from ..sources import statements, webhooks
+from . import reconcile as runs
+from .views import register, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -436,3 +438,103 @@ s as (select doc_id, run, n, (select sum(case when i % 2 = 0 then x when 2 * x >
 select doc_id, count(*) as n_cards from s where t % 10 = 0 group by 1""")
 def scan_card_data(v):
     return protect.card_counts(v["documents"], "doc_id", "text")
+
+
+@query("select event_id, date_ok, date_shape from (select event_id, case event_id % 3 when 0 then strftime(ts, '%Y-%m-%d') when 1 then null else null end as date_ok, case event_id % 3 when 0 then '9999-99-99' when 1 then '9999-99-99' else '99/99/9999' end as date_shape from events) x")
+def iso_date(v):
+    text = F.expr("case event_id % 3 when 0 then date_format(ts, 'yyyy-MM-dd') when 1 then '2023-02-30' else date_format(ts, 'dd/MM/yyyy') end")
+    return v["events"].select("event_id", F.date_format(statements.iso_date(text), "yyyy-MM-dd").alias("date_ok"), statements.date_shape(text).alias("date_shape"))
+
+
+def _statement_file(v) -> DataFrame:
+    """Files of statement rows, one a user: JSON text as a bank would send."""
+    row = F.to_json(F.struct(
+        F.when(F.col("event_id") % 50 != 0, F.concat(F.lit("L"), F.col("event_id") % 900)).alias("id"), F.when(F.col("event_id") % 7 == 0, "transfer").when(F.col("event_id") % 2 == 0, "credit").otherwise("debit").alias("type"),
+        F.when(F.col("event_id") % 11 == 0, "n/a").otherwise(F.col("value").cast("decimal(20,2)").cast("string")).alias("amount"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("event_type").alias("narration"), F.when(F.col("event_id") % 3 == 0, "x").alias("branch"),
+    ))
+    per = v["events"].groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", row.alias("row")))).alias("rows"))
+    return per.select(F.col("user_id").cast("string").alias("evidence_id"), F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["row"]), ","), F.lit("]")).alias("body"))
+
+
+_ROWS = "r as (select user_id, event_id, row_number() over (partition by user_id order by event_id) - 1 as position, case when event_id % 50 <> 0 then 'L' || event_id % 900 end as id, case when event_id % 7 = 0 then 'transfer' when event_id % 2 = 0 then 'credit' else 'debit' end as type, case when event_id % 11 <> 0 then cast(cast(value as decimal(20,2)) * 100 as bigint) end as kobo, event_id % 3 = 0 as branch from events)"
+
+
+@query(f"""with {_ROWS}, s as (select *, row_number() over (partition by user_id, id order by position) as rn from r)
+select cast(user_id as varchar) as evidence_id, '$[' || position || ']' as lineage, kobo as amount_kobo, case when id is null then 'missing id' when type = 'transfer' then 'type=transfer' when kobo is null then 'amount' when kobo < 0 then 'negative amount' when rn > 1 then 'colliding identity' end as reject from s""")
+def scan_bank_statement(v):
+    return statements.scan_bank_statement(_statement_file(v), "main").select("evidence_id", "lineage", "amount_kobo", "reject")
+
+
+@query(f"""with {_ROWS} select cast(user_id as varchar) as evidence_id, 'branch' as detail, count(*) filter (where branch) as occurrences, '$[' || min(position) filter (where branch) || ']' as first_lineage, count(*) as rows_in_file, 'unknown_field' as kind from r group by 1 having count(*) filter (where branch) > 0""")
+def drift_profile(v):
+    return statements.drift_profile(_statement_file(v), ["id", "type", "amount", "date", "narration", "balance", "reference"])
+
+
+@query("""select event_id, case when event_id % 9 = 0 then 'unverified' when event_id % 10 = 0 then 'rejected' when event_id % 4 <> 0 then 'ignored' else 'payment' end as result, case when event_id % 10 <> 0 then 'payment:paystack:r' || event_id else 'payment:paystack' end as idempotency_key from events""")
+def scan_webhooks(v):
+    data = F.struct(F.when(F.col("event_id") % 10 != 0, F.concat(F.lit("r"), "event_id")).alias("reference"), F.abs(F.round(F.col("value") * 100)).cast("long").alias("amount"), F.lit("NGN").alias("currency"), F.when(F.col("event_id") % 4 == 0, "success").otherwise("failed").alias("status"))
+    body = F.to_json(F.struct(F.lit("charge.success").alias("event"), data.alias("data")))
+    sent = v["events"].select("event_id", F.lit("paystack").alias("source"), body.alias("body"), (F.col("event_id") % 9 != 0).alias("verified"))
+    return webhooks.scan_webhooks(sent).select("event_id", "result", "idempotency_key")
+
+
+@query(None)
+def reserve_fold(v):
+    releases = v["reserve_releases"].join(v["payouts"].select(F.col("payout_reference").alias("inflow_key"), "source", F.col("value_date").alias("at")), "inflow_key").select("source", "at", "released_by", F.col("released_kobo").alias("amount_kobo"))
+    return reserves.reserve_fold(v["reserve_holds"], releases)
+
+
+def _ready(v):
+    dim = calendar.calendar_dim(v["promises"].sparkSession, FIRST_DAY, LAST_DAY, list(HOLIDAYS))
+    none = v["allocations"].where("false")
+    promises = runs.promises_for(v["entries"], v["promises"], none, dim, "Africa/Lagos", 1020, 2, 1440)
+    return promises, v["payouts"].withColumn("value_date", F.col("value_date") + F.make_dt_interval(F.lit(1)))
+
+
+@query(None)
+def allocate(v):
+    promises, rows = _ready(v)
+    net = payouts.payout_arithmetic(v["payouts"], v["adjustments"]).select("payout_reference", "derived_net_kobo")
+    return sequential.allocate(promises, rows.join(net, "payout_reference").select("source", "payout_reference", "gross_kobo", "expected_net_kobo", "derived_net_kobo", "value_date"))
+
+
+@query(None)
+def confirm(v):
+    credits, inflows = _open(v)
+    return sequential.confirm(inflows, credits, matching.bank_match_named(credits, inflows), matching.bank_match_candidates(credits, inflows, ALLOWANCE))
+
+
+@query(None)
+def reconcile(v):
+    promises, rows = _ready(v)
+    return runs.reconcile(promises, rows, v["adjustments"], v["bank_lines"], ALLOWANCE).exceptions
+
+
+@query("select event_id, '{\"event_id\": ' || event_id || ', \"event_type\": \"[redacted]\", \"props\": {\"user\": \"[redacted]\"}}' as body from events")
+def redact(v):
+    text = F.to_json(F.struct("event_id", "event_type", F.struct(F.col("user_id").alias("user")).alias("props")))
+    return v["events"].select("event_id", protect.redact_json(frozenset({"event_id"}))(text).alias("body"))
+
+
+@query("select event_id, event_id % 5 <> 0 as good from events")
+def verify_webhook(v):
+    """Signatures of the body's hash with a key known to the sender; every fifth is forged."""
+    body = F.col("event_id").cast("string").cast("binary")
+    signed = v["events"].select("event_id", body.alias("body"), _hmac(body, F.when(F.col("event_id") % 5 == 0, "other").otherwise("key-1")).alias("signature"))
+    return signed.select("event_id", protect.verify_webhook({"psp": ("key-0", "key-1")})(F.lit("psp"), "body", "signature").alias("good"))
+
+
+def _hmac(body, key):
+    """HMAC-SHA-512 by its definition, for keys shorter than a block."""
+    block = F.rpad(F.hex(key.cast("binary")), 256, "0")
+    pad = lambda byte: F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(255), F.lit(2)), lambda i: F.lpad(F.hex(F.conv(F.substring(block, i, F.lit(2)), 16, 10).cast("long").bitwiseXOR(byte)), 2, "0")), ""))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), body), 512))
+    return F.sha2(F.concat(pad(0x5C), inner), 512)
+
+
+@query("select evidence_id, kind as plain from evidence", "evidence")
+def envelope(v):
+    """Round trip of AES-GCM with the evidence id as additional data."""
+    key = F.lit("0123456789abcdef").cast("binary")
+    sealed = v["evidence"].withColumn("sealed", protect.seal(F.col("kind").cast("binary"), key, F.col("evidence_id").cast("binary")))
+    return sealed.select("evidence_id", protect.unseal(F.col("sealed"), key, F.col("evidence_id").cast("binary")).cast("string").alias("plain"))
