@@ -25,7 +25,7 @@ one pair to change a decision.
 Inputs: ``id_col`` integer, ``text_col`` string, any further columns.  A null
 or blank text has the empty set: size 0, linked with nothing.  Texts under
 five words link only if equal word for word.  A repeated row comes back as
-often; rows with a null id share no component (null).  An empty table gives an
+often; rows with a null id link with nothing and get a null component.  An empty table gives an
 empty result.
 """
 
@@ -168,7 +168,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stage = Stage(spark, "ngram-jaccard")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     base = stage.keep(source.mapInArrow(_base_rows(size, percent), "id long, n long, set_id long, group_id long, window array<long>"))
-    full = base.where("n > 0")
+    full = base.where("n > 0 and id is not null")
 
     groups = full.select("group_id", "n", "window").dropDuplicates(["group_id"])
     found = stage.keep(
