@@ -55,28 +55,31 @@ class Stage:
 def components(stage: Stage, edges: DataFrame) -> DataFrame:
     """Smallest reachable id of every id in ``edges`` (a, b): rows (id, component).
 
-    Minimum labels spread along the edges and then jump to their label's label,
-    until a round changes nothing.  Each step is an aggregate with a map-side
-    part and equi-joins that adaptive execution may split, so a hub with a
-    third of all nodes is no single task; labels and edges stay in tables.
+    Each round every node joins its smallest neighbour's smallest neighbour, and
+    the edges are rewritten to the joined nodes; edges within one fall away, so
+    the graph shrinks fast.  All steps are aggregates with a map-side part and
+    equi-joins that adaptive execution may split, so a hub with a third of all
+    nodes is no single task; edges and labels stay in tables.
     """
-    both = edges.select("a", "b").where("a <> b")
-    both = stage.keep(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stage.keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
+    now = stage.keep(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    names = None
     while True:
-        near = (
-            both.join(labels.select(F.col("id").alias("b"), "component"), "b")
-            .groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        )
-        spread = stage.keep(labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component")))
-        root = spread.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        new = stage.keep(spread.join(root, "component").select("id", F.col("root").alias("component"), (F.col("root") != F.col("old")).alias("moved")))
-        stage.drop(labels, spread)
-        labels = new.select("id", "component")
-        stage.paths[id(labels)] = stage.paths.pop(id(new))
-        if not new.where("moved").head(1):
-            stage.drop(both)
-            return labels
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parent = stage.keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("p")))
+        label = stage.keep(parent.join(parent.select(F.col("id").alias("p"), F.col("p").alias("label")), "p").select("id", "label"))
+        if names is None:
+            merged = label.select("id", F.col("label").alias("component"))
+        else:
+            merged = names.join(label.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("label", "component").alias("component"))
+        merged = stage.keep(merged)
+        a, b = (label.select(F.col("id").alias(s), F.col("label").alias(f"to_{s}")) for s in "ab")
+        left = now.join(a, "a").join(b, "b").where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
+        left = stage.keep(left.distinct())
+        stage.drop(now, parent, label, *([names] if names is not None else []))
+        now, names = left, merged
+        if not now.head(1):
+            stage.drop(now)
+            return names
 
 
 def semi_by_size(df: DataFrame, ids: DataFrame, key: str, bound: int = 1_000_000) -> DataFrame:

@@ -14,7 +14,7 @@ may leave them out and still shares a rare one with each partner.
 3. The few groups made of frequent hashes get an exact prefix in order of
    document frequency.  Their lists, and groups of unlike sets, may be long:
    each member is compared with a few leaders first, and then only with members
-   of other components that the triangle inequality leaves within reach.
+   of other components that a bound on the overlap leaves within reach.
 4. Pairs are expanded to the members' sets and verified on whole sets.
 
 Documents with the same set share one node, so copies cost one row each.
@@ -45,6 +45,8 @@ from .shingles import buffers, fingerprint, shingle_sets, slices
 FREQUENT = 48
 #: Members of a list, by size, that all others are compared with first.
 LEADERS = 3
+#: Sets that are compared with each other within a task at a time.
+BLOCK = 64
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -162,6 +164,28 @@ def _candidates(frequent: int, percent: int):
     return rows
 
 
+def _block_links(percent: int):
+    """For each set of the outer block one link into the inner block, if there is any; the inner sets are of one component."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for outer, inner in zip(batch.column(0), batch.column(1), strict=True):
+                inner = [(x["set_id"].as_py(), x["n"].as_py(), x["more"].as_py(), np.asarray(x["hashes"].values)) for x in inner]
+                inner.sort(key=lambda x: -x[2])
+                for v in outer:
+                    name, n, more, common, own = v["set_id"].as_py(), v["n"].as_py(), v["more"].as_py(), v["common"].as_py(), np.asarray(v["hashes"].values)
+                    for u, m, beyond, other in inner:
+                        need = -(-percent * (n + m) // (100 + percent))
+                        if common + more + beyond >= need and len(np.intersect1d(own, other, assume_unique=True)) >= need:
+                            a.append(min(u, name))
+                            b.append(max(u, name))
+                            break
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows
+
+
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, frequent: int = FREQUENT) -> DataFrame:
     """Rows (id, n_shingles, component_id), one for each row of ``docs``; links need a Jaccard similarity of percent / 100 or more."""
     spark = docs.sparkSession
@@ -208,19 +232,21 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stage.drop(ids)
 
     def similar(candidates: DataFrame) -> DataFrame:
-        """Adds the exact similarity and whether it makes a link."""
+        """Adds the exact overlap and whether it makes a link."""
         a, b = (whole.select(F.col("set_id").alias(s), F.col("hashes").alias(f"hashes_{s}")) for s in "ab")
         both = candidates.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("hashes_a", "hashes_b"))).withColumn("total", F.size("hashes_a") + F.size("hashes_b"))
-        return both.select("a", "b", (F.col("common") / (F.col("total") - F.col("common"))).alias("sim"), ((100 + percent) * F.col("common") >= percent * F.col("total")).alias("link"))
+        return both.select(*candidates.columns, "common", ((100 + percent) * F.col("common") >= percent * F.col("total")).alias("link"))
 
     # lists that may be long: frequent hashes of groups made of them, and groups of unlike sets
     members = full.select("group_id", "set_id").distinct()
-    rich = stage.keep(group.where("frequent").join(members, "group_id").select("set_id").distinct())
-    word = whole.join(rich, "set_id", "left_semi").select("set_id", F.size("hashes").cast("long").alias("n"), F.explode("hashes").alias("hash"))
+    rich = group.where("frequent").join(members, "group_id").select("set_id", F.lit(True).alias("rich"))
+    mixed = group.where("kinds > 1").join(members, "group_id").select("set_id", F.lit(False).alias("rich"))
+    listed = stage.keep(rich.union(mixed).groupBy("set_id").agg(F.max("rich").alias("rich")))
+    word = whole.join(listed, "set_id").select("set_id", "rich", F.size("hashes").cast("long").alias("n"), F.explode("hashes").alias("hash"))
     often = word.groupBy("hash").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = word.join(often, "hash").groupBy("set_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("hashes"))
+    ranked = stage.keep(word.join(often, "hash").groupBy("set_id", "rich", "n").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("hashes")))
     lists = (
-        ranked.withColumn("alone", F.col("n") - F.size("hashes"))
+        ranked.where("rich").withColumn("alone", F.col("n") - F.size("hashes"))
         .select("set_id", "n", "alone", F.posexplode(F.slice("hashes", F.lit(1), F.greatest(F.lit(0), (p - F.col("alone")).cast("int")))).alias("k", "h"))
         .select(F.col("h.hash").alias("list"), "set_id", "n", (F.col("n") - F.col("alone") - F.col("k")).alias("room"))
     )
@@ -242,9 +268,9 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = stage.keep(similar(first).where("link").select("a", "b"))
     comp = components(stage, links)
 
-    # What is still in another component.  1 - similarity is a metric, so the
-    # distance of two components' first members and the members' distances from
-    # these rule out nearly all pairs.
+    # What is still in another component.  Two sets have in common at most what
+    # their components' first sets have, and those of their own hashes beyond
+    # their first set that any other listed set has; that rules out nearly all pairs.
     now = lists.join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("c", F.coalesce("component", "set_id"))
     part = now.groupBy("list", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("room"), F.max("short").alias("short"))
     mixed = part.groupBy("list").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("list")
@@ -254,20 +280,31 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         & (100 * F.col("s.hi") >= percent * F.col("t.lo")) & (100 * F.col("t.hi") >= percent * F.col("s.lo"))
         & (need(F.col("s.lo"), F.col("t.lo")) <= F.least("s.room", "t.room"))
     ).select(*pair("s.c", "t.c")).distinct()
-    apart = stage.keep(similar(cross).select("a", "b", (1 - F.col("sim")).alias("apart")))
+    # a component stands behind the member with the fewest hashes of its own, as that is closest to all others
+    sole = F.coalesce(F.col("n") - F.size("hashes"), F.col("n"))
+    own = now.select("set_id", "n", "c").distinct().join(part.select("c").distinct(), "c", "left_semi").join(ranked.select("set_id", "hashes"), "set_id", "left")
+    own = stage.keep(own.select("set_id", "n", "c", sole.alias("sole"), F.coalesce(F.transform("hashes", lambda h: h["hash"]), F.array().cast("array<bigint>")).alias("shared")))
+    head = stage.keep(own.groupBy("c").agg(F.min_by("set_id", F.struct("sole", F.col("n") * -1, "set_id")).alias("head")))
+    heads = cross.join(head.select(F.col("c").alias("a"), F.col("head").alias("head_a")), "a").join(head.select(F.col("c").alias("b"), F.col("head").alias("head_b")), "b")
+    apart = similar(heads.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("head_a").alias("a"), F.col("head_b").alias("b")))
+    apart = stage.keep(apart.select(F.col("c").alias("a"), F.col("d").alias("b"), "common"))
     few = apart.select(F.col("a").alias("c")).union(apart.select("b")).distinct()
-    own = stage.keep(now.select("set_id", "n", "c").distinct().join(few, "c", "left_semi"))
-    radius = similar(own.where("set_id <> c").select(F.col("c").alias("a"), F.col("set_id").alias("b"))).select(F.col("b").alias("set_id"), (1 - F.col("sim")).alias("r"))
-    own = stage.keep(own.join(radius, "set_id", "left").fillna(0.0, ["r"]))
-    widest = own.groupBy("c").agg(F.max("r").alias("widest"))
-    reach = 1 - percent / 100 + 1e-9
-    near = stage.keep(
-        apart.join(widest.select(F.col("c").alias("a"), F.col("widest").alias("wa")), "a").join(widest.select(F.col("c").alias("b"), F.col("widest").alias("wb")), "b")
-        .where(F.col("apart") <= reach + F.col("wa") + F.col("wb"))
-    )
-    u = near.join(own.select(F.col("c").alias("a"), F.struct("set_id", "n", "r").alias("u")), "a").where(F.col("apart") <= reach + F.col("u.r") + F.col("wb"))
-    v = own.select(F.col("c").alias("b"), F.struct("set_id", "n", "r").alias("v"))
-    later = u.join(v, "b").where((F.col("apart") <= reach + F.col("u.r") + F.col("v.r")) & sized(F.col("u.n"), F.col("v.n"))).select(*pair("u.set_id", "v.set_id"))
+    own = own.join(few, "c", "left_semi").join(head, "c").join(whole.select(F.col("set_id").alias("head"), "hashes"), "head")
+    own = stage.keep(own.select("set_id", "n", "c", F.size(F.array_except("shared", "hashes")).alias("more")))
+    per = own.groupBy("c").agg(F.max("more").alias("more"), F.min("n").alias("lo"), F.count("*").alias("k"))
+    end = lambda x: per.select(F.col("c").alias(x), *[F.col(y).alias(f"{y}_{x}") for y in ("more", "lo", "k")])
+    near = apart.join(end("a"), "a").join(end("b"), "b").where(F.col("common") + F.col("more_a") + F.col("more_b") >= need(F.col("lo_a"), F.col("lo_b")))
+    larger = (F.col("k_a") > F.col("k_b")) | ((F.col("k_a") == F.col("k_b")) & (F.col("a") < F.col("b")))
+    near = stage.keep(near.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("large"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("small"), F.least("k_a", "k_b").alias("k"), "common"))
+    # the sets of the larger component in blocks, those of its smaller neighbours in blocks; only pairs of blocks are rows
+    full_own = stage.keep(own.join(whole, "set_id").join(per.select("c", "k"), "c"))
+    item = F.struct("set_id", "n", "more", "hashes")
+    inner = full_own.join(near.select(F.col("large").alias("c")).distinct(), "c", "left_semi")
+    inner = inner.withColumn("block", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("k") / BLOCK))).groupBy("c", "block").agg(F.collect_list(item).alias("inner"))
+    around = near.groupBy("large").agg(F.sum("k").alias("total"))
+    outer = near.drop("k").join(around, "large").join(full_own.withColumnRenamed("c", "small"), "small").withColumn("block", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("total") / BLOCK)))
+    outer = outer.groupBy("large", "block").agg(F.collect_list(F.struct("common", "set_id", "n", "more", "hashes")).alias("outer"))
+    later = stage.keep(outer.select(F.col("large").alias("c"), "outer").join(inner.select("c", "inner"), "c").select("outer", "inner").mapInArrow(_block_links(percent), "a long, b long"))
     kin = members.join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     spread = (
         pairs.where("unlike").select("a", "b")
@@ -275,10 +312,12 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .join(kin.select(F.col("group_id").alias("b"), F.col("set_id").alias("v"), F.col("component").alias("d")), "b")
         .where("c <> d").select(*pair("u", "v"))
     )
-    second = stage.keep(later.union(spread).distinct().join(first, ["a", "b"], "left_anti"))
-    if second.head(1):
-        comp = components(stage, stage.keep(links.union(similar(second).where("link").select("a", "b"))))
-    stage.drop(part, apart, near, second, first, lists, rich, pairs, group, links)
+    second = stage.keep(spread.distinct().join(first, ["a", "b"], "left_anti"))
+    if later.head(1) or second.head(1):
+        more = later.select("a", "b").union(similar(second).where("link").select("a", "b"))
+        # the components found so far stand for all links that made them
+        comp = components(stage, stage.keep(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)))
+    stage.drop(part, own, full_own, head, apart, near, later, second, first, lists, listed, ranked, pairs, group, links)
 
     out = base.select("id", "n", "set_id").join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("node", F.coalesce("component", "set_id"))
     smallest = out.where("node is not null").groupBy("node").agg(F.min("id").alias("low"))
