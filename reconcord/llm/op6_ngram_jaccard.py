@@ -47,6 +47,8 @@ FREQUENT = 48
 LEADERS = 3
 #: Sets that are compared with each other within a task at a time.
 BLOCK = 64
+#: Hashes whose holders are gathered at a time, which bounds the memory of a task.
+HELD = 1 << 19
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -164,6 +166,23 @@ def _candidates(frequent: int, percent: int):
     return rows
 
 
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each hash of a run of sets one row with the sets that hold it: copies that differ little share their rows."""
+    for batch in batches:
+        offsets = np.asarray(batch.column(2).offsets).astype(np.int64)
+        i = 0
+        while i < batch.num_rows:
+            j = min(batch.num_rows, max(i + 1, int(np.searchsorted(offsets, offsets[i] + HELD, "right")) - 1))
+            n = np.diff(offsets[i : j + 1])
+            value = np.asarray(batch.column(2).slice(i, j - i).flatten())
+            order = np.argsort(value, kind="stable")
+            hash_, first = np.unique(value[order], return_index=True)
+            holder = pa.StructArray.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n)], ["set_id", "rich", "n"])
+            owner = pa.array(np.repeat(np.arange(j - i), n)[order])
+            yield pa.RecordBatch.from_arrays([pa.array(hash_, pa.int64()), pa.ListArray.from_arrays(np.append(first, len(value)).astype(np.int32), holder.take(owner))], names=["hash", "holders"])
+            i = j
+
+
 def _block_links(percent: int):
     """For each set of the outer block one link into the inner block, if there is any; the inner sets are of one component."""
 
@@ -242,9 +261,10 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rich = group.where("frequent").join(members, "group_id").select("set_id", F.lit(True).alias("rich"))
     mixed = group.where("kinds > 1").join(members, "group_id").select("set_id", F.lit(False).alias("rich"))
     listed = stage.keep(rich.union(mixed).groupBy("set_id").agg(F.max("rich").alias("rich")))
-    word = whole.join(listed, "set_id").select("set_id", "rich", F.size("hashes").cast("long").alias("n"), F.explode("hashes").alias("hash"))
-    often = word.groupBy("hash").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = stage.keep(word.join(often, "hash").groupBy("set_id", "rich", "n").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("hashes")))
+    word = stage.keep(whole.join(listed, "set_id").select("set_id", "rich", "hashes").mapInArrow(_holders, "hash long, holders array<struct<set_id:long,rich:boolean,n:long>>"))
+    often = word.groupBy("hash").agg(F.sum(F.size("holders")).alias("df")).where("df > 1")
+    held = word.join(often, "hash").select("hash", "df", F.explode("holders").alias("s")).select("s.*", "df", "hash")
+    ranked = stage.keep(held.groupBy("set_id", "rich", "n").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("hashes")))
     lists = (
         ranked.where("rich").withColumn("alone", F.col("n") - F.size("hashes"))
         .select("set_id", "n", "alone", F.posexplode(F.slice("hashes", F.lit(1), F.greatest(F.lit(0), (p - F.col("alone")).cast("int")))).alias("k", "h"))
@@ -317,7 +337,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         more = later.select("a", "b").union(similar(second).where("link").select("a", "b"))
         # the components found so far stand for all links that made them
         comp = components(stage, stage.keep(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)))
-    stage.drop(part, own, full_own, head, apart, near, later, second, first, lists, listed, ranked, pairs, group, links)
+    stage.drop(part, own, full_own, head, apart, near, later, second, first, lists, listed, word, ranked, pairs, group, links)
 
     out = base.select("id", "n", "set_id").join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("node", F.coalesce("component", "set_id"))
     smallest = out.where("node is not null").groupBy("node").agg(F.min("id").alias("low"))
