@@ -93,8 +93,7 @@ def texts(d: Dialect) -> dict[str, str]:
               case when n % 10 = 0 then null else expected_net_kobo * 2 end as balance_after_kobo, {d.later("value_date", "1440 + n % 2880")} as value_date,
               case when n % 3 = 0 then 'TRF from psp' else 'TRF ' || upper(payout_reference) || ' psp' end as narration,
               case when n % 8 = 0 then payout_reference end as stated_reference, n
-            from payouts cross join (select '' as copy union all select '#2') c
-            where copy = '' or n % 25 = 0""",
+            from (select *, '' as copy from payouts union all select *, '#2' from payouts where n % 25 = 0) twice""",
         "named_lines": """
             select idempotency_key, upper(payout_reference) as token from bank_lines b join payouts p on b.n = p.n and b.narration <> 'TRF from psp'""",
         "contracts": """
