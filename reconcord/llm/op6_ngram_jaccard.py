@@ -48,7 +48,7 @@ LEADERS = 3
 #: Sets that are compared with each other within a task at a time.
 BLOCK = 64
 #: Hashes whose holders are gathered at a time, which bounds the memory of a task.
-HELD = 1 << 19
+HELD = 1 << 18
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -261,7 +261,10 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rich = group.where("frequent").join(members, "group_id").select("set_id", F.lit(True).alias("rich"))
     mixed = group.where("kinds > 1").join(members, "group_id").select("set_id", F.lit(False).alias("rich"))
     listed = stage.keep(rich.union(mixed).groupBy("set_id").agg(F.max("rich").alias("rich")))
-    word = stage.keep(whole.join(listed, "set_id").select("set_id", "rich", "hashes").mapInArrow(_holders, "hash long, holders array<struct<set_id:long,rich:boolean,n:long>>"))
+    # tasks of about HELD hashes, however many partitions the sets come in
+    total = whole.join(listed, "set_id", "left_semi").agg(F.sum(F.size("hashes"))).first()[0] or 0
+    some = whole.join(listed, "set_id").select("set_id", "rich", "hashes").coalesce(max(1, -(-total // HELD)))
+    word = stage.keep(some.mapInArrow(_holders, "hash long, holders array<struct<set_id:long,rich:boolean,n:long>>"))
     often = word.groupBy("hash").agg(F.sum(F.size("holders")).alias("df")).where("df > 1")
     held = word.join(often, "hash").select("hash", "df", F.explode("holders").alias("s")).select("s.*", "df", "hash")
     ranked = stage.keep(held.groupBy("set_id", "rich", "n").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("hashes")))
