@@ -263,7 +263,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     listed = stage.keep(rich.union(mixed).groupBy("set_id").agg(F.max("rich").alias("rich")))
     # tasks of about HELD hashes, however many partitions the sets come in
     total = whole.join(listed, "set_id", "left_semi").agg(F.sum(F.size("hashes"))).first()[0] or 0
-    some = whole.join(listed, "set_id").select("set_id", "rich", "hashes").coalesce(max(1, -(-total // HELD)))
+    some = whole.join(listed, "set_id").select("set_id", "rich", "hashes").repartition(max(1, -(-total // HELD)))
     word = stage.keep(some.mapInArrow(_holders, "hash long, holders array<struct<set_id:long,rich:boolean,n:long>>"))
     often = word.groupBy("hash").agg(F.sum(F.size("holders")).alias("df")).where("df > 1")
     held = word.join(often, "hash").select("hash", "df", F.explode("holders").alias("s")).select("s.*", "df", "hash")
