@@ -5,6 +5,8 @@ Every rule that asks for exactly one partner is a count, never a pick.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,18 +123,122 @@ def returned_payout(debits: DataFrame, banked: DataFrame) -> DataFrame:
     return hit.groupBy("inflow_key").agg(F.count("*").alias("n"), F.min("idempotency_key").alias("idempotency_key"), F.min("amount_kobo").alias("amount_kobo")).where("n = 1").drop("n")
 
 
-def nearest_candidates(credits: DataFrame, inflows: DataFrame, keep: int, band: int) -> DataFrame:
-    """The ``keep`` inflows nearest in amount to each credit, among those within ``band`` minor units.
-
-    Only neighbouring bands are joined, so the join has as many rows as there
-    are neighbours, not pairs.
+def _nearest_rows(keep: int):
+    """Fold of one part: its targets against its items and those carried over from other parts."""
+
+    def fold(key: tuple, targets: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"target": pd.Series(dtype="int64"), "item": pd.Series(dtype="object"), "amount": pd.Series(dtype="int64"), "tie": pd.Series(dtype="object")})
+        if not len(targets) or not len(items):
+            return none
+        rising = items.sort_values(["amount", "tie"], kind="stable")
+        falling = items.sort_values(["amount", "tie"], ascending=[False, True], kind="stable")
+        both = pd.concat([falling, rising], ignore_index=True)
+        order = np.empty(len(both), np.int64)
+        order[both["tie"].to_numpy(object).argsort(kind="stable")] = np.arange(len(both))
+        amount, n = both["amount"].to_numpy(np.int64), len(items)
+        a = targets["target"].to_numpy(np.int64)
+        above = np.searchsorted(amount[n:], a, "left")  # items below the target, which lead the others in `falling` from n - above
+        step = np.arange(keep)
+        at = np.concatenate([(n - above)[:, None] + step, (n + above)[:, None] + step], 1)
+        gone = np.concatenate([at[:, :keep] >= n, at[:, keep:] >= 2 * n], 1)
+        at = np.where(gone, 0, at)
+        far = np.where(gone, np.iinfo(np.int64).max, np.abs(amount[at] - a[:, None]))
+        best = np.lexsort((order[at], far), axis=1)[:, :keep]
+        row = np.repeat(np.arange(len(a)), best.shape[1])
+        good = ~gone[row, best.ravel()]
+        hit = at[row, best.ravel()][good]
+        return pd.DataFrame({"target": a[row[good]], "item": both["item"].to_numpy(object)[hit], "amount": amount[hit], "tie": both["tie"].to_numpy(object)[hit]})
+
+    return fold
+
+
+def _edges(keep: int):
+    """The items that each part needs from the others: the ``keep`` highest before it and the ``keep`` lowest after it."""
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        columns, out = ["grp", "item", "amount", "tie"], []
+        own = dict(tuple(frame.groupby("part")))
+        last = int(frame["parts"].iloc[0])
+        for turn, rising in ((range(last + 1), False), (range(last, -1, -1), True)):
+            carried = frame.iloc[:0]
+            for k in turn:
+                out.append(carried[columns].assign(part=k))
+                if k in own:
+                    carried = pd.concat([carried, own[k][own[k]["up"] != rising]]).sort_values(["amount", "tie"], ascending=[rising, True], kind="stable").head(keep)
+        return pd.concat(out).astype({"part": "int32"})[["grp", "part", "item", "amount", "tie"]]
+
+    return fold
+
+
+def nearest(targets: DataFrame, items: DataFrame, keep: int) -> DataFrame:
+    """The ``keep`` items nearest to each target of their group, however far, by distance and then ``tie``.
+
+    targets: grp, target; items: grp, item, amount, tie.  Rows (grp, target,
+    item, amount, tie), once for each distinct target.
+
+    Both are dealt into ranges of amount, at most ``keep`` items of one amount.
+    A target needs only the ``keep`` items before and after it in the order of
+    amounts; where a range ends too early, the nearest items of other ranges
+    are carried over.  So nothing is compared in pairs.
+    """
+    parts = max(1, int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    first = F.row_number().over(Window.partitionBy("grp", "amount").orderBy("tie")) <= keep
+    goods = items.where("amount is not null").withColumn("first", first).where("first").drop("first")
+    wanted = targets.where("target is not null").distinct()
+    cuts = goods.select("amount").unionAll(wanted.select(F.col("target").alias("amount"))).agg(F.coalesce(F.percentile_approx("amount", [k / parts for k in range(1, parts)] or [0.5], 10_000), F.array().cast("array<bigint>")).alias("cuts"))
+    part = lambda c: F.expr(f"cast(aggregate(cuts, 0, (n, x) -> n + if(x <= {c}, 1, 0)) as int)")
+    goods = goods.crossJoin(F.broadcast(cuts)).select("grp", part("amount").alias("part"), "item", "amount", "tie")
+    wanted = wanted.crossJoin(F.broadcast(cuts)).select("grp", part("target").alias("part"), "target")
+    ends = None
+    for up, order in ((False, F.col("amount").asc()), (True, F.col("amount").desc())):
+        one = goods.withColumn("rn", F.row_number().over(Window.partitionBy("grp", "part").orderBy(order, "tie"))).where(F.col("rn") <= keep).drop("rn").withColumn("up", F.lit(up))
+        ends = one if ends is None else ends.unionByName(one)
+    # up marks the highest items of a part, carried to later parts; the others go to earlier ones
+    carried = ends.withColumn("parts", F.lit(parts)).groupBy("grp").applyInPandas(_edges(keep), "grp string, part int, item string, amount long, tie string")
+    goods = goods.unionByName(carried)
+    goods = goods.toDF(*goods.columns)  # new names for columns that both sides may have from one table
+    found = wanted.groupBy("grp", "part").cogroup(goods.groupBy("grp", "part"))
+    rows = _nearest_rows(keep)
+    return found.applyInPandas(lambda key, t, i: rows(key, t, i).assign(grp=key[0]), "grp string, target long, item string, amount long, tie string")
+
+
+def nearest_candidates(credits: DataFrame, inflows: DataFrame, keep: int, allowance: int = 0) -> DataFrame:
+    """The ``keep`` inflows nearest in amount to each credit, however far: those within their bank-charge allowance first, then by distance and key.
+
+    The allowance is the inflow's ``allowance_kobo`` where there is such a
+    column, else ``allowance``.
     """
-    c = credits.select("idempotency_key", "amount_kobo", F.explode(F.expr(f"sequence(amount_kobo div {band} - 1, amount_kobo div {band} + 1)")).alias("b"))
-    i = inflows.select("inflow_key", "expected_net_kobo", F.expr(f"expected_net_kobo div {band}").alias("b"))
-    far = F.abs(F.col("expected_net_kobo") - F.col("amount_kobo"))
-    near = c.join(i, "b").withColumn("far_kobo", far).where(F.col("far_kobo") <= band)
-    w = Window.partitionBy("idempotency_key").orderBy("far_kobo", "inflow_key")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).select("idempotency_key", "inflow_key", "far_kobo", "rank")
+    own = F.col("allowance_kobo") if "allowance_kobo" in inflows.columns else F.lit(allowance)
+    i = inflows.select(own.cast("string").alias("grp"), F.col("inflow_key").alias("item"), F.col("expected_net_kobo").cast("long").alias("amount"), F.col("inflow_key").alias("tie"))
+    # the nearest of each allowance hold the nearest within it and the nearest of all
+    groups = i.select("grp").distinct()
+    c = credits.select(F.col("amount_kobo").cast("long").alias("target")).where("target is not null").distinct().crossJoin(F.broadcast(groups)).select("grp", "target")
+    far = F.abs(F.col("amount") - F.col("target"))
+    near = nearest(c, i, keep).withColumn("far_kobo", far).withColumn("beyond", (far > F.col("grp").cast("long")).cast("int"))
+    w = Window.partitionBy("target").orderBy("beyond", "far_kobo", "item")
+    best = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
+    return credits.select("idempotency_key", F.col("amount_kobo").cast("long").alias("target")).join(best, "target").select("idempotency_key", F.col("item").alias("inflow_key"), "far_kobo", "rank")
+
+
+def _owed_in_order(promises: DataFrame) -> DataFrame:
+    tie = F.concat(F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss.SSSSSS "), "transaction_id")
+    return promises.where("owed_kobo > 0").select(F.col("source").alias("grp"), F.col("transaction_id").alias("item"), F.col("owed_kobo").cast("long").alias("amount"), tie.alias("tie"))
+
+
+def nearest_promises(payouts: DataFrame, promises: DataFrame, keep: int) -> DataFrame:
+    """The ``keep`` open promises of its source nearest to each payout's gross, by distance, time and id."""
+    far = F.abs(F.col("amount") - F.col("target"))
+    near = nearest(payouts.select(F.col("source").alias("grp"), F.col("gross_kobo").cast("long").alias("target")), _owed_in_order(promises), keep).withColumn("far_kobo", far)
+    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("grp", "target").orderBy("far_kobo", "tie")))
+    own = payouts.select("payout_reference", F.col("source").alias("grp"), F.col("gross_kobo").cast("long").alias("target"))
+    return own.join(best, ["grp", "target"]).select("payout_reference", F.col("item").alias("transaction_id"), "far_kobo", "rank")
+
+
+def unattempted_promises(payouts: DataFrame, promises: DataFrame, keep: int) -> DataFrame:
+    """The ``keep`` largest open promises of each payout's source, for payouts whose search was not attempted."""
+    w = Window.partitionBy("grp").orderBy(F.col("amount").desc(), "tie")
+    top = _owed_in_order(promises).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
+    return payouts.select("payout_reference", F.col("source").alias("grp")).join(F.broadcast(top), "grp").select("payout_reference", F.col("item").alias("transaction_id"), F.col("amount").alias("owed_kobo"), "rank")
 
 
 def bank_line_collision(lines: DataFrame, existing: DataFrame, key: list[str], compare: list[str]) -> DataFrame:

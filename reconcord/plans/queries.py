@@ -298,7 +298,23 @@ def returned_payout(v):
 
 @query(f"select idempotency_key, inflow_key, far_kobo, rank from (select c.idempotency_key, i.inflow_key, abs(i.expected_net_kobo - c.amount_kobo) as far_kobo, cast(row_number() over (partition by c.idempotency_key order by abs(i.expected_net_kobo - c.amount_kobo), i.inflow_key) as int) as rank from {_CREDIT} c join {_OPEN_I} i on abs(i.expected_net_kobo - c.amount_kobo) <= 200000) x where rank <= 4", *PAY, "inflows", "bank_lines")
 def nearest_candidates(v):
-    return matching.nearest_candidates(*_open(v), 4, 200_000)
+    # the SQL lists only those within 200000; as they lead the whole list, their ranks are the same
+    return matching.nearest_candidates(*_open(v), 4, ALLOWANCE).where("far_kobo <= 200000")
+
+
+@query(f"select idempotency_key, inflow_key, far_kobo, rank from (select c.idempotency_key, i.inflow_key, abs(i.expected_net_kobo - c.amount_kobo) as far_kobo, cast(row_number() over (partition by c.idempotency_key order by case when abs(i.expected_net_kobo - c.amount_kobo) <= {ALLOWANCE} then 0 else 1 end, abs(i.expected_net_kobo - c.amount_kobo), i.inflow_key) as int) as rank from {_CREDIT} c cross join {_OPEN_I} i) x where rank <= 4", *PAY, "inflows", "bank_lines")
+def nearest_inflows(v):
+    return matching.nearest_candidates(*_open(v), 4, ALLOWANCE)
+
+
+@query("select payout_reference, transaction_id, far_kobo, rank from (select p.payout_reference, t.transaction_id, abs(t.gross_kobo - p.gross_kobo) as far_kobo, cast(row_number() over (partition by p.payout_reference order by abs(t.gross_kobo - p.gross_kobo), t.occurred_at, t.transaction_id) as int) as rank from payouts p join promises t on p.source = t.source where t.gross_kobo > 0) x where rank <= 4", *PAY)
+def nearest_promises(v):
+    return matching.nearest_promises(v["payouts"], v["promises"].withColumnRenamed("gross_kobo", "owed_kobo"), 4)
+
+
+@query("select payout_reference, transaction_id, owed_kobo, rank from payouts p join (select source, transaction_id, gross_kobo as owed_kobo, cast(row_number() over (partition by source order by gross_kobo desc, occurred_at, transaction_id) as int) as rank from promises where gross_kobo > 0) t on p.source = t.source where rank <= 4", *PAY)
+def unattempted_promises(v):
+    return matching.unattempted_promises(v["payouts"], v["promises"].withColumnRenamed("gross_kobo", "owed_kobo"), 4)
 
 
 @query("""select a.l_orderkey, a.l_linenumber, a.l_partkey, concat_ws(',', case when a.l_quantity is distinct from b.l_quantity then 'l_quantity' end, case when a.l_suppkey is distinct from b.l_suppkey then 'l_suppkey' end) as differs,
