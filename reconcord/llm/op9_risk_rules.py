@@ -75,9 +75,7 @@ def text_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
     # lines with a word that equal an earlier one of their text
     ends = np.unique(np.concatenate([np.flatnonzero(raw == 10), at[1:]]))
-    begin = np.concatenate([[0], ends[:-1]])
-    begin = begin + (raw[np.minimum(begin, len(raw) - 1)] == 10) * (begin > 0)
-    begin[0] = 0
+    begin = np.concatenate([[0], ends[:-1] + (raw[ends[:-1]] == 10)])  # after an end that is a newline, else at it
     keep = begin < ends
     begin, ends = begin[keep], ends[keep]
     with np.errstate(over="ignore"):

@@ -281,6 +281,11 @@ def test_text_counts(texts):
     assert got == [plain_counts(t) for t in texts]
 
 
+@pytest.mark.parametrize("texts", [["\na\na"], ["\na\na", "b"], ["", "\na\na"], ["", "a\na"], ["b", "\na\na"], ["\n", "\na\na", "\n"]])
+def test_newline_at_the_start_of_a_slice(texts):
+    assert op9.text_counts(*buffers(pa.array(texts, pa.string()))).tolist() == [plain_counts(t) for t in texts]
+
+
 def test_rules_hold_their_risk(spark):
     docs, labels, truth = corpus(spark, 3000)
     edges = documents(spark, EDGES).withColumn("doc_id", F.col("doc_id") + 10_000)
