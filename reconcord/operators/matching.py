@@ -70,11 +70,16 @@ def identifiers(lines: DataFrame) -> DataFrame:
     return words.select("idempotency_key", "word", F.lit(True).alias("token")).unionByName(lines.where("stated_reference is not null").select("idempotency_key", F.col("stated_reference").alias("word"), F.lit(False).alias("token")))
 
 
-def bank_match_named(lines: DataFrame, inflows: DataFrame) -> DataFrame:
-    """Credits that name exactly one inflow, by a word of the narration or the stated reference."""
+def bank_names(lines: DataFrame, inflows: DataFrame) -> DataFrame:
+    """All (idempotency_key, inflow_key) where a credit names the inflow, by a word of the narration or the stated reference."""
     own = identifiers(lines.where("direction = 'credit' and amount_kobo > 0"))
     keys = inflows.select("inflow_key", F.upper("inflow_key").alias("word"), F.lit(True).alias("token")).unionByName(inflows.select("inflow_key", F.col("inflow_key").alias("word"), F.lit(False).alias("token")))
-    named = own.join(keys, ["word", "token"]).select("idempotency_key", "inflow_key").distinct()
+    return own.join(keys, ["word", "token"]).select("idempotency_key", "inflow_key").distinct()
+
+
+def bank_match_named(lines: DataFrame, inflows: DataFrame) -> DataFrame:
+    """Credits that name exactly one inflow, by a word of the narration or the stated reference."""
+    named = bank_names(lines, inflows)
     return named.groupBy("idempotency_key").agg(F.count("*").alias("n"), F.min("inflow_key").alias("inflow_key")).where("n = 1").drop("n")
 
 
@@ -116,6 +121,25 @@ def duplicate_credit(unmatched: DataFrame, banked: DataFrame) -> DataFrame:
     return unmatched.where("direction = 'credit' and amount_kobo > 0").join(per, "amount_kobo").select("idempotency_key", "inflow_key", "amount_kobo")
 
 
+def duplicates_here(left: DataFrame, names: DataFrame, banked: DataFrame) -> DataFrame:
+    """Credits left over that are the same money as a credit before them in the run: (idempotency_key, inflow_key).
+
+    left: idempotency_key, amount_kobo; names: all pairs named; banked:
+    inflow_key, confirmed_by, credited_kobo.  The only banked inflow that the
+    credit names, else the only one banked of its amount, each time among those
+    confirmed by an earlier key.
+    """
+    before = F.col("confirmed_by") < F.col("idempotency_key")
+    named = left.select("idempotency_key").join(names, "idempotency_key").join(banked.select("inflow_key", "confirmed_by"), "inflow_key").where(before)
+    named = named.groupBy("idempotency_key").agg(F.count("*").alias("n"), F.min("inflow_key").alias("by_name")).where("n = 1").drop("n")
+    # of an amount just one is before a credit if the first is and the second is not
+    w = Window.partitionBy("credited_kobo").orderBy("confirmed_by")
+    two = banked.withColumn("rn", F.row_number().over(w)).where("rn <= 2").groupBy(F.col("credited_kobo").alias("amount_kobo"))
+    two = two.agg(F.min(F.when(F.col("rn") == 1, F.col("confirmed_by"))).alias("first"), F.min(F.when(F.col("rn") == 2, F.col("confirmed_by"))).alias("second"), F.min(F.when(F.col("rn") == 1, F.col("inflow_key"))).alias("by_amount"))
+    same = left.select("idempotency_key", "amount_kobo").join(two, "amount_kobo").where((F.col("first") < F.col("idempotency_key")) & (F.col("second").isNull() | (F.col("second") > F.col("idempotency_key")))).select("idempotency_key", "by_amount")
+    return named.join(same, "idempotency_key", "full").select("idempotency_key", F.coalesce("by_name", "by_amount").alias("inflow_key"))
+
+
 def returned_payout(debits: DataFrame, banked: DataFrame) -> DataFrame:
     """Debits that undo a confirmed inflow: one banked inflow of the amount, and one debit for it."""
     per = banked.groupBy(F.col("credited_kobo").alias("amount_kobo")).agg(F.count("*").alias("n"), F.min("inflow_key").alias("inflow_key")).where("n = 1").drop("n")

@@ -100,20 +100,28 @@ def allocate(promises: DataFrame, payouts: DataFrame) -> DataFrame:
     return promises.groupBy("source").cogroup(payouts.groupBy("source")).applyInPandas(fold, schema)
 
 
-def confirm(inflows: DataFrame, credits: DataFrame, named: DataFrame, candidates: DataFrame) -> DataFrame:
+def confirm(inflows: DataFrame, credits: DataFrame, named: DataFrame, candidates: DataFrame, allowance: int = 0) -> DataFrame:
     """Confirms inflows by bank credits, in the order of the credits' keys.
 
-    named (idempotency_key, inflow_key) and candidates (idempotency_key,
-    inflow_key, short_kobo) come from the set-based joins.  The fold runs per
-    connected component of these pairs, so unrelated credits are other tasks.
-    Rows (idempotency_key, inflow_key, how): named, by amount, or with a bank
-    charge; 'ambiguous' without inflow where several fit.
+    named (idempotency_key, inflow_key; all pairs, also of a credit that names
+    several) and candidates (idempotency_key, inflow_key, short_kobo) come from
+    the set-based joins.  The fold runs per connected component of these pairs,
+    so unrelated credits are other tasks.
+    Rows (idempotency_key, inflow_key, how): named, by amount, with a bank
+    charge, or 'amount_set' where as many unnamed credits as inflows share an
+    amount; without inflow 'ambiguous' where several fit, or 'amount_mismatch'
+    where the inflow named is not within ``allowance`` of the credit.
     """
     from .graph import connected
-
-    edges = named.select("idempotency_key", "inflow_key").unionByName(candidates.select("idempotency_key", "inflow_key")).distinct()
+    from .matching import pair_equal_amounts
+
+    free = credits.join(named.select("idempotency_key"), "idempotency_key", "left_anti"), inflows.join(named.select("inflow_key"), "inflow_key", "left_anti")
+    pairs = pair_equal_amounts(*free).select("idempotency_key", "inflow_key", F.lit(0).cast("long").alias("short_kobo"), F.lit("set").alias("kind"))
+    short = (F.col("expected_net_kobo") - F.col("amount_kobo")).alias("short_kobo")
+    names = named.join(credits.select("idempotency_key", "amount_kobo"), "idempotency_key").join(inflows.select("inflow_key", "expected_net_kobo"), "inflow_key").select("idempotency_key", "inflow_key", short, F.lit("named").alias("kind"))
+    all_ = candidates.select("idempotency_key", "inflow_key", F.col("short_kobo").cast("long"), F.lit("amount").alias("kind")).unionByName(names).unionByName(pairs)
+    edges = all_.select("idempotency_key", "inflow_key").distinct()
     comp = connected(edges.select(F.concat(F.lit("c:"), "idempotency_key").alias("a"), F.concat(F.lit("i:"), "inflow_key").alias("b")))
-    all_ = candidates.select("idempotency_key", "inflow_key", F.col("short_kobo"), F.lit(False).alias("named")).unionByName(named.select("idempotency_key", "inflow_key", F.lit(0).cast("long").alias("short_kobo"), F.lit(True).alias("named")))
     rows = all_.join(comp.select(F.col("id"), "component"), F.concat(F.lit("c:"), F.col("idempotency_key")) == F.col("id")).drop("id")
     rows = rows.join(credits.select("idempotency_key"), "idempotency_key", "left_semi").join(inflows.select("inflow_key"), "inflow_key", "left_semi")
 
@@ -121,16 +129,22 @@ def confirm(inflows: DataFrame, credits: DataFrame, named: DataFrame, candidates
         spent: set = set()
         out = []
         for credit, own in frame.groupby("idempotency_key", sort=True):
-            named = [x for x in own.loc[own["named"], "inflow_key"].unique() if x not in spent]
-            loose = own.loc[~own["named"] & ~own["inflow_key"].isin(spent)]
-            if len(named) == 1:
-                out.append((credit, named[0], "named"))
-                spent.add(named[0])
+            open_ = own.loc[~own["inflow_key"].isin(spent)].drop_duplicates(["inflow_key", "kind"])
+            names, loose, pair = (open_.loc[open_["kind"] == k] for k in ("named", "amount", "set"))
+            pick, how = None, ""
+            if len(names):
+                pick, how = (names.iloc[0], "named") if len(names) == 1 else (None, "")
             elif len(loose) == 1:
                 pick = loose.iloc[0]
-                out.append((credit, pick["inflow_key"], "amount" if pick["short_kobo"] == 0 else "bank_charge"))
+                how = "amount" if pick["short_kobo"] == 0 else "bank_charge"
+            elif len(pair):
+                pick, how = pair.iloc[0], "amount_set"
+            if how == "named" and not 0 <= pick["short_kobo"] <= allowance:
+                out.append((credit, None, "amount_mismatch"))
+            elif pick is not None:
+                out.append((credit, pick["inflow_key"], how))
                 spent.add(pick["inflow_key"])
-            elif len(loose):
+            elif len(open_):
                 out.append((credit, None, "ambiguous"))
         return pd.DataFrame(out, columns=["idempotency_key", "inflow_key", "how"])
 

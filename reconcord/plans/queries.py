@@ -517,7 +517,7 @@ def allocate(v):
 @query(None)
 def confirm(v):
     credits, inflows = _open(v)
-    return sequential.confirm(inflows, credits, matching.bank_match_named(credits, inflows), matching.bank_match_candidates(credits, inflows, ALLOWANCE))
+    return sequential.confirm(inflows, credits, matching.bank_names(credits, inflows), matching.bank_match_candidates(credits, inflows, ALLOWANCE), ALLOWANCE)
 
 
 @query(None)

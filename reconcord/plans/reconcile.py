@@ -35,7 +35,13 @@ def reconcile(promises: DataFrame, payout_rows: DataFrame, adjustments: DataFram
     taken = allocated.where("reason in ('PAYOUT_MATCH', 'PARTIAL_PAYOUT_MATCH', 'RESERVE_RELEASED')").select("payout_reference").distinct()
     inflows = ready.join(taken, "payout_reference", "left_semi").select(F.col("payout_reference").alias("inflow_key"), "source", "expected_net_kobo", "value_date")
     credits = bank_lines.where("direction = 'credit' and amount_kobo > 0")
-    confirmed = sequential.confirm(inflows, credits, matching.bank_match_named(credits, inflows), matching.bank_match_candidates(credits, inflows, allowance))
+    names = matching.bank_names(credits, inflows)
+    confirmed = sequential.confirm(inflows, credits, names, matching.bank_match_candidates(credits, inflows, allowance), allowance)
     bad = allocated.where("reason in ('PAYOUT_UNBALANCED', 'BATCH_TOO_LARGE', 'PHANTOM_CREDIT')").select(F.lit("payout").alias("subject"), F.col("payout_reference").alias("subject_id"), "reason")
-    loose = credits.join(confirmed.where("inflow_key is not null"), "idempotency_key", "left_anti").select(F.lit("bank_credit").alias("subject"), F.col("idempotency_key").alias("subject_id"), F.lit("UNIDENTIFIED_CREDIT").alias("reason"))
+    banked = confirmed.where("inflow_key is not null").join(credits.select("idempotency_key", F.col("amount_kobo").alias("credited_kobo")), "idempotency_key").select("inflow_key", F.col("idempotency_key").alias("confirmed_by"), "credited_kobo")
+    left = credits.join(banked.select(F.col("confirmed_by").alias("idempotency_key")), "idempotency_key", "left_anti")
+    wrong = confirmed.where("how = 'amount_mismatch'").select("idempotency_key", F.lit("AMOUNT_MISMATCH").alias("wrong"))
+    twice = matching.duplicates_here(left, names, banked).select("idempotency_key", F.lit("DUPLICATE_BANK_CREDIT").alias("twice"))
+    why = F.coalesce("wrong", "twice", F.lit("UNIDENTIFIED_CREDIT")).alias("reason")
+    loose = left.join(wrong, "idempotency_key", "left").join(twice, "idempotency_key", "left").select(F.lit("bank_credit").alias("subject"), F.col("idempotency_key").alias("subject_id"), why)
     return Run(allocated, confirmed, bad.unionByName(loose))

@@ -6,7 +6,7 @@ from itertools import combinations
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from reconcord.operators import reserves, sequential
+from reconcord.operators import matching, reserves, sequential
 
 
 def plain_subset(values, target):
@@ -80,3 +80,21 @@ def test_confirm_named_then_amount_then_ambiguous(spark):
     cand = spark.createDataFrame([("c1", "i1", 0), ("c2", "i2", 10), ("c3", "i3", 0), ("c3", "i4", 0)], "idempotency_key string, inflow_key string, short_kobo long")
     got = sorted((r["idempotency_key"], r["inflow_key"] or "", r["how"]) for r in sequential.confirm(inflows, credits, named, cand).collect())
     assert got == [("c1", "i1", "named"), ("c2", "i2", "bank_charge"), ("c3", "", "ambiguous")]
+
+
+def test_confirm_pairs_sets_and_refuses_names_that_do_not_fit(spark):
+    day = at(13)
+    inflows = spark.createDataFrame([(f"i{i}", k, day) for i, k in enumerate((700, 700, 300, 400, 900), 1)], "inflow_key string, expected_net_kobo long, value_date timestamp")
+    credits = spark.createDataFrame([(f"c{i}", k, day + timedelta(hours=i)) for i, k in enumerate((700, 700, 300, 5000), 1)], "idempotency_key string, amount_kobo long, value_date timestamp")
+    named = spark.createDataFrame([("c3", "i3"), ("c3", "i4"), ("c4", "i5")], "idempotency_key string, inflow_key string")
+    cand = spark.createDataFrame([(c, i, 0) for c in ("c1", "c2") for i in ("i1", "i2")] + [("c3", "i3", 0)], "idempotency_key string, inflow_key string, short_kobo long")
+    got = sorted((r["idempotency_key"], r["inflow_key"] or "", r["how"]) for r in sequential.confirm(inflows, credits, named, cand, 10).collect())
+    # c1 leaves c2 one inflow of the amount, as in the reference
+    assert got == [("c1", "i1", "amount_set"), ("c2", "i2", "amount"), ("c3", "", "ambiguous"), ("c4", "", "amount_mismatch")]
+
+
+def test_duplicates_of_credits_of_this_run(spark):
+    left = spark.createDataFrame([("b", 100), ("d", 100), ("f", 100), ("x", 7), ("a", 100)], "idempotency_key string, amount_kobo long")
+    names = spark.createDataFrame([("x", "i1")], "idempotency_key string, inflow_key string")
+    banked = spark.createDataFrame([("i1", "aa", 100), ("i2", "e", 100)], "inflow_key string, confirmed_by string, credited_kobo long")
+    assert sorted(map(tuple, matching.duplicates_here(left, names, banked).collect())) == [("b", "i1"), ("d", "i1"), ("x", "i1")]
