@@ -14,10 +14,12 @@ Pieces then get their places by rank among the pieces of their length.  Ranks
 come from salted groups with the groups' counts in front, so that a length with
 a third of all pieces is many tasks.
 
-Tokens are those of the given byte-level vocabulary; texts that hold the
-string of a special token are ordinary text.  The vocabulary's pattern looks
-ahead only where white space is longer than one character; texts without such
-white space are encoded without that part of it, which is faster.
+Tokens are those of the given byte-level vocabulary.  A string of ``special``
+inside a text is the one token it names, as the vocabulary's own file has it by
+default; ``special={}`` makes it ordinary text.  The ids come from the same
+vocabulary in the form of ranks, which is faster.  Its pattern looks ahead only
+where white space is longer than one character; texts without such white space
+are encoded without that part of it, which is faster again.
 
 A null text is an empty text: one piece of the end mark.  Repeated rows are
 packed each.  An empty table gives an empty result.
@@ -41,6 +43,8 @@ from .common import Stage
 
 CAPACITY = 1024
 END_ID = 2
+#: Fixed value: the added token of the vocabulary file.
+SPECIAL = {"<|endoftext|>": 50256}
 _GAP = re.compile(r"\s\s")
 #: The part of the vocabulary's pattern that only matters where white space is longer than one character.
 LOOK_AHEAD = r"\s+(?!\S)|"
@@ -49,25 +53,28 @@ LOOK_AHEAD = r"\s+(?!\S)|"
 class Encoder:
     """Ids of a byte-level vocabulary (a tiktoken file of base64 tokens and ranks) as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, special: dict[str, int] | None = None):
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        make = lambda p: tiktoken.Encoding("vocabulary", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.special = SPECIAL if special is None else special
+        make = lambda p: tiktoken.Encoding("vocabulary", pat_str=p, mergeable_ranks=ranks, special_tokens=self.special)
         self.full = make(pattern)
         self.quick = make(pattern.replace(LOOK_AHEAD, ""))
 
     def __call__(self, text: str) -> bytes:
-        out = array("I", (self.full if _GAP.search(text) else self.quick)(text))
+        encoding = self.full if _GAP.search(text) else self.quick
+        named = any(s in text for s in self.special)
+        out = array("I", encoding.encode(text, allowed_special="all") if named else encoding.encode_ordinary(text))
         if sys.byteorder == "big":
             out.byteswap()
         return out.tobytes()
 
 
-def _piece_rows(vocabulary: str, pattern: str, capacity: int, with_ids: bool):
+def _piece_rows(vocabulary: str, pattern: str, capacity: int, with_ids: bool, special: dict[str, int] | None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary, pattern)
+        encoder = Encoder(vocabulary, pattern, special)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             owner, number, start, length, crc, ids = [], [], [], [], [], []
@@ -96,7 +103,7 @@ def _piece_rows(vocabulary: str, pattern: str, capacity: int, with_ids: bool):
     return rows
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, special: dict[str, int] | None = None) -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32[, ids]) of all documents."""
     if vocabulary is None or pattern is None:
         import public_tokenizers
@@ -104,7 +111,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
         pattern = pattern or public_tokenizers.PATTERN
     schema = "id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_piece_rows(vocabulary, pattern, capacity, with_ids), schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_piece_rows(vocabulary, pattern, capacity, with_ids, special), schema)
 
 
 def fullest(counts: dict[int, int], room: int) -> list[int]:
@@ -166,7 +173,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = 4096) ->
     table = spark.createDataFrame(places(minimum_slack(counts, capacity)) or [], "length long, first long, last long, per long, base long, at long")
     salts = {k: -(-v // group_rows) for k, v in counts.items()}
     many = spark.createDataFrame(list(salts.items()), "length long, salts long")
-    salted = pieces.join(F.broadcast(many), "length").withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.col("salts")))
+    salted = pieces.join(F.broadcast(many), "length").withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("salts")))
     size = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = size.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece", "start", "ids_crc32")) - 1
@@ -180,8 +187,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = 4096) ->
     )
 
 
-def best_fit_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+def best_fit_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False, vocabulary: str | None = None, pattern: str | None = None, special: dict[str, int] | None = None) -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32[, ids], sequence_id, offset), one for each piece of each row of ``docs``."""
     stage = Stage(docs.sparkSession, "packing")
-    cut = stage.keep(pieces(docs, id_col, text_col, vocabulary, pattern, capacity, with_ids))
+    cut = stage.keep(pieces(docs, id_col, text_col, vocabulary, pattern, capacity, with_ids, special))
     return pack(cut, capacity).withColumnRenamed("id", id_col)
