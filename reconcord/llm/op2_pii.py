@@ -47,7 +47,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-_SPELLED = re.compile(r"(?i)(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}(?: at |\s?[\[(]at[\])]\s?)[A-Za-z0-9-]{1,63}(?:(?: dot |\s?[\[(]dot[\])]\s?|\.)[A-Za-z]{2,24}){1,3}")
+#: An address in words, found from its "at": the name before it and the host after it, however long.
+_AT = re.compile(r"(?i) at |\s?[\[(]at[\])]\s?")
+_NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._-")
+_SPELLED_HOST = re.compile(r"(?i)[A-Za-z0-9-]++(?:(?: dot |\s?[\[(]dot[\])]\s?|\.)[A-Za-z]++)+")
 _SIX = re.compile(r"(?i)(?<![0-9a-f:])[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}(?![0-9a-f:])")
 _LOOSE_CARD = re.compile(r"(?<![0-9])[0-9]{4}(?:[./_\x20-]{1,2}[0-9]{3,4}){3}(?![0-9])|(?<![0-9])[0-9]{13}(?![0-9])")
 _LOOSE_PHONE = re.compile(r"(?<![0-9+])(?:00[1-9][0-9]{0,2}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
@@ -103,8 +106,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def loose_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates of the looser patterns that overlap no base span."""
     out = []
-    if "at" in text and ("dot" in text or "at]" in text or "at)" in text):
-        out += [(m.start(), EMAIL, m.end()) for m in _SPELLED.finditer(text)]
+    at = 0  # names of one text share no character, so each is read once
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start > at and text[start - 1] in _NAME_CHARS:
+            start -= 1
+        if start < m.start() and m.start() >= at and (host := _SPELLED_HOST.match(text, m.end())):
+            out.append((start, EMAIL, host.end()))
+            at = host.end()
     if text.count(":") >= 7:
         out += [(m.start(), IP, m.end()) for m in _SIX.finditer(text)]
     if _DIGIT.search(text):
