@@ -44,7 +44,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.sql(f"select cast(col1 as bigint) conv_id, cast(col2 as bigint) turn, col3 role, col4 text from values (-7, 0, 'user', '{hard}'), (-7, 1, 'assistant', '{hard}')")
     df = chat_format(own.unionByName(more))
     turns = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
-    loss = masked_text(F.col("formatted"), F.col("loss_spans"), F.col("escaped"))
+    loss = masked_text(F.col("formatted"), F.col("loss_spans"))
     return df.select(
         F.col("conv").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
