@@ -172,7 +172,10 @@ def risk_rules(
     counts = counts.withColumn("key", key).withColumn("base_failed", base)
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg((F.max(label_col) > 0).cast("int").alias("good"))
     place = lambda s: F.aggregate(F.array(*[F.lit(c) for c in GRID]), F.lit(0), lambda n, c: n + (s <= c).cast("int"))  # noqa: E731  cutoffs that spare it
-    holdout = counts.where("not base_failed").join(own, "id").select("key", "good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), place(s).alias("place")) for r, s in stat.items()])).alias("x"))
+    # a labelled document is one trial, however many rows hold it: the row with the most words stands for it
+    single = counts.where("not base_failed").join(own, "id")
+    single = single.groupBy("id", "good").agg(F.max_by(F.struct("key", *COUNTS), F.struct(*COUNTS, "key")).alias("x")).select("good", "x.*")
+    holdout = single.select("key", "good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), place(s).alias("place")) for r, s in stat.items()])).alias("x"))
     grid = stage.keep(holdout.groupBy("key", "good", "x.rule", "x.place").agg(F.count("*").alias("n")))
     strata = max(1, grid.select("key").distinct().count())
     schema = "key string, " + ", ".join(f"cut_{r} double" for r in RULES)
