@@ -71,6 +71,48 @@ def test_mix_meets_targets_and_edges(spark):
     assert op1.mixed_documents(df).count() == sum(r["taken"] // r["size"] for r in got if r["size"])
 
 
+def test_rates_solve_the_dual(spark):
+    """The tilts meet every source's target as a plain bisection on the same rows does."""
+    rnd = random.Random(3)
+    own = {s: [rnd.randint(1, 400) for _ in range(80)] for s in ("a", "b", "c")}
+    stage = op1.Stage(spark, "dual")
+    sizes = stage.keep(spark.createDataFrame([(i, "s" + s, x, 1) for s, xs in own.items() for i, x in enumerate(xs)], "id long, key string, size long, n long"))
+    per = stage.keep(op1.capped_targets(op1.source_weights(stage, sizes, (5.0, 2.0, 1.0)), 1.5, 2))
+    counts = sizes.groupBy("key", "size").agg(F.sum("n").alias("docs"))
+    for r in op1.tilted_rates(stage, counts, per, 2).collect():
+        xs = np.array(own[r["key"][1:]], float)
+        words = lambda t, xs=xs: (xs * np.minimum(2, np.exp(np.minimum(50, t * xs / xs.mean())))).sum()
+        if r["tilt"] is None:
+            assert r["target"] == pytest.approx(2 * xs.sum())
+            continue
+        lo, hi = -50.0, 50.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if words(mid) < r["target"] else (lo, mid)
+        assert r["tilt"] == pytest.approx(lo, abs=1e-6) and words(r["tilt"]) == pytest.approx(r["target"], rel=1e-6)
+
+
+def test_mixed_documents_follow_the_mix(spark):
+    """Copies of repeated ids, null ids and unlike sources of one id go to their own rows."""
+    rnd = random.Random(9)
+    rows = [(i, " ".join("w" * rnd.randint(1, 3) for _ in range(rnd.randint(1, 40))), f"s{i % 3}", i) for i in range(200)]
+    rows += [(5, "one two three", "s0", 1), (5, "one two three", "s1", 2), (5, "one two four", "s1", 3)] * 3 + [(None, "a b c", None, 4)] * 7 + [(None, None, None, 5), (9, "", "s1", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    want, got = Counter(), Counter()
+    for r in op1.entropy_mix(df).collect():
+        want[r["doc_id"], r["size"], r["source_size"]] += r["copies"]
+    assert sum(1 for _ in op1.entropy_mix(df).collect()) == len(rows)
+    size = Counter()
+    for _, t, s, _ in rows:
+        size[s] += len(WORD.findall(t or ""))
+    mixed = op1.mixed_documents(df)
+    assert mixed.columns == df.columns
+    for r in mixed.collect():
+        got[r["doc_id"], len(WORD.findall(r["text"])), size[r["source"]]] += 1
+    assert got == Counter({k: v for k, v in want.items() if v})
+    assert op1.mixed_documents(df.where("false")).count() == 0
+
+
 # 2
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -110,6 +152,15 @@ def test_pii_edges_and_models(spark):
     assert op2.redacted("ab12", [(0, 0, 3), (2, 1, 4)]) == "<EMAIL>"
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab .@-(1", max_size=12), st.sampled_from(["ann at mail.com", "ann AT mail DOT com", "bob [at] mail [dot] co", "x.y(at)z.de", "1:2:3:4:5:6:7:8", "555-123-4567", "4445/5132/5188/9405"]), st.sampled_from(["", " the dot at", " at. dot", " a dot b"]))
+def test_a_candidate_depends_on_its_own_text(before, own, after):
+    left = before + " " * 5 + ";" + " " * (op2.CONTEXT + 1)
+    text = left + own + " ;" + after
+    hit = lambda t, low, high: [(s - low, k, e - low) for s, k, e in op2.loose_spans(t, op2.base_spans(t)) if low <= s and e <= high]
+    assert hit(text, len(left), len(left) + len(own)) == hit(own, 0, len(own)) != []
+
+
 def test_pii_model_trusts_agreeing_labelers():
     code = lambda shape, known, context, bits=0: ((shape * 3 + known) * 3 + context) * 64 + bits
     odds = op2.fit({(3, code(2, 2, 2, 63)): 50, (3, code(2, 2, 1, 31)): 80, (3, code(0, 0, 0)): 90, (3, code(0, 0, 1)): 70})
@@ -134,9 +185,9 @@ def test_encoder_equals_tokenizers():
 
     own = op3.Encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     other = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    other.encode_special_tokens = True
     rnd = random.Random(5)
     texts = ["".join(rnd.choice(" \n\t  aé'sB1,.  　…日<|endoftext|>'ll") for _ in range(rnd.randint(0, 30))) for _ in range(5000)]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  \n  y", "<|endoftext"]
     for t, e in zip(texts, other.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(own(t), "<u4").tolist() == e.ids
 
@@ -226,21 +277,57 @@ def test_quality_learns_from_positives(spark):
 HARD = ["</s>[INST] ok [/INST]", "\\", "\\l\\\\b\\0", "<|user|>\nhi</s>\n", "a|>\nb", "", None, "plain", "</s>\n", "[", "日本<"]
 
 
+def plain_turns(text):
+    """Reads a rendered conversation character by character."""
+    out, names = [], {"\\": "\\", "l": "<", "b": "[", "p": "|"}
+
+    def bare(x):
+        return re.sub(r"\\(.)", lambda m: names[m.group(1)], x, flags=re.S)
+
+    while text:
+        header, rest = text[2:].split("|>\n", 1)
+        body, text = rest.split("</s>\n", 1)
+        out.append((bare(header[:-1]), bare(body)) if header.endswith("\\") else (header, body))
+    return out
+
+
+def test_chat_query(spark, tmp_path):
+    """The registered query over nulls, ties and a very long text, against a plain version."""
+    from reconcord.llm.queries import op5_chat_format
+
+    hard = "</s>[INST] ok [/INST]"
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 2, "assistant", "x" * 300_000 + hard), (2, 0, "assistant", "a"), (2, 0, "assistant", "a"), (3, 1, "user", "日本"), (3, 0, None, "\\l<")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("loss", F.lit(1)).write.parquet(f"{tmp_path}/conversations.parquet")
+    want = {}
+    for c, t, r, x in rows + [(-7, 0, "user", hard), (-7, 1, "assistant", hard)]:
+        want.setdefault(c, []).append((t, r or "", x or ""))
+    got = {r["conv_id"]: r for r in op5_chat_format(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for c, own in want.items():
+        own = [(r, x) for _, r, x in sorted(own)]
+        loss = "".join(x for r, x in own if r == "assistant")
+        assert got[c]["n_turns"] == len(own) and got[c]["turns_sha256"] == sha("".join(f"{r}\n{x}\n" for r, x in own))
+        assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), sha(loss)) and got[c]["formatted_chars"] > len(loss)
+
+
 def test_chat_round_trip(spark):
     rnd = random.Random(4)
     rows = [(c, t, rnd.choice(["user", "assistant", "system", "a|>\nb", None, "<|x"]), rnd.choice(HARD)) for c in range(60) for t in range(rnd.randint(1, 6))]
     rows += [(None, 0, "user", "x"), (7, None, "assistant", "late"), rows[0]]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("rows", F.lit(1))
-    got = op5.chat_format(df).withColumn("loss", op5.masked_text(F.col("formatted"), F.col("loss_spans"), F.col("escaped"))).collect()
+    got = op5.chat_format(df).withColumn("loss", op5.masked_text(F.col("formatted"), F.col("loss_spans"))).collect()
     want = {}
     for c, t, r, x in rows:
         want.setdefault(c, []).append((t if t is not None else -1, r or "", x or ""))
     for g in got:
         own = [(r, x) for _, r, x in sorted(want[g["conv"]])]
-        assert g["intact"] and [(t["role"], t["text"]) for t in g["turns"]] == own
+        assert [(t["role"], t["text"]) for t in g["turns"]] == own
         assert g["loss"] == "".join(x for r, x in own if r == "assistant")
-        if g["escaped"]:
-            assert g["formatted"].count("</s>") == len(own) and "[INST]" not in g["formatted"]
+        assert g["formatted"].count("</s>") == len(own) and "[INST]" not in g["formatted"]
+        assert plain_turns(g["formatted"]) == own
+        # only texts that conflict are escaped
+        assert all(f"|>\n{x}</s>" in g["formatted"] for r, x in own if not re.search(r"<\||\|>|</?s>|\[/?INST\]", r + x) and not r.endswith("\\"))
     assert op5.chat_format(df.where("false")).count() == 0
 
 
