@@ -12,9 +12,10 @@ three, four and five bytes, hashed.
 
 Training sees at most ``most`` labelled documents (those with the smallest id
 hashes; the bound is for fitting alone), none of them held out.  One pass
-counts features by label and keeps the ``slots`` that tell the labels apart
-best; weights start from these counts and follow the gradient of the
-document likelihood, added up over tasks in each step.  Every text is then
+counts features by label, Spark ranks them, and the ``slots`` that tell the
+labels apart best are kept; weights start from these counts and follow the
+gradient of the document likelihood, added up in each step over ``FIT_TASKS``
+tasks.  Every text is then
 scored whole.
 
 A null or empty text has one empty sentence and gets sigmoid(b).  Without
@@ -28,18 +29,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stage
 from .shingles import _BASE, _BYTE, _INVERSE, _powers, buffers, mix, slices
-from .text_features import held_out, labelled, summed
+from .text_features import added, held_out, labelled
 
 BITS = 18
 SLOTS = 2048
 MOST = 20_000
 STEPS = 40
 RATE = 0.15
+#: Tasks of a training step; it reads the bags of at most ``most`` documents.
+FIT_TASKS = 8
 _PREFIXES = (3, 4, 5)
 
 
@@ -80,31 +83,35 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def _counts(batch: pa.RecordBatch) -> np.ndarray:
-    """Documents with each feature, by label; at the end, the documents by label."""
-    out = np.zeros((2, (1 << BITS) + 1))
-    label = np.asarray(batch.column(1)) > 0
-    data, offsets = buffers(batch.column(0))
-    for i, j in slices(offsets):
-        feature, sentence, owner, _ = sentence_features(data, offsets[i : j + 1])
-        both = np.unique((owner[sentence] << BITS) | feature)
-        y = label[i:j][both >> BITS].astype(np.int64)
-        out += np.bincount(y * (out.shape[1]) + (both & ((1 << BITS) - 1)), minlength=out.size).reshape(out.shape)
-        out[0, -1] += (~label[i:j]).sum()
-        out[1, -1] += label[i:j].sum()
-    return out.ravel()
-
-
-def choose(counts: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """The features that tell the labels apart best, and their log odds."""
-    c = counts.reshape(2, -1)
-    n0, n1 = c[0, -1], c[1, -1]
-    a, b = c[1, :-1], c[0, :-1]
-    odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
-    z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n1 - a + 0.5) + 1 / (n0 - b + 0.5))
-    order = np.argsort(-np.where((a + b) >= 3, np.abs(z), 0.0), kind="stable")[:slots]
-    order = np.sort(order[np.abs(z[order]) >= 2.5])
-    return order, odds[order]
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, clean, toxic): a task's documents with each feature, by label, without zeros; feature -1 stands for all documents."""
+    out = np.zeros((2, 1 << BITS), np.int64)
+    all_ = np.zeros(2, np.int64)
+    for batch in batches:
+        label = (np.asarray(batch.column(1)) > 0).astype(np.int64)
+        data, offsets = buffers(batch.column(0))
+        for i, j in slices(offsets):
+            feature, sentence, owner, _ = sentence_features(data, offsets[i : j + 1])
+            both = np.unique((owner[sentence] << BITS) | feature)
+            np.add.at(out, (label[i:j][both >> BITS], both & ((1 << BITS) - 1)), 1)
+            all_ += np.bincount(label[i:j], minlength=2)
+    if all_.any():
+        seen = np.flatnonzero(out.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1), pa.int32()), *(pa.array(np.append(out[y, seen], all_[y])) for y in (0, 1))], names=["feature", "clean", "toxic"])
+
+
+def log_odds(a: Column, b: Column, n1: int, n0: int) -> tuple[Column, Column]:
+    """Log odds of a feature in ``a`` of n1 toxic and ``b`` of n0 clean documents, and its z value."""
+    odds = F.log((a + 0.5) / (n1 - a + 0.5)) - F.log((b + 0.5) / (n0 - b + 0.5))
+    return odds, odds / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n1 - a + 0.5) + 1 / (n0 - b + 0.5))
+
+
+def choose(counts: DataFrame, n0: int, n1: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features that tell the labels apart best, and their log odds; only these ``slots`` rows reach the driver."""
+    odds, z = log_odds(F.col("toxic"), F.col("clean"), n1, n0)
+    scored = counts.where("feature >= 0 and clean + toxic >= 3").select("feature", odds.alias("odds"), F.abs(z).alias("z")).where("z >= 2.5")
+    rows = sorted((r["feature"], r["odds"]) for r in scored.orderBy(F.desc("z"), "feature").limit(slots).select("feature", "odds").collect())
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])
 
 
 def slot_table(chosen: np.ndarray) -> np.ndarray:
@@ -163,23 +170,24 @@ def _step(w: np.ndarray):
 
 
 def train(stage: Stage, texts: DataFrame, slots: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """(chosen features, weights with b in front) from rows (text, label)."""
+    """(chosen features, weights with b in front) from rows (text, label), of which there is a bounded number."""
     texts = stage.keep(texts)
-    size = 2 * ((1 << BITS) + 1)
-    counts = summed(texts, _counts, size)
-    n0, n1 = counts.reshape(2, -1)[:, -1]
+    counts = stage.keep(texts.mapInArrow(_count_rows, "feature int, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
+    n0, n1 = next(((r["clean"], r["toxic"]) for r in counts.where("feature = -1").collect()), (0, 0))
     if not n0 or not n1:
+        stage.drop(texts, counts)
         return np.zeros(0, np.int64), np.array([-5.0])
-    chosen, odds = choose(counts, slots)
+    chosen, odds = choose(counts, n0, n1, slots)
     w = np.concatenate([[-6.0], np.clip(odds, -4, 4)])
-    bags = stage.keep(texts.mapInArrow(_bag_rows(slot_table(chosen)), "label double, sentences int, sentence array<int>, slot array<int>"))
+    # the bags are small and few: a set number of tasks, whatever the partitions of the texts
+    bags = stage.keep(texts.mapInArrow(_bag_rows(slot_table(chosen)), "label double, sentences int, sentence array<int>, slot array<int>").repartition(FIT_TASKS))
     m, v = np.zeros(len(w)), np.zeros(len(w))
     for t in range(1, steps + 1):
-        out = summed(bags, _step(w), len(w) + 1)
+        out = added(bags, _step(w), len(w) + 1)
         g = (out[:-1] + np.concatenate([[0.0], 0.5 * w[1:]])) / max(1.0, out[-1])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    stage.drop(texts, bags)
+    stage.drop(texts, counts, bags)
     return chosen, w
 
 

@@ -49,3 +49,16 @@ def summed(df: DataFrame, step, n: int) -> np.ndarray:
     out = np.zeros(n)
     out[rows["i"].to_numpy(np.int64)] = rows["v"].to_numpy()
     return out
+
+
+def added(df: DataFrame, step, n: int) -> np.ndarray:
+    """As ``summed``, for a frame of a few bounded partitions: each sends its ``n`` numbers as one row, without a shuffle."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n)
+        for batch in batches:
+            if batch.num_rows:
+                total += step(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+    return np.sum([np.zeros(n), *(np.frombuffer(r["v"]) for r in df.mapInArrow(rows, "v binary").collect())], 0)
