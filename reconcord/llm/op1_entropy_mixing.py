@@ -22,7 +22,8 @@ Targets: sources in order of code points, null last, have the weights
 until none is above.
 
 Null or blank texts have size 0, rate 0 and are never taken.  A null source is
-a source of its own.  Repeated rows are rounded one by one.  If all sources
+a source of its own.  Rows of one id, source and size are rounded together and
+share their copies evenly, those with the smaller texts taking what is over.  If all sources
 stop at their limit, every document is taken ``limit`` times.  An empty table
 gives an empty result.  Results depend on the rows alone, so reruns agree.
 """
@@ -33,12 +34,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, Stage
 
 STRATUM = 512
+#: Equal rows that are written out by one step.
+RUN = 4096
 
 
 def source_weights(stage: Stage, sizes: DataFrame, weights: tuple[float, ...]) -> DataFrame:
@@ -47,11 +50,11 @@ def source_weights(stage: Stage, sizes: DataFrame, weights: tuple[float, ...]) -
     Ranks come from a range partitioning and the row counts of its parts, so no
     task sees all sources.
     """
-    per = sizes.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    per = sizes.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
     part = stage.keep(per.repartitionByRange("key").withColumn("part", F.spark_partition_id()))
     counts = part.groupBy("part").agg(F.count("*").alias("rows"))
-    before = counts.alias("a").join(counts.withColumnRenamed("part", "earlier").withColumnRenamed("rows", "n"), F.col("earlier") < F.col("part"), "left")
-    before = before.groupBy("part").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("before"))
+    # one row for each partition, so this window is small whatever the input
+    before = counts.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"))
     ranked = part.join(before, "part").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("key")) - 1)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     return stage.keep(ranked.select("key", "source_size", "n_docs", weight.alias("weight")))
@@ -116,45 +119,82 @@ def tilted_rates(stage: Stage, counts: DataFrame, per: DataFrame, limit: float,
 def _round(limit: int):
     def rows(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["size", "id"], ascending=[False, True], kind="stable")
-        size, rate = frame["size"].to_numpy(np.float64), frame["rate"].to_numpy(np.float64)
-        low, copies, owed = np.floor(rate), np.zeros(len(frame), np.int64), 0.0
+        size, n = frame["size"].to_numpy(np.float64), frame["n"].to_numpy(np.int64)
+        rate = frame["rate"].to_numpy(np.float64)
+        low = np.floor(rate)
+        top = np.minimum(low + (rate > low), limit)
+        copies, owed = np.zeros(len(frame), np.int64), 0.0
         for i in range(len(frame)):
             if size[i] > 0:
-                owed += size[i] * rate[i]
-                copies[i] = min(low[i] + (rate[i] > low[i]), limit, max(low[i], np.rint(owed / size[i])))
+                owed += n[i] * size[i] * rate[i]
+                copies[i] = min(n[i] * top[i], max(n[i] * low[i], np.rint(owed / size[i])))
                 owed -= size[i] * copies[i]
-        return frame.assign(copies=copies)[["id", "size", "key", "copies"]]
+        return frame.assign(copies=copies)[["id", "size", "key", "n", "copies"]]
 
     return rows
 
 
-def entropy_mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, limit: int = 2, stratum: int = STRATUM,
-) -> DataFrame:
-    """Rows (id, size, source_size, target, copies, taken), one for each row of ``docs``; size and taken count words."""
-    stage = Stage(docs.sparkSession, "entropy-mix")
-    key = F.when(F.col(source_col).isNull(), "t").otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
-    sizes = stage.keep(
-        docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    )
+def _key(source_col: str) -> Column:
+    return F.when(F.col(source_col).isNull(), "t").otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
+
+
+def _size(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _copies(stage: Stage, docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, limit: int, stratum: int) -> DataFrame:
+    """Rows (id, key, size, n, copies, source_size, target): the n rows of an id, source and size and the copies taken of them all."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), _key(source_col).alias("key"), _size(text_col).alias("size"))
+    sizes = stage.keep(rows.groupBy("id", "key", "size").agg(F.count("*").alias("n")))
     per = stage.keep(capped_targets(source_weights(stage, sizes, weights), share, limit))
-    counts = stage.keep(sizes.where("size > 0").groupBy("key", "size").agg(F.count("*").alias("docs")))
+    counts = stage.keep(sizes.where("size > 0").groupBy("key", "size").agg(F.sum("n").alias("docs")))
     tilts = tilted_rates(stage, counts, per, limit)
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("tilt").isNull(), float(limit)).otherwise(F.least(F.lit(float(limit)), F.exp(F.least(F.lit(50.0), F.col("tilt") * F.col("size") / F.col("mean")))))
-    salt = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / stratum)))
+    # rows with a null id are dealt by their size
+    salt = F.pmod(F.when(F.col("id").isNull(), F.xxhash64("size")).otherwise(F.xxhash64("id")), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / stratum)))
     taken = (
-        sizes.join(tilts, "key").select("id", "size", "key", rate.alias("rate"), salt.alias("salt"))
-        .groupBy("key", "salt").applyInPandas(_round(limit), "id long, size long, key string, copies long")
+        sizes.join(tilts, "key").select("id", "size", "key", "n", rate.alias("rate"), salt.alias("salt"))
+        .groupBy("key", "salt").applyInPandas(_round(limit), "id long, size long, key string, n long, copies long")
     )
-    return taken.join(per.select("key", "source_size", "target"), "key").select(
-        F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
-    )
+    return taken.join(per.select("key", "source_size", "target"), "key")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Each row of ``docs``, all columns, as often as the mix takes it."""
-    taken = entropy_mix(docs, id_col, **options).groupBy(F.col(id_col).alias("mix_id")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("mix_copies"))
-    numbered = docs.withColumn("mix_row", F.row_number().over(Window.partitionBy(id_col).orderBy(id_col)))
-    both = numbered.join(taken, F.col(id_col).cast("long").eqNullSafe(F.col("mix_id")))
-    return both.withColumn("mix_copy", F.explode(F.expr("array_repeat(0, cast(element_at(mix_copies, mix_row) as int))"))).select(*docs.columns)
+def _shared(n: str, copies: str, i: Column) -> Column:
+    """Copies of the i-th of ``n`` equal rows: the first ones take what an even split leaves over."""
+    return F.expr(f"{copies} div {n}") + (i < F.expr(f"{copies} % {n}")).cast("long")
+
+
+def entropy_mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, limit: int = 2, stratum: int = STRATUM,
+) -> DataFrame:
+    """Rows (id, size, source_size, target, copies, taken), one for each row of ``docs``; size and taken count words."""
+    found = _copies(Stage(docs.sparkSession, "entropy-mix"), docs, id_col, text_col, source_col, weights, share, limit, stratum)
+    # rows that share an id, source and size are written out again, in runs
+    run = found.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {RUN}"))))
+    row = run.withColumn("i", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("n")) - 1)))
+    row = row.withColumn("copies", _shared("n", "copies", F.col("i")))
+    return row.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, limit: int = 2, stratum: int = STRATUM,
+) -> DataFrame:
+    """Each row of ``docs``, all columns, as often as the mix takes it.
+
+    Counts are joined to the texts by id.  Only rows that share an id with
+    others are numbered, by text, among those of their id, source and size.
+    """
+    stage = Stage(docs.sparkSession, "mixed")
+    found = stage.keep(_copies(stage, docs, id_col, text_col, source_col, weights, share, limit, stratum).select(F.col("id").alias("mix_id"), F.col("key").alias("mix_key"), F.col("size").alias("mix_size"), F.col("n").alias("mix_n"), F.col("copies").alias("mix_copies")))
+    often = stage.keep(found.groupBy("mix_id").agg(F.sum("mix_n").alias("rows")).where("rows > 1 or mix_id is null").select("mix_id"))
+    own = F.col(id_col).cast("long")
+    times = lambda df, c: df.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(0), c.cast("int")))).select(*docs.columns)
+    out = times(docs.join(found.where("mix_copies > 0").join(often, "mix_id", "left_anti"), own == F.col("mix_id")), F.col("mix_copies"))
+    if often.head(1):
+        rows = docs.join(often.withColumnRenamed("mix_id", "mix_often"), own.eqNullSafe(F.col("mix_often")), "left_semi").withColumn("mix_own_key", _key(source_col)).withColumn("mix_own_size", _size(text_col))
+        rows = rows.withColumn("mix_row", F.row_number().over(Window.partitionBy(own, "mix_own_key", "mix_own_size").orderBy(text_col)) - 1)
+        both = rows.join(found.where("mix_copies > 0"), own.eqNullSafe(F.col("mix_id")) & (F.col("mix_own_key") == F.col("mix_key")) & (F.col("mix_own_size") == F.col("mix_size")))
+        out = out.unionByName(times(both, _shared("mix_n", "mix_copies", F.col("mix_row"))))
+    return out
