@@ -48,7 +48,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
 #: An address in words, found from its "at": the name before it and the host after it, however long.
-_AT = re.compile(r"(?i) at |\s?[\[(]at[\])]\s?")
+_AT = re.compile(r"[aA][tT][\x20\])]")
 _NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._-")
 _SPELLED_HOST = re.compile(r"(?i)[A-Za-z0-9-]++(?:(?: dot |\s?[\[(]dot[\])]\s?|\.)[A-Za-z]++)+")
 _SIX = re.compile(r"(?i)(?<![0-9a-f:])[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}(?![0-9a-f:])")
@@ -108,11 +108,17 @@ def loose_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     out = []
     at = 0  # names of one text share no character, so each is read once
     for m in _AT.finditer(text):
-        start = m.start()
-        while start > at and text[start - 1] in _NAME_CHARS:
-            start -= 1
-        if start < m.start() and m.start() >= at and (host := _SPELLED_HOST.match(text, m.end())):
-            out.append((start, EMAIL, host.end()))
+        start, stop = m.start() - 1, m.end()
+        if start < 0 or text[start] not in (" " if text[stop - 1] == " " else "[("):
+            continue
+        if text[start] != " ":  # bracketed: white space may stand around it
+            start -= start > 0 and text[start - 1].isspace()
+            stop += text[stop : stop + 1].isspace()
+        name = start
+        while name > at and text[name - 1] in _NAME_CHARS:
+            name -= 1
+        if name < start and (host := _SPELLED_HOST.match(text, stop)):
+            out.append((name, EMAIL, host.end()))
             at = host.end()
     if text.count(":") >= 7:
         out += [(m.start(), IP, m.end()) for m in _SIX.finditer(text)]
