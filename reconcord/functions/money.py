@@ -21,3 +21,8 @@ def apply_bp(amount: Column, bp: Column) -> Column:
 def format_naira(kobo: Column) -> Column:
     """1234567 as 12,345.67."""
     return F.format_number((kobo.cast("decimal(20,0)") / 100).cast("decimal(20,2)"), 2)
+
+
+def whole_kobo(amount: Column) -> Column:
+    """A connector's number as minor units; null where it is no whole number or beyond 2^53, where a float may have lost units."""
+    return F.when((amount == F.floor(amount)) & (F.abs(amount) <= 2**53 - 1), amount.cast("long"))

@@ -81,3 +81,9 @@ def seal(plain: Column, key: Column, aad: Column) -> Column:
 
 def unseal(sealed: Column, key: Column, aad: Column) -> Column:
     return F.aes_decrypt(sealed, key, F.lit("GCM"), F.lit("DEFAULT"), aad)
+
+
+def render(value: Column) -> Column:
+    """A value for a report: text as it is, at most 64 characters and then an ellipsis; null is 'null'."""
+    text = F.coalesce(value.cast("string"), F.lit("null"))
+    return F.when(F.length(text) > 64, F.concat(F.left(text, F.lit(64)), F.lit("\u2026"))).otherwise(text)

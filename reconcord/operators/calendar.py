@@ -6,10 +6,28 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def latest_edition(editions: DataFrame) -> DataFrame:
-    """Holidays of the highest revision of each (calendar_id, covers_from), of equal ones the later revised_at."""
-    w = Window.partitionBy("calendar_id", "covers_from").orderBy(F.desc("revision"), F.desc("revised_at"))
-    return editions.withColumn("_r", F.rank().over(w)).where("_r = 1").drop("_r")
+def edition_days(editions: DataFrame, days: DataFrame) -> DataFrame:
+    """For each day (day) the edition in force: of those that cover it the highest revision, then the highest id; null where none does.
+
+    editions: calendar_id, revision, covers_from, covers_to.  Editions are
+    spread over the days that they cover, so the join is on equal days.
+    """
+    cover = editions.select("calendar_id", "revision", F.explode(F.sequence("covers_from", "covers_to")).alias("day"))
+    best = cover.groupBy("day").agg(F.max(F.struct("revision", "calendar_id")).alias("e"))
+    return days.join(best, "day", "left").select(*days.columns, F.col("e.calendar_id").alias("calendar_id"), F.col("e.revision").alias("revision"))
+
+
+def deadline_provenance(deadlines: DataFrame, covered: DataFrame) -> DataFrame:
+    """Adds editions (sorted ``id@revision``) and fully_covered to rows with local_day and due_day.
+
+    ``covered`` is a result of ``edition_days`` (a few thousand days).  The days
+    of each distinct span are looked up once, however many rows have it.
+    """
+    spans = deadlines.select("local_day", "due_day").distinct()
+    name = F.when(F.col("revision").isNotNull(), F.concat_ws("@", "calendar_id", "revision"))
+    each = spans.withColumn("day", F.explode(F.sequence("local_day", "due_day"))).join(F.broadcast(covered.select("day", name.alias("edition"))), "day", "left")
+    per = each.groupBy("local_day", "due_day").agg(F.array_sort(F.collect_set("edition")).alias("editions"), (F.count("edition") == F.count("*")).alias("fully_covered"))
+    return deadlines.join(per, ["local_day", "due_day"])
 
 
 def calendar_dim(spark: SparkSession, first: str, last: str, holidays: list[str], weekend: tuple[int, ...] = (0, 6)) -> DataFrame:

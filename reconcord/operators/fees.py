@@ -8,17 +8,28 @@ from pyspark.sql import functions as F
 from ..functions.money import apply_bp
 
 
-def contract_asof(payments: DataFrame, contracts: DataFrame, key: str, at: str) -> DataFrame:
+#: Contracts that are sent to every task, about 1 MB; more are joined by shuffles.
+FEW = 10_000
+_TERMS = ("contract_id", "percent_bp", "flat_kobo", "waived_below_kobo", "cap_kobo", "vat_bp")
+
+
+def contract_asof(payments: DataFrame, contracts: DataFrame, key: str, at: str, few: int = FEW) -> DataFrame:
     """``payments`` with the contract in force at ``at``; a contract for the channel goes before one for all.
 
-    Validity is half-open.  A payment without channel asks for 'unknown'.  The
-    join is on source, so the interval test runs on one source's contracts only.
+    Validity is half-open.  A payment without channel asks for 'unknown'.  Up to
+    ``few`` contracts are gathered by source and looked up in the payment's row,
+    so payments are not shuffled; beyond that both sides are joined by source.
     """
-    c = contracts.withColumnRenamed("channel", "c_channel").withColumnRenamed("source", "c_source")
     channel = F.coalesce("channel", F.lit("unknown"))
+    if contracts.limit(few + 1).count() <= few:
+        listed = contracts.groupBy("source").agg(F.sort_array(F.collect_list(F.struct((F.col("channel") == "*").alias("any"), *_TERMS, "channel", "effective_from", "effective_to"))).alias("_contracts"))
+        in_force = lambda c: ((c["channel"] == channel) | (c["channel"] == "*")) & (c["effective_from"] <= F.col(at)) & (c["effective_to"].isNull() | (F.col(at) < c["effective_to"]))
+        both = payments.join(F.broadcast(listed), "source", "left").withColumn("_c", F.get(F.filter("_contracts", in_force), F.lit(0)))
+        return both.select(*payments.columns, F.when(F.col("_c").isNotNull(), F.struct(*[F.col(f"_c.{t}").alias(t) for t in _TERMS])).alias("contract"))
+    c = contracts.withColumnRenamed("channel", "c_channel").withColumnRenamed("source", "c_source")
     on = (F.col("source") == F.col("c_source")) & ((F.col("c_channel") == channel) | (F.col("c_channel") == "*")) & (F.col("effective_from") <= F.col(at)) & (F.col("effective_to").isNull() | (F.col(at) < F.col("effective_to")))
     best = F.struct((F.col("c_channel") == "*").alias("any"), "contract_id")
-    found = payments.select(key, "source", "channel", at).join(c, on).groupBy(key).agg(F.min_by(F.struct("contract_id", "percent_bp", "flat_kobo", "waived_below_kobo", "cap_kobo", "vat_bp"), best).alias("contract"))
+    found = payments.select(key, "source", "channel", at).join(c, on).groupBy(key).agg(F.min_by(F.struct(*_TERMS), best).alias("contract"))
     return payments.join(found, key, "left")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,10 +15,21 @@ def _kept(df: DataFrame, root: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only in local mode may it be unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="reconcord-")
+    return found.rstrip("/")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(id, component) from edges (a, b): the smallest id reachable.  Rounds are tables in spark.checkpoint.dir (a temporary folder where it is unset)."""
     spark = edges.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="reconcord-")).rstrip("/") + "/components"
+    root = _shared(spark) + "/components"
     both = _kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), root)
     labels = _kept(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), root)
     while True:

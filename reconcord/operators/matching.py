@@ -43,8 +43,8 @@ def line_conclusion(matched: DataFrame) -> DataFrame:
 
 
 def unallocated_payouts(payouts: DataFrame, inflows: DataFrame) -> DataFrame:
-    """Payouts without an inflow of their key and source."""
-    return payouts.join(inflows.select(F.col("inflow_key").alias("payout_reference"), "source"), ["payout_reference", "source"], "left_anti")
+    """Payouts without an inflow of their key."""
+    return payouts.join(inflows.select(F.col("inflow_key").alias("payout_reference")), "payout_reference", "left_anti")
 
 
 def unallocated_lines(lines: DataFrame, allocated_keys: DataFrame, matched_keys: DataFrame) -> DataFrame:

@@ -70,9 +70,9 @@ def anomaly_history(events: DataFrame) -> DataFrame:
 
 
 def clear_conformed(view: DataFrame, seen: DataFrame) -> DataFrame:
-    """Open anomalies of the sources read (seen: source, anomaly_key or null) that were not seen again; acknowledged ones stay."""
+    """Open anomalies of the sources read (seen: source, anomaly_key or null) that were not seen again, acknowledged ones too: the format conforms now."""
     read = seen.select("source").distinct()
-    return view.where("to_state = 'raised'").join(read, "source", "left_semi").join(seen.where("anomaly_key is not null").select("anomaly_key"), "anomaly_key", "left_anti")
+    return view.where("to_state <> 'resolved'").join(read, "source", "left_semi").join(seen.where("anomaly_key is not null").select("anomaly_key"), "anomaly_key", "left_anti")
 
 
 def summary(matches: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -124,11 +124,21 @@ def health_alerts(depth: DataFrame, queue: DataFrame, as_of: Column, backlog: in
     return x.join(q, "k").select(F.explode(F.array_compact(alerts)).alias("a")).select("a.*")
 
 
+#: Actions that always need a second person.
+LISTED_ACTIONS = ("write_off", "reclassify", "clear_phantom", "reallocate")
+
+
 def approval_failure(resolutions: DataFrame, large_kobo: int = 5_000_000) -> DataFrame:
-    """Adds ``failure``: what forbids a decision, or null."""
-    needs = F.col("books_entries") | (F.abs("amount_kobo") >= large_kobo)
+    """Adds ``failure``: what forbids a decision, or null.
+
+    An approval is whole or absent, by another person, and needed for bookings,
+    listed actions and large amounts; amounts are not negative.
+    """
+    approved = F.col("approver").isNotNull()
+    listed = F.col("action").isin(*LISTED_ACTIONS) if "action" in resolutions.columns else F.lit(False)
+    needs = F.col("books_entries") | listed | F.coalesce(F.abs("amount_kobo") >= large_kobo, F.lit(False))
     failure = (
-        F.when(F.col("amount_kobo") < 0, "negative amount").when(F.col("approver").isNotNull() & F.col("approved_at").isNull(), "half approval")
-        .when(F.col("approver") == F.col("resolver"), "self approval").when(needs & F.col("approver").isNull(), "approval needed")
+        F.when(approved != F.col("approved_at").isNotNull(), "half approval").when(F.col("approver") == F.col("resolver"), "self approval")
+        .when(needs & ~approved, "approval needed").when(F.col("amount_kobo") < 0, "negative amount")
     )
     return resolutions.withColumn("failure", failure)

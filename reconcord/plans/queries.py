@@ -205,11 +205,14 @@ _SURE = "case when reason in ('FEE_VARIANCE', 'PARTIAL_REVERSAL', 'PARTIAL_CHARG
 
 
 def _concluded(v):
+    """The fee is predicted for the line's channel, else the promise's, at the instant of the promise."""
     found = matching.reference_match(v["settlement_lines"], v["promises"]).where("transaction_id is not null")
-    quote = fees.fee_quote(fees.contract_asof(v["promises"], v["contracts"], "transaction_id", "occurred_at"))
-    own = quote.select("transaction_id", F.col("gross_kobo").alias("promise_gross"), "state", F.col("total_kobo").alias("predicted"))
-    lines = v["settlement_lines"].select("idempotency_key", "gross_kobo", "fee_kobo", "status")
-    return matching.line_conclusion(found.join(lines, "idempotency_key").join(own, "transaction_id"))
+    lines = v["settlement_lines"].select("idempotency_key", "gross_kobo", "fee_kobo", "status", F.col("channel").alias("line_channel"))
+    own = v["promises"].select("transaction_id", "source", "channel", "occurred_at", F.col("gross_kobo").alias("promise_gross"), "state")
+    both = found.join(lines, "idempotency_key").join(own, "transaction_id").withColumn("channel", F.coalesce("line_channel", "channel"))
+    priced = fees.contract_asof(both.withColumnRenamed("fee_kobo", "line_fee"), v["contracts"], "idempotency_key", "occurred_at")
+    quoted = fees.fee_quote(priced, "promise_gross").withColumn("fee_kobo", F.col("line_fee")).withColumnRenamed("total_kobo", "predicted")
+    return matching.line_conclusion(quoted)
 
 
 @query(f"select idempotency_key, reason, {_SURE} as confidence_pct from {_CONCLUDE} x", "promises", "settlement_lines", "contracts")

@@ -48,10 +48,12 @@ def scan_bank_statement(documents: DataFrame, bank: str) -> DataFrame:
     Reasons in order of test: no id, unknown type, no amount, negative amount,
     no date, an id that came before in the file.
     """
-    x = rows(documents).select(
-        "evidence_id", "position", "lineage", field("id").alias("id"), F.lower(field("type")).alias("direction"), naira_to_kobo(field("amount")).alias("amount_kobo"),
-        naira_to_kobo(field("balance")).alias("balance_after_kobo"), field("date").alias("date_text"), iso_date(field("date")).alias("value_date"),
-        F.coalesce(field("narration"), F.lit("")).alias("narration"), field("reference").alias("stated_reference"),
+    # each row is parsed once, every field as text
+    r = rows(documents).withColumn("r", F.from_json("row", ", ".join(f"{c} string" for c in ("id", "type", "amount", "balance", "date", "narration", "reference"))))
+    x = r.select(
+        "evidence_id", "position", "lineage", "r.id", F.lower("r.type").alias("direction"), naira_to_kobo(F.col("r.amount")).alias("amount_kobo"),
+        naira_to_kobo(F.col("r.balance")).alias("balance_after_kobo"), F.col("r.date").alias("date_text"), iso_date(F.col("r.date")).alias("value_date"),
+        F.coalesce("r.narration", F.lit("")).alias("narration"), F.col("r.reference").alias("stated_reference"),
     )
     again = F.row_number().over(Window.partitionBy("evidence_id", "id").orderBy("position")) > 1
     reject = (
@@ -64,6 +66,8 @@ def scan_bank_statement(documents: DataFrame, bank: str) -> DataFrame:
 
 #: Wire statuses that end a settlement.
 STATUS = {"SUCCESSFUL": "settled", "SUCCESS": "settled", "PAID": "settled", "COMPLETED": "settled", "REVERSED": "reversed"}
+#: Fee types that are taxes.
+TAXES = ("stamp_duty", "vat", "emt_levy")
 #: Columns of the two reports of plain rows.
 LINE_COLUMNS = {
     "nomba": {"root": "$", "reference": "id", "gross": "amountCharged", "fee": "fixedCharge", "net": "amount", "status": "status", "at": "timeCompleted", "currency": "walletCurrency"},
@@ -92,10 +96,11 @@ def scan_payouts(documents: DataFrame, source: str = "flutterwave") -> tuple[Dat
         "evidence_id", "position", "lineage", F.lit(source).alias("source"), field("id").alias("payout_reference"), naira_to_kobo(field("gross_amount")).alias("gross_kobo"),
         naira_to_kobo(field("net_amount")).alias("expected_net_kobo"), F.upper(field("currency")).alias("currency"), F.upper(field("status")).alias("status"), iso_date(field("due_datetime")).alias("value_date"), "row",
     )
-    reject = F.when(F.col("payout_reference").isNull(), "missing id").when(F.col("currency") != "NGN", "currency").when(F.col("gross_kobo").isNull() | F.col("expected_net_kobo").isNull(), "amount")
+    open_ = ~F.coalesce(F.col("status").isin(*STATUS), F.lit(False))
+    reject = F.when(F.col("payout_reference").isNull(), "missing id").when(F.col("currency") != "NGN", "currency").when(open_, "not a settlement").when(F.col("gross_kobo").isNull() | F.col("expected_net_kobo").isNull(), "amount")
     x = x.withColumn("reject", reject)
     typed = F.from_json(F.get_json_object("row", "$.fees"), "array<struct<type:string,amount:string>>")
-    kind = lambda t: F.when(F.lower(t).isin("vat", "tax", "stamp_duty"), "tax").otherwise("fee")
+    kind = lambda t: F.when(F.lower(t).isin(*TAXES), "tax").when(F.lower(t) == "penalty", "penalty").otherwise("fee")
     made = F.concat(
         F.coalesce(F.transform(typed, lambda f: F.struct(kind(f["type"]).alias("kind"), naira_to_kobo(f["amount"]).alias("kobo"))), F.array().cast("array<struct<kind:string,kobo:bigint>>")),
         F.array(*[F.struct(F.lit(k).alias("kind"), (naira_to_kobo(field(k)) * (-1 if k == "reserve_release" else 1)).alias("kobo")) for k in ("chargeback", "refund", "reserve", "reserve_release")]),
