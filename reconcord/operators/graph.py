@@ -26,6 +26,11 @@ def _shared(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: what reads it several times computes it once, and its lineage ends here."""
+    return _kept(df, _shared(df.sparkSession) + "/staged")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(id, component) from edges (a, b): the smallest id reachable.  Rounds are tables in spark.checkpoint.dir (a temporary folder where it is unset)."""
     spark = edges.sparkSession

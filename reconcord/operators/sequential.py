@@ -1,16 +1,17 @@
 """The order-dependent matchers.
 
-Claims only couple records of one source, so allocation runs as one group a
-source; the fold inside a group is ordered and small next to the joins that
-prepare it.
+Counts decide what they can before any fold.  What is left is folded in order,
+one group of records that may claim the same things a task.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import staged
+
 MAX_ITEMS, MAX_SUBSET, MAX_STEPS = 24, 12, 200_000
 
 
@@ -44,60 +45,218 @@ def unique_subset_sum(values: list[int], target: int, max_items: int = MAX_ITEMS
     return ("unique", found[0]) if found else ("none", [])
 
 
-def allocate(promises: DataFrame, payouts: DataFrame) -> DataFrame:
-    """Allocates promises to payouts, one source at a time.
+def predicted_fee(owed: int, terms: tuple) -> int:
+    """Total fee of an amount under (percent_bp, flat_kobo, waived_below_kobo, cap_kobo, vat_bp)."""
+    bp, flat, waived, cap, vat = terms
+    fee = (owed * bp + 5000) // 10000 + (0 if owed < waived else flat)
+    fee = fee if cap is None else min(fee, cap)
+    return fee + (fee * vat + 5000) // 10000
+
+
+def solve(owed: list[int], terms: list[tuple | None], gross: int, net: int) -> tuple[str, list[int]]:
+    """The only subset that makes the gross; if there is none, the only one that makes the net after predicted fees."""
+    if not owed:
+        return "none", []
+    state, chosen = unique_subset_sum(owed, gross)
+    if state != "none" or not any(terms):
+        return state, chosen
+    after = [o if t is None else o - predicted_fee(o, t) for o, t in zip(owed, terms, strict=True)]
+    state, chosen = unique_subset_sum(after, net)
+    return (state, chosen) if state == "unique" else ("none", [])
+
+
+_TERMS = ("percent_bp", "flat_kobo", "waived_below_kobo", "cap_kobo", "vat_bp")
+
+
+def _attempts(promises: DataFrame, payouts: DataFrame, rounds: int) -> DataFrame:
+    """Adds ``near`` and ``searched`` to the payouts: whether the search for them can begin at all.
 
-    promises: source, transaction_id, owed_kobo, occurred_at, escalates_at
+    A search is not attempted with over MAX_ITEMS promises in reach, and then
+    claims nothing; each search that is attempted claims at most MAX_SUBSET.  So
+    a payout with more promises in reach than MAX_ITEMS and MAX_SUBSET for each
+    attempted one nearby is decided by counts alone.  The attempted ones are
+    found from those that start within MAX_ITEMS, on one row a source and day.
+    """
+    day = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01"))
+    seen = promises.where("owed_kobo > 0")
+    span = seen.groupBy("source").agg(F.max(F.coalesce(day("escalates_at"), F.lit(10**6)) - day("occurred_at")).alias("span"), F.count("*").alias("all"))
+    begun = seen.groupBy("source", day("occurred_at").alias("day")).agg(F.count("*").alias("begun"))
+    ended = seen.where("escalates_at is not null").groupBy("source", day("escalates_at").alias("day")).agg(F.count("*").alias("ended"))
+    p = payouts.withColumn("day", day("value_date"))
+    days = p.where("day is not null").groupBy("source", "day").agg(F.count("*").alias("due"))
+    axis = begun.join(ended, ["source", "day"], "full").join(days, ["source", "day"], "full").fillna(0, ["begun", "ended", "due"])
+    rising = Window.partitionBy("source").orderBy("day")
+    within = F.sum("begun").over(rising) - F.col("begun") - F.sum("ended").over(rising)
+    axis = axis.withColumn("within", within).where("due > 0").join(span, "source", "left").fillna(0, ["span", "all"])
+    free = p.where("day is null").groupBy("source").agg(F.count("*").alias("undated"))
+    axis = axis.join(free, "source", "left").fillna(0, ["undated"])
+    # promises of other days count for an undated payout too, so it is attempted unless a whole source is small
+    near = F.lit(0)
+    for _ in range(rounds):
+        axis = axis.withColumn("open", F.when(F.col("within") <= MAX_ITEMS + MAX_SUBSET * near, F.col("due")).otherwise(0))
+        around = F.sum("open").over(Window.partitionBy("source").orderBy("day").rangeBetween(-SPAN_DAYS, SPAN_DAYS))
+        near = F.when(F.col("span") <= SPAN_DAYS, around).otherwise(F.sum("due").over(Window.partitionBy("source"))) + F.col("undated")
+        axis = axis.withColumn("near", near)
+        near = F.col("near")
+    # what has not settled after these rounds is searched
+    every = F.sum("due").over(Window.partitionBy("source")) + F.col("undated")
+    grown = F.when(F.col("within") <= MAX_ITEMS + MAX_SUBSET * F.col("near"), F.col("due")).otherwise(0) != F.col("open")
+    loose = F.max(grown.cast("int")).over(Window.partitionBy("source")) == 1
+    axis = axis.withColumn("near", F.when(loose, every).otherwise(F.col("near")))
+    axis = axis.select("source", "day", "near", (F.col("within") <= MAX_ITEMS + MAX_SUBSET * F.col("near")).alias("searched"))
+    total = span.join(p.groupBy("source").agg(F.count("*").alias("due")), "source").select("source", (F.col("all") <= MAX_ITEMS + MAX_SUBSET * F.col("due")).alias("few"), F.col("due").alias("every"))
+    out = p.join(axis, ["source", "day"], "left").join(total, "source", "left")
+    searched = F.when(F.col("day").isNull(), F.coalesce("few", F.lit(True))).otherwise(F.col("searched"))
+    return out.withColumn("searched", searched).withColumn("near", F.coalesce("near", "every", F.lit(0))).drop("few", "every")
+
+
+#: Days that a payout may lie from another one and still share a promise, where all promises escalate within them.
+SPAN_DAYS = 31
+#: Rounds after which all payouts of a source count as attempted.
+ROUNDS = 2
+
+
+def allocate(promises: DataFrame, payouts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Allocates promises to payouts in the order of the payouts' references.
+
+    promises: source, transaction_id, owed_kobo, occurred_at, escalates_at and, where fees are predicted, contract
     payouts:  source, payout_reference, gross_kobo, expected_net_kobo, derived_net_kobo, value_date
 
     Rows (source, payout_reference, reason, transaction_id, amount_kobo), one for
-    each promise allocated, or one without promise for a payout that has none.
-    A payout takes the only subset of open, reachable promises that makes its
-    gross; else a part of the only promise that is large enough; else it is an
-    exception.  Promises are reachable if they occurred by the value date and
-    were not overdue then.
+    each promise allocated, or one without promise for a payout that has none;
+    ``allocation_confidence`` rates the reasons.  A payout takes the only subset of open, reachable
+    promises that makes its gross, or its net after predicted fees; else a part
+    of the only promise that is large enough; else it is an exception.  Promises
+    are reachable if they occurred by the value date and were not overdue then.
+
+    Payouts with far too many promises in reach are decided by counts.  The
+    others are joined to the promises in their reach, a number that is bounded
+    for each, and folded one stretch of time a task: between two stretches no
+    promise is in reach of both.
     """
     schema = "source string, payout_reference string, reason string, transaction_id string, amount_kobo long"
+    if "contract" in promises.columns:
+        promises = promises.select("*", *[F.col(f"contract.{t}").cast("long").alias(t) for t in _TERMS])
+    else:
+        promises = promises.select("*", *[F.lit(None).cast("long").alias(t) for t in _TERMS])
+    # read several times below
+    goods = staged(promises.where("owed_kobo > 0").select("source", "transaction_id", "owed_kobo", "occurred_at", "escalates_at", *_TERMS).withColumn("own_day", F.to_date("occurred_at")))
+    alone = F.when(F.col("expected_net_kobo") != F.col("derived_net_kobo"), "PAYOUT_UNBALANCED").when((F.col("gross_kobo") == 0) & (F.col("expected_net_kobo") > 0), "RESERVE_RELEASED")
+    tagged = staged(payouts.withColumn("alone", alone))
+    tried = staged(_attempts(goods, tagged.where("alone is null").drop("alone", "derived_net_kobo"), rounds))
+    bare = lambda df, reason: df.select("source", "payout_reference", reason.alias("reason"), F.lit(None).cast("string").alias("transaction_id"), F.lit(None).cast("long").alias("amount_kobo"))
 
-    def fold(key: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["occurred_at", "transaction_id"]).reset_index(drop=True)
-        owed = [int(x) for x in p["owed_kobo"]]
-        names, until = list(p["transaction_id"]), list(p["escalates_at"])
-        by_time = p["occurred_at"].to_numpy()
-        free = set(range(len(p)))
+    day_span = goods.groupBy("source").agg(F.max(F.coalesce(F.datediff("escalates_at", "own_day"), F.lit(10**6))).alias("span"), F.min("own_day").alias("first"), F.max("own_day").alias("last"))
+    searched = tried.where("searched").join(day_span, "source")
+    till = F.when(F.col("value_date").isNull(), F.col("last")).otherwise(F.least(F.to_date("value_date"), F.col("last")))
+    since = F.when(F.col("value_date").isNull(), F.col("first")).otherwise(F.greatest(F.col("first"), F.date_sub(F.to_date("value_date"), F.least("span", F.lit(40_000)).cast("int"))))
+    reach = searched.withColumn("till", till).withColumn("since", since).where("since <= till").withColumn("own_day", F.explode(F.sequence("since", "till")))
+    ok = F.col("value_date").isNull() | ((F.col("occurred_at") <= F.col("value_date")) & (F.col("escalates_at").isNull() | (F.col("value_date") <= F.col("escalates_at"))))
+    pairs = reach.select("source", "own_day", "payout_reference", "gross_kobo", "expected_net_kobo", "value_date", "near").join(goods, ["source", "own_day"]).where(ok)
+    pairs = staged(pairs)
+    # payouts that share a promise overlap in the time from their first promise to their value date
+    ever = F.col("value_date").isNull()
+    size = pairs.groupBy("source", "payout_reference").agg(
+        F.count("*").alias("n"), F.min(F.when(ever, F.to_timestamp(F.lit("0001-01-01"))).otherwise(F.col("occurred_at"))).alias("low"), F.max(F.when(ever, F.to_timestamp(F.lit("9999-12-31"))).otherwise(F.col("value_date"))).alias("high"), F.first("near").alias("near")
+    )
+    many = F.col("n") > MAX_ITEMS + MAX_SUBSET * F.col("near")
+    order = Window.partitionBy("source").orderBy("low", "payout_reference")
+    apart = F.coalesce((F.col("low") > F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0))
+    islands = size.where(~many).withColumn("apart", apart).withColumn("island", F.sum("apart").over(order)).select("source", "payout_reference", "island")
+    rows = pairs.drop("near").join(islands, ["source", "payout_reference"])
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        owed = {t: int(k) for t, k in zip(frame["transaction_id"], frame["owed_kobo"], strict=True)}
         out = []
-        for r in q.sort_values("payout_reference").itertuples():
-            add = lambda reason, i=None, kobo=None, r=r: out.append((key[0], r.payout_reference, reason, None if i is None else names[i], kobo))
-            gross = int(r.gross_kobo)
-            if int(r.expected_net_kobo) != int(r.derived_net_kobo):
-                add("PAYOUT_UNBALANCED")
-                continue
-            if gross == 0 and r.expected_net_kobo > 0:
-                add("RESERVE_RELEASED")
-                continue
-            if pd.isna(r.value_date):
-                near = sorted(free)
-            else:
-                hi = int(by_time.searchsorted(pd.Timestamp(r.value_date).to_datetime64(), "right"))
-                near = [i for i in range(hi) if i in free and not (r.value_date > until[i])]
-            state, chosen = unique_subset_sum([owed[i] for i in near], gross)
+        # terms are looked up once for each promise, rows are read once in order
+        terms_of = {r[0]: None if pd.isna(r[1]) else tuple(None if pd.isna(x) else int(x) for x in r[1:]) for r in frame.drop_duplicates("transaction_id")[["transaction_id", *_TERMS]].itertuples(index=False, name=None)}
+        frame = frame.sort_values(["payout_reference", "occurred_at", "transaction_id"], kind="stable")
+        source, names, ids = frame["source"].iloc[0], frame["payout_reference"].tolist(), frame["transaction_id"].tolist()
+        grosses, nets = frame["gross_kobo"].tolist(), frame["expected_net_kobo"].tolist()
+        end = 0
+        while end < len(names):
+            begin, name = end, names[end]
+            while end < len(names) and names[end] == name:
+                end += 1
+            gross, net = int(grosses[begin]), int(nets[begin])
+            near = [(t, terms_of[t]) for t in ids[begin:end] if owed[t] > 0]
+            add = lambda reason, t=None, kobo=None, name=name: out.append((source, name, reason, t, kobo))
+            state, chosen = solve([owed[t] for t, _ in near], [terms for _, terms in near], gross, net)
+            roomy = [t for t, _ in near if owed[t] > gross]
             if state == "not_attempted":
                 add("BATCH_TOO_LARGE")
             elif state == "unique":
                 for c in chosen:
-                    add("PAYOUT_MATCH", near[c], owed[near[c]])
-                    free.discard(near[c])
+                    t = near[c][0]
+                    add("PAYOUT_MATCH", t, owed[t])
+                    owed[t] = 0
+            elif len(roomy) == 1 and gross > 0:
+                add("PARTIAL_PAYOUT_MATCH", roomy[0], gross)
+                owed[roomy[0]] -= gross
             else:
-                roomy = [i for i in near if owed[i] > gross] if state == "none" else []
-                if len(roomy) == 1 and gross > 0:
-                    add("PARTIAL_PAYOUT_MATCH", roomy[0], gross)
-                    owed[roomy[0]] -= gross
-                else:
-                    add("PHANTOM_CREDIT")
+                add("PHANTOM_CREDIT")
         return pd.DataFrame(out, columns=["source", "payout_reference", "reason", "transaction_id", "amount_kobo"]).astype({"amount_kobo": "Int64"})
 
-    payouts = payouts.toDF(*payouts.columns)  # new names for columns that both sides may have from one table
-    return promises.groupBy("source").cogroup(payouts.groupBy("source")).applyInPandas(fold, schema)
+    folded = rows.groupBy("source", "island").applyInPandas(fold, schema)
+    none = tried.where("searched").drop("near").join(size.drop("low", "high"), ["source", "payout_reference"], "left").where(F.col("n").isNull() | many)
+    decided = bare(tagged.where("alone is not null"), F.col("alone")).unionByName(bare(tried.where("not searched"), F.lit("BATCH_TOO_LARGE")))
+    return folded.unionByName(decided).unionByName(bare(none, F.when(F.col("n").isNull(), "PHANTOM_CREDIT").otherwise("BATCH_TOO_LARGE")))
+
+
+def allocation_confidence(reason: F.Column) -> F.Column:
+    """Per cent: a whole payout and a released reserve are certain, a part of a promise is inferred."""
+    return F.when(reason.isin("PAYOUT_MATCH", "RESERVE_RELEASED"), 100).when(reason == "PARTIAL_PAYOUT_MATCH", 80).otherwise(0)
+
+
+def line_claims(lines: DataFrame, promises: DataFrame) -> DataFrame:
+    """What settlement lines without a payout claim of the open promises, in the order of their keys.
+
+    lines:    idempotency_key, source, reference, gross_kobo, status, settled_at
+    promises: source, reference, transaction_id, state, gross_kobo, owed_kobo (what is left, maybe nothing)
+
+    Rows (idempotency_key, reason, transaction_id, amount_kobo, inflow_key,
+    confidence_pct).  A line needs the only promise of its reference.  One that
+    undoes a payment claims its own amount, any other all that is left, as part
+    of the batch of its source and day.  Lines of one promise only take from it,
+    so a running sum tells what each of them finds.
+    """
+    per = promises.groupBy("source", "reference").agg(F.count("*").alias("n"), F.min(F.struct("transaction_id", "state", F.col("gross_kobo").alias("promise_gross"), "owed_kobo")).alias("p"))
+    both = lines.join(per, ["source", "reference"], "left").select("idempotency_key", "source", "gross_kobo", "status", "settled_at", F.when(F.col("n") == 1, F.col("p")).alias("p"))
+    both = both.select("*", *[F.col(f"p.{c}").alias(c) for c in ("transaction_id", "state", "promise_gross", "owed_kobo")]).drop("p")
+    waits, part = F.col("state").isin("authorized", "exception"), (F.col("gross_kobo") > 0) & (F.col("gross_kobo") <= F.col("promise_gross"))
+    kind = (
+        F.when(F.col("status") == "reversed", F.when(waits & part, "REVERSAL").otherwise("AMOUNT_MISMATCH"))
+        .when(F.col("status") == "chargeback", F.when((F.col("state") == "settled") & part, "CHARGEBACK").otherwise("AMOUNT_MISMATCH"))
+        .otherwise(F.when(waits, "BATCH_MATCH").otherwise("AMOUNT_MISMATCH"))
+    )
+    one = both.where("transaction_id is not null").withColumn("kind", kind)
+    takes = F.when(F.col("kind") == "BATCH_MATCH", F.col("owed_kobo")).when(F.col("kind") == "AMOUNT_MISMATCH", 0).otherwise(F.col("gross_kobo"))
+    before = F.coalesce(F.sum(takes).over(Window.partitionBy("transaction_id").orderBy("idempotency_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    one = one.withColumn("left", F.col("owed_kobo") - before)
+    reason = F.when(F.col("left") <= 0, "PHANTOM_CREDIT").when(F.col("kind").isin("BATCH_MATCH", "AMOUNT_MISMATCH"), F.col("kind")).otherwise(F.concat(F.when(F.col("gross_kobo") < F.col("promise_gross"), "PARTIAL_").otherwise(""), "kind"))
+    one = one.withColumn("reason", reason)
+    amount = F.when(F.col("reason") == "BATCH_MATCH", F.col("left")).when(~F.col("reason").isin("PHANTOM_CREDIT", "AMOUNT_MISMATCH"), F.col("gross_kobo"))
+    batch = F.concat_ws(":", F.lit("derived"), "source", F.coalesce(F.to_date("settled_at").cast("string"), F.lit("undated")))
+    key = F.when(F.col("reason") == "BATCH_MATCH", batch).when(amount.isNotNull(), F.col("idempotency_key"))
+    sure = F.when(F.col("reason") == "BATCH_MATCH", 80).when(F.col("reason").startswith("PARTIAL"), 90).when(amount.isNotNull(), 100).otherwise(0)
+    found = one.select("idempotency_key", "reason", F.when(F.col("reason") != "PHANTOM_CREDIT", F.col("transaction_id")).alias("transaction_id"), amount.alias("amount_kobo"), key.alias("inflow_key"), sure.alias("confidence_pct"))
+    lone = both.where("transaction_id is null").select("idempotency_key", F.lit("PHANTOM_CREDIT").alias("reason"), "transaction_id", F.lit(None).cast("long").alias("amount_kobo"), F.lit(None).cast("string").alias("inflow_key"), F.lit(0).alias("confidence_pct"))
+    return found.unionByName(lone)
+
+
+def leftovers(promises: DataFrame, claims: DataFrame, as_of: F.Column) -> DataFrame:
+    """What becomes of promises with something left after a run's claims (transaction_id, amount_kobo).
+
+    Rows (transaction_id, reason, left_kobo, deferred): PARTIAL_SETTLEMENT where
+    a part was claimed, PENDING_T_PLUS_N until the deadline and its grace are
+    over, then MISSING_SETTLEMENT, the only one that is not put off.
+    """
+    used = claims.groupBy("transaction_id").agg(F.sum("amount_kobo").alias("used"))
+    own = promises.select("transaction_id", "state", "owed_kobo", "escalates_at").where(~F.col("state").isin("settled", "reversed"))
+    rest = own.join(used, "transaction_id", "left").fillna(0, ["used"]).withColumn("left_kobo", F.col("owed_kobo") - F.col("used")).where("left_kobo > 0")
+    late = F.coalesce(as_of > F.col("escalates_at"), F.lit(False))
+    reason = F.when(F.col("used") > 0, "PARTIAL_SETTLEMENT").when(late, "MISSING_SETTLEMENT").otherwise("PENDING_T_PLUS_N")
+    return rest.select("transaction_id", reason.alias("reason"), "left_kobo", (reason != "MISSING_SETTLEMENT").alias("deferred"))
 
 
 def confirm(inflows: DataFrame, credits: DataFrame, named: DataFrame, candidates: DataFrame, allowance: int = 0) -> DataFrame:

@@ -513,6 +513,8 @@ def _ready(v):
 @query(None)
 def allocate(v):
     promises, rows = _ready(v)
+    terms = fees.contract_asof(v["promises"], v["contracts"], "transaction_id", "occurred_at").select("transaction_id", "contract")
+    promises = promises.join(terms, "transaction_id")
     net = payouts.payout_arithmetic(v["payouts"], v["adjustments"]).select("payout_reference", "derived_net_kobo")
     return sequential.allocate(promises, rows.join(net, "payout_reference").select("source", "payout_reference", "gross_kobo", "expected_net_kobo", "derived_net_kobo", "value_date"))
 

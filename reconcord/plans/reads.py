@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import money, protect
-from ..operators import calendar, ledger, lifecycle, payouts, queue, reads, reserves
+from ..operators import calendar, ledger, lifecycle, payouts, queue, reads, reserves, sequential
 from ..sources import statements
 from .queries import _VIEW, AS_OF, MONEY, PAY, _concluded, query, stamp
 
@@ -290,6 +290,39 @@ def line_conclusion_by_channel(v):
     return _concluded(v | {"contracts": rates}).where("status = 'settled' and state in ('authorized', 'exception') and gross_kobo = promise_gross").select("idempotency_key", "reason")
 
 
+# what is left for lines without a payout, and what becomes of the rest
+_CLAIMED = """o as (select p.*, cast(p.gross_kobo - coalesce(a.used, 0) as bigint) as owed from promises p left join (select transaction_id, sum(amount_kobo) as used from allocations where inflow_key like '%-199%' group by 1) a using (transaction_id)),
+r as (select source, reference, count(*) as n, min(transaction_id) as t from o group by 1, 2),
+l as (select s.*, case when r.n = 1 then r.t end as t from (select *, 'settlement:' || k as key from settlement_lines where k % 4 <> 1 union all select *, 'settlement:' || k || '#2' from settlement_lines where k % 6 = 0) s left join r using (source, reference)),
+c as (select l.key, l.source, l.gross_kobo, l.settled_at, l.t, o.owed, o.gross_kobo as whole, case when l.status = 'reversed' then case when o.state in ('authorized', 'exception') and l.gross_kobo > 0 and l.gross_kobo <= o.gross_kobo then 'REVERSAL' else 'AMOUNT_MISMATCH' end
+ when l.status = 'chargeback' then case when o.state = 'settled' and l.gross_kobo > 0 and l.gross_kobo <= o.gross_kobo then 'CHARGEBACK' else 'AMOUNT_MISMATCH' end when o.state in ('authorized', 'exception') then 'BATCH_MATCH' else 'AMOUNT_MISMATCH' end as kind from l left join o on o.transaction_id = l.t),
+w as (select *, owed - coalesce(sum(case kind when 'BATCH_MATCH' then owed when 'AMOUNT_MISMATCH' then 0 else gross_kobo end) over (partition by t order by key rows between unbounded preceding and 1 preceding), 0) as rest from c),
+x as (select key as idempotency_key, source, settled_at, case when t is null or rest <= 0 then 'PHANTOM_CREDIT' when kind in ('BATCH_MATCH', 'AMOUNT_MISMATCH') then kind when gross_kobo < whole then 'PARTIAL_' || kind else kind end as reason, t, rest, gross_kobo from w),
+claims as (select idempotency_key, reason, case when reason <> 'PHANTOM_CREDIT' then t end as transaction_id, cast(case when reason = 'BATCH_MATCH' then rest when reason not in ('PHANTOM_CREDIT', 'AMOUNT_MISMATCH') then gross_kobo end as bigint) as amount_kobo,
+ case when reason = 'BATCH_MATCH' then 'derived:' || source || ':' || coalesce(strftime(settled_at, '%Y-%m-%d'), 'undated') when reason not in ('PHANTOM_CREDIT', 'AMOUNT_MISMATCH') then idempotency_key end as inflow_key from x)"""
+
+
+def _line_claims(v):
+    used = v["allocations"].where("inflow_key like '%-199%'").groupBy("transaction_id").agg(F.sum("amount_kobo").alias("used"))
+    promises = v["promises"].join(used, "transaction_id", "left").fillna(0, ["used"]).withColumn("owed_kobo", F.col("gross_kobo") - F.col("used"))
+    s = v["settlement_lines"]
+    lines = s.where("k % 4 <> 1").unionByName(s.where("k % 6 = 0").withColumn("idempotency_key", F.concat("idempotency_key", F.lit("#2"))))
+    return promises, sequential.line_claims(lines, promises)
+
+
+@query("with " + _CLAIMED + " select idempotency_key, reason, transaction_id, amount_kobo, inflow_key from claims", *PAY, "settlement_lines", "allocations")
+def line_claims(v):
+    return _line_claims(v)[1].drop("confidence_pct")
+
+
+@query(f"""with {_CLAIMED} select transaction_id, case when used > 0 then 'PARTIAL_SETTLEMENT' when occurred_at + interval 4 day < timestamp '{AS_OF}' then 'MISSING_SETTLEMENT' else 'PENDING_T_PLUS_N' end as reason, cast(owed - used as bigint) as left_kobo, used > 0 or occurred_at + interval 4 day >= timestamp '{AS_OF}' as deferred
+from (select o.*, coalesce(u.used, 0) as used from o left join (select transaction_id, sum(amount_kobo) as used from claims group by 1) u using (transaction_id) where state not in ('settled', 'reversed')) z where owed - used > 0""", *PAY, "settlement_lines", "allocations")
+def leftovers(v):
+    promises, claims = _line_claims(v)
+    promises = promises.withColumn("escalates_at", F.col("occurred_at") + F.make_dt_interval(F.lit(4)))
+    return sequential.leftovers(promises, claims.where("amount_kobo is not null").select("transaction_id", "amount_kobo"), F.to_timestamp(F.lit(AS_OF)))
+
+
 # calendar
 _EDITIONS = [("ng", 1, "1994-01-01", "1996-12-31"), ("ng", 2, "1996-01-01", "1997-12-31"), ("ngb", 2, "1997-06-01", "1999-03-31"), ("old", 1, "1990-01-01", "1999-06-30")]
 _EDITION_SQL = "(select * from (values " + ", ".join(f"('{i}', {r}, date '{a}', date '{b}')" for i, r, a, b in _EDITIONS) + ") t(calendar_id, revision, covers_from, covers_to))"

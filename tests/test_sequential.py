@@ -6,6 +6,7 @@ from itertools import combinations
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from reconcord.operators import matching, reserves, sequential
 
 
@@ -98,3 +99,75 @@ def test_duplicates_of_credits_of_this_run(spark):
     names = spark.createDataFrame([("x", "i1")], "idempotency_key string, inflow_key string")
     banked = spark.createDataFrame([("i1", "aa", 100), ("i2", "e", 100)], "inflow_key string, confirmed_by string, credited_kobo long")
     assert sorted(map(tuple, matching.duplicates_here(left, names, banked).collect())) == [("b", "i1"), ("d", "i1"), ("x", "i1")]
+
+
+def plain_allocate(promises, payouts):
+    """One payout after the other, over lists."""
+    owed = {(s, t): k for s, t, k, _, _, _ in promises}
+    terms = {(s, t): c for s, t, _, _, _, c in promises}
+    out = []
+    for s, name, gross, net, derived, v in sorted(payouts, key=lambda q: q[1]):
+        if net != derived:
+            out.append((s, name, "PAYOUT_UNBALANCED", None, None))
+            continue
+        if gross == 0 and net > 0:
+            out.append((s, name, "RESERVE_RELEASED", None, None))
+            continue
+        own = [(s, t) for s2, t, _, a, b, _ in sorted(promises, key=lambda p: (p[3], p[1])) if s2 == s and owed[s2, t] > 0 and (v is None or a <= v and (b is None or v <= b))]
+        state, chosen = plain_subset([owed[x] for x in own], gross)
+        if state == "none" and own and any(terms[x] for x in own):
+            state, chosen = plain_subset([owed[x] - (sequential.predicted_fee(owed[x], terms[x][1:]) if terms[x] else 0) for x in own], net)
+            state = state if state == "unique" else "none"
+        roomy = [x for x in own if owed[x] > gross]
+        if state == "not_attempted":
+            out.append((s, name, "BATCH_TOO_LARGE", None, None))
+        elif state == "unique":
+            for c in chosen:
+                out.append((s, name, "PAYOUT_MATCH", own[c][1], owed[own[c]]))
+                owed[own[c]] = 0
+        elif len(roomy) == 1 and gross > 0:
+            out.append((s, name, "PARTIAL_PAYOUT_MATCH", roomy[0][1], gross))
+            owed[roomy[0]] -= gross
+        else:
+            out.append((s, name, "PHANTOM_CREDIT", None, None))
+    return sorted(out, key=str)
+
+
+def test_allocate_equals_a_plain_fold(spark):
+    """Sparse and crowded sources, undated payouts, open ends, part matches, net matches."""
+    contract = "struct<contract_id:string,percent_bp:int,flat_kobo:int,waived_below_kobo:int,cap_kobo:int,vat_bp:int>"
+    rnd = random.Random(11)
+    promises, payouts = [], []
+    for s, per_day, days in (("sparse", 2, 20), ("mid", 5, 8), ("dense", 40, 8), ("few", 1, 6)):
+        for d in range(1, days + 1):
+            for i in range(per_day):
+                end = None if rnd.random() < 0.01 and s != "dense" else at(min(31, d + rnd.randint(1, 3)), 18)
+                promises.append((s, f"{s}{d:02d}{i:02d}", rnd.choice([rnd.randint(1, 60), rnd.randint(1000, 9000)]), at(d, rnd.randint(0, 20)), end, ("c", 150, 3, 20, 100, 750) if rnd.random() < 0.6 else None))
+    for s in ("sparse", "mid", "dense", "few"):
+        own = [p for p in promises if p[0] == s]
+        for i in range(14):
+            picked = rnd.sample(own, min(len(own), rnd.randint(1, 3)))
+            gross = sum(p[2] for p in picked)
+            net = sum(p[2] - (sequential.predicted_fee(p[2], p[5][1:]) if p[5] else 0) for p in picked)
+            v = None if s == "few" and i % 5 == 0 else max(p[3] for p in picked) + timedelta(hours=rnd.randint(0, 30))
+            kind = i % 7
+            gross, net, derived = (gross, net, net) if kind < 3 else (gross + 7_000_000, net, net) if kind < 5 else (0, net, net) if kind == 5 else (gross, net, net + 1)
+            payouts.append((s, f"{rnd.random():.6f}", gross if rnd.random() < 0.8 else max(1, gross // 3), net, derived, v))
+    p = spark.createDataFrame(promises, f"source string, transaction_id string, owed_kobo long, occurred_at timestamp, escalates_at timestamp, contract {contract}")
+    q = spark.createDataFrame(payouts, "source string, payout_reference string, gross_kobo long, expected_net_kobo long, derived_net_kobo long, value_date timestamp")
+    want = plain_allocate(promises, payouts)
+    assert sorted((tuple(r) for r in sequential.allocate(p, q).collect()), key=str) == want
+    assert {r[2] for r in want} == {"PAYOUT_UNBALANCED", "RESERVE_RELEASED", "BATCH_TOO_LARGE", "PAYOUT_MATCH", "PARTIAL_PAYOUT_MATCH", "PHANTOM_CREDIT"}
+
+
+def test_lines_of_one_promise_take_in_order(spark):
+    lines = spark.createDataFrame([(f"l{i}", "a", r, k, s, at(13)) for i, (r, k, s) in enumerate([("r1", 300, "reversed"), ("r1", 1000, "settled"), ("r1", 1000, "settled"), ("r2", 0, "reversed"), ("r2", 2000, "reversed"), ("r3", 5, "settled"), ("r4", 5, "settled")])], "idempotency_key string, source string, reference string, gross_kobo long, status string, settled_at timestamp")
+    promises = spark.createDataFrame([("a", "r1", "t1", "authorized", 1000, 1000), ("a", "r2", "t2", "authorized", 1000, 1000), ("a", "r4", "t4", "authorized", 5, 5), ("a", "r4", "t5", "authorized", 5, 5)], "source string, reference string, transaction_id string, state string, gross_kobo long, owed_kobo long")
+    claims = sequential.line_claims(lines, promises)
+    got = sorted((r["idempotency_key"], r["reason"], r["amount_kobo"]) for r in claims.collect())
+    assert got == [("l0", "PARTIAL_REVERSAL", 300), ("l1", "BATCH_MATCH", 700), ("l2", "PHANTOM_CREDIT", None), ("l3", "AMOUNT_MISMATCH", None), ("l4", "AMOUNT_MISMATCH", None), ("l5", "PHANTOM_CREDIT", None), ("l6", "PHANTOM_CREDIT", None)]
+    first = spark.createDataFrame([("t1", 300)], "transaction_id string, amount_kobo long")
+    due = promises.withColumn("escalates_at", F.to_timestamp(F.lit("2026-08-14")))
+    for day, late in ((13, "PENDING_T_PLUS_N"), (15, "MISSING_SETTLEMENT")):
+        rest = {r["transaction_id"]: (r["reason"], r["left_kobo"]) for r in sequential.leftovers(due, first, F.lit(at(day))).collect()}
+        assert rest == {"t1": ("PARTIAL_SETTLEMENT", 700), "t2": (late, 1000), "t4": (late, 5), "t5": (late, 5)}
