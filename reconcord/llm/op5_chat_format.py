@@ -14,7 +14,8 @@ does not come back is escaped and flagged, and the conversation is rendered and
 parsed again, until it is identical.  Escaping rewrites ``\``, ``<``, ``[`` and
 ``|`` to ``\\``, ``\l``, ``\b`` and ``\p``, so that no control string is left;
 the flag tells the parser to undo it.  A conversation that has not come back
-after ``rounds`` renderings ends the query with an error; two suffice.
+after ``rounds`` renderings ends the query with an error; two suffice, as an
+escaped turn holds no control string.
 
 The loss mask is a list of spans [start, end) in code points of the rendered
 text, one for each assistant text that is not empty.
@@ -104,7 +105,7 @@ def spans(text: Column, role: str) -> Column:
     return F.aggregate(sized, zero, add, lambda acc: acc["spans"])
 
 
-def chat_format(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", rounds: int = 3) -> DataFrame:
+def chat_format(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", rounds: int = 2) -> DataFrame:
     """Rows (conv, formatted, turns, loss_spans), one for each conversation; ``turns`` (role, text) are those read back."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     row = F.struct(F.col(turn_col).alias("turn"), text(role_col).alias("role"), text(text_col).alias("text"))
