@@ -62,3 +62,35 @@ def test_stream_retries_and_dedupe(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_keyed_hashes_equal_the_standard_library(spark):
+    import base64
+    import hmac
+
+    for algorithm, encoding in (("sha512", "hex"), ("sha256", "base64")):
+        keys = ("short", "k" * 200)
+        rows = [(k, b, hmac.new(k.encode(), b, algorithm).digest()) for k in keys for b in (b"", "é".encode(), b"x" * 300)]
+        sign = lambda d: d.hex() if encoding == "hex" else base64.b64encode(d).decode()
+        made = [("psp", b, sign(d), True) for _, b, d in rows] + [("psp", b"y", sign(rows[0][2]), False), ("other", rows[0][1], sign(rows[0][2]), False), ("psp", None, "x", False), (None, b"", None, False)]
+        df = spark.createDataFrame(made, "source string, body binary, signature string, want boolean")
+        assert df.where(protect.verify_webhook({"psp": keys}, algorithm, encoding)("source", "body", "signature") != F.col("want")).count() == 0
+
+
+def test_editions_by_covered_day(spark):
+    """The highest revision that covers a day, of equal ones the highest id."""
+    e = spark.createDataFrame([("a", 1, "2026-01-01", "2026-12-31"), ("b", 2, "2026-03-01", "2026-03-31"), ("c", 2, "2026-03-15", "2026-03-20")], "calendar_id string, revision int, covers_from string, covers_to string")
+    e = e.withColumn("covers_from", F.to_date("covers_from")).withColumn("covers_to", F.to_date("covers_to"))
+    days = spark.createDataFrame([("2026-02-01",), ("2026-03-02",), ("2026-03-16",), ("2025-12-31",)], "d string").select(F.to_date("d").alias("day"))
+    got = {str(r["day"]): r["calendar_id"] for r in calendar.edition_days(e, days).collect()}
+    assert got == {"2026-02-01": "a", "2026-03-02": "b", "2026-03-16": "c", "2025-12-31": None}
+
+
+def test_contracts_by_row_and_by_join_agree(spark):
+    pay = spark.createDataFrame([(i, s, c, d) for i, (s, c, d) in enumerate([("x", "card", "2026-01-05"), ("x", None, "2026-01-05"), ("x", "card", "2026-02-01"), ("y", "card", "2026-01-05"), (None, "card", "2026-01-05")])], "k int, source string, channel string, d string").withColumn("at", F.to_timestamp("d"))
+    made = [("c1", "x", "card", "2026-01-01", "2026-02-01"), ("c2", "x", "*", "2026-01-01", None), ("c0", "x", "card", "2026-01-05", None)]
+    terms = [F.lit(1).alias(c) for c in ("percent_bp", "flat_kobo", "waived_below_kobo", "cap_kobo", "vat_bp")]
+    con = spark.createDataFrame(made, "contract_id string, source string, channel string, f string, t string").select("contract_id", "source", "channel", F.to_timestamp("f").alias("effective_from"), F.to_timestamp("t").alias("effective_to"), *terms)
+    want = {0: "c0", 1: "c2", 2: "c0", 3: None, 4: None}
+    for few in (10, 0):
+        assert {r["k"]: r["id"] for r in fees.contract_asof(pay, con, "k", "at", few).select("k", F.col("contract.contract_id").alias("id")).collect()} == want
