@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import calendar, matching, payouts, sequential
+from ..operators.graph import staged
 
 
 @dataclass
@@ -31,12 +32,12 @@ def reconcile(promises: DataFrame, payout_rows: DataFrame, adjustments: DataFram
     """Allocates promises to payouts and confirms the payouts' inflows by bank credits; what fits nowhere is an exception."""
     arithmetic = payouts.payout_arithmetic(payout_rows, adjustments).select("payout_reference", "derived_net_kobo")
     ready = payout_rows.join(arithmetic, "payout_reference").select("source", "payout_reference", "gross_kobo", "expected_net_kobo", "derived_net_kobo", "value_date")
-    allocated = sequential.allocate(promises, ready)
+    allocated = staged(sequential.allocate(promises, ready))  # read by each step below
     taken = allocated.where("reason in ('PAYOUT_MATCH', 'PARTIAL_PAYOUT_MATCH', 'RESERVE_RELEASED')").select("payout_reference").distinct()
-    inflows = ready.join(taken, "payout_reference", "left_semi").select(F.col("payout_reference").alias("inflow_key"), "source", "expected_net_kobo", "value_date")
-    credits = bank_lines.where("direction = 'credit' and amount_kobo > 0")
+    inflows = staged(ready.join(taken, "payout_reference", "left_semi").select(F.col("payout_reference").alias("inflow_key"), "source", "expected_net_kobo", "value_date"))
+    credits = staged(bank_lines.where("direction = 'credit' and amount_kobo > 0"))
     names = matching.bank_names(credits, inflows)
-    confirmed = sequential.confirm(inflows, credits, names, matching.bank_match_candidates(credits, inflows, allowance), allowance)
+    confirmed = staged(sequential.confirm(inflows, credits, names, matching.bank_match_candidates(credits, inflows, allowance), allowance))
     bad = allocated.where("reason in ('PAYOUT_UNBALANCED', 'BATCH_TOO_LARGE', 'PHANTOM_CREDIT')").select(F.lit("payout").alias("subject"), F.col("payout_reference").alias("subject_id"), "reason")
     banked = confirmed.where("inflow_key is not null").join(credits.select("idempotency_key", F.col("amount_kobo").alias("credited_kobo")), "idempotency_key").select("inflow_key", F.col("idempotency_key").alias("confirmed_by"), "credited_kobo")
     left = credits.join(banked.select(F.col("confirmed_by").alias("idempotency_key")), "idempotency_key", "left_anti")
