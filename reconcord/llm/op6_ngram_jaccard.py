@@ -13,8 +13,9 @@ may leave them out and still shares a rare one with each partner.
    still follow reach the needed overlap.
 3. The few groups made of frequent hashes get an exact prefix in order of
    document frequency.  Their lists, and groups of unlike sets, may be long:
-   each member is compared with a few leaders first, and then only with members
-   of other components that a bound on the overlap leaves within reach.
+   each member is compared with a few leaders first.  The components that are
+   left on a list meet in blocks, where a parity sketch of each bounds the
+   overlap from above; only pairs that the bound leaves within reach are rows.
 4. Pairs are expanded to the members' sets and verified on whole sets.
 
 Documents with the same set share one node, so copies cost one row each.
@@ -47,6 +48,10 @@ FREQUENT = 48
 LEADERS = 3
 #: Sets that are compared with each other within a task at a time.
 BLOCK = 64
+#: Components of a list that meet those of another block within a task at a time.
+PAIRED = 32
+#: Bits of a component's sketch.
+SKETCH = 2048
 #: Hashes whose holders are gathered at a time, which bounds the memory of a task.
 HELD = 1 << 18
 
@@ -161,6 +166,11 @@ def _candidates(frequent: int, percent: int):
             cut = int(np.searchsorted(now[0], now[0][-1], "left")) if len(now[0]) else 0
             yield from done(*(x[:cut] for x in now))
             held = [x[cut:] for x in now]
+            total = int(held[3].sum())
+            if total > frequent:
+                # a frequent hash needs its holders no more: they are marked, and its count goes on alone
+                yield from done(*held)
+                held = [held[0][:1], np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([total])]
         yield from done(*held)
 
     return rows
@@ -183,6 +193,51 @@ def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i = j
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and sketch of each component's first set: each bit is the parity of the hashes that fall on it."""
+    for batch in batches:
+        offsets = np.asarray(batch.column(3).offsets)
+        place = (np.asarray(batch.column(3).flatten()) >> 20) & (SKETCH - 1)
+        bits = [np.packbits(np.bincount(place[i:j], minlength=SKETCH) & 1 == 1).tobytes() for i, j in zip(offsets[:-1], offsets[1:])]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets), pa.int64()), pa.array(bits, pa.binary())], names=["c", "more", "low", "size", "bits"])
+
+
+def _near_components(percent: int):
+    """Pairs of components of two blocks of a list that size, place in the list and sketch leave within reach.
+
+    Two sets differ in at least as many hashes as their sketches in bits, so the
+    first sets have at most half of what remains of their sizes in common.
+    """
+
+    def need(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return -(-percent * (a[:, None] + b[None, :]) // (100 + percent))
+
+    def block(item: pa.StructArray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        number = {k: np.asarray(item.field(k).cast(pa.int64())) for k in ("c", "lo", "hi", "room", "short", "more", "low", "size")}
+        return number, np.frombuffer(b"".join(item.field("bits").to_pylist()), np.uint64).reshape(len(item), -1)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            for i in range(batch.num_rows):
+                (s, own), (t, other) = block(batch.column(0)[i].values), block(batch.column(1)[i].values)
+                differ = np.bitwise_count(own[:, None, :] ^ other[None, :, :]).sum(axis=2, dtype=np.int64)
+                size = s["size"][:, None] + t["size"][None, :]
+                common = np.minimum((size - differ) // 2, np.minimum(s["size"][:, None], t["size"][None, :]))
+                near = common + s["more"][:, None] + t["more"][None, :] >= need(s["low"], t["low"])
+                near &= need(s["lo"], t["lo"]) <= np.minimum(s["room"][:, None], t["room"][None, :])
+                near &= (100 * s["hi"][:, None] >= percent * t["lo"][None, :]) & (100 * t["hi"][None, :] >= percent * s["lo"][:, None])
+                near &= (s["short"][:, None] | t["short"][None, :]) > 0
+                near &= (s["c"][:, None] < t["c"][None, :]) if batch.column(2)[i].as_py() else (s["c"][:, None] != t["c"][None, :])
+                x, y = np.nonzero(near)
+                left.append(np.minimum(s["c"][x], t["c"][y]))
+                right.append(np.maximum(s["c"][x], t["c"][y]))
+            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1) if left else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
+
+    return rows
+
+
 def _block_links(percent: int):
     """For each set of the outer block one link into the inner block, if there is any; the inner sets are of one component."""
 
@@ -298,29 +353,34 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     part = now.groupBy("list", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("room"), F.max("short").alias("short"))
     mixed = part.groupBy("list").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("list")
     part = stage.keep(part.join(mixed, "list", "left_semi"))
-    cross = part.where("short").alias("s").join(part.alias("t"), "list").where(
-        (F.col("s.c") != F.col("t.c")) & (~F.col("t.short") | (F.col("s.c") < F.col("t.c")))
-        & (100 * F.col("s.hi") >= percent * F.col("t.lo")) & (100 * F.col("t.hi") >= percent * F.col("s.lo"))
-        & (need(F.col("s.lo"), F.col("t.lo")) <= F.least("s.room", "t.room"))
-    ).select(*pair("s.c", "t.c")).distinct()
     # a component stands behind the member with the fewest hashes of its own, as that is closest to all others
     sole = F.coalesce(F.col("n") - F.size("hashes"), F.col("n"))
     own = now.select("set_id", "n", "c").distinct().join(part.select("c").distinct(), "c", "left_semi").join(ranked.select("set_id", "hashes"), "set_id", "left")
     own = stage.keep(own.select("set_id", "n", "c", sole.alias("sole"), F.coalesce(F.transform("hashes", lambda h: h["hash"]), F.array().cast("array<bigint>")).alias("shared")))
     head = stage.keep(own.groupBy("c").agg(F.min_by("set_id", F.struct("sole", F.col("n") * -1, "set_id")).alias("head")))
+    own = own.join(head, "c").join(whole.select(F.col("set_id").alias("head"), "hashes"), "head")
+    own = stage.keep(own.select("set_id", "n", "c", F.size(F.array_except("shared", "hashes")).cast("long").alias("more")))
+    per = stage.keep(own.groupBy("c").agg(F.max("more").alias("more"), F.min("n").alias("lo"), F.count("*").alias("k")))
+    sketch = per.join(head, "c").join(whole.withColumnRenamed("set_id", "head"), "head").select("c", "more", F.col("lo").alias("low"), "hashes")
+    sketch = sketch.mapInArrow(_sketches, "c long, more long, low long, size long, bits binary")
+    blocks = part.join(part.groupBy("list").agg(F.ceil(F.count("*") / PAIRED).alias("blocks")), "list").join(sketch, "c").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")))
+    blocks = blocks.groupBy("list", "blocks", "block").agg(F.collect_list(F.struct("c", "lo", "hi", "room", "short", "more", "low", "size", "bits")).alias("parts"))
+    # a long list is dealt into up to 64 tasks
+    tasks = F.least(F.lit(64), F.ceil(F.col("blocks") / 16))
+    blocks = stage.keep(blocks.withColumn("tasks", tasks))
+    outer = blocks.select("list", F.pmod("block", "tasks").alias("task"), F.col("block").alias("i"), F.col("parts").alias("outer"))
+    inner = blocks.select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), F.col("block").alias("j"), F.col("parts").alias("inner"))
+    cross = outer.join(inner, ["list", "task"]).where("i <= j").select("outer", "inner", F.expr("i = j").alias("same")).mapInArrow(_near_components(percent), "a long, b long").distinct()
     heads = cross.join(head.select(F.col("c").alias("a"), F.col("head").alias("head_a")), "a").join(head.select(F.col("c").alias("b"), F.col("head").alias("head_b")), "b")
     apart = similar(heads.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("head_a").alias("a"), F.col("head_b").alias("b")))
-    apart = stage.keep(apart.select(F.col("c").alias("a"), F.col("d").alias("b"), "common"))
-    few = apart.select(F.col("a").alias("c")).union(apart.select("b")).distinct()
-    own = own.join(few, "c", "left_semi").join(head, "c").join(whole.select(F.col("set_id").alias("head"), "hashes"), "head")
-    own = stage.keep(own.select("set_id", "n", "c", F.size(F.array_except("shared", "hashes")).alias("more")))
-    per = own.groupBy("c").agg(F.max("more").alias("more"), F.min("n").alias("lo"), F.count("*").alias("k"))
+    apart = apart.select(F.col("c").alias("a"), F.col("d").alias("b"), "common")
     end = lambda x: per.select(F.col("c").alias(x), *[F.col(y).alias(f"{y}_{x}") for y in ("more", "lo", "k")])
     near = apart.join(end("a"), "a").join(end("b"), "b").where(F.col("common") + F.col("more_a") + F.col("more_b") >= need(F.col("lo_a"), F.col("lo_b")))
     larger = (F.col("k_a") > F.col("k_b")) | ((F.col("k_a") == F.col("k_b")) & (F.col("a") < F.col("b")))
     near = stage.keep(near.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("large"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("small"), F.least("k_a", "k_b").alias("k"), "common"))
     # the sets of the larger component in blocks, those of its smaller neighbours in blocks; only pairs of blocks are rows
-    full_own = stage.keep(own.join(whole, "set_id").join(per.select("c", "k"), "c"))
+    few = near.select(F.col("large").alias("c")).union(near.select("small")).distinct()
+    full_own = stage.keep(own.join(few, "c", "left_semi").join(whole, "set_id").join(per.select("c", "k"), "c"))
     item = F.struct("set_id", "n", "more", "hashes")
     inner = full_own.join(near.select(F.col("large").alias("c")).distinct(), "c", "left_semi")
     inner = inner.withColumn("block", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("k") / BLOCK))).groupBy("c", "block").agg(F.collect_list(item).alias("inner"))
@@ -340,7 +400,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         more = later.select("a", "b").union(similar(second).where("link").select("a", "b"))
         # the components found so far stand for all links that made them
         comp = components(stage, stage.keep(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)))
-    stage.drop(part, own, full_own, head, apart, near, later, second, first, lists, listed, word, ranked, pairs, group, links)
+    stage.drop(part, own, full_own, head, per, blocks, near, later, second, first, lists, listed, word, ranked, pairs, group, links)
 
     out = base.select("id", "n", "set_id").join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("node", F.coalesce("component", "set_id"))
     smallest = out.where("node is not null").groupBy("node").agg(F.min("id").alias("low"))

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from reconcord.llm import op6_ngram_jaccard as op6
@@ -72,6 +73,46 @@ def test_ngram_components_equal_brute_force(spark, frequent):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == sorted(i or 0 for i, c in zip(ids, want) if i is None or i == c)
 
 
+@pytest.mark.parametrize("paired", [2, 32])
+def test_ngram_lists_of_many_components(spark, monkeypatch, paired):
+    """Texts put together from the same few passages: every list is frequent and most of its sets stay apart."""
+    rnd = random.Random(paired)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 6)))
+    passages = [" ".join(word() for _ in range(12)) for _ in range(14)]
+    texts = [" ".join(rnd.sample(passages, rnd.randint(2, 9))) for _ in range(90)]
+    texts += [t + " " + word() for t in texts[:12]] + [t.rsplit(" ", 1)[0] for t in texts[12:20]]
+    sets = [shingles(t) for t in texts]
+    ids = list(range(len(texts)))
+    edges = [(i, j) for i in ids for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    assert 15 < len(edges) < 400
+    monkeypatch.setattr(op6, "PAIRED", paired)
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in op6.ngram_jaccard(df, frequent=3).collect()}
+    assert got == dict(zip(ids, lowest(len(texts), edges, ids)))
+
+
+def test_component_blocks_lose_no_pair_in_reach():
+    """A pair of sets that could link passes the sketch's bound, whatever their sizes."""
+    rng = np.random.default_rng(3)
+    made, c = [], 0
+    for n in (5, 60, 700, 5000):
+        base = rng.integers(-(2**62), 2**62, n)
+        for k in (0, 1, n // 20, n // 9, n // 7):
+            made.append((c, np.unique(np.concatenate([base[k:], rng.integers(-(2**62), 2**62, k)]))))
+            c += 1
+    one = pa.RecordBatch.from_arrays(
+        [pa.array([c for c, _ in made]), pa.array([0] * len(made)), pa.array([len(s) for _, s in made]), pa.array([s for _, s in made], pa.list_(pa.int64()))], names=["c", "more", "low", "hashes"]
+    )
+    sketch = next(op6._sketches(iter([one]))).to_pylist()
+    parts = [r | {"lo": r["size"], "hi": r["size"], "room": r["size"], "short": True} for r in sketch]
+    block = pa.array([parts])
+    batch = pa.RecordBatch.from_arrays([block, block, pa.array([True])], names=["outer", "inner", "same"])
+    got = {(r["a"], r["b"]) for r in next(op6._near_components(75)(iter([batch]))).to_pylist()}
+    link = {(a, b) for a, s in made for b, t in made if a < b and 100 * len(np.intersect1d(s, t)) >= 75 * len(np.union1d(s, t))}
+    assert link and link <= got
+    assert len(got) < len(made) * (len(made) - 1) / 4
+
+
 def test_ngram_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, None)], "doc_id long, text string")
     assert sorted(tuple(r) for r in op6.ngram_jaccard(df).collect()) == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3)]
