@@ -50,3 +50,19 @@ def contract_overlap(contracts: DataFrame) -> DataFrame:
     reach = F.max(F.coalesce("effective_to", F.to_timestamp(F.lit("9999-01-01")))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     before = F.last("contract_id").over(w.rowsBetween(Window.unboundedPreceding, -1))
     return contracts.withColumn("reach", reach).withColumn("before_id", before).where("effective_from < reach").select("source", "channel", "before_id", "contract_id")
+
+
+def explain_allocations(allocations: DataFrame, promises: DataFrame, contracts: DataFrame, shares: DataFrame) -> DataFrame:
+    """For each allocation (inflow_key, transaction_id, amount_kobo) the fee and VAT that the promise's contract predicts on the allocated amount, and the fee share observed.
+
+    ``shares`` are the apportioned deductions.  Nulls say that no contract
+    covered the promise, or that no fee was apportioned to it; rows stay.
+    """
+    own = promises.select("transaction_id", "source", "channel", "occurred_at")
+    both = allocations.select("inflow_key", "transaction_id", "amount_kobo").join(own, "transaction_id", "left")
+    both = both.withColumn("_row", F.concat_ws(chr(31), "inflow_key", "transaction_id"))
+    priced = fee_quote(contract_asof(both, contracts, "_row", "occurred_at"), "amount_kobo")
+    fee = shares.where("account_id = 'fees_expense' and share_kobo <> 0").groupBy("inflow_key", "transaction_id").agg(F.sum("share_kobo").alias("observed_fee_kobo"))
+    return priced.join(fee, ["inflow_key", "transaction_id"], "left").select(
+        "inflow_key", "transaction_id", "contract.contract_id", F.col("contract.channel").alias("channel"), F.col("fee_kobo").alias("expected_fee_kobo"), F.col("vat_kobo").alias("expected_vat_kobo"), "observed_fee_kobo"
+    )

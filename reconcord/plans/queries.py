@@ -166,13 +166,19 @@ def adjustment_entries(v):
     return payouts.adjustment_entries(v["adjustments"])
 
 
-@query("""with t as (select payout_reference as inflow_key, case kind when 'fee' then 'fees_expense' when 'tax' then 'taxes_withheld' else 'psp_reserve' end as account_id, sum(kobo) as total from adjustments group by 1, 2),
+_SHARES = """with t as (select payout_reference as inflow_key, case kind when 'fee' then 'fees_expense' when 'tax' then 'taxes_withheld' else 'psp_reserve' end as account_id, sum(kobo) as total from adjustments group by 1, 2),
 w as (select inflow_key, sum(amount_kobo) as w from allocations group by 1),
 x as (select t.inflow_key, account_id, transaction_id, total, abs(total)::hugeint as mag, (abs(total)::hugeint * amount_kobo) // w as base, (abs(total)::hugeint * amount_kobo) % w as rest from t join w using (inflow_key) join allocations a using (inflow_key)),
 y as (select *, row_number() over (partition by inflow_key, account_id order by rest desc, transaction_id) as rn, mag - sum(base) over (partition by inflow_key, account_id) as spare from x)
-select inflow_key, account_id, transaction_id, cast(sign(total) * (base + case when rn <= spare then 1 else 0 end) as bigint) as share_kobo from y""", *PAY, "adjustments", "allocations")
+select inflow_key, account_id, transaction_id, cast(sign(total) * (base + case when rn <= spare then 1 else 0 end) as bigint) as share_kobo from y"""
+
+
+@query(_SHARES, *PAY, "adjustments", "allocations")
 def apportion(v):
-    totals = payouts.adjustment_entries(v["adjustments"]).select(F.col("payout_reference").alias("inflow_key"), "account_id", F.col("kobo").alias("total_kobo"))
+    return _shares(v)
+
+
+def _shares(v) -> DataFrame:
     zero = v["adjustments"].select(F.col("payout_reference").alias("inflow_key"), "kind", "kobo")
     accounts = F.create_map(*[F.lit(x) for kv in payouts.ADJUSTMENT_ACCOUNTS.items() for x in kv])
     totals = zero.groupBy("inflow_key", accounts[F.col("kind")].alias("account_id")).agg(F.sum("kobo").alias("total_kobo"))

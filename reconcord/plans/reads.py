@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import money, protect
-from ..operators import calendar, ledger, lifecycle, payouts, queue, reads, reserves, sequential
+from ..operators import calendar, fees, ledger, lifecycle, payouts, queue, reads, reserves, sequential
 from ..sources import statements
-from .queries import _VIEW, AS_OF, MONEY, PAY, _concluded, query, stamp
+from .queries import _ASOF, _FEE, _SHARES, _VIEW, AS_OF, MONEY, PAY, _concluded, _shares, query, stamp
 
 _TWO = "cross join (select 0 as p union all select 1) z"
 _UNDO = "case when k % 10 = 0 then gross_kobo + 1 when k % 10 = 1 then 0 else gross_kobo // (k % 3 + 1) end"
@@ -442,3 +442,43 @@ select payout_reference, 'tax' as kind, 150 as kobo from r union all select payo
 union all select payout_reference, 'reserve', event_id % 3 * 100 from r where event_id % 3 <> 0 union all select payout_reference, 'reserve_release', -300 from r where event_id % 4 = 0""")
 def scan_payout_adjustments(v):
     return statements.scan_payouts(_payout_report(v))[1].select("payout_reference", "kind", "kobo")
+
+
+# payloads
+_BODY = """case event_id % 8 when 0 then '{"event_id":' || event_id || ',"data":{"card":{"CVV-2":""}}}' when 1 then '{"event_id":' || event_id || ',"note":"paid with 4111 1111-1111 1111 today"}'
+when 2 then '{"rows":[{"id":' || event_id || '},{"ref":"5500--0000 0000-0004"}]}' when 3 then event_id || ',378282246310005,x' when 4 then '{"note":"4111111111111112","id":' || event_id || '}'
+when 5 then '{"note":"4111111111111111222222"}' when 6 then '{"cvvs":"1","value":"pin"}' else '{"event_id":' || event_id || '}' end"""
+
+
+@query("""select event_id, case when event_id % 8 = 0 then 'sad' else 'pan' end as kind, case event_id % 8 when 0 then '$.data.card.CVV-2' when 1 then '$' when 2 then '$.rows[1].ref' else 'body' end as at,
+case event_id % 8 when 0 then 'CVV-2' when 1 then '411111******1111' when 2 then '550000******0004' else '378282*****0005' end as detail from events where event_id % 8 < 4""")
+def card_findings(v):
+    return protect.card_findings(v["events"].withColumn("body", F.expr(_BODY)), "event_id", "body")
+
+
+_PAYLOAD = """case when event_id % 7 = 3 then 'id=' || event_id when event_id % 11 = 3 then '[1,2]' else '{"event":"charge.success","data":{"id":' || event_id || ',"customer":{"email":"a@b.c","phone":null},"fees":[{"amount":1.50,"note":"n"}],"metadata":null}}' end"""
+_MARK = '"redacted":"' + protect.REDACTION + '","dropped":'
+
+
+@query(f"""select event_id, case when event_id % 7 = 3 then '{{{_MARK}0,"reason":"no JSON: replaced whole"}}' when event_id % 11 = 3 then '{{"_redaction":{{{_MARK}2}},"kept":null}}'
+else '{{"event":"charge.success","data":{{"id":' || event_id || ',"fees":[{{"amount":1.5}}]}},"_redaction":{{{_MARK}2}}}}' end as body, cast(case when event_id % 7 = 3 then 0 else 2 end as bigint) as dropped from events""")
+def redact_payloads(v):
+    return v["events"].select("event_id", protect.redact_payload()(F.expr(_PAYLOAD)).alias("r")).select("event_id", "r.*")
+
+
+@query("select evidence_id, 'k2' as key_id, case when evidence_id not like '%3' then kind end as plain from evidence", "evidence")
+def sealed_evidence(v):
+    """Sealed under one root key, its data keys wrapped anew under the next, then read; some under another id than their own."""
+    old, new = (protect.KeyRing({"k1": b"1" * 32, "k2": b"2" * 32}, k) for k in ("k1", "k2"))
+    aad = protect.context(evidence=F.col("evidence_id"))
+    rotated = protect.rotate_rows(protect.seal_rows(v["evidence"], old, F.col("kind"), aad), new, aad)
+    read_as = F.when(F.col("evidence_id").like("%3"), F.concat("evidence_id", F.lit("!"))).otherwise(F.col("evidence_id"))
+    return protect.unseal_rows(rotated, new, protect.context(evidence=read_as)).select("evidence_id", "key_id", F.col("plain").cast("string").alias("plain"))
+
+
+@query(f"""select a.inflow_key, a.transaction_id, c.contract_id, c.channel, {{fee}} as expected_fee_kobo, ({{fee}} * vat_bp + 5000) // 10000 as expected_vat_kobo, s.share_kobo as observed_fee_kobo
+from (select inflow_key, transaction_id, amount_kobo as gross_kobo from allocations) a left join {_ASOF} c on a.transaction_id = c.key_
+left join ({_SHARES}) s on a.inflow_key = s.inflow_key and a.transaction_id = s.transaction_id and s.account_id = 'fees_expense' and s.share_kobo <> 0""".replace("{fee}", f"cast({_FEE} as bigint)"), *PAY, "adjustments", "allocations", "contracts")
+def explain_allocations(v):
+    """The fee that the contract of each promise's own channel and day asks for, beside its share of what the payout was charged."""
+    return fees.explain_allocations(v["allocations"], v["promises"], v["contracts"], _shares(v))

@@ -46,6 +46,39 @@ def retry_attempts(results: DataFrame, max_attempts: int = 8) -> DataFrame:
     return results.groupBy("delivery_id").applyInPandasWithState(step, "delivery_id string, attempts int, state string", "attempts int, final string", "update", GroupStateTimeout.NoTimeout)
 
 
+def promise_states(events: DataFrame, at: str = "received_at", delay: str = "1 day") -> DataFrame:
+    """Changes of state of each promise (transaction_id, state): PENDING, MISSING_SETTLEMENT, SETTLED.
+
+    ``events`` has transaction_id, ``at``, escalates_at (null for a settlement)
+    and settled.  ``at`` is the instant of intake, not of the business event:
+    Spark drops rows whose ``at`` is behind the watermark, and evidence that
+    comes late must count.  A promise is missing once the watermark passes its
+    deadline; a settlement counts before its promise and after the deadline
+    too, so the order of arrival does not change the last state.  State is a
+    number and a word for each promise and stays, so repeats change nothing.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        deadline, before = state.get if state.exists else (0, "")
+        now = before
+        for frame in frames:
+            if frame["settled"].fillna(False).any():
+                now = "SETTLED"
+            due = frame["deadline"].dropna()
+            if not now and len(due):
+                deadline, now = int(due.min()), "PENDING"
+        if now == "PENDING" and (state.hasTimedOut or deadline <= state.getCurrentWatermarkMs()):
+            now = "MISSING_SETTLEMENT"
+        state.update((deadline, now))
+        if now == "PENDING":
+            state.setTimeoutTimestamp(deadline)
+        if now != before:
+            yield pd.DataFrame({"transaction_id": [key[0]], "state": [now]})
+
+    timed = events.withWatermark(at, delay).withColumn("deadline", F.unix_millis("escalates_at"))
+    return timed.groupBy("transaction_id").applyInPandasWithState(step, "transaction_id string, state string", "deadline long, state string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def idempotent_append(path: str, key: str) -> Callable[[DataFrame, int], Any]:
     """A foreachBatch function that appends rows whose key is not in the table at ``path`` yet.
 
