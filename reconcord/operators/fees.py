@@ -62,7 +62,9 @@ def explain_allocations(allocations: DataFrame, promises: DataFrame, contracts:
     both = allocations.select("inflow_key", "transaction_id", "amount_kobo").join(own, "transaction_id", "left")
     both = both.withColumn("_row", F.concat_ws(chr(31), "inflow_key", "transaction_id"))
     priced = fee_quote(contract_asof(both, contracts, "_row", "occurred_at"), "amount_kobo")
+    scope = contracts.groupBy("contract_id").agg(F.first("channel").alias("channel"))
     fee = shares.where("account_id = 'fees_expense' and share_kobo <> 0").groupBy("inflow_key", "transaction_id").agg(F.sum("share_kobo").alias("observed_fee_kobo"))
+    priced = priced.drop("channel").withColumn("contract_id", F.col("contract.contract_id")).join(scope, "contract_id", "left")
     return priced.join(fee, ["inflow_key", "transaction_id"], "left").select(
-        "inflow_key", "transaction_id", "contract.contract_id", F.col("contract.channel").alias("channel"), F.col("fee_kobo").alias("expected_fee_kobo"), F.col("vat_kobo").alias("expected_vat_kobo"), "observed_fee_kobo"
+        "inflow_key", "transaction_id", "contract_id", "channel", F.col("fee_kobo").alias("expected_fee_kobo"), F.col("vat_kobo").alias("expected_vat_kobo"), "observed_fee_kobo"
     )
