@@ -53,7 +53,7 @@ PAIRED = 32
 #: Bits of a component's sketch.
 SKETCH = 2048
 #: Hashes whose holders are gathered at a time, which bounds the memory of a task.
-HELD = 1 << 18
+HELD = 1 << 20
 
 
 def prefix_length(n: int, percent: int) -> int:
