@@ -54,6 +54,8 @@ PAIRED = 32
 SKETCH = 2048
 #: Hashes whose holders are gathered at a time, which bounds the memory of a task.
 HELD = 1 << 20
+#: Hashes of one part, whose holders are counted at a time.
+PART = 1 << 16
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -176,21 +178,77 @@ def _candidates(frequent: int, percent: int):
     return rows
 
 
-def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each hash of a run of sets one row with the sets that hold it: copies that differ little share their rows."""
+def _holders(parts: int):
+    """The sets that hold each hash of a run of sets.
+
+    A hash that several sets of the run hold is one row with all of them: copies
+    that differ little share their rows.  Besides, each hash of the run with its
+    holders' number, and its holder if that is the only one, goes into an array
+    for its part of all hashes; most hashes have one holder and need no row.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets = np.asarray(batch.column(2).offsets).astype(np.int64)
+            i = 0
+            while i < batch.num_rows:
+                j = min(batch.num_rows, max(i + 1, int(np.searchsorted(offsets, offsets[i] + HELD, "right")) - 1))
+                n = np.diff(offsets[i : j + 1])
+                value = np.asarray(batch.column(2).slice(i, j - i).flatten())
+                order = np.argsort(value, kind="stable")
+                hash_, first, times = np.unique(value[order], return_index=True, return_counts=True)
+                holder = pa.StructArray.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n)], ["set_id", "rich", "n"])
+                owner = np.repeat(np.arange(j - i), n)[order]
+                many = times > 1
+                held = pa.ListArray.from_arrays(np.append(0, np.cumsum(times[many])).astype(np.int32), holder.take(pa.array(owner[np.repeat(many, times)])))
+                part = (hash_.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+                by_part = np.argsort(part, kind="stable")
+                bucket, start = np.unique(part[by_part], return_index=True)
+                one = holder.take(pa.array(owner[first[by_part]])).flatten()
+                key = pa.StructArray.from_arrays([pa.array(hash_[by_part]), pa.array(times[by_part]), *one], ["hash", "times", "set_id", "rich", "n"])
+                keys = pa.ListArray.from_arrays(np.append(start, len(hash_)).astype(np.int32), key)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.concat_arrays([pa.nulls(len(held), pa.int64()), pa.array(bucket, pa.int64())]),
+                        pa.concat_arrays([pa.array(hash_[many], pa.int64()), pa.nulls(len(keys), pa.int64())]),
+                        pa.concat_arrays([held, pa.nulls(len(keys), held.type)]),
+                        pa.concat_arrays([pa.nulls(len(held), keys.type), keys]),
+                    ],
+                    names=["bucket", "hash", "holders", "keys"],
+                )
+                i = j
+
+    return rows
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the hashes that several sets hold, with their number: each holder that is alone in its run, and one row without a holder if a run has more."""
+
+    def done(held: list[pa.StructArray]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        hash_, times, *holder = pa.concat_arrays(held).flatten()
+        hash_, times = np.asarray(hash_), np.asarray(times)
+        order = np.argsort(hash_, kind="stable")
+        hash_, times = hash_[order], times[order]
+        start = np.flatnonzero(np.concatenate([[True], hash_[1:] != hash_[:-1]]))
+        df = np.repeat(np.add.reduceat(times, start), np.diff(np.append(start, len(hash_))))
+        alone = np.flatnonzero((df > 1) & (times == 1))
+        shared = np.flatnonzero(times > 1)
+        shared = shared[np.unique(hash_[shared], return_index=True)[1]]
+        at = np.concatenate([alone, shared])
+        null = np.arange(len(at)) >= len(alone)
+        pick = pa.array(np.where(null, 0, order[at]), mask=null)
+        yield pa.RecordBatch.from_arrays([pa.array(hash_[at]), pa.array(df[at]), *(x.take(pick) for x in holder)], names=["hash", "df", "set_id", "rich", "n"])
+
+    last, held = None, []
     for batch in batches:
-        offsets = np.asarray(batch.column(2).offsets).astype(np.int64)
-        i = 0
-        while i < batch.num_rows:
-            j = min(batch.num_rows, max(i + 1, int(np.searchsorted(offsets, offsets[i] + HELD, "right")) - 1))
-            n = np.diff(offsets[i : j + 1])
-            value = np.asarray(batch.column(2).slice(i, j - i).flatten())
-            order = np.argsort(value, kind="stable")
-            hash_, first = np.unique(value[order], return_index=True)
-            holder = pa.StructArray.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n)], ["set_id", "rich", "n"])
-            owner = pa.array(np.repeat(np.arange(j - i), n)[order])
-            yield pa.RecordBatch.from_arrays([pa.array(hash_, pa.int64()), pa.ListArray.from_arrays(np.append(first, len(value)).astype(np.int32), holder.take(owner))], names=["hash", "holders"])
-            i = j
+        for bucket, keys in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if bucket != last:
+                yield from done(held)
+                last, held = bucket, []
+            held.append(keys.values)
+    yield from done(held)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,9 +377,12 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # tasks of about HELD hashes, however many partitions the sets come in
     total = whole.join(listed, "set_id", "left_semi").agg(F.sum(F.size("hashes"))).first()[0] or 0
     some = whole.join(listed, "set_id").select("set_id", "rich", "hashes").repartition(max(1, -(-total // HELD)))
-    word = stage.keep(some.mapInArrow(_holders, "hash long, holders array<struct<set_id:long,rich:boolean,n:long>>"))
-    often = word.groupBy("hash").agg(F.sum(F.size("holders")).alias("df")).where("df > 1")
-    held = word.join(often, "hash").select("hash", "df", F.explode("holders").alias("s")).select("s.*", "df", "hash")
+    item = "set_id:long,rich:boolean,n:long"
+    word = stage.keep(some.mapInArrow(_holders(max(1, -(-total // PART))), f"bucket long, hash long, holders array<struct<{item}>>, keys array<struct<hash:long,times:long,{item}>>"))
+    parts = word.where("hash is null").select("bucket", "keys").repartition("bucket").sortWithinPartitions("bucket")
+    often = stage.keep(parts.mapInArrow(_met, "hash long, df long, set_id long, rich boolean, n long"))
+    held = word.where("hash is not null").join(often.where("set_id is null").select("hash", "df"), "hash").select("hash", "df", F.explode("holders").alias("s")).select("s.*", "df", "hash")
+    held = held.unionByName(often.where("set_id is not null"))
     ranked = stage.keep(held.groupBy("set_id", "rich", "n").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("hashes")))
     lists = (
         ranked.where("rich").withColumn("alone", F.col("n") - F.size("hashes"))
@@ -400,7 +461,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         more = later.select("a", "b").union(similar(second).where("link").select("a", "b"))
         # the components found so far stand for all links that made them
         comp = components(stage, stage.keep(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)))
-    stage.drop(part, own, full_own, head, per, blocks, near, later, second, first, lists, listed, word, ranked, pairs, group, links)
+    stage.drop(part, own, full_own, head, per, blocks, near, later, second, first, lists, listed, word, often, ranked, pairs, group, links)
 
     out = base.select("id", "n", "set_id").join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("node", F.coalesce("component", "set_id"))
     smallest = out.where("node is not null").groupBy("node").agg(F.min("id").alias("low"))

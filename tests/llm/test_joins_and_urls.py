@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -301,3 +302,22 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert pieces == copies
     whole = sorted((r["doc_id"], r["ids_crc32"]) for r in p.run(spark, folder).collect())
     assert whole == sorted((r["doc_id"], r["ids_crc32"]) for r in seen["packing"])
+
+
+def test_jaccard_holders_meet_across_runs(monkeypatch):
+    monkeypatch.setattr(op6, "HELD", 40)
+    draw = np.random.default_rng(5)
+    sets = {i: np.unique(draw.integers(0, 60, 12)) for i in range(50)}
+    sets[50] = np.array([1000])
+    column = pa.array(sets.values(), pa.list_(pa.int64()))
+    whole = pa.RecordBatch.from_arrays([pa.array(list(sets)), pa.array([i % 2 == 0 for i in sets]), column], names=["set_id", "rich", "hashes"])
+    rows = [r for b in op6._holders(3)([whole.slice(0, 20), whole.slice(20)]) for r in b.to_pylist()]
+    kind = pa.struct([("hash", pa.int64()), ("times", pa.int64()), ("set_id", pa.int64()), ("rich", pa.bool_()), ("n", pa.int64())])
+    parts = sorted((r for r in rows if r["hash"] is None), key=lambda r: r["bucket"])
+    batch = pa.RecordBatch.from_arrays([pa.array([r["bucket"] for r in parts]), pa.array([r["keys"] for r in parts], pa.list_(kind))], names=["bucket", "keys"])
+    met = [r for b in op6._met([batch.slice(0, 4), batch.slice(4)]) for r in b.to_pylist()]
+    df = {r["hash"]: r["df"] for r in met if r["set_id"] is None}
+    found = [(h["set_id"], h["rich"], h["n"], df[r["hash"]], r["hash"]) for r in rows if r["hash"] is not None for h in r["holders"]]
+    found += [(r["set_id"], r["rich"], r["n"], r["df"], r["hash"]) for r in met if r["set_id"] is not None]
+    every = Counter(h for s in sets.values() for h in s.tolist())
+    assert sorted(found) == sorted((i, i % 2 == 0, len(s), every[h], h) for i, s in sets.items() for h in s.tolist() if every[h] > 1)
