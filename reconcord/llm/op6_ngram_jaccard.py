@@ -52,9 +52,8 @@ BLOCK = 64
 PAIRED = 32
 #: Bits of a component's sketch.
 SKETCH = 2048
-#: Hashes whose holders are gathered at a time, which bounds the memory of a task.
-HELD = 1 << 20
-#: Hashes of one part, whose holders are counted at a time.
+#: Hashes of a run of sets, and of a part of all hashes, about; they bound the memory of a task.
+HELD = 1 << 15
 PART = 1 << 16
 
 
@@ -178,79 +177,78 @@ def _candidates(frequent: int, percent: int):
     return rows
 
 
-def _holders(parts: int):
-    """The sets that hold each hash of a run of sets.
+def _counted(parts: int):
+    """The hashes of a run of sets and how many of its sets hold each, in one array for each part of all hashes."""
 
-    A hash that several sets of the run hold is one row with all of them: copies
-    that differ little share their rows.  Besides, each hash of the run with its
-    holders' number, and its holder if that is the only one, goes into an array
-    for its part of all hashes; most hashes have one holder and need no row.
-    """
+    def done(run: int, held: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        hash_, times = np.unique(np.concatenate(held), return_counts=True)
+        part = (hash_.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        by_part = np.argsort(part, kind="stable")
+        bucket, start = np.unique(part[by_part], return_index=True)
+        at = np.append(start, len(hash_)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(at, x[by_part]) for x in (hash_, times)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), run)), pa.array(bucket), *lists], names=["run", "bucket", "hashes", "times"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
         for batch in batches:
-            offsets = np.asarray(batch.column(2).offsets).astype(np.int64)
-            i = 0
-            while i < batch.num_rows:
-                j = min(batch.num_rows, max(i + 1, int(np.searchsorted(offsets, offsets[i] + HELD, "right")) - 1))
-                n = np.diff(offsets[i : j + 1])
-                value = np.asarray(batch.column(2).slice(i, j - i).flatten())
-                order = np.argsort(value, kind="stable")
-                hash_, first, times = np.unique(value[order], return_index=True, return_counts=True)
-                holder = pa.StructArray.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n)], ["set_id", "rich", "n"])
-                owner = np.repeat(np.arange(j - i), n)[order]
-                many = times > 1
-                held = pa.ListArray.from_arrays(np.append(0, np.cumsum(times[many])).astype(np.int32), holder.take(pa.array(owner[np.repeat(many, times)])))
-                part = (hash_.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-                by_part = np.argsort(part, kind="stable")
-                bucket, start = np.unique(part[by_part], return_index=True)
-                one = holder.take(pa.array(owner[first[by_part]])).flatten()
-                key = pa.StructArray.from_arrays([pa.array(hash_[by_part]), pa.array(times[by_part]), *one], ["hash", "times", "set_id", "rich", "n"])
-                keys = pa.ListArray.from_arrays(np.append(start, len(hash_)).astype(np.int32), key)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([pa.nulls(len(held), pa.int64()), pa.array(bucket, pa.int64())]),
-                        pa.concat_arrays([pa.array(hash_[many], pa.int64()), pa.nulls(len(keys), pa.int64())]),
-                        pa.concat_arrays([held, pa.nulls(len(keys), held.type)]),
-                        pa.concat_arrays([pa.nulls(len(held), keys.type), keys]),
-                    ],
-                    names=["bucket", "hash", "holders", "keys"],
-                )
-                i = j
+            for run, hashes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if run != last:
+                    yield from done(last, held)
+                    last, held = run, []
+                held.append(np.asarray(hashes.values))
+        yield from done(last, held)
 
     return rows
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the hashes that several sets hold, with their number: each holder that is alone in its run, and one row without a holder if a run has more."""
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each run and part its hashes that several sets of all runs hold, with their number."""
 
-    def done(held: list[pa.StructArray]) -> Iterator[pa.RecordBatch]:
+    def done(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        hash_, times, *holder = pa.concat_arrays(held).flatten()
-        hash_, times = np.asarray(hash_), np.asarray(times)
-        order = np.argsort(hash_, kind="stable")
-        hash_, times = hash_[order], times[order]
-        start = np.flatnonzero(np.concatenate([[True], hash_[1:] != hash_[:-1]]))
-        df = np.repeat(np.add.reduceat(times, start), np.diff(np.append(start, len(hash_))))
-        alone = np.flatnonzero((df > 1) & (times == 1))
-        shared = np.flatnonzero(times > 1)
-        shared = shared[np.unique(hash_[shared], return_index=True)[1]]
-        at = np.concatenate([alone, shared])
-        null = np.arange(len(at)) >= len(alone)
-        pick = pa.array(np.where(null, 0, order[at]), mask=null)
-        yield pa.RecordBatch.from_arrays([pa.array(hash_[at]), pa.array(df[at]), *(x.take(pick) for x in holder)], names=["hash", "df", "set_id", "rich", "n"])
+        n = [len(h) for _, h, _ in held]
+        hash_ = np.concatenate([h for _, h, _ in held])
+        _, same = np.unique(hash_, return_inverse=True)
+        df = np.bincount(same, np.concatenate([t for _, _, t in held])).astype(np.int64)[same]
+        run = np.repeat(np.arange(len(n)), n)[df > 1]
+        at = np.searchsorted(run, np.arange(len(n) + 1)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(at, x[df > 1]) for x in (hash_, df)]
+        yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in held], pa.int64()), *lists], names=["run", "hashes", "df"])
 
     last, held = None, []
     for batch in batches:
-        for bucket, keys in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for run, bucket, hashes, times in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), batch.column(3), strict=True):
             if bucket != last:
                 yield from done(held)
                 last, held = bucket, []
-            held.append(keys.values)
+            held.append((run, np.asarray(hashes.values), np.asarray(times.values)))
     yield from done(held)
 
 
+def _ranked(sets: pa.Table, often: pa.Table) -> pa.Table:
+    """The sets of a run with those of their hashes that other sets hold too, the rarest first."""
+    sets, often = sets.combine_chunks(), often.combine_chunks()
+    known, df = (np.concatenate([np.zeros(0, np.int64), *(np.asarray(x.values) for x in often[c])]) for c in ("hashes", "df"))
+    order = np.argsort(known)
+    known, df = known[order], df[order]
+    n, lists = [], []
+    for x in sets["hashes"]:
+        hash_ = np.asarray(x.values)
+        n.append(len(hash_))
+        at = np.minimum(np.searchsorted(known, hash_), max(0, len(known) - 1))
+        found = known[at] == hash_ if len(known) else np.zeros(len(hash_), bool)
+        hash_, many = hash_[found], df[at[found]] if len(known) else df
+        first = np.lexsort((hash_, many))
+        lists.append((many[first], hash_[first]))
+    at = np.append(0, np.cumsum([len(h) for _, h in lists])).astype(np.int32)
+    item = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(x[i] for x in lists)])) for i in (0, 1)], ["df", "hash"])
+    return pa.table({"set_id": sets["set_id"], "rich": sets["rich"], "n": pa.array(n, pa.int64()), "hashes": pa.ListArray.from_arrays(at, item)})
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and sketch of each component's first set: each bit is the parity of the hashes that fall on it."""
     for batch in batches:
@@ -374,16 +372,13 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rich = group.where("frequent").join(members, "group_id").select("set_id", F.lit(True).alias("rich"))
     mixed = group.where("kinds > 1").join(members, "group_id").select("set_id", F.lit(False).alias("rich"))
     listed = stage.keep(rich.union(mixed).groupBy("set_id").agg(F.max("rich").alias("rich")))
-    # tasks of about HELD hashes, however many partitions the sets come in
+    # how many sets hold each hash is counted by runs of sets and parts of the hashes, in arrays; no row is a hash
     total = whole.join(listed, "set_id", "left_semi").agg(F.sum(F.size("hashes"))).first()[0] or 0
-    some = whole.join(listed, "set_id").select("set_id", "rich", "hashes").repartition(max(1, -(-total // HELD)))
-    item = "set_id:long,rich:boolean,n:long"
-    word = stage.keep(some.mapInArrow(_holders(max(1, -(-total // PART))), f"bucket long, hash long, holders array<struct<{item}>>, keys array<struct<hash:long,times:long,{item}>>"))
-    parts = word.where("hash is null").select("bucket", "keys").repartition("bucket").sortWithinPartitions("bucket")
-    often = stage.keep(parts.mapInArrow(_met, "hash long, df long, set_id long, rich boolean, n long"))
-    held = word.where("hash is not null").join(often.where("set_id is null").select("hash", "df"), "hash").select("hash", "df", F.explode("holders").alias("s")).select("s.*", "df", "hash")
-    held = held.unionByName(often.where("set_id is not null"))
-    ranked = stage.keep(held.groupBy("set_id", "rich", "n").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("hashes")))
+    runs, parts = max(1, -(-total // HELD)), max(1, -(-total // PART))
+    some = stage.keep(whole.join(listed, "set_id").select(F.pmod(F.xxhash64("set_id"), F.lit(runs)).alias("run"), "set_id", "rich", "hashes"))
+    counted = some.select("run", "hashes").repartition("run").sortWithinPartitions("run").mapInArrow(_counted(parts), "run long, bucket long, hashes array<long>, times array<long>")
+    often = stage.keep(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_often, "run long, hashes array<long>, df array<long>"))
+    ranked = stage.keep(some.groupBy("run").cogroup(often.groupBy("run")).applyInArrow(_ranked, "set_id long, rich boolean, n long, hashes array<struct<df:long,hash:long>>"))
     lists = (
         ranked.where("rich").withColumn("alone", F.col("n") - F.size("hashes"))
         .select("set_id", "n", "alone", F.posexplode(F.slice("hashes", F.lit(1), F.greatest(F.lit(0), (p - F.col("alone")).cast("int")))).alias("k", "h"))
@@ -461,7 +456,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         more = later.select("a", "b").union(similar(second).where("link").select("a", "b"))
         # the components found so far stand for all links that made them
         comp = components(stage, stage.keep(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)))
-    stage.drop(part, own, full_own, head, per, blocks, near, later, second, first, lists, listed, word, often, ranked, pairs, group, links)
+    stage.drop(part, own, full_own, head, per, blocks, near, later, second, first, lists, listed, some, often, ranked, pairs, group, links)
 
     out = base.select("id", "n", "set_id").join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("node", F.coalesce("component", "set_id"))
     smallest = out.where("node is not null").groupBy("node").agg(F.min("id").alias("low"))

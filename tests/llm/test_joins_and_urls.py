@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 from reconcord.llm import op6_ngram_jaccard as op6
@@ -304,20 +305,22 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert whole == sorted((r["doc_id"], r["ids_crc32"]) for r in seen["packing"])
 
 
-def test_jaccard_holders_meet_across_runs(monkeypatch):
-    monkeypatch.setattr(op6, "HELD", 40)
+def test_ngram_ranks_across_runs():
     draw = np.random.default_rng(5)
     sets = {i: np.unique(draw.integers(0, 60, 12)) for i in range(50)}
-    sets[50] = np.array([1000])
-    column = pa.array(sets.values(), pa.list_(pa.int64()))
-    whole = pa.RecordBatch.from_arrays([pa.array(list(sets)), pa.array([i % 2 == 0 for i in sets]), column], names=["set_id", "rich", "hashes"])
-    rows = [r for b in op6._holders(3)([whole.slice(0, 20), whole.slice(20)]) for r in b.to_pylist()]
-    kind = pa.struct([("hash", pa.int64()), ("times", pa.int64()), ("set_id", pa.int64()), ("rich", pa.bool_()), ("n", pa.int64())])
-    parts = sorted((r for r in rows if r["hash"] is None), key=lambda r: r["bucket"])
-    batch = pa.RecordBatch.from_arrays([pa.array([r["bucket"] for r in parts]), pa.array([r["keys"] for r in parts], pa.list_(kind))], names=["bucket", "keys"])
-    met = [r for b in op6._met([batch.slice(0, 4), batch.slice(4)]) for r in b.to_pylist()]
-    df = {r["hash"]: r["df"] for r in met if r["set_id"] is None}
-    found = [(h["set_id"], h["rich"], h["n"], df[r["hash"]], r["hash"]) for r in rows if r["hash"] is not None for h in r["holders"]]
-    found += [(r["set_id"], r["rich"], r["n"], r["df"], r["hash"]) for r in met if r["set_id"] is not None]
+    sets[50], sets[54] = np.array([1000]), np.array([1001])
     every = Counter(h for s in sets.values() for h in s.tolist())
-    assert sorted(found) == sorted((i, i % 2 == 0, len(s), every[h], h) for i, s in sets.items() for h in s.tolist() if every[h] > 1)
+    whole = sorted((i % 4 if i < 54 else 9, i, i < 9, s.tolist()) for i, s in sets.items())
+    lists = lambda rows, names: pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64()) if k > 1 or names[k] == "hashes" else None) for k, x in enumerate(zip(*rows))], names=names)
+    read = lists([(r, h) for r, _, _, h in whole], ["run", "hashes"])
+    counted = [tuple(r.values()) for b in op6._counted(3)([read.slice(0, 20), read.slice(20)]) for r in b.to_pylist()]
+    counted = lists(sorted(counted, key=lambda r: r[1]), ["run", "bucket", "hashes", "times"])
+    often = pa.Table.from_batches(list(op6._often([counted.slice(0, 5), counted.slice(5)])))
+    for run in {r for r, *_ in whole}:
+        own = [r for r in whole if r[0] == run]
+        held = pa.table({"run": [run] * len(own), "set_id": [r[1] for r in own], "rich": [r[2] for r in own], "hashes": pa.array([r[3] for r in own], pa.list_(pa.int64()))})
+        for known in (often.filter(pa.compute.equal(often["run"], run)), often.slice(0, 0)):
+            got = op6._ranked(held, known).to_pylist()
+            assert [(r["set_id"], r["rich"], r["n"]) for r in got] == [(r[1], r[2], len(r[3])) for r in own]
+            for r, (*_, h) in zip(got, own, strict=True):
+                assert [(x["df"], x["hash"]) for x in r["hashes"]] == (sorted((every[x], x) for x in h if every[x] > 1) if len(known) else [])
