@@ -15,6 +15,9 @@ from .op7_lattice_dedup import lattice_dedup
 from .op8_url_markov import url_filter
 from .op9_risk_rules import risk_rules
 from .op10_quality_pu import quality
+from .op11_block_max_search import search
+from .op12_license_scan import license_scan
+from .op13_importance_resampling import resample
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +75,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_documents(spark, sf_dir)).drop("findings")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_entropy_mixing": op1_entropy_mixing,
     "op2_pii": op2_pii,
@@ -83,5 +99,28 @@ QUERIES = {
     "op8_url_markov": op8_url_markov,
     "op9_risk_rules": op9_risk_rules,
     "op10_quality": op10_quality,
+    "op11_block_max_search": op11_block_max_search,
+    "op12_license_scan": op12_license_scan,
+    "op13_importance_resampling": op13_importance_resampling,
 }
-ORACLE: dict[str, str] = {}
+
+_SEARCH = r"""
+with terms as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from documents
+), held as (select doc_id, term, count(*)::bigint as tf from terms group by all
+), own as (select doc_id, sum(tf)::bigint as n from held group by all
+), every as (select count(*)::bigint as docs, sum(n)::bigint as words from own
+), asked as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark
+), weights as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from held, every group by term, docs
+), scores as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::bigint as score
+  from asked join held using (term) join weights using (term) join own using (doc_id), every group by all
+), ranked as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from scores where score > 0
+) select item_id, rank, doc_id, score from ranked where rank <= 10
+"""
+ORACLE: dict[str, str] = {"op11_block_max_search": _SEARCH}
