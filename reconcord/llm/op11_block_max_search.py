@@ -98,19 +98,21 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _peak_rows(documents: int, length: int):
-    """Puts gains in the place of occurrences and adds the largest gain of each term of the block."""
+    """Puts gains in the place of occurrences, by term, and adds each term's largest gain in the block and the end of its run."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in range(batch.num_rows):
                 n, doc, term, tf = (np.asarray(batch.column(c)[b].values) for c in range(1, 5))
                 m = 10 + (90 * n * documents) // max(1, length)
-                gain = (1_000_000_000 * tf) // (1000 * tf + 8 * m[doc])
                 order = np.argsort(term, kind="stable")
+                doc, tf = doc[order], tf[order]
+                gain = (1_000_000_000 * tf) // (1000 * tf + 8 * m[doc])
                 own, first = np.unique(term[order], return_index=True)
-                peak = np.maximum.reduceat(gain[order], first) if len(own) else gain
-                columns = [batch.column(0).slice(b, 1), batch.column(2).slice(b, 1), batch.column(3).slice(b, 1), _list(gain, pa.int64()), _list(own, pa.int32()), _list(peak, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["ids", "doc", "term", "gain", "peak_term", "peak"])
+                peak = np.maximum.reduceat(gain, first) if len(own) else gain
+                end = np.append(first, len(doc))[1:]
+                columns = [batch.column(0).slice(b, 1), _list(doc, pa.int32()), _list(gain, pa.int64()), _list(own, pa.int32()), _list(end, pa.int32()), _list(peak, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["ids", "doc", "gain", "term", "end", "peak"])
 
     return rows
 
@@ -128,8 +130,8 @@ class Items:
 
     def bounds(self, batch: pa.RecordBatch) -> np.ndarray:
         """Bound of each block (row) of a batch for each item."""
-        block = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(batch.column(4).offsets)))
-        term, peak = np.asarray(batch.column(4).flatten()), np.asarray(batch.column(5).flatten())
+        block = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(batch.column("term").offsets)))
+        term, peak = (np.asarray(batch.column(c).flatten()) for c in ("term", "peak"))
         many = self.at[term + 1] - self.at[term]
         place = np.repeat(self.at[term] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
         out = np.zeros(batch.num_rows * len(self.terms), np.int64)
@@ -138,20 +140,20 @@ class Items:
 
 
 class Forward:
-    """The forward index of one block, by its own term numbers."""
+    """The forward index of one block: views of the batch, so that open blocks take no memory of their own."""
 
     def __init__(self, batch: pa.RecordBatch, b: int):
-        ids = batch.column(0)[b].values
-        self.ids, self.null = np.asarray(ids.fill_null(_LAST)), np.asarray(ids.is_null())
-        doc, term, gain = (np.asarray(batch.column(c)[b].values) for c in (1, 2, 3))
-        self.own = np.asarray(batch.column(4)[b].values)
-        self.gain = np.zeros((len(self.own), len(self.ids)), np.int64)
-        self.gain[np.searchsorted(self.own, term), doc] = gain
+        self.ids = np.asarray(batch.column("ids")[b].values.fill_null(_LAST))
+        self.doc, self.gain, self.own, self.end = (np.asarray(batch.column(c)[b].values) for c in ("doc", "gain", "term", "end"))
 
     def scores(self, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.own, terms), len(self.own) - 1)
         here = self.own[at] == terms
-        return weight[terms[here]] @ self.gain[at[here]]
+        out = np.zeros(len(self.ids), np.int64)
+        for k, w in zip(at[here], weight[terms[here]]):
+            run = slice(self.end[k - 1] if k else 0, self.end[k])
+            out[self.doc[run]] += w * self.gain[run]  # a document stands once in a run
+        return out
 
 
 def _search_rows(items: Items, floor: np.ndarray, best: int, first: bool):
@@ -209,7 +211,7 @@ def _part(stage: Stage, source: DataFrame, rows: list, best: int, block: int) ->
     weight = np.array([math.floor(1000 * math.log((2 * documents + 2) / (2 * int(k) + 1))) for k in df], np.int64)
     items = Items([np.array([number[w] for w in own], np.int64) for own in asked], weight)
 
-    index = stage.keep(blocks.mapInArrow(_peak_rows(documents, length), "ids array<long>, doc array<int>, term array<int>, gain array<long>, peak_term array<int>, peak array<long>"))
+    index = stage.keep(blocks.mapInArrow(_peak_rows(documents, length), "ids array<long>, doc array<int>, gain array<long>, term array<int>, end array<int>, peak array<long>"))
     stage.drop(blocks)
     search = lambda floor, first: index.mapInArrow(_search_rows(items, floor, best, first), "item int, id long, score long, part int")
     floor = np.zeros(len(rows), np.int64)
