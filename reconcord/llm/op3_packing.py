@@ -19,7 +19,9 @@ inside a text is the one token it names, as the vocabulary's own file has it by
 default; ``special={}`` makes it ordinary text.  The ids come from the same
 vocabulary in the form of ranks, which is faster.  Its pattern looks ahead only
 where white space is longer than one character; texts without such white space
-are encoded without that part of it, which is faster again.
+are encoded without that part of it, which is faster again.  A long run of white
+space, on which looking ahead would exhaust the stack, is cut out and encoded as
+the one piece that the pattern makes of it.
 
 A null text is an empty text: one piece of the end mark.  Repeated rows are
 packed each.  An empty table gives an empty result.
@@ -48,6 +50,8 @@ SPECIAL = {"<|endoftext|>": 50256}
 _GAP = re.compile(r"\s\s")
 #: The part of the vocabulary's pattern that only matters where white space is longer than one character.
 LOOK_AHEAD = r"\s+(?!\S)|"
+#: Runs of the pattern's white space that are cut out before it is applied.
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 class Encoder:
@@ -59,17 +63,35 @@ class Encoder:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.special = SPECIAL if special is None else special
-        make = lambda p: tiktoken.Encoding("vocabulary", pat_str=p, mergeable_ranks=ranks, special_tokens=self.special)
+        self.named = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        make = lambda p: tiktoken.Encoding("vocabulary", pat_str=p, mergeable_ranks=ranks, special_tokens={})
         self.full = make(pattern)
         self.quick = make(pattern.replace(LOOK_AHEAD, ""))
+        self.whole = make(r"[\s\S]+")
+
+    def _plain(self, text: str) -> list[int]:
+        """Ids of a text without special strings."""
+        out, at = [], 0
+        for run in _RUN.finditer(text):
+            # the pattern leaves the last character of a run to what follows
+            end = run.end() - (run.end() < len(text))
+            out += self._short(text[at : run.start()]) + self.whole.encode_ordinary(text[run.start() : end])
+            at = end
+        return out + self._short(text[at:]) if at else self._short(text)
+
+    def _short(self, text: str) -> list[int]:
+        return (self.full if _GAP.search(text) else self.quick).encode_ordinary(text)
 
     def __call__(self, text: str) -> bytes:
-        encoding = self.full if _GAP.search(text) else self.quick
-        named = any(s in text for s in self.special)
-        out = array("I", encoding.encode(text, allowed_special="all") if named else encoding.encode_ordinary(text))
+        found, at = array("I"), 0
+        for name in self.named.finditer(text) if self.named else ():
+            found.extend(self._plain(text[at : name.start()]))
+            found.append(self.special[name[0]])
+            at = name.end()
+        found.extend(self._plain(text[at:] if at else text))
         if sys.byteorder == "big":
-            out.byteswap()
-        return out.tobytes()
+            found.byteswap()
+        return found.tobytes()
 
 
 def _piece_rows(vocabulary: str, pattern: str, capacity: int, with_ids: bool, special: dict[str, int] | None):

@@ -392,3 +392,36 @@ def test_exact_binomial_bound():
     from math import comb
 
     assert sum(comb(200, i) * p**i * (1 - p) ** (200 - i) for i in range(6)) == pytest.approx(0.01)
+
+
+def _encoders():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return op3.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@pytest.mark.parametrize("gap", [" ", "\n", " \n\t", "　", "\x1c", "\r\n"])
+@pytest.mark.parametrize("around", [("x", "y"), ("", "y"), ("x", ""), ("it's", "<|endoftext|> z"), ("<|endoftext|>", "'s")])
+def test_ids_of_long_white_space_equal_the_vocabularys_own_reader(gap, around):
+    own, plain = _encoders()
+    for k in (2, 999, 1000, 1001, 5000):
+        text = around[0] + gap * k + around[1]
+        assert np.frombuffer(own(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("gap, k", [(" ", 1_000_000), ("\n", 1_000_000), ("\n", 10_000_000), (" ", 10_000_000)])
+def test_packing_of_very_long_white_space(spark, gap, k):
+    own, plain = _encoders()
+    text = "x" + gap * k + "y z" + gap * 1500
+    if k < 5_000_000:  # the other reader takes seconds for each million
+        assert np.frombuffer(own(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    else:
+        run = np.frombuffer(own(text), "<u4")
+        per = {" ": 1, "\n": 2}[gap]  # bytes an id of such a run stands for
+        assert len(run) >= k // per and len(set(run[2:-1000].tolist())) <= 6
+    got = op3.best_fit_pack(spark.createDataFrame([(1, text), (2, "a")], "doc_id long, text string")).collect()
+    ids = np.append(np.frombuffer(own(text), "<u4"), op3.END_ID).astype("<u4")
+    first = sorted((r["start"], r["length"], r["ids_crc32"]) for r in got if r["doc_id"] == 1)
+    assert sum(n for _, n, _ in first) == len(ids)
+    assert all(zlib.crc32(ids[a : a + n].tobytes()) == crc for a, n, crc in first)
