@@ -55,6 +55,9 @@ SKETCH = 2048
 #: Hashes of a run of sets, and of a part of all hashes, about; they bound the memory of a task.
 HELD = 1 << 15
 PART = 1 << 16
+#: Slots that one pass deals elements to, and the elements that a task gathers before it passes them on: about a thousand a row, at any size.
+WAYS = 1 << 10
+PASSED = 1 << 20
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -177,56 +180,116 @@ def _candidates(frequent: int, percent: int):
     return rows
 
 
-def _counted(parts: int):
-    """The hashes of a run of sets and how many of its sets hold each, in one array for each part of all hashes."""
+class _Dealer:
+    """Gathers elements (key, x, y) and passes them on in rows, one for each slot: the key divided by ``step``."""
 
-    def done(run: int, held: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        hash_, times = np.unique(np.concatenate(held), return_counts=True)
-        part = (hash_.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-        by_part = np.argsort(part, kind="stable")
-        bucket, start = np.unique(part[by_part], return_index=True)
-        at = np.append(start, len(hash_)).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(at, x[by_part]) for x in (hash_, times)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), run)), pa.array(bucket), *lists], names=["run", "bucket", "hashes", "times"])
+    def __init__(self, step: int, passed: int):
+        self.step, self.passed = step, passed
+        self.held, self.n = [], 0
+
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(columns)
+        self.n += len(columns[0])
+        if self.n >= self.passed:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            columns = [np.concatenate(x) for x in zip(*self.held)]
+            slot = columns[0] // self.step
+            order = np.argsort(slot, kind="stable")
+            own, start = np.unique(slot[order], return_index=True)
+            at = np.append(start, len(slot)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(own), *[pa.ListArray.from_arrays(at, x[order]) for x in columns]], names=["slot", "key", "x", "y"])
+        self.held, self.n = [], 0
+
+
+_DEALT = "slot long, key array<long>, x array<long>, y array<long>"
+
+
+def _values(batch: pa.RecordBatch, i: int) -> list[np.ndarray]:
+    return [np.asarray(batch.column(c)[i].values) for c in ("key", "x", "y")]
+
+
+def _counted(parts: int, step: int, passed: int):
+    """Elements (part, hash with its run's number beside it, sets of the run that hold it), dealt by part."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, []
+        dealer, last, held = _Dealer(step, passed), None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                hash_, times = np.unique(np.concatenate(held), return_counts=True)
+                part = (hash_.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+                # run and count in one number; a run has far fewer than 2 ** 24 sets
+                yield from dealer.add(part, hash_, (np.int64(last) << 24) + times)
+
         for batch in batches:
             for run, hashes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if run != last:
-                    yield from done(last, held)
+                    yield from done()
                     last, held = run, []
                 held.append(np.asarray(hashes.values))
-        yield from done(last, held)
+        yield from done()
+        yield from dealer.rest()
 
     return rows
 
 
-def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each run and part its hashes that several sets of all runs hold, with their number."""
+def _dealt_again(step: int, passed: int):
+    """Rows of a slot dealt on to the slots within it; they come sorted by slot."""
 
-    def done(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        n = [len(h) for _, h, _ in held]
-        hash_ = np.concatenate([h for _, h, _ in held])
-        _, same = np.unique(hash_, return_inverse=True)
-        df = np.bincount(same, np.concatenate([t for _, _, t in held])).astype(np.int64)[same]
-        run = np.repeat(np.arange(len(n)), n)[df > 1]
-        at = np.searchsorted(run, np.arange(len(n) + 1)).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(at, x[df > 1]) for x in (hash_, df)]
-        yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in held], pa.int64()), *lists], names=["run", "hashes", "df"])
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer, last = _Dealer(step, passed), None
+        for batch in batches:
+            for i, slot in enumerate(batch.column("slot").to_pylist()):
+                if slot != last:
+                    yield from dealer.rest()
+                    last = slot
+                yield from dealer.add(*_values(batch, i))
+        yield from dealer.rest()
 
-    last, held = None, []
-    for batch in batches:
-        for run, bucket, hashes, times in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), batch.column(3), strict=True):
-            if bucket != last:
-                yield from done(held)
-                last, held = bucket, []
-            held.append((run, np.asarray(hashes.values), np.asarray(times.values)))
-    yield from done(held)
+    return rows
+
+
+def _steps(keys: int, ways: int) -> list[int]:
+    """By what each pass divides the keys: with so many passes none deals to more than ``ways`` slots for one that it reads."""
+    out = [1]
+    while keys > ways * out[0]:
+        out.insert(0, out[0] * ways)
+    return out
+
+
+def _dealt(first: DataFrame, steps: list[int], passed: int) -> DataFrame:
+    """The elements of ``first``, dealt by the first step, together by key: sorted rows whose slot is the key."""
+    for step in steps[1:]:
+        first = first.repartition("slot").sortWithinPartitions("slot").mapInArrow(_dealt_again(step, passed), _DEALT)
+    return first.repartition("slot").sortWithinPartitions("slot")
+
+
+def _often(step: int, passed: int):
+    """Elements (run, hash, sets of all runs that hold it) of each run's hashes that several sets hold, dealt by run; parts come sorted."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer, last, held = _Dealer(step, passed), None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                hash_, both = (np.concatenate(x) for x in zip(*held))
+                _, same = np.unique(hash_, return_inverse=True)
+                df = np.bincount(same, both & ((1 << 24) - 1)).astype(np.int64)[same]
+                yield from dealer.add(both[df > 1] >> 24, hash_[df > 1], df[df > 1])
+
+        for batch in batches:
+            for i, part in enumerate(batch.column("slot").to_pylist()):
+                if part != last:
+                    yield from done()
+                    last, held = part, []
+                held.append(_values(batch, i)[1:])
+        yield from done()
+        yield from dealer.rest()
+
+    return rows
 
 
 def _ranked(sets: pa.Table, often: pa.Table) -> pa.Table:
@@ -372,12 +435,14 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rich = group.where("frequent").join(members, "group_id").select("set_id", F.lit(True).alias("rich"))
     mixed = group.where("kinds > 1").join(members, "group_id").select("set_id", F.lit(False).alias("rich"))
     listed = stage.keep(rich.union(mixed).groupBy("set_id").agg(F.max("rich").alias("rich")))
-    # how many sets hold each hash is counted by runs of sets and parts of the hashes, in arrays; no row is a hash
+    # how many sets hold each hash is counted by runs of sets and parts of the hashes; a row is about a thousand hashes, at any size
     total = whole.join(listed, "set_id", "left_semi").agg(F.sum(F.size("hashes"))).first()[0] or 0
     runs, parts = max(1, -(-total // HELD)), max(1, -(-total // PART))
     some = stage.keep(whole.join(listed, "set_id").select(F.pmod(F.xxhash64("set_id"), F.lit(runs)).alias("run"), "set_id", "rich", "hashes"))
-    counted = some.select("run", "hashes").repartition("run").sortWithinPartitions("run").mapInArrow(_counted(parts), "run long, bucket long, hashes array<long>, times array<long>")
-    often = stage.keep(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_often, "run long, hashes array<long>, df array<long>"))
+    by_part, by_run = _steps(parts, WAYS), _steps(runs, WAYS)
+    counted = some.select("run", "hashes").repartition("run").sortWithinPartitions("run").mapInArrow(_counted(parts, by_part[0], PASSED), _DEALT)
+    found = _dealt(counted, by_part, PASSED).mapInArrow(_often(by_run[0], PASSED), _DEALT)
+    often = stage.keep(_dealt(found, by_run, PASSED).select(F.col("slot").alias("run"), "x", "y"))
     ranked = stage.keep(some.groupBy("run").cogroup(often.groupBy("run")).applyInArrow(_ranked, "set_id long, rich boolean, n long, hashes array<struct<df:long,hash:long>>"))
     lists = (
         ranked.where("rich").withColumn("alone", F.col("n") - F.size("hashes"))

@@ -305,7 +305,8 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert whole == sorted((r["doc_id"], r["ids_crc32"]) for r in seen["packing"])
 
 
-def test_ngram_ranks_across_runs():
+@pytest.mark.parametrize("parts, ways, passed", [(3, 1024, 1 << 20), (7, 2, 20), (40, 3, 1), (1, 2, 7)])
+def test_ngram_ranks_across_runs(parts, ways, passed):
     draw = np.random.default_rng(5)
     sets = {i: np.unique(draw.integers(0, 60, 12)) for i in range(50)}
     sets[50], sets[54] = np.array([1000]), np.array([1001])
@@ -313,9 +314,18 @@ def test_ngram_ranks_across_runs():
     whole = sorted((i % 4 if i < 54 else 9, i, i < 9, s.tolist()) for i, s in sets.items())
     lists = lambda rows, names: pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64()) if k > 1 or names[k] == "hashes" else None) for k, x in enumerate(zip(*rows))], names=names)
     read = lists([(r, h) for r, _, _, h in whole], ["run", "hashes"])
-    counted = [tuple(r.values()) for b in op6._counted(3)([read.slice(0, 20), read.slice(20)]) for r in b.to_pylist()]
-    counted = lists(sorted(counted, key=lambda r: r[1]), ["run", "bucket", "hashes", "times"])
-    often = pa.Table.from_batches(list(op6._often([counted.slice(0, 5), counted.slice(5)])))
+
+    def dealt(batches, steps):
+        """As between tasks: rows of a slot come together, sorted, in batches of any size."""
+        for step in [*steps[1:], None]:
+            rows = pa.Table.from_batches(list(batches)).combine_chunks().sort_by("slot").to_batches(max_chunksize=4)
+            batches = rows if step is None else op6._dealt_again(step, passed)(rows)
+        return batches
+
+    by_part, by_run = op6._steps(parts, ways), op6._steps(10, ways)
+    assert all(a <= b * ways for a, b in zip([parts, *by_part], by_part)) and by_part[-1] == by_run[-1] == 1
+    counted = dealt(op6._counted(parts, by_part[0], passed)([read.slice(0, 20), read.slice(20)]), by_part)
+    often = pa.Table.from_batches(dealt(op6._often(by_run[0], passed)(counted), by_run)).rename_columns(["run", "key", "x", "y"])
     for run in {r for r, *_ in whole}:
         own = [r for r in whole if r[0] == run]
         held = pa.table({"run": [run] * len(own), "set_id": [r[1] for r in own], "rich": [r[2] for r in own], "hashes": pa.array([r[3] for r in own], pa.list_(pa.int64()))})
