@@ -295,7 +295,7 @@ def _often(step: int, passed: int):
 def _ranked(sets: pa.Table, often: pa.Table) -> pa.Table:
     """The sets of a run with those of their hashes that other sets hold too, the rarest first."""
     sets, often = sets.combine_chunks(), often.combine_chunks()
-    known, df = (np.concatenate([np.zeros(0, np.int64), *(np.asarray(x.values) for x in often[c])]) for c in ("hashes", "df"))
+    known, df = (np.concatenate([np.zeros(0, np.int64), *(np.asarray(x.values) for x in often[c])]) for c in ("x", "y"))
     order = np.argsort(known)
     known, df = known[order], df[order]
     n, lists = [], []
