@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import naira_to_kobo
+from . import json_files
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -18,8 +19,16 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.decode("content", "UTF-8").alias("body"), F.sha2("content", 256).alias("evidence_id"), F.col("length").alias("byte_length"))
 
 
+def file_rows(spark: SparkSession, path: str, root: str = "$") -> DataFrame:
+    """As ``rows`` of ``files``, with each file read in many tasks: for files of any size, in place of documents in the scans below."""
+    found = json_files.array_rows(spark, path, root)
+    return found.join(json_files.evidence(spark, path, found), "path").select("evidence_id", F.col("position").cast("int").alias("position"), "lineage", "row")
+
+
 def rows(documents: DataFrame, root: str = "$") -> DataFrame:
-    """One row per element of a JSON array at ``root`` ($ or $.data): (evidence_id, position, lineage, row)."""
+    """One row per element of a JSON array at ``root`` ($ or $.data): (evidence_id, position, lineage, row); rows of ``file_rows`` as they are."""
+    if "row" in documents.columns:
+        return documents
     array = F.col("body") if root == "$" else F.get_json_object("body", root)
     element = F.from_json(array, "array<string>")
     x = documents.select("evidence_id", F.posexplode(element).alias("position", "row"))
