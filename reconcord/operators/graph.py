@@ -15,7 +15,7 @@ def _kept(df: DataFrame, root: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _shared(spark: SparkSession) -> str:
+def shared(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; only in local mode may it be unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -28,13 +28,13 @@ def _shared(spark: SparkSession) -> str:
 
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: what reads it several times computes it once, and its lineage ends here."""
-    return _kept(df, _shared(df.sparkSession) + "/staged")
+    return _kept(df, shared(df.sparkSession) + "/staged")
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(id, component) from edges (a, b): the smallest id reachable.  Rounds are tables in spark.checkpoint.dir (a temporary folder where it is unset)."""
     spark = edges.sparkSession
-    root = _shared(spark) + "/components"
+    root = shared(spark) + "/components"
     both = _kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), root)
     labels = _kept(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), root)
     while True:

@@ -186,7 +186,7 @@ def _elements(name: str | None, parts: bool):
                     if skip:
                         yield batch(key, [position], pieces[:1])
                 elif len(pieces) > skip:
-                    yield batch(key, np.arange(position + skip, position + len(pieces)), pieces[skip:])
+                    yield batch(key, np.arange(position + skip, position + len(pieces)), [x.strip() for x in pieces[skip:]])
                 whole, held = True, []
             position += len(comma)
             if state == INSIDE:
@@ -224,8 +224,9 @@ def _group(spark: SparkSession, paths: list[str], name: str | None) -> DataFrame
     cut = lambda parts: source.join(ready, ["path", "block"]).mapInArrow(_elements(name, parts), "path string, block long, position long, row binary")
     pieces = F.array_sort(F.collect_list(F.struct("block", F.hex("row").alias("row"))))
     joined = cut(True).groupBy("path", "position").agg(F.unhex(F.array_join(F.transform(pieces, lambda p: p["row"]), "")).alias("row"))
+    joined = joined.withColumn("row", F.btrim(F.col("row").cast("string"), F.lit(" \t\r\n")).cast("binary"))
     out = cut(False).select("path", "position", "row").unionByName(joined)
-    return out.select("path", "position", F.trim(F.regexp_replace(F.col("row").cast("string"), r"^\s+|\s+$", "")).alias("row")).where("row <> ''")
+    return out.select("path", "position", F.col("row").cast("string").alias("row")).where("row <> ''")
 
 
 def sizes(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -272,4 +273,5 @@ def evidence(spark: SparkSession, path: str | list[str], rows: DataFrame) -> Dat
     large = rows.join(sizes(spark, path).where(F.col("length") > WHOLE).select(F.regexp_replace("path", "^file:/+", "/").alias("own")), F.regexp_replace("path", "^file:/+", "/") == F.col("own"), "left_semi")
     hashed = lambda c, by: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, c))), lambda x: x[c]), ","), 256)
     some = large.select("path", F.floor(F.col("position") / HASHED).alias("run"), "position", F.sha2("row", 256).alias("h")).groupBy("path", "run").agg(hashed("h", "position").alias("h"))
-    return small.unionByName(some.groupBy("path").agg(F.concat(F.lit("rows:"), hashed("h", "run")).alias("evidence_id")))
+    # staged, so that its size is known where it is joined
+    return staged(small.unionByName(some.groupBy("path").agg(F.concat(F.lit("rows:"), hashed("h", "run")).alias("evidence_id"))))
