@@ -21,11 +21,15 @@ def timed(spark):
     spark.conf.unset(key) if was is None else spark.conf.set(key, was)
 
 
-def outcome(delivery_id, body, attempt):
-    """Bodies say how often they fail first."""
-    if body is None:
-        raise ValueError("no body")
-    return None if attempt > int(body) else f"no {attempt}"
+def failing():
+    """Bodies say how often they fail first; made here, as workers cannot import this module."""
+
+    def outcome(delivery_id, body, attempt):
+        if body is None:
+            raise ValueError("no body")
+        return None if attempt > int(body) else f"no {attempt}"
+
+    return outcome
 
 
 def put(spark, folder, rows):
@@ -35,7 +39,7 @@ def put(spark, folder, rows):
 def run(spark, tmp_path, **options):
     """All micro-batches that the files so far make; later calls go on from the checkpoint."""
     source = spark.readStream.schema("delivery_id string, body string, received_at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = retries.retries(source, outcome, event_time=True, **options).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q = retries.retries(source, failing(), event_time=True, **options).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(240)
     return spark.read.schema(retries.OUTPUT).parquet(str(tmp_path / "out")).orderBy("delivery_id", "attempt").collect()
 
@@ -71,7 +75,7 @@ def test_attempts_fall_on_their_instants_and_end(timed, tmp_path):
 
 def test_delays_equal_the_column_of_the_queue(spark):
     rows = [(i, k) for i in [*IDS, "zz"] for k in range(1, 12)]
-    df = spark.createDataFrame(rows, "delivery_id string, attempts int").withColumn("ms", queue.retry_after(F.col("attempts"), F.col("delivery_id")))
+    df = spark.createDataFrame(rows, "delivery_id string, attempts int").withColumn("ms", queue.retry_after_ms(F.col("attempts"), F.col("delivery_id")))
     for r in df.where("delivery_id <> 'zz'").collect():
         assert r["ms"] == retries.delay(r["attempts"], r["delivery_id"])
     assert [retries.delay(k, "80") // 1000 for k in (1, 2, 9, 10, 50)] == [1, 2, 256, 300, 300]
@@ -81,7 +85,7 @@ def test_retries_by_the_clock_of_processing(timed, tmp_path):
     spark, folder = timed, str(tmp_path / "in")
     put(spark, folder, [("a0", "2", 0), ("b0", "9", 0)])
     source = spark.readStream.schema("delivery_id string, body string, received_at timestamp").parquet(folder)
-    q = retries.retries(source, outcome, most=3, wait=lambda attempts, i: 300).writeStream.format("memory").queryName("timed_retries").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="300 milliseconds").start()
+    q = retries.retries(source, failing(), most=3, wait=lambda attempts, i: 300).writeStream.format("memory").queryName("timed_retries").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="300 milliseconds").start()
     try:
         deadline = time.time() + 90
         while time.time() < deadline and spark.table("timed_retries").where("state <> 'pending'").count() < 2:
@@ -97,4 +101,4 @@ def test_retries_name_the_store_they_need(spark):
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider"):
         pytest.skip("set for the session")
     with pytest.raises(ValueError, match="RocksDB"):
-        retries.retries(spark.createDataFrame([], "delivery_id string, body string, received_at timestamp"), outcome)
+        retries.retries(spark.createDataFrame([], "delivery_id string, body string, received_at timestamp"), failing())
