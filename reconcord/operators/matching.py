@@ -72,7 +72,12 @@ def identifiers(lines: DataFrame) -> DataFrame:
 
 def bank_names(lines: DataFrame, inflows: DataFrame) -> DataFrame:
     """All (idempotency_key, inflow_key) where a credit names the inflow, by a word of the narration or the stated reference."""
-    own = identifiers(lines.where("direction = 'credit' and amount_kobo > 0"))
+    return line_names(lines.where("direction = 'credit' and amount_kobo > 0"), inflows)
+
+
+def line_names(lines: DataFrame, inflows: DataFrame) -> DataFrame:
+    """As ``bank_names``, of lines in either direction."""
+    own = identifiers(lines)
     keys = inflows.select("inflow_key", F.upper("inflow_key").alias("word"), F.lit(True).alias("token")).unionByName(inflows.select("inflow_key", F.col("inflow_key").alias("word"), F.lit(False).alias("token")))
     return own.join(keys, ["word", "token"]).select("idempotency_key", "inflow_key").distinct()
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import money, protect
-from ..operators import calendar, fees, ledger, lifecycle, payouts, queue, reads, reserves, sequential
+from ..operators import calendar, confirmation, fees, ledger, lifecycle, matching, payouts, queue, reads, reserves, sequential
 from ..operators.graph import shared
 from ..sources import statements
 from .queries import _ASOF, _FEE, _SHARES, _VIEW, AS_OF, MONEY, PAY, _concluded, _shares, query, stamp
@@ -503,3 +503,23 @@ def scan_statement_splits(v):
     folder = f"{shared(spark)}/statements/{uuid.uuid4().hex}"
     lines.repartitionByRange(1, "event_id").sortWithinPartitions("event_id").select("line").write.text(folder)
     return statements.scan_bank_statement(statements.file_rows(spark, folder), "main").select("lineage", "amount_kobo", "reject")
+
+
+def _stage_inputs(v):
+    """Open inflows with the terms of their sources, all bank lines with some debits among them, and what earlier runs banked."""
+    policy = F.when(F.col("source") == "paystack", 60_000).when(F.col("source") == "flutterwave", 10_000).otherwise(0).cast("long")
+    # every fifth amount is rounded, so that several share one
+    coarse = lambda c: F.when(F.col("n") % 5 == 0, F.expr(f"{c} div 1000000 * 1000000")).otherwise(F.col(c))
+    due = F.col("value_date") + F.make_dt_interval(F.lit(3))
+    own = v["inflows"].where("confirmed_by is null").select("inflow_key", coarse("expected_net_kobo").alias("expected_net_kobo"), "value_date", due.alias("escalates_at"), policy.alias("allowance_kobo"), (F.col("source") != "monnify").alias("pairs"))
+    banked = matching.confirmed_inflows(v["inflows"], v["bank_lines"]).select("inflow_key", "credited_kobo")
+    lines = v["bank_lines"].join(v["inflows"].where("confirmed_by is not null").select(F.col("confirmed_by").alias("idempotency_key")), "idempotency_key", "left_anti")
+    # what was banked comes back now and then, as the same amount by another line
+    back = v["bank_lines"].where("n % 6 = 0 and n % 4 = 0").withColumn("direction", F.lit("debit")).withColumn("idempotency_key", F.concat("idempotency_key", F.lit("!")))
+    lines = lines.withColumn("amount_kobo", F.when(F.col("direction") == "credit", coarse("amount_kobo")).otherwise(F.col("amount_kobo"))).unionByName(back)
+    return own, lines.select("idempotency_key", "direction", "amount_kobo", "value_date", "narration", "stated_reference"), banked
+
+
+@query(None)
+def bank_stage(v):
+    return confirmation.bank_stage(*_stage_inputs(v), F.lit(AS_OF).cast("timestamp"))
