@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import staged
+
 
 def reserve_positions(holds: DataFrame, releases: DataFrame) -> DataFrame:
     """Withheld, released and outstanding for each hold."""
@@ -25,36 +26,54 @@ def reserve_fifo_release(positions: DataFrame, release: DataFrame) -> DataFrame:
     return x.withColumn("applied_kobo", F.least(F.col("outstanding_kobo"), F.greatest(F.lit(0), F.col("amount_kobo") - F.col("before")))).where("applied_kobo > 0").select("inflow_key", "source", "applied_kobo")
 
 
+def _in_parts(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` sorted by source and ``order`` into parts: a source with most of the rows is many of them."""
+    return staged(df.repartitionByRange("source", *order).withColumn("part", F.spark_partition_id()))
+
+
 def reserve_fold(holds: DataFrame, releases: DataFrame) -> DataFrame:
     """Any number of releases (source, at, released_by, amount_kobo) in order: rows (source, released_by, inflow_key, applied_kobo, unapplied_kobo).
 
     A release sees the holds recorded up to its instant; its excess is reported
-    and not carried on.  The fold is one task a source, as its state is ordered.
+    and not carried on.  Amounts of zero and less do nothing.
+
+    What is outstanding is a running sum that stops at zero, so the excess up to
+    a release is how far the plain sum of holds less releases has ever been
+    below zero.  Sum and lowest sum of a stretch of events add up, so each part
+    of a source needs only those of the parts before it.  Each hold and each
+    release then has its stretch of all kobo held; where two stretches overlap,
+    that much is applied.  The stretches meet in one more pass in order, in
+    which each row looks back to the last hold and the last release.
     """
-    tagged = holds.select("source", F.col("withheld_at").alias("at"), F.lit(0).alias("turn"), F.col("inflow_key").alias("name"), F.col("withheld_kobo").alias("kobo")).unionByName(
+    events = holds.select("source", F.col("withheld_at").alias("at"), F.lit(0).alias("turn"), F.col("inflow_key").alias("name"), F.col("withheld_kobo").alias("kobo")).unionByName(
         releases.select("source", "at", F.lit(1).alias("turn"), F.col("released_by").alias("name"), F.col("amount_kobo").alias("kobo"))
     )
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        left: list[list] = []
-        out = []
-        for r in frame.sort_values(["at", "turn", "name"]).itertuples():
-            if r.turn == 0:
-                left.append([r.name, int(r.kobo)])
-                continue
-            todo = int(r.kobo)
-            for hold in left:
-                use = min(todo, hold[1])
-                if use:
-                    hold[1] -= use
-                    todo -= use
-                    out.append((r.source, r.name, hold[0], use, 0))
-            left = [h for h in left if h[1]]
-            if todo:
-                out.append((r.source, r.name, None, 0, todo))
-        return pd.DataFrame(out, columns=["source", "released_by", "inflow_key", "applied_kobo", "unapplied_kobo"])
-
-    return tagged.groupBy("source").applyInPandas(fold, "source string, released_by string, inflow_key string, applied_kobo long, unapplied_kobo long")
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    e = _in_parts(events.where("kobo > 0"), "at", "turn", "name")
+    so_far = Window.partitionBy("source", "part").orderBy("at", "turn", "name").rowsBetween(Window.unboundedPreceding, 0)
+    held = F.when(F.col("turn") == 0, F.col("kobo")).otherwise(0)
+    e = e.withColumn("sum", F.sum(2 * held - F.col("kobo")).over(so_far)).withColumn("held", F.sum(held).over(so_far))
+    part = e.groupBy("source", "part").agg(F.max_by("sum", F.struct("at", "turn", "name")).alias("total"), F.min("sum").alias("low"), F.max("held").alias("all_held"))
+    part = part.withColumn("sum_before", F.coalesce(F.sum("total").over(earlier), F.lit(0))).withColumn("held_before", F.coalesce(F.sum("all_held").over(earlier), F.lit(0)))
+    part = part.withColumn("low_before", F.least(F.lit(0), F.min(F.col("sum_before") + F.col("low")).over(earlier)))
+    x = e.join(part.select("source", "part", "sum_before", "held_before", "low_before"), ["source", "part"])
+    low = lambda till: F.least("low_before", F.min(F.col("sum_before") + F.col("sum")).over(so_far.rowsBetween(Window.unboundedPreceding, till)))
+    x = x.withColumn("low_now", low(0)).withColumn("low_then", F.coalesce(low(-1), F.col("low_before"))).withColumn("held", F.col("held_before") + F.col("held")).withColumn("sum", F.col("sum_before") + F.col("sum"))
+    over = F.col("low_then") - F.col("low_now")
+    # releases up to this one less the excess of all of them
+    end = F.when(F.col("turn") == 0, F.col("held")).otherwise(F.col("held") - F.col("sum") + F.col("low_now"))
+    x = staged(x.select("source", "turn", "name", (end - F.col("kobo") + F.when(F.col("turn") == 1, over).otherwise(0)).alias("start"), end.alias("end"), F.when(F.col("turn") == 1, over).otherwise(0).alias("over")))
+
+    stretch = F.struct("start", "end", "name")
+    y = _in_parts(x.where("start < end").select("source", "start", "turn", F.when(F.col("turn") == 0, stretch).alias("hold"), F.when(F.col("turn") == 1, stretch).alias("release")), "start", "turn")
+    back = Window.partitionBy("source", "part").orderBy("start", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    carried = y.groupBy("source", "part").agg(F.max("hold").alias("hold"), F.max("release").alias("release"))
+    carried = carried.select("source", "part", F.max("hold").over(earlier).alias("hold_before"), F.max("release").over(earlier).alias("release_before"))
+    y = y.select("source", "part", "start", F.max("hold").over(back).alias("hold"), F.max("release").over(back).alias("release")).join(carried, ["source", "part"])
+    y = y.select("source", "start", F.coalesce("hold", "hold_before").alias("hold"), F.coalesce("release", "release_before").alias("release"))
+    used = F.least("hold.end", "release.end") - F.col("start")
+    applied = y.where(F.col("hold").isNotNull() & F.col("release").isNotNull() & (used > 0)).select("source", F.col("release.name").alias("released_by"), F.col("hold.name").alias("inflow_key"), used.alias("applied_kobo"), F.lit(0).cast("long").alias("unapplied_kobo"))
+    return applied.unionByName(x.where("over > 0").select("source", F.col("name").alias("released_by"), F.lit(None).cast("string").alias("inflow_key"), F.lit(0).cast("long").alias("applied_kobo"), F.col("over").alias("unapplied_kobo")))
 
 
 def record_reserve_movement(inflows: DataFrame, release_days: int | None) -> tuple[DataFrame, DataFrame]:

@@ -503,7 +503,13 @@ def scan_webhooks(v):
     return webhooks.scan_webhooks(sent).select("event_id", "result", "idempotency_key")
 
 
-@query(None)
+@query("""with r as (select p.source, p.value_date as moment, x.released_by as name, x.released_kobo as kobo from reserve_releases x join payouts p on x.inflow_key = p.payout_reference),
+e as (select source, withheld_at as moment, 0 as turn, inflow_key as name, withheld_kobo as kobo from reserve_holds union all select source, moment, 1, name, kobo from r),
+s as (select *, sum(case turn when 0 then kobo else -kobo end) over w as total, sum(case turn when 0 then kobo else 0 end) over w as held, sum(case turn when 1 then kobo else 0 end) over w as freed from e where kobo > 0 window w as (partition by source order by moment, turn, name rows unbounded preceding)),
+m as (select *, least(0, min(total) over (partition by source order by moment, turn, name rows unbounded preceding)) as low, least(0, coalesce(min(total) over (partition by source order by moment, turn, name rows between unbounded preceding and 1 preceding), 0)) as low_then from s),
+h as (select source, name, held - kobo as a, held as b from m where turn = 0), f as (select source, name, freed - kobo + low_then as a, freed + low as b, low_then - low as over from m where turn = 1)
+select f.source, f.name as released_by, h.name as inflow_key, cast(least(h.b, f.b) - greatest(h.a, f.a) as bigint) as applied_kobo, cast(0 as bigint) as unapplied_kobo from f join h on f.source = h.source and h.a < f.b and f.a < h.b
+union all select source, name, null, 0, cast(over as bigint) from f where over > 0""", *PAY, "reserve_holds", "reserve_releases")
 def reserve_fold(v):
     releases = v["reserve_releases"].join(v["payouts"].select(F.col("payout_reference").alias("inflow_key"), "source", F.col("value_date").alias("at")), "inflow_key").select("source", "at", "released_by", F.col("released_kobo").alias("amount_kobo"))
     return reserves.reserve_fold(v["reserve_holds"], releases)
