@@ -154,6 +154,9 @@ def allocate(promises: DataFrame, payouts: DataFrame, rounds: int = ROUNDS) -> D
     ok = F.col("value_date").isNull() | ((F.col("occurred_at") <= F.col("value_date")) & (F.col("escalates_at").isNull() | (F.col("value_date") <= F.col("escalates_at"))))
     pairs = reach.select("source", "own_day", "payout_reference", "gross_kobo", "expected_net_kobo", "value_date", "near").join(goods, ["source", "own_day"]).where(ok)
     pairs = staged(pairs)
+    decided = bare(tagged.where("alone is not null"), F.col("alone")).unionByName(bare(tried.where("not searched"), F.lit("BATCH_TOO_LARGE")))
+    if not pairs.head(1):  # no promise is in reach of any search
+        return decided.unionByName(bare(tried.where("searched"), F.lit("PHANTOM_CREDIT")))
     # payouts that share a promise overlap in the time from their first promise to their value date
     ever = F.col("value_date").isNull()
     size = pairs.groupBy("source", "payout_reference").agg(
@@ -199,7 +202,6 @@ def allocate(promises: DataFrame, payouts: DataFrame, rounds: int = ROUNDS) -> D
 
     folded = rows.groupBy("source", "island").applyInPandas(fold, schema)
     none = tried.where("searched").drop("near").join(size.drop("low", "high"), ["source", "payout_reference"], "left").where(F.col("n").isNull() | many)
-    decided = bare(tagged.where("alone is not null"), F.col("alone")).unionByName(bare(tried.where("not searched"), F.lit("BATCH_TOO_LARGE")))
     return folded.unionByName(decided).unionByName(bare(none, F.when(F.col("n").isNull(), "PHANTOM_CREDIT").otherwise("BATCH_TOO_LARGE")))
 
 

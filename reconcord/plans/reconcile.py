@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import calendar, matching, payouts, sequential
+from ..operators import calendar, confirmation, fees, payouts, sequential
 from ..operators.graph import staged
 
 
@@ -18,31 +18,53 @@ class Run:
     allocations: DataFrame
     confirmations: DataFrame
     exceptions: DataFrame
+    #: Debits that took a banked inflow back.
+    returned: DataFrame
+    #: What is put off: promises not due yet or partly paid, inflows that the bank may still credit.
+    deferred: DataFrame
 
 
-def promises_for(entries: DataFrame, promises: DataFrame, allocations: DataFrame, dim: DataFrame, zone: str, cut_off: int, days: int, grace: int) -> DataFrame:
-    """Open promises with what they are owed and when they escalate."""
+def promises_for(entries: DataFrame, promises: DataFrame, allocations: DataFrame, dim: DataFrame, zone: str, cut_off: int, days: int, grace: int, contracts: DataFrame | None = None) -> DataFrame:
+    """Open promises with what they are owed, when they escalate and, with ``contracts``, the terms by which their fees are predicted."""
     from ..operators.ledger import open_promises
 
     owed = open_promises(entries, allocations).select("transaction_id", F.col("outstanding_kobo").alias("owed_kobo"))
-    return calendar.settlement_deadline(promises.join(owed, "transaction_id"), dim, "occurred_at", zone, cut_off, days, grace).select("source", "transaction_id", "owed_kobo", "occurred_at", "escalates_at")
+    due = calendar.settlement_deadline(promises.join(owed, "transaction_id"), dim, "occurred_at", zone, cut_off, days, grace)
+    if contracts is not None:
+        due = fees.contract_asof(due, contracts, "transaction_id", "occurred_at")
+    kept = [c for c in ("state", "contract") if c in due.columns]
+    return due.select("source", "transaction_id", "owed_kobo", "occurred_at", "escalates_at", *kept)
 
 
-def reconcile(promises: DataFrame, payout_rows: DataFrame, adjustments: DataFrame, bank_lines: DataFrame, allowance: int) -> Run:
-    """Allocates promises to payouts and confirms the payouts' inflows by bank credits; what fits nowhere is an exception."""
+_TAKEN = ("PAYOUT_MATCH", "PARTIAL_PAYOUT_MATCH", "RESERVE_RELEASED")
+
+
+def reconcile(promises: DataFrame, payout_rows: DataFrame, adjustments: DataFrame, bank_lines: DataFrame, allowance: int, banked: DataFrame | None = None, as_of: F.Column | None = None, pairs: bool = True, grace_days: int = 3) -> Run:
+    """Allocates promises to payouts, confirms the payouts' inflows by bank lines and says what becomes of all that is left.
+
+    Promises with a ``contract`` are retried by what they come to after
+    predicted fees.  ``banked`` are inflows that earlier runs confirmed, so that
+    a second credit or a return is known; without ``as_of`` nothing is overdue.
+    """
     arithmetic = payouts.payout_arithmetic(payout_rows, adjustments).select("payout_reference", "derived_net_kobo")
     ready = payout_rows.join(arithmetic, "payout_reference").select("source", "payout_reference", "gross_kobo", "expected_net_kobo", "derived_net_kobo", "value_date")
+    promises = staged(promises)
     allocated = staged(sequential.allocate(promises, ready))  # read by each step below
-    taken = allocated.where("reason in ('PAYOUT_MATCH', 'PARTIAL_PAYOUT_MATCH', 'RESERVE_RELEASED')").select("payout_reference").distinct()
-    inflows = staged(ready.join(taken, "payout_reference", "left_semi").select(F.col("payout_reference").alias("inflow_key"), "source", "expected_net_kobo", "value_date"))
-    credits = staged(bank_lines.where("direction = 'credit' and amount_kobo > 0"))
-    names = matching.bank_names(credits, inflows)
-    confirmed = staged(sequential.confirm(inflows, credits, names, matching.bank_match_candidates(credits, inflows, allowance), allowance))
+    taken = allocated.where(F.col("reason").isin(*_TAKEN)).select("payout_reference").distinct()
+    due = F.col("value_date") + F.make_dt_interval(F.lit(grace_days))
+    inflows = ready.join(taken, "payout_reference", "left_semi").select(F.col("payout_reference").alias("inflow_key"), "expected_net_kobo", "value_date", due.alias("escalates_at"), F.lit(allowance).cast("long").alias("allowance_kobo"), F.lit(pairs).alias("pairs"))
+    spark = promises.sparkSession
+    before = spark.createDataFrame([], "inflow_key string, credited_kobo long") if banked is None else banked
+    now = F.lit(None).cast("timestamp") if as_of is None else as_of
+    bank = staged(confirmation.bank_stage(inflows, bank_lines, before, now))
+
     bad = allocated.where("reason in ('PAYOUT_UNBALANCED', 'BATCH_TOO_LARGE', 'PHANTOM_CREDIT')").select(F.lit("payout").alias("subject"), F.col("payout_reference").alias("subject_id"), "reason")
-    banked = confirmed.where("inflow_key is not null").join(credits.select("idempotency_key", F.col("amount_kobo").alias("credited_kobo")), "idempotency_key").select("inflow_key", F.col("idempotency_key").alias("confirmed_by"), "credited_kobo")
-    left = credits.join(banked.select(F.col("confirmed_by").alias("idempotency_key")), "idempotency_key", "left_anti")
-    wrong = confirmed.where("how = 'amount_mismatch'").select("idempotency_key", F.lit("AMOUNT_MISMATCH").alias("wrong"))
-    twice = matching.duplicates_here(left, names, banked).select("idempotency_key", F.lit("DUPLICATE_BANK_CREDIT").alias("twice"))
-    why = F.coalesce("wrong", "twice", F.lit("UNIDENTIFIED_CREDIT")).alias("reason")
-    loose = left.join(wrong, "idempotency_key", "left").join(twice, "idempotency_key", "left").select(F.lit("bank_credit").alias("subject"), F.col("idempotency_key").alias("subject_id"), why)
-    return Run(allocated, confirmed, bad.unionByName(loose))
+    of_bank = bank.select(F.when(F.col("subject") == "credit", "bank_credit").otherwise(F.col("subject")).alias("subject"), F.coalesce("idempotency_key", "inflow_key").alias("subject_id"), "reason", "deferred")
+    loose = of_bank.where("reason in ('AMOUNT_MISMATCH', 'DUPLICATE_BANK_CREDIT', 'UNIDENTIFIED_CREDIT', 'MISSING_SETTLEMENT')")
+    exceptions, deferred = bad.unionByName(loose.drop("deferred")), of_bank.where("deferred").drop("deferred")
+    if "state" in promises.columns:
+        claims = allocated.where("transaction_id is not null").select("transaction_id", "amount_kobo")
+        rest = staged(sequential.leftovers(promises, claims, now).select(F.lit("promise").alias("subject"), F.col("transaction_id").alias("subject_id"), "reason", "deferred"))
+        exceptions, deferred = exceptions.unionByName(rest.where("not deferred").drop("deferred")), deferred.unionByName(rest.where("deferred").drop("deferred"))
+    confirmed = bank.where("reason in ('BANK_CONFIRMED', 'BANK_CHARGE')").select("idempotency_key", "inflow_key", "how")
+    return Run(allocated, confirmed, exceptions, bank.where("reason = 'RETURNED_PAYOUT'").select("idempotency_key", "inflow_key"), deferred)
