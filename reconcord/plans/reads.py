@@ -523,3 +523,18 @@ def _stage_inputs(v):
 @query(None)
 def bank_stage(v):
     return confirmation.bank_stage(*_stage_inputs(v), F.lit(AS_OF).cast("timestamp"))
+
+
+@query("""with i as (select payout_reference as inflow_key, n // 40 * 100 as amount_kobo, value_date, source <> 'monnify' as pairs from payouts),
+c as (select 'bank:' || payout_reference as idempotency_key, n // 40 * 100 as amount_kobo, case when n % 61 = 0 then value_date else timestamp '2001-01-01 00:00:00' end as value_date from payouts where n % 37 <> 0),
+g as (select amount_kobo from (select amount_kobo, count(*) as n, min(value_date) as first from c group by 1) a join (select amount_kobo, count(*) as m, max(value_date) as last, bool_and(pairs) as pairs from i group by 1) b using (amount_kobo) where n >= 2 and n = m and pairs and (last is null or first >= last - interval 1440 minute)),
+l as (select *, row_number() over (partition by amount_kobo order by value_date, idempotency_key) as rn from c where amount_kobo in (select amount_kobo from g)),
+r as (select *, row_number() over (partition by amount_kobo order by coalesce(value_date, timestamp '1970-01-01 00:00:00'), inflow_key) as rn from i where amount_kobo in (select amount_kobo from g))
+select l.idempotency_key, r.inflow_key as pair from l join r using (amount_kobo, rn)""", *PAY)
+def paired_amounts(v):
+    """Groups of several credits and inflows of one amount, from sources that pair them; some lack a credit or are too early."""
+    amount = F.expr("n div 40 * 100")
+    inflows = v["payouts"].select(F.col("payout_reference").alias("inflow_key"), amount.alias("expected_net_kobo"), "value_date", (F.col("source") != "monnify").alias("pairs"))
+    at = F.when(F.col("n") % 61 == 0, F.col("value_date")).otherwise(F.lit("2001-01-01 00:00:00").cast("timestamp"))
+    credits = v["payouts"].where("n % 37 <> 0").select(F.concat(F.lit("bank:"), "payout_reference").alias("idempotency_key"), amount.alias("amount_kobo"), at.alias("value_date"))
+    return confirmation.paired(credits, inflows)
