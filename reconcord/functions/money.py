@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def naira_to_kobo(c: Column) -> Column:
-    """Decimal text with at most two places, commas allowed, to minor units; anything else is null."""
+    """Decimal text with at most two places, commas allowed, to minor units; anything else is null, as is what 64 bits cannot hold."""
     bare = F.replace(F.trim(c), F.lit(","), F.lit(""))
-    ok = bare.rlike(r"^-?[0-9]{1,15}(\.[0-9]{1,2})?$")
-    return F.when(ok, (bare.cast("decimal(20,2)") * 100).cast("long"))
+    ok = bare.rlike(r"^-?[0-9]+(\.[0-9]{1,2})?$")
+    return F.when(ok, (bare.try_cast("decimal(21,2)") * 100).try_cast("long"))
 
 
 def apply_bp(amount: Column, bp: Column) -> Column:

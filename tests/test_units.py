@@ -94,3 +94,9 @@ def test_contracts_by_row_and_by_join_agree(spark):
     want = {0: "c0", 1: "c2", 2: "c0", 3: None, 4: None}
     for few in (10, 0):
         assert {r["k"]: r["id"] for r in fees.contract_asof(pay, con, "k", "at", few).select("k", F.col("contract.contract_id").alias("id")).collect()} == want
+
+
+def test_amounts_up_to_what_64_bits_hold(spark):
+    texts = ["92233720368547758.07", "92233720368547758.08", "-92233720368547758.08", "1234567890123456.5", "0000000000000000000000012.30", "9" * 60, "1.234", "", None, "1e5"]
+    got = [r["k"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(money.naira_to_kobo(F.col("t")).alias("k")).collect()]
+    assert got == [2**63 - 1, None, -(2**63), 123456789012345650, 1230, None, None, None, None, None]
