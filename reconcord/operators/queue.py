@@ -58,6 +58,23 @@ def queue_diff(view: DataFrame, found: DataFrame, witnessed: DataFrame | None =
     return seen.select("exception_key", "reason", F.when((F.col("to_state") == "acknowledged") | ~F.col("seen"), "withheld").otherwise("cleared").alias("effect"))
 
 
+def clear_vanished(view: DataFrame, found: DataFrame, scope: dict[str, bool], witnessed: DataFrame) -> DataFrame:
+    """Exceptions (with subject, subject_id) that a run did not find again, and what becomes of them: cleared or withheld.
+
+    ``scope`` names the kinds of subject that the run judged and whether its
+    window over them was truncated; other kinds are not looked at.  A whole
+    window clears also subjects that it did not load; a truncated one only
+    those in ``witnessed`` (subject, subject_id).  What is acknowledged is
+    withheld.  An empty scope clears nothing.
+    """
+    kinds = F.col("subject").isin(list(scope))
+    gone = view.where((F.col("to_state") != "resolved") & kinds).join(found.select("exception_key"), "exception_key", "left_anti")
+    seen = gone.join(witnessed.select("subject", "subject_id", F.lit(True).alias("seen")).distinct(), ["subject", "subject_id"], "left")
+    cut = F.col("subject").isin([kind for kind, truncated in scope.items() if truncated])
+    kept = (F.col("to_state") == "acknowledged") | (cut & F.col("seen").isNull())
+    return seen.select("subject", "subject_id", "exception_key", "reason", F.when(kept, "withheld").otherwise("cleared").alias("effect"))
+
+
 def anomaly_history(events: DataFrame) -> DataFrame:
     """Each anomaly's current state and history."""
     raised = F.col("to_state") == "raised"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import money, protect
-from ..operators import calendar, confirmation, fees, ledger, lifecycle, matching, payouts, queue, reads, reserves, sequential
+from ..operators import calendar, confirmation, fees, ledger, lifecycle, matching, payouts, queue, reads, reserves, retention, sequential
 from ..operators.graph import shared
 from ..sources import statements
 from .queries import _ASOF, _FEE, _SHARES, _VIEW, AS_OF, MONEY, PAY, _concluded, _shares, query, stamp
@@ -538,3 +538,48 @@ def paired_amounts(v):
     at = F.when(F.col("n") % 61 == 0, F.col("value_date")).otherwise(F.lit("2001-01-01 00:00:00").cast("timestamp"))
     credits = v["payouts"].where("n % 37 <> 0").select(F.concat(F.lit("bank:"), "payout_reference").alias("idempotency_key"), amount.alias("amount_kobo"), at.alias("value_date"))
     return confirmation.paired(credits, inflows)
+
+
+_GONE = "event_id % 23 = 4"
+_DUE = "stored_at + to_days(case when kind = 'webhook' and content = 'original' then 30 else 2192 end) <= timestamp '2024-02-10' and not purged"
+
+
+@query(f"""select evidence_id, case when {_DUE} and kind = 'webhook' and content = 'original' and not ({_GONE}) then 'redacted' else content end as content, purged or ({_DUE} and not (kind = 'webhook' and content = 'original')) as purged,
+case when not ({_DUE}) then 'kept' when not (kind = 'webhook' and content = 'original') then 'purged' when {_GONE} then 'failed' else 'redacted' end as result,
+case when {_DUE} and kind = 'webhook' and content = 'original' and not ({_GONE}) then 'charge' end as event
+from (select e.*, cast(substr(evidence_id, 2) as bigint) as event_id from evidence e) x""", "evidence")
+def apply_retention(v):
+    """Sealed evidence of which some cannot be opened; the rest of what is due is reduced or purged all the same."""
+    ring = protect.KeyRing({"k1": b"1" * 32}, "k1")
+    aad = protect.context(evidence=F.col("evidence_id"))
+    own = v["evidence"].select("evidence_id", "kind", "content", "stored_at", "purged")
+    body = F.concat(F.lit('{"event":"charge","data":{"email":"'), "evidence_id", F.lit('@x.ng"}}'))
+    sealed = protect.seal_rows(own, ring, body, aad).withColumn("sealed", F.when(F.expr("cast(substr(evidence_id, 2) as bigint) % 23 = 4"), F.lit(b"altered")).otherwise(F.col("sealed")))
+    done = retention.apply_retention(sealed, ring, F.to_timestamp(F.lit("2024-02-10")), protect.redact_payload())
+    read = protect.unseal_rows(done.rows, ring, aad)
+    event = F.when(F.col("result") == "redacted", F.get_json_object(F.col("plain").cast("string"), "$.event"))
+    return read.select("evidence_id", "content", "purged", "result", event.alias("event"))
+
+
+@query("""select seq, case when content = 'original' and received_at < timestamp '2024-03-01' and seq % 17 <> 0 then 'redacted' else content end as content,
+case when content <> 'original' or received_at >= timestamp '2024-03-01' then 'kept' when seq % 17 = 0 then 'failed' else 'redacted' end as result,
+case when content = 'original' and received_at < timestamp '2024-03-01' and seq % 17 <> 0 then 1 end as redacted_dropped
+from (select *, case when seq % 3 <> 0 then 'original' else 'redacted' end as content from deliveries) d""", "deliveries")
+def sweep_originals(v):
+    own = v["deliveries"].withColumn("content", F.expr("case when seq % 3 <> 0 then 'original' else 'redacted' end"))
+    raw = F.when(F.col("seq") % 17 != 0, F.concat(F.lit('{"event":"charge","data":{"email":"'), "delivery_id", F.lit('@x.ng"}}')))
+    done = retention.sweep_originals(own.withColumn("raw", raw), F.to_timestamp(F.lit("2024-03-01")), F.current_timestamp(), protect.redact_payload())
+    return done.rows.select("seq", "content", "result", "redacted_dropped")
+
+
+_KINDS = "case reason when 'PHANTOM_CREDIT' then 'payout' when 'AMOUNT_MISMATCH' then 'bank_credit' when 'MISSING_SETTLEMENT' then 'promise' else 'reserve' end"
+
+
+@query(f"""select {_KINDS} as subject, exception_key, reason, case when to_state = 'acknowledged' then 'withheld' when reason = 'AMOUNT_MISMATCH' and cast(substr(exception_key, 2) as int) % 5 = 0 then 'withheld' else 'cleared' end as effect
+from {_VIEW} x where to_state <> 'resolved' and reason in ('PHANTOM_CREDIT', 'AMOUNT_MISMATCH') and cast(substr(exception_key, 2) as int) % 3 <> 0""", "exception_events")
+def clear_vanished(v):
+    """A run that judged all payouts and a truncated window of bank credits."""
+    view = queue.exceptions_view(v["exception_events"]).withColumn("subject", F.expr(_KINDS)).withColumn("subject_id", F.col("exception_key"))
+    k = F.substring("exception_key", 2, 9).cast("int")
+    done = queue.clear_vanished(view, view.where(k % 3 == 0), {"payout": False, "bank_credit": True}, view.where(k % 5 != 0).select("subject", "subject_id"))
+    return done.select("subject", "exception_key", "reason", "effect")

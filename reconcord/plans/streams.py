@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.graph import shared
-from ..streaming import retries
+from ..streaming import inbox, retries
+from ..streaming.live_queue import LiveQueue
+from ..streaming.parts import KeyedTable
 from .queries import query
 
 #: Files that the deliveries are replayed from, in order of time, one a micro-batch.
@@ -47,3 +49,56 @@ def timed_retries(v):
     per = made.groupBy("delivery_id").agg(F.count("*").alias("n"), F.max_by("state", "attempt").alias("state"), F.max(F.unix_millis("at")).alias("end"), F.min(F.unix_millis("at")).alias("begin"), F.count("error").alias("errors"))
     back = v["events"].select("event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("delivery_id"))
     return back.join(per, "delivery_id").select("event_id", F.col("n").cast("int").alias("attempts"), "state", (F.col("end") - F.col("begin")).alias("waited_ms"), "errors")
+
+
+def _replayed(evidence, at: str, root: str, files: int):
+    """A stream of the rows in order of time, one file a micro-batch."""
+    evidence.repartitionByRange(files, at).sortWithinPartitions(at).write.parquet(f"{root}/in")
+    return evidence.sparkSession.readStream.schema(evidence.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+
+
+@query("""with e as (select reference as subject_id, 'promise' as kind, gross_kobo as amount_kobo from promises union all select reference, 'settlement', gross_kobo from settlement_lines where status = 'settled'),
+f as (select subject_id, coalesce(sum(amount_kobo) filter (where kind = 'promise'), 0) as owed, coalesce(sum(amount_kobo) filter (where kind = 'settlement'), 0) as settled, count(*) filter (where kind = 'promise') as p, count(*) filter (where kind = 'settlement') as s from e group by 1)
+select subject_id, case when p = 0 then 'PHANTOM_CREDIT' when s = 0 then 'MISSING_SETTLEMENT' else 'AMOUNT_MISMATCH' end as reason, 'open' as to_state from f where p = 0 or s = 0 or owed <> settled""", "promises", "settlement_lines")
+def live_queue(v):
+    """The queue after all promises, settlements and deadlines came by in order of time: what late evidence settled is cleared."""
+    promise, line = v["promises"], v["settlement_lines"].where("status = 'settled'")
+    evidence = (
+        promise.select(F.col("reference").alias("subject_id"), F.lit("promise").alias("kind"), F.col("gross_kobo").alias("amount_kobo"), F.col("occurred_at").alias("at"))
+        .unionByName(promise.select(F.col("reference").alias("subject_id"), F.lit("due").alias("kind"), F.lit(None).cast("long").alias("amount_kobo"), (F.col("occurred_at") + F.make_dt_interval(F.lit(1))).alias("at")))
+        .unionByName(line.select(F.col("reference").alias("subject_id"), F.lit("settlement").alias("kind"), F.col("gross_kobo").alias("amount_kobo"), F.col("settled_at").alias("at")))
+    )
+    spark = evidence.sparkSession
+    root = f"{shared(spark)}/live_queue/{uuid.uuid4().hex}"
+    live = LiveQueue(spark, f"{root}/out", 8)
+    _replayed(evidence, "at", root, FILES + 1).writeStream.foreachBatch(live).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return live.present().where("to_state <> 'resolved'").select("subject_id", "reason", "to_state")
+
+
+@query("select distinct delivery_id from deliveries", "deliveries")
+def appended_once(v):
+    """Deliveries with many repeats, of which a table gets each one once."""
+    own = v["deliveries"].select("delivery_id", "received_at")
+    root = f"{shared(own.sparkSession)}/appended/{uuid.uuid4().hex}"
+    inbox.append_once(_replayed(own, "received_at", root, FILES), f"{root}/out", "delivery_id", f"{root}/checkpoint", availableNow=True).awaitTermination()
+    return own.sparkSession.read.parquet(f"{root}/out").select("delivery_id")
+
+
+def _keyed(v) -> KeyedTable:
+    """Two thirds of the promises, then all of them, appended by key."""
+    spark = v["promises"].sparkSession
+    table = KeyedTable(spark, f"{shared(spark)}/keyed/{uuid.uuid4().hex}", "transaction_id", "transaction_id string, gross_kobo long, came string", 16)
+    table.append(v["promises"].where("k % 3 <> 0").select("transaction_id", "gross_kobo", F.lit("first").alias("came")))
+    table.append(v["promises"].select("transaction_id", "gross_kobo", F.lit("second").alias("came")))
+    return table
+
+
+@query("select transaction_id, gross_kobo, case when k % 3 <> 0 then 'first' else 'second' end as came from promises", "promises")
+def keyed_append(v):
+    return _keyed(v).read()
+
+
+@query("select transaction_id, gross_kobo, case when k % 3 <> 0 then 'first' else 'second' end as came from promises where transaction_id = (select max(transaction_id) from promises)", "promises")
+def point_lookup(v):
+    """The row of the last key: one folder of the table is read."""
+    return _keyed(v).lookup(v["promises"].agg(F.max("transaction_id")).first()[0] or "")

@@ -8,8 +8,11 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .parts import exists
+
 
 def delivery_id(source: F.Column, body: F.Column) -> F.Column:
     return F.sha2(F.concat_ws(chr(31), source, body), 256)
@@ -94,3 +97,25 @@ def idempotent_append(path: str, key: str) -> Callable[[DataFrame, int], Any]:
         fresh.write.mode("append").parquet(path)
 
     return write
+
+
+def append_once(stream: DataFrame, path: str, key: str, checkpoint: str, **trigger: Any) -> StreamingQuery:
+    """Starts a query that appends each key's first row to ``path``; nothing of the table is ever read.
+
+    The keys seen are the state of ``dropDuplicates``, hashed over the state
+    partitions (RocksDB where the session sets it), so the work of a batch
+    follows the batch and not the table's age.  A batch is the folder
+    ``batch=n``, written anew when it is replayed: a crash between the rows and
+    the commit of the batch leaves no row twice.  Null is a key like others: its
+    first row stays.  A new checkpoint over a table
+    that has rows is refused, as its keys would be unknown.
+    """
+    spark = stream.sparkSession
+    if exists(spark, path) and not exists(spark, f"{checkpoint}/offsets"):
+        raise ValueError(f"{path} has rows, but {checkpoint} does not know their keys")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+    own = stream.dropDuplicates([key])
+    return own.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "0 seconds"})).start()
