@@ -45,11 +45,15 @@ def fee_quote(priced: DataFrame, gross: str = "gross_kobo") -> DataFrame:
 
 
 def contract_overlap(contracts: DataFrame) -> DataFrame:
-    """Pairs of contracts of one scope whose validities overlap, by neighbours in order of their start."""
-    w = Window.partitionBy("source", "channel").orderBy("effective_from", "contract_id")
-    reach = F.max(F.coalesce("effective_to", F.to_timestamp(F.lit("9999-01-01")))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    before = F.last("contract_id").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return contracts.withColumn("reach", reach).withColumn("before_id", before).where("effective_from < reach").select("source", "channel", "before_id", "contract_id")
+    """Each contract that an earlier one of its scope reaches into, with the one that reaches furthest (``before_id``).
+
+    A contract ends before ``effective_to``; null is never.  Of equal starts
+    the smaller id is the earlier.  One row a contract, however many overlap.
+    """
+    w = Window.partitionBy("source", "channel").orderBy("effective_from", "contract_id").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.coalesce("effective_to", F.to_timestamp(F.lit("9999-01-01")))
+    x = contracts.withColumn("before", F.max(F.struct(end.alias("reach"), F.col("contract_id").alias("id"))).over(w))
+    return x.where("effective_from < before.reach").select("source", "channel", F.col("before.id").alias("before_id"), "contract_id")
 
 
 def explain_allocations(allocations: DataFrame, promises: DataFrame, contracts: DataFrame, shares: DataFrame) -> DataFrame:

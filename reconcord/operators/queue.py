@@ -141,6 +141,24 @@ def health_alerts(depth: DataFrame, queue: DataFrame, as_of: Column, backlog: in
     return x.join(q, "k").select(F.explode(F.array_compact(alerts)).alias("a")).select("a.*")
 
 
+def stale_alerts(conclusions: DataFrame, statements: DataFrame, attestations: DataFrame, as_of: Column, run_minutes: int, attest_minutes: int) -> DataFrame:
+    """(alert, subject, value): what nobody did for too long; a threshold of zero switches one off.
+
+    ``reconciliation``: no conclusion (happened_at) for more than
+    ``run_minutes``, or ever.  ``attestation``: an account with a statement
+    (bank_account_id) whose books nobody compared (as_of) for more than
+    ``attest_minutes``, or ever; an account without statements has nothing to
+    compare.  value is the age in whole minutes, null for never.
+    """
+    minutes = lambda c: F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(c)) / 60).cast("long")
+    run = conclusions.agg(F.max("happened_at").alias("last")).select(F.lit("reconciliation").alias("alert"), F.lit("").alias("subject"), "last", F.lit(run_minutes).alias("most"))
+    accounts = statements.where("bank_account_id is not null").select("bank_account_id").distinct()
+    last = attestations.groupBy("bank_account_id").agg(F.max("as_of").alias("last"))
+    attested = accounts.join(last, "bank_account_id", "left").select(F.lit("attestation").alias("alert"), F.col("bank_account_id").alias("subject"), "last", F.lit(attest_minutes).alias("most"))
+    late = F.col("last").isNull() | (F.unix_timestamp(as_of) - F.unix_timestamp("last") > F.col("most") * 60)
+    return run.unionByName(attested).where((F.col("most") > 0) & late).select("alert", "subject", minutes("last").alias("value"))
+
+
 #: Actions that always need a second person.
 LISTED_ACTIONS = ("write_off", "reclassify", "clear_phantom", "reallocate")
 

@@ -583,3 +583,39 @@ def clear_vanished(v):
     k = F.substring("exception_key", 2, 9).cast("int")
     done = queue.clear_vanished(view, view.where(k % 3 == 0), {"payout": False, "bank_credit": True}, view.where(k % 5 != 0).select("subject", "subject_id"))
     return done.select("subject", "exception_key", "reason", "effect")
+
+
+_EACH = "select * from (select 'b' || user_id % 7 as bank_account_id, date_trunc('day', ts) as as_of, user_id % 7 as k from events) y where k % 3 = 0 and as_of < timestamp '2024-01-20'"
+
+
+@query(f"""with a as (select bank_account_id, max(as_of) as last from ({_EACH}) z group by 1), b as (select distinct 'b' || user_id % 7 as bank_account_id from events where user_id % 7 <> 6),
+x as (select 'reconciliation' as alert, '' as subject, max(happened_at) as last, 60 as most from exception_events union all select 'attestation', bank_account_id, last, 36000 from b left join a using (bank_account_id))
+select alert, subject, cast(floor((epoch(timestamp '2024-02-10') - epoch(date_trunc('second', last))) / 60) as bigint) as value from x where last is null or epoch(timestamp '2024-02-10') - epoch(date_trunc('second', last)) > most * 60""", "exception_events")
+def stale_alerts(v):
+    """Accounts with statements of which some were never compared, and the age of the last conclusion."""
+    own = v["events"].selectExpr("concat('b', user_id % 7) as bank_account_id", "date_trunc('day', ts) as as_of", "user_id % 7 as k")
+    attested = own.where("k % 3 = 0 and as_of < timestamp '2024-01-20'")
+    return queue.stale_alerts(v["exception_events"], own.where("k <> 6"), attested, F.to_timestamp(F.lit("2024-02-10")), 60, 36000)
+
+
+@query(f"""with d as (select distinct 'x' || user_id % 500 as exception_key from events where event_type = 'click')
+select d.exception_key, case when x.to_state is null then 'new' when x.to_state = 'resolved' then 'reopened' else 'unchanged' end as effect from d left join {_VIEW} x using (exception_key)""", "exception_events")
+def raise_found(v):
+    """Drafts that the events bear out, against the queue as it stands."""
+    drafts = v["events"].where("event_type = 'click'").select(F.concat(F.lit("x"), F.col("user_id") % 500).alias("exception_key")).distinct()
+    return queue.raise_exceptions(queue.exceptions_view(v["exception_events"]), drafts).select("exception_key", "effect")
+
+
+_TERMS = "select 'c' || o_orderkey as contract_id, 's' || o_custkey as source, case when o_orderkey % 3 = 0 then 'card' else '*' end as channel, cast(cast(o_orderdate as date) as timestamp) as effective_from, case when o_orderkey % 10 <> 0 then cast(cast(o_orderdate as date) + cast(o_orderkey % 200 + 1 as int) as timestamp) end as effective_to from orders"
+
+
+@query(f"""with c as ({_TERMS}), w as (select *, max({{'reach': coalesce(effective_to, timestamp '9999-01-01'), 'id': contract_id}}) over (partition by source, channel order by effective_from, contract_id rows between unbounded preceding and 1 preceding) as before from c)
+select source, channel, before.id as before_id, contract_id from w where effective_from < before.reach""")
+def overlapping_terms(v):
+    """A contract for each order, in the scope of its customer."""
+    day = "cast(o_orderdate as date)"
+    own = v["orders"].selectExpr(
+        "concat('c', o_orderkey) as contract_id", "concat('s', o_custkey) as source", "case when o_orderkey % 3 = 0 then 'card' else '*' end as channel", f"cast({day} as timestamp) as effective_from",
+        f"case when o_orderkey % 10 <> 0 then cast(date_add({day}, cast(o_orderkey % 200 + 1 as int)) as timestamp) end as effective_to",
+    )
+    return fees.contract_overlap(own)
