@@ -544,26 +544,41 @@ _GONE = "event_id % 23 = 4"
 _DUE = "stored_at + to_days(case when kind = 'webhook' and content = 'original' then 30 else 2192 end) <= timestamp '2024-02-10' and not purged"
 
 
-@query(f"""select evidence_id, case when {_DUE} and kind = 'webhook' and content = 'original' and not ({_GONE}) then 'redacted' else content end as content, purged or ({_DUE} and not (kind = 'webhook' and content = 'original')) as purged,
-case when not ({_DUE}) then 'kept' when not (kind = 'webhook' and content = 'original') then 'purged' when {_GONE} then 'failed' else 'redacted' end as result,
-case when {_DUE} and kind = 'webhook' and content = 'original' and not ({_GONE}) then 'charge' end as event
-from (select e.*, cast(substr(evidence_id, 2) as bigint) as event_id from evidence e) x""", "evidence")
-def apply_retention(v):
-    """Sealed evidence of which some cannot be opened; the rest of what is due is reduced or purged all the same."""
+def _retention_sql(as_of: str) -> str:
+    due = _DUE.replace("2024-02-10", as_of)
+    return f"""select evidence_id, case when {due} and kind = 'webhook' and content = 'original' and not ({_GONE}) then 'redacted' else content end as content, purged or ({due} and not (kind = 'webhook' and content = 'original')) as purged,
+case when not ({due}) then 'kept' when not (kind = 'webhook' and content = 'original') then 'purged' when {_GONE} then 'failed' else 'redacted' end as result,
+case when {due} and kind = 'webhook' and content = 'original' and not ({_GONE}) then 'charge' end as event
+from (select e.*, cast(substr(evidence_id, 2) as bigint) as event_id from evidence e) x"""
+
+
+def _retained(v, as_of: str) -> DataFrame:
     ring = protect.KeyRing({"k1": b"1" * 32}, "k1")
     aad = protect.context(evidence=F.col("evidence_id"))
     own = v["evidence"].select("evidence_id", "kind", "content", "stored_at", "purged")
     body = F.concat(F.lit('{"event":"charge","data":{"email":"'), "evidence_id", F.lit('@x.ng"}}'))
     sealed = protect.seal_rows(own, ring, body, aad).withColumn("sealed", F.when(F.expr("cast(substr(evidence_id, 2) as bigint) % 23 = 4"), F.lit(b"altered")).otherwise(F.col("sealed")))
-    done = retention.apply_retention(sealed, ring, F.to_timestamp(F.lit("2024-02-10")), protect.redact_payload())
+    done = retention.apply_retention(sealed, ring, F.to_timestamp(F.lit(as_of)), protect.redact_payload())
     read = protect.unseal_rows(done.rows, ring, aad)
     event = F.when(F.col("result") == "redacted", F.get_json_object(F.col("plain").cast("string"), "$.event"))
     return read.select("evidence_id", "content", "purged", "result", event.alias("event"))
 
 
+@query(_retention_sql("2024-02-10"), "evidence")
+def apply_retention(v):
+    """Sealed evidence of which some cannot be opened; the rest of what is due is reduced all the same."""
+    return _retained(v, "2024-02-10")
+
+
+@query(_retention_sql("2030-01-20"), "evidence")
+def purge_evidence(v):
+    """The same six years later, when the first settlement and bank evidence is due as well."""
+    return _retained(v, "2030-01-20")
+
+
 @query("""select seq, case when content = 'original' and received_at < timestamp '2024-03-01' and seq % 17 <> 0 then 'redacted' else content end as content,
 case when content <> 'original' or received_at >= timestamp '2024-03-01' then 'kept' when seq % 17 = 0 then 'failed' else 'redacted' end as result,
-case when content = 'original' and received_at < timestamp '2024-03-01' and seq % 17 <> 0 then 1 end as redacted_dropped
+case when content = 'original' and received_at < timestamp '2024-03-01' and seq % 17 <> 0 then cast(1 as bigint) end as redacted_dropped
 from (select *, case when seq % 3 <> 0 then 'original' else 'redacted' end as content from deliveries) d""", "deliveries")
 def sweep_originals(v):
     own = v["deliveries"].withColumn("content", F.expr("case when seq % 3 <> 0 then 'original' else 'redacted' end"))

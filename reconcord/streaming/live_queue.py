@@ -51,8 +51,8 @@ class LiveQueue:
     holds (``acknowledged``) is not closed.  A batch that is replayed changes
     nothing.  Instants are the latest of all evidence of a subject, not the
     clock's.  Each evidence row must come once (``inbox_dedupe`` or
-    ``append_once`` before this).  ``moves`` are rows of kind ``acknowledge``
-    whose subject_id's open exceptions a person takes.
+    ``append_once`` before this).  A row of kind ``acknowledge`` is a person who
+    takes the open exceptions of its subject_id.
     """
 
     def __init__(self, spark: SparkSession, path: str, parts: int = 64):
