@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import money, protect
-from ..operators import calendar, confirmation, fees, ledger, lifecycle, matching, payouts, queue, reads, reserves, retention, sequential
+from ..operators import calendar, confirmation, fees, ledger, lifecycle, matching, payouts, queue, reads, reserves, resolution, retention, sequential
 from ..operators.graph import shared
 from ..sources import statements
 from .queries import _ASOF, _FEE, _SHARES, _VIEW, AS_OF, MONEY, PAY, _concluded, _shares, query, stamp
@@ -634,3 +634,24 @@ def overlapping_terms(v):
         f"case when o_orderkey % 10 <> 0 then cast(date_add({day}, cast(o_orderkey % 200 + 1 as int)) as timestamp) end as effective_to",
     )
     return fees.contract_overlap(own)
+
+
+_RULED = "select event_id, 'x' || user_id % 500 as exception_key, case event_id % 3 when 0 then 'write_off' else 'note' end as action, cast(100 as bigint) as amount_kobo, 'u' || event_id % 4 as resolver, case when event_id % 5 <> 0 then 'u' || user_id % 7 end as approver, ts as decided from events"
+_SIDE = "case when event_id % 7 = 0 then 'bank_account' else 'suspense' end"
+
+
+@query(f"""with d as (select d.*, x.to_state as was, d.event_id % 2 = 0 as books from ({_RULED}) d left join {_VIEW} x using (exception_key)),
+f as (select *, case when was is null then 'no such exception' when was = 'resolved' then 'already resolved' when approver = resolver then 'self approval' when (books or action = 'write_off') and approver is null then 'approval needed' when books and event_id % 7 = 0 then 'touches the bank' when books and event_id % 11 = 0 then 'unbalanced' end as failure from d),
+r as (select *, row_number() over (partition by exception_key, failure is null order by decided, event_id) as rn from f)
+select event_id, case when failure is null and rn > 1 then 'already resolved' else failure end as failure, cast(case when books and failure is null and rn = 1 then 2 else 0 end as bigint) as n_entries from r""", "exception_events")
+def resolve(v):
+    """Every event as a decision on an exception; every second one books two entries."""
+    own = v["events"].selectExpr(
+        "event_id", "event_id as decision_id", "concat('x', user_id % 500) as exception_key", "case event_id % 3 when 0 then 'write_off' else 'note' end as action", "cast(100 as bigint) as amount_kobo",
+        "concat('u', event_id % 4) as resolver", "case when event_id % 5 <> 0 then concat('u', user_id % 7) end as approver", "case when event_id % 5 <> 0 then ts end as approved_at", "ts as at",
+    )
+    legs = own.where("event_id % 2 = 0").select("decision_id", F.explode(F.expr(f"array(struct({_SIDE} as account_id, 100L as amount_kobo), struct('chargebacks' as account_id, if(event_id % 11 = 0, -99L, -100L) as amount_kobo))")).alias("l"))
+    done = resolution.resolve(queue.exceptions_view(v["exception_events"]), own.drop("event_id"), legs.select("decision_id", "l.*", F.lit("NGN").alias("currency")))
+    both = done.refused.unionByName(done.accepted.select("decision_id", F.lit(None).cast("string").alias("failure")))
+    n = done.entries.groupBy("decision_id").agg(F.count("*").alias("n_entries"))
+    return both.join(n, "decision_id", "left").select(F.col("decision_id").alias("event_id"), "failure", F.coalesce("n_entries", F.lit(0)).alias("n_entries"))
