@@ -71,28 +71,34 @@ def _card(value) -> str | None:
     return None
 
 
-def _walk(x, path: str):
-    """First finding in document order: a forbidden name, or a value that is a card number as a whole."""
-    if isinstance(x, dict):
-        for name, item in x.items():
-            if re.sub("[^a-z0-9]", "", name.lower()) in SENSITIVE_FIELDS:
-                return "sad", f"{path}.{name}", name
-            if found := _walk(item, f"{path}.{name}"):
-                return found
-    elif isinstance(x, list):
-        for i, item in enumerate(x):
-            if found := _walk(item, f"{path}[{i}]"):
-                return found
-    elif isinstance(x, (str, int, float)) and not isinstance(x, bool) and (masked := _card(x)):
-        return "pan", path, masked
-    return None
+def _nodes(x):
+    """(steps, value) of a parsed text and all that it holds, in the order of the text; a step is a name or a place, the first one '$'."""
+    left = [(("$",), x)]
+    while left:
+        steps, value = left.pop()
+        yield steps, value
+        inner = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
+        left += reversed([((*steps, at), item) for at, item in inner])
+
+
+def _path(steps: tuple, place: str = "[{}]") -> str:
+    return "$" + "".join(place.format(s) if isinstance(s, int) else f".{s}" for s in steps[1:])
+
+
+def _found(steps: tuple, value):
+    """A forbidden name, or a value that is a card number as a whole."""
+    name = steps[-1]
+    if len(steps) > 1 and isinstance(name, str) and re.sub("[^a-z0-9]", "", name.lower()) in SENSITIVE_FIELDS:
+        return "sad", _path(steps), name
+    number = isinstance(value, (str, int, float)) and not isinstance(value, bool) and _card(value)
+    return ("pan", _path(steps), number) if number else None
 
 
 def _finding(text: str):
     place = "body"
     try:
         parsed, place = _parse(text), "$"
-        if found := _walk(parsed, "$"):
+        if found := next(filter(None, (_found(*node) for node in _nodes(parsed))), None):
             return found
     except (ValueError, RecursionError):
         pass
@@ -170,6 +176,18 @@ KEPT_PATHS = frozenset((
 REDACTION = "keep-list-1"
 
 
+def _rebuilt(leaves: list):
+    """The smallest value that holds the leaves in their order; null of none."""
+    tree: dict = {}
+    for steps, value in leaves:
+        node = tree
+        for step in steps[:-1]:
+            node = node.setdefault(step, {})
+        node[steps[-1]] = value
+    shaped = lambda x: x if not isinstance(x, dict) else [shaped(v) for v in x.values()] if isinstance(next(iter(x)), int) else {k: shaped(v) for k, v in x.items()}
+    return shaped(tree)["$"] if tree else None
+
+
 def redact_payload(keep: frozenset[str] = KEPT_PATHS, version: str = REDACTION):
     """Pandas UDF: struct (body, dropped) of JSON text without the values whose path is not in ``keep``.
 
@@ -177,30 +195,19 @@ def redact_payload(keep: frozenset[str] = KEPT_PATHS, version: str = REDACTION):
     body carries a marker with version and count.  Text that is no JSON is
     replaced whole; a null stays null.
     """
-    gone = object()
-
-    def walk(x, path: str, dropped: list[int]):
-        if isinstance(x, (dict, list)):
-            pairs = x.items() if isinstance(x, dict) else enumerate(x)
-            left = [(k, walk(v, f"{path}[]" if isinstance(x, list) else f"{path}.{k}", dropped)) for k, v in pairs]
-            left = [(k, v) for k, v in left if v is not gone]
-            return (dict(left) if isinstance(x, dict) else [v for _, v in left]) if left else gone
-        if path in keep:
-            return x
-        dropped[0] += x is not None
-        return gone
-
     def one(text: str | None):
         if text is None:
             return None, None
-        n = [0]
         try:
-            left = walk(_parse(text), "$", n)
-            marker = {"redacted": version, "dropped": n[0]}
-            body = left | {"_redaction": marker} if isinstance(left, dict) else {"_redaction": marker, "kept": None if left is gone else left}
+            leaves = [(steps, value) for steps, value in _nodes(_parse(text)) if not isinstance(value, (dict, list))]
         except (ValueError, RecursionError):
-            n, body = [0], {"redacted": version, "dropped": 0, "reason": "no JSON: replaced whole"}
-        return json.dumps(body, ensure_ascii=False, separators=(",", ":")), n[0]
+            body, dropped = {"redacted": version, "dropped": 0, "reason": "no JSON: replaced whole"}, 0
+        else:
+            kept = [leaf for leaf in leaves if _path(leaf[0], "[]") in keep]
+            dropped = sum(value is not None for _, value in leaves) - sum(value is not None for _, value in kept)
+            marker, left = {"redacted": version, "dropped": dropped}, _rebuilt(kept)
+            body = left | {"_redaction": marker} if isinstance(left, dict) else {"_redaction": marker, "kept": left}
+        return json.dumps(body, ensure_ascii=False, separators=(",", ":")), dropped
 
     @F.pandas_udf(T.StructType([T.StructField("body", T.StringType()), T.StructField("dropped", T.LongType())]))
     def redact(texts: pd.Series) -> pd.DataFrame:
@@ -233,6 +240,24 @@ def verify_webhook(secrets: dict[str, tuple[str, ...]], algorithm: str = "sha512
     return verify
 
 
+#: The fields of one provider's signed text, in order; the instant of sending, from a header, follows them.
+SIGNED_FIELDS = (
+    "event_type", "requestId", "data.merchant.userId", "data.merchant.walletId",
+    "data.transaction.transactionId", "data.transaction.type", "data.transaction.time", "data.transaction.responseCode",
+)
+
+
+def canonical_string(body: Column, sent: Column, fields: tuple[str, ...] = SIGNED_FIELDS) -> Column:
+    """The text that ``verify_webhook`` gets in place of a raw body where a provider signs fields: joined by colons, a missing one empty, ``sent`` last.
+
+    Null without ``sent`` or where the body is no JSON object.  The amount is
+    no part of it, so the signature says nothing about the amount.
+    """
+    part = lambda f: F.coalesce(F.get_json_object(body, f"$.{f}"), F.lit(""))
+    text = F.concat(*[x for f in fields for x in (part(f), F.lit(":"))], sent)
+    return F.when(F.json_object_keys(body).isNotNull(), text)
+
+
 def seal(plain: Column, key: Column, aad: Column) -> Column:
     """AES-GCM with the row's identity as additional data."""
     return F.aes_encrypt(plain, key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), aad)

@@ -72,6 +72,41 @@ def illegal_transitions(changes: DataFrame, key: str, order: str, state: str, ar
     return step.where(~ok)
 
 
+#: States that nothing follows.
+TERMINAL = ("settled", "reversed")
+
+
+def apply_transitions(states: DataFrame, requests: DataFrame) -> DataFrame:
+    """What each request for a change of state does: transitioned, unchanged, refused, or unknown for want of a transaction.
+
+    states: transaction_id, state; requests: transaction_id, to_state, at,
+    caused_by, which take effect in this order of at, caused_by (null first)
+    and to_state; equal requests count once.  The rows that transitioned are
+    those to append to the changes of state.
+
+    A transaction's state before a request follows from its first terminal
+    request and its first escalation, so no task folds a transaction's requests.
+    """
+    r = requests.select("transaction_id", "to_state", "at", "caused_by").distinct().withColumn("_at", F.struct("at", F.coalesce("caused_by", F.lit("")), "to_state"))
+    first = r.groupBy("transaction_id").agg(F.min(F.when(F.col("to_state").isin(*TERMINAL), F.col("_at"))).alias("_ended"), F.min(F.when(F.col("to_state") == "exception", F.col("_at"))).alias("_lifted"))
+    both = r.join(first, "transaction_id").join(states.select("transaction_id", "state"), "transaction_id", "left")
+    lifted = (F.col("state") == "authorized") & F.coalesce(F.col("_lifted") < F.col("_at"), F.lit(False))
+    was = F.when(F.col("state").isNull() | F.col("state").isin(*TERMINAL), F.col("state")).when(F.col("_ended") < F.col("_at"), F.col("_ended.to_state")).when(lifted, "exception").otherwise(F.col("state"))
+    legal = F.concat_ws(">", "from_state", "to_state").isin(*[f"{a}>{b}" for a, b in ARCS])
+    what = F.when(F.col("from_state").isNull(), "unknown").when(F.col("from_state") == F.col("to_state"), "unchanged").when(legal, "transitioned").otherwise("refused")
+    return both.withColumn("from_state", was).select("transaction_id", "from_state", "to_state", "at", "caused_by", what.alias("outcome"))
+
+
+def discharge_requests(discharged: DataFrame) -> DataFrame:
+    """Requests to settle the promises (promise_id) that a confirmation (transaction_id) discharges whole; a part leaves the promise waiting."""
+    return discharged.where("kobo = receivable_kobo").select(F.col("promise_id").alias("transaction_id"), F.lit("settled").alias("to_state"), "at", F.col("transaction_id").alias("caused_by"))
+
+
+def reversal_requests(reversals: DataFrame, suffix: str = "#reversal") -> DataFrame:
+    """Requests to reverse the transactions whose whole receivable is given back."""
+    return reversals.where("amount_kobo = receivable_kobo and amount_kobo > 0").select("transaction_id", F.lit("reversed").alias("to_state"), "at", F.concat("transaction_id", F.lit(suffix)).alias("caused_by"))
+
+
 def _legs(df: DataFrame, *legs: tuple[str, Column]) -> DataFrame:
     """Entries of each transaction; legs of zero are left out."""
     made = F.array(*[F.struct(F.lit(a).alias("account_id"), amount.cast("long").alias("amount_kobo")) for a, amount in legs])

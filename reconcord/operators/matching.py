@@ -64,6 +64,18 @@ def confirmed_inflows(inflows: DataFrame, lines: DataFrame) -> DataFrame:
     return inflows.where("confirmed_by is not null").join(credit, "confirmed_by").select("inflow_key", "source", "expected_net_kobo", "confirmed_by", "credited_kobo")
 
 
+def banked_inflows(inflows: DataFrame, entries: DataFrame, payouts: DataFrame) -> DataFrame:
+    """Confirmed inflows with what the bank paid: the sum of the confirming transaction's entries on the bank account.
+
+    Inflows of payouts with status ``returned`` are finished and left out, and
+    so are those whose transaction has no such entry.
+    """
+    paid = entries.where("account_id = 'bank_account'").groupBy(F.col("transaction_id").alias("confirmed_by")).agg(F.sum("amount_kobo").alias("credited_kobo"))
+    gone = payouts.where("status = 'returned'").select(F.col("payout_reference").alias("inflow_key"))
+    live = inflows.where("confirmed_by is not null").join(gone, "inflow_key", "left_anti")
+    return live.join(paid, "confirmed_by").select("inflow_key", "source", "confirmed_by", "credited_kobo", "value_date")
+
+
 def identifiers(lines: DataFrame) -> DataFrame:
     """(idempotency_key, word): the words of the narration in upper case and the stated reference as it is."""
     words = lines.select("idempotency_key", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("narration"), F.lit(r"[A-Z0-9][A-Z0-9_-]{5,}"), F.lit(0)))).alias("word"))
@@ -270,6 +282,47 @@ def unattempted_promises(payouts: DataFrame, promises: DataFrame, keep: int) ->
     return payouts.select("payout_reference", F.col("source").alias("grp")).join(F.broadcast(top), "grp").select("payout_reference", F.col("item").alias("transaction_id"), F.col("amount").alias("owed_kobo"), "rank")
 
 
+def near_misses(credits: DataFrame, inflows: DataFrame, names: DataFrame, keep: int, allowance: int = 0) -> DataFrame:
+    """``nearest_candidates`` with the signed difference, the kind of the inflow and why it was not taken.
+
+    credits: idempotency_key, amount_kobo, value_date; inflows also value_date,
+    spent (another credit of the run took it) and derived (made of settlement
+    lines, not a payout); names: all pairs named.  The reasons, the first that
+    holds: ambiguous (the credit names it and others), already_claimed,
+    outside_window, amount_differs.
+    """
+    several = names.groupBy("idempotency_key").agg(F.count("*").alias("n")).where("n > 1").join(names, "idempotency_key").select("idempotency_key", "inflow_key", F.lit(True).alias("named"))
+    near = nearest_candidates(credits, inflows, keep, allowance)
+    c = credits.select("idempotency_key", "amount_kobo", F.col("value_date").alias("credit_date"))
+    i = inflows.select("inflow_key", "expected_net_kobo", F.col("value_date").alias("inflow_date"), "spent", "derived")
+    both = near.join(c, "idempotency_key").join(i, "inflow_key").join(several, ["idempotency_key", "inflow_key"], "left")
+    early = ~F.coalesce(not_before("credit_date", "inflow_date"), F.lit(True))
+    why = F.when(F.col("named"), "ambiguous").when(F.col("spent"), "already_claimed").when(early, "outside_window").otherwise("amount_differs")
+    kind = F.when(F.col("derived"), "settlement_line").otherwise("payout")
+    return both.select("idempotency_key", "inflow_key", kind.alias("kind"), (F.col("expected_net_kobo") - F.col("amount_kobo")).alias("difference_kobo"), why.alias("rejected_because"), "rank")
+
+
+def promise_misses(payouts: DataFrame, promises: DataFrame, keep: int) -> DataFrame:
+    """The promises that each payout came closest to: signed difference, reason and rank.
+
+    payouts: source, payout_reference, gross_kobo, value_date, searched;
+    promises: source, transaction_id, owed_kobo, occurred_at, escalates_at.
+    Where the payout was searched the nearest, outside_window if they occurred
+    after its value date or were overdue then, else amount_differs; where it
+    was not, the largest, not_attempted.
+    """
+    reach = F.col("value_date").isNull() | ((F.col("occurred_at") <= F.col("value_date")) & (F.col("escalates_at").isNull() | (F.col("value_date") <= F.col("escalates_at"))))
+    own = payouts.where("searched")
+    near = nearest_promises(own, promises, keep).join(own.select("payout_reference", "gross_kobo", "value_date"), "payout_reference")
+    near = near.join(promises.select("transaction_id", "owed_kobo", "occurred_at", "escalates_at"), "transaction_id")
+    near = near.withColumn("rejected_because", F.when(reach, "amount_differs").otherwise("outside_window"))
+    rest = payouts.where("not searched")
+    large = unattempted_promises(rest, promises, keep).join(rest.select("payout_reference", "gross_kobo"), "payout_reference").withColumn("rejected_because", F.lit("not_attempted"))
+    difference = (F.col("owed_kobo") - F.col("gross_kobo")).alias("difference_kobo")
+    columns = ("payout_reference", "transaction_id", difference, "rejected_because", "rank")
+    return near.select(*columns).unionByName(large.select(*columns))
+
+
 def bank_line_collision(lines: DataFrame, existing: DataFrame, key: list[str], compare: list[str]) -> DataFrame:
     """Rows whose key exists: collision with the fields that differ, or plain duplicate."""
     old = existing.select(*key, *[F.col(c).alias(f"old_{c}") for c in compare])

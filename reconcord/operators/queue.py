@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Severities.
@@ -38,6 +38,21 @@ def open_exceptions(view: DataFrame, limit: int) -> DataFrame:
     return oldest.withColumn("severity", severity(F.col("reason"))).orderBy(F.desc("severity"), "raised_at", "exception_key")
 
 
+def queue_page(view: DataFrame, states: tuple[str, ...], subject: str | None, limit: int) -> DataFrame:
+    """As ``open_exceptions``, of exceptions in ``states`` and, if named, of one kind of subject."""
+    own = view.where(F.col("to_state").isin(*states))
+    own = own if subject is None else own.where(F.col("subject") == subject)
+    oldest = own.orderBy("raised_at", "exception_key").limit(limit)
+    return oldest.withColumn("severity", severity(F.col("reason"))).orderBy(F.desc("severity"), "raised_at", "exception_key")
+
+
+def exception_history(events: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Every change of the exceptions (of those in ``keys``, if given), with the state before it, null at first; one row an event, none overwritten."""
+    own = events if keys is None else events.join(keys.select("exception_key").distinct(), "exception_key", "left_semi")
+    before = F.lag("to_state").over(Window.partitionBy("exception_key").orderBy("event_id"))
+    return own.select("exception_key", "event_id", before.alias("from_state"), "to_state", "happened_at")
+
+
 def raise_exceptions(view: DataFrame, drafts: DataFrame) -> DataFrame:
     """What each draft does: new, unchanged (open or acknowledged) or reopened."""
     both = drafts.join(view.select("exception_key", F.col("to_state").alias("was")), "exception_key", "left")

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from reconcord.plans import queries as plans
-from reconcord.plans import reads, streams  # noqa: F401  register their queries
+from reconcord.plans import audit, reads, streams  # noqa: F401  register their queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
