@@ -588,14 +588,14 @@ def redact(v):
 def verify_webhook(v):
     """Signatures of the body's hash with a key known to the sender; every fifth is forged."""
     body = F.col("event_id").cast("string").cast("binary")
-    signed = v["events"].select("event_id", body.alias("body"), _hmac(body, F.when(F.col("event_id") % 5 == 0, "other").otherwise("key-1")).alias("signature"))
+    sent = F.when(F.col("event_id") % 5 == 0, _hmac(body, "other")).otherwise(_hmac(body, "key-1"))
+    signed = v["events"].select("event_id", body.alias("body"), sent.alias("signature"))
     return signed.select("event_id", protect.verify_webhook({"psp": ("key-0", "key-1")})(F.lit("psp"), "body", "signature").alias("good"))
 
 
-def _hmac(body, key):
-    """HMAC-SHA-512 by its definition, for keys shorter than a block."""
-    block = F.rpad(F.hex(key.cast("binary")), 256, "0")
-    pad = lambda byte: F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(255), F.lit(2)), lambda i: F.lpad(F.hex(F.conv(F.substring(block, i, F.lit(2)), 16, 10).cast("long").bitwiseXOR(byte)), 2, "0")), ""))
+def _hmac(body, key: str):
+    """HMAC-SHA-512 by its definition, for keys shorter than a block; the padded keys are constants of the plan."""
+    pad = lambda byte: F.lit(bytes(k ^ byte for k in key.encode().ljust(128, b"\0")))
     inner = F.unhex(F.sha2(F.concat(pad(0x36), body), 512))
     return F.sha2(F.concat(pad(0x5C), inner), 512)
 
