@@ -102,3 +102,21 @@ def test_retries_name_the_store_they_need(spark):
         pytest.skip("set for the session")
     with pytest.raises(ValueError, match="RocksDB"):
         retries.retries(spark.createDataFrame([], "delivery_id string, body string, received_at timestamp"), failing())
+
+
+def test_due_attempts_follow_in_one_go_and_ends_are_forgotten(timed, tmp_path):
+    """One step of the clock past all instants makes all attempts; deliveries of one bucket keep apart."""
+    spark, folder = timed, str(tmp_path / "in")
+    put(spark, folder, [(IDS[0], "2", 0), (IDS[1], "100", 0), (IDS[2], "0", 0)])
+    tick(spark, folder, 2 * 10**6)
+    tick(spark, folder, 3 * 10**6)
+    put(spark, folder, [(IDS[0], "0", 3 * 10**6), (IDS[2], "0", 3 * 10**6 + 1)])  # after both were forgotten
+    rows = [r for r in run(spark, tmp_path, keep=5000, buckets=1) if r["delivery_id"] != "tick"]
+    by = {i: [(r["attempt"], r["state"]) for r in rows if r["delivery_id"] == i] for i in IDS[:3]}
+    assert sorted(by[IDS[0]]) == [(1, "pending"), (1, "processed"), (2, "pending"), (3, "processed")]
+    assert by[IDS[1]] == [(k, "pending") for k in range(1, 8)] + [(8, "failed")]
+    assert by[IDS[2]] == [(1, "processed"), (1, "processed")]
+    at = START
+    for r in sorted((r for r in rows if r["delivery_id"] == IDS[1]), key=lambda r: r["attempt"]):
+        assert r["at"] == at
+        at += timedelta(milliseconds=retries.delay(r["attempt"], IDS[1]))
