@@ -6,8 +6,9 @@ amount that many share costs a row each and no pairs:
 
 * A group of one amount that no name and no allowance ties to others, and whose
   every credit may pay its every inflow, is decided by counts and ranks.
-* What is left is folded in order, a component of tied amounts a task.  Its
-  frame has a row for each credit and inflow, never one for each pair.
+* What is left is folded in order, a component of tied amounts in one frame,
+  which has a row for each credit and inflow, never one for each pair.  Small
+  components share a frame: nothing of one fits another.
 """
 
 from __future__ import annotations
@@ -25,6 +26,13 @@ from .matching import SLACK_MINUTES, duplicates_here, line_names, not_before
 CONFIDENCE = {"named": 100, "amount": 90, "amount_set": 85, "bank_charge": 85}
 _SLACK = SLACK_MINUTES * 60 * 1_000_000
 _EARLY = -(2**62)
+#: Credits or debits for which another frame is made.
+FRAME = 10_000
+
+
+def _frames(rows: DataFrame, key: str) -> F.Column:
+    """The frame of a key, about one for ``FRAME`` of the (staged) rows; a frame has all rows of its keys."""
+    return F.pmod(F.xxhash64(key), F.lit(1 + rows.count() // FRAME))
 
 
 def _micros(c: str) -> F.Column:
@@ -71,13 +79,28 @@ OUTCOME = "idempotency_key string, inflow_key string, how string, short_kobo lon
 
 
 def _fold(credits: pd.DataFrame, inflows: pd.DataFrame) -> pd.DataFrame:
-    """Outcomes of one component's credits, in the order of their keys."""
+    """Outcomes of the credits of whole components, in the order of their keys."""
     alive: dict[int, dict[str, tuple[int, int]]] = {}
     place: dict[str, int] = {}
     for key, e, allow, at in inflows.sort_values("inflow_key")[["inflow_key", "expected_net_kobo", "allowance_kobo", "at"]].itertuples(index=False, name=None):
         alive.setdefault(int(e), {})[key] = (int(allow), int(at))
         place[key] = int(e)
     amounts, most = sorted(alive), int(inflows["allowance_kobo"].max()) if len(inflows) else 0
+    later = list(range(len(amounts) + 1))  # of each place in amounts, one from which on those without inflows are passed over
+
+    def open_from(k: int) -> int:
+        """The first place from ``k`` on whose amount has an inflow left."""
+        end = k
+        while True:
+            while later[end] != end:
+                end = later[end]
+            if end == len(amounts) or alive[amounts[end]]:
+                break
+            later[end] = end + 1
+        while k != end:
+            k, later[k] = later[k], end
+        return end
+
     out = []
     for key, amount, at, names, pair in credits.sort_values("idempotency_key")[["idempotency_key", "amount_kobo", "at", "names", "pair"]].itertuples(index=False, name=None):
         amount, pick, how = int(amount), None, None
@@ -86,14 +109,14 @@ def _fold(credits: pd.DataFrame, inflows: pd.DataFrame) -> pd.DataFrame:
             pick, how = (named[0], "named") if len(named) == 1 else (None, None)
         else:
             fits = []
-            for e in amounts[bisect_left(amounts, amount) :]:
-                if e > amount + most or len(fits) > 1:
-                    break
-                for k, (allow, due) in alive[e].items():
+            k = open_from(bisect_left(amounts, amount))
+            while k < len(amounts) and (e := amounts[k]) <= amount + most and len(fits) < 2:
+                for inflow, (allow, due) in alive[e].items():
                     if e - amount <= allow and at >= due - _SLACK:
-                        fits.append(k)
+                        fits.append(inflow)
                         if len(fits) > 1:
                             break
+                k = open_from(k + 1)
             if len(fits) == 1:
                 pick, how = fits[0], "amount"
             elif pair is not None and pair in place:
@@ -137,20 +160,24 @@ def match_credits(credits: DataFrame, inflows: DataFrame, names: DataFrame) -> D
     node = staged(loose.join(comp, "amount_kobo", "left").select("amount_kobo", F.coalesce("component", "amount_kobo").alias("component")))
     inflow_node = node.withColumnRenamed("amount_kobo", "expected_net_kobo")
     left, right = c.join(node, "amount_kobo"), i.join(inflow_node, "expected_net_kobo")
-    folded = left.select("component", "idempotency_key", "amount_kobo", "at", "names", "pair").groupBy("component").cogroup(right.select(F.col("component").alias("node"), "inflow_key", "expected_net_kobo", "allowance_kobo", "at").groupBy("node")).applyInPandas(_fold, OUTCOME)
+    frame = _frames(c, "component").alias("frame")
+    folded = left.select(frame, "idempotency_key", "amount_kobo", "at", "names", "pair").groupBy("frame").cogroup(right.select(frame, "inflow_key", "expected_net_kobo", "allowance_kobo", "at").groupBy("frame")).applyInPandas(_fold, OUTCOME)
     apart = _by_counts(c.join(loose, "amount_kobo", "left_anti"), i.join(loose.withColumnRenamed("amount_kobo", "expected_net_kobo"), "expected_net_kobo", "left_anti"))
     return folded.unionByName(apart)
 
 
 def _take_back(debits: pd.DataFrame, banked: pd.DataFrame) -> pd.DataFrame:
-    """Debits of one amount in the order of their keys, some of which name inflows."""
-    open_ = set(banked["inflow_key"])
+    """Debits of some amounts in the order of their keys, some of which name inflows."""
+    open_: dict[int, set] = {}
+    for key, amount in banked[["inflow_key", "amount_kobo"]].itertuples(index=False, name=None):
+        open_.setdefault(amount, set()).add(key)
     out = []
-    for key, names in debits.sort_values("idempotency_key")[["idempotency_key", "names"]].itertuples(index=False, name=None):
-        named = [k for k in (names if names is not None else ()) if k in open_]
-        pick = named[0] if len(named) == 1 else next(iter(open_)) if not named and len(open_) == 1 else None
+    for key, amount, names in debits.sort_values("idempotency_key")[["idempotency_key", "amount_kobo", "names"]].itertuples(index=False, name=None):
+        own = open_.get(amount, set())
+        named = [k for k in (names if names is not None else ()) if k in own]
+        pick = named[0] if len(named) == 1 else next(iter(own)) if not named and len(own) == 1 else None
         if pick is not None:
-            open_.discard(pick)
+            own.discard(pick)
             out.append((key, pick))
     return pd.DataFrame(out, columns=["idempotency_key", "inflow_key"])
 
@@ -165,7 +192,9 @@ def take_back(debits: DataFrame, banked: DataFrame, names: DataFrame) -> DataFra
     d = staged(debits.select("idempotency_key", "amount_kobo").join(own, "idempotency_key", "left"))
     b = banked.select("inflow_key", F.col("credited_kobo").alias("amount_kobo"))
     touched = d.where("names is not null").select("amount_kobo").distinct()
-    some = d.join(touched, "amount_kobo", "left_semi").groupBy("amount_kobo").cogroup(b.join(touched, "amount_kobo", "left_semi").groupBy("amount_kobo")).applyInPandas(_take_back, "idempotency_key string, inflow_key string")
+    frame = _frames(d, "amount_kobo").alias("frame")
+    own, against = (x.join(touched, "amount_kobo", "left_semi").select("*", frame).groupBy("frame") for x in (d, b))
+    some = own.cogroup(against).applyInPandas(_take_back, "idempotency_key string, inflow_key string")
     sole = b.groupBy("amount_kobo").agg(F.count("*").alias("n"), F.min("inflow_key").alias("inflow_key")).where("n = 1")
     rest = d.join(touched, "amount_kobo", "left_anti").groupBy("amount_kobo").agg(F.min("idempotency_key").alias("idempotency_key")).join(sole, "amount_kobo").select("idempotency_key", "inflow_key")
     return some.unionByName(rest)

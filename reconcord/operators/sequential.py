@@ -112,6 +112,8 @@ def _attempts(promises: DataFrame, payouts: DataFrame, rounds: int) -> DataFrame
 
 #: Days that a payout may lie from another one and still share a promise, where all promises escalate within them.
 SPAN_DAYS = 31
+#: Rows from which on stretches of time are given to another frame.
+FRAME = 20_000
 #: Rounds after which all payouts of a source count as attempted.
 ROUNDS = 2
 
@@ -131,8 +133,8 @@ def allocate(promises: DataFrame, payouts: DataFrame, rounds: int = ROUNDS) -> D
 
     Payouts with far too many promises in reach are decided by counts.  The
     others are joined to the promises in their reach, a number that is bounded
-    for each, and folded one stretch of time a task: between two stretches no
-    promise is in reach of both.
+    for each, and folded by stretches of time: between two stretches no promise
+    is in reach of both.  A frame takes stretches until it has ``FRAME`` rows.
     """
     schema = "source string, payout_reference string, reason string, transaction_id string, amount_kobo long"
     if "contract" in promises.columns:
@@ -165,7 +167,10 @@ def allocate(promises: DataFrame, payouts: DataFrame, rounds: int = ROUNDS) -> D
     many = F.col("n") > MAX_ITEMS + MAX_SUBSET * F.col("near")
     order = Window.partitionBy("source").orderBy("low", "payout_reference")
     apart = F.coalesce((F.col("low") > F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0))
-    islands = size.where(~many).withColumn("apart", apart).withColumn("island", F.sum("apart").over(order)).select("source", "payout_reference", "island")
+    # of several stretches with few rows one task's frame is made: the fold of one touches nothing of another
+    rows_before = F.sum("n").over(order) - F.col("n")
+    begins = F.when((F.col("apart") == 1) | (F.col("rows_before") == 0), F.col("rows_before"))
+    islands = size.where(~many).withColumn("apart", apart).withColumn("rows_before", rows_before).withColumn("island", F.floor(F.max(begins).over(order) / FRAME)).select("source", "payout_reference", "island")
     rows = pairs.drop("near").join(islands, ["source", "payout_reference"])
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:

@@ -138,3 +138,14 @@ def test_the_query_holds_every_outcome(spark):
     got = [tuple(r) for r in confirmation.bank_stage(inflows, lines, banked, F.lit(AS_OF)).collect()]
     same(got, plain(columns(inflows, INFLOW), columns(lines, LINE), columns(banked, "inflow_key string, credited_kobo long")))
     assert {r[3] for r in got} == {"BANK_CONFIRMED", "BANK_CHARGE", "AMOUNT_MISMATCH", "DUPLICATE_BANK_CREDIT", "UNIDENTIFIED_CREDIT", "RETURNED_PAYOUT", "MISSING_SETTLEMENT", "AWAITING_BANK_CREDIT"}
+
+
+def test_a_frame_of_several_amounts_keeps_them_apart():
+    import pandas as pd
+
+    from reconcord.operators import confirmation
+
+    debits = pd.DataFrame({"idempotency_key": ["d1", "d2", "d3"], "amount_kobo": [5, 7, 7], "names": [None, ["i2", "i1"], None]})
+    banked = pd.DataFrame({"inflow_key": ["i1", "i2", "i3"], "amount_kobo": [5, 7, 9]})
+    got = confirmation._take_back(debits, banked)
+    assert list(got.itertuples(index=False, name=None)) == [("d1", "i1"), ("d2", "i2")]
