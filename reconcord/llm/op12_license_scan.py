@@ -79,8 +79,8 @@ def label_of(identifier: str) -> str | None:
 Value = tuple[float, frozenset[str]]
 
 
-def evaluate(text: str, unknown: bool = False) -> Value | None:
-    """Strictness and labels of the license expression that ``text`` begins with; null if there is none.
+def evaluate(text: str, unknown: bool = False, at: int = 0) -> Value | None:
+    """Strictness and labels of the whole license expression that begins at ``at``; null if there is none.
 
     A shunting yard with two stacks.  Reading ends where neither an operator nor
     an operand can follow; ``unknown`` admits identifiers that are not known.
@@ -92,7 +92,7 @@ def evaluate(text: str, unknown: bool = False) -> Value | None:
         operator, (b, right), (a, left) = pending.pop(), values.pop(), values.pop()
         values.append((a * EXCEPTION, left) if operator == "with" else (min(a, b) if operator == "or" else max(a, b), left | right))
 
-    at, wants = 0, True
+    wants = True
     while token := _TOKEN.match(text, at):
         word = token[1]
         lower = word.lower()
@@ -163,8 +163,6 @@ def places(raw: np.ndarray | bytes, base: tuple[tuple[str, str], ...]) -> tuple[
 #: What may stand between a tag and its expression.
 _SIGN = re.compile(r"[\s\"']*[:=][ \t\"']*")
 _GAP = re.compile(r"[\s\"']*(the\s+)?", re.I)
-#: Characters behind a tag that are read.
-CLAUSE = 400
 
 
 def expressions(text: str, tags: list[tuple[int, int, str]]) -> list[Value]:
@@ -177,7 +175,7 @@ def expressions(text: str, tags: list[tuple[int, int, str]]) -> list[Value]:
         seen = last + 1
         signed, unknown = TAGS[want[last]]
         gap = (_SIGN if signed else _GAP).match(text, end)
-        if gap and (value := evaluate(text[gap.end() : gap.end() + CLAUSE], unknown)):
+        if gap and (value := evaluate(text, unknown, gap.end())):
             out.append(value)
     return out
 

@@ -240,3 +240,12 @@ def test_queries_of_the_three(spark):
     for i, text in docs:
         n, places = base_places(text)
         assert (by[i]["n_words"], by[i]["n_base"]) == (n, len(places))
+
+
+def test_license_expressions_of_any_length_are_read_whole():
+    from reconcord.llm.op12_license_scan import BASE, scan
+
+    text = "SPDX-License-Identifier: (" + " OR ".join(f"LicenseRef-{k}" for k in range(200)) + ") AND GPL-3.0-only"
+    assert len(text) > 2000
+    got = scan(text.encode(), tuple(BASE.items()))
+    assert got["score"] == 0.9 and {"gpl", "licenseref-0", "licenseref-199"} <= set(got["labels"].split(","))
