@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import staged
+
 SLACK_MINUTES = 1440
 
 
@@ -224,8 +226,9 @@ def nearest(targets: DataFrame, items: DataFrame, keep: int) -> DataFrame:
     """
     parts = max(1, int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     first = F.row_number().over(Window.partitionBy("grp", "amount").orderBy("tie")) <= keep
-    goods = items.where("amount is not null").withColumn("first", first).where("first").drop("first")
-    wanted = targets.where("target is not null").distinct()
+    # read several times below
+    goods = staged(items.where("amount is not null").withColumn("first", first).where("first").drop("first"))
+    wanted = staged(targets.where("target is not null").distinct())
     cuts = goods.select("amount").unionAll(wanted.select(F.col("target").alias("amount"))).agg(F.coalesce(F.percentile_approx("amount", [k / parts for k in range(1, parts)] or [0.5], 10_000), F.array().cast("array<bigint>")).alias("cuts"))
     part = lambda c: F.expr(f"cast(aggregate(cuts, 0, (n, x) -> n + if(x <= {c}, 1, 0)) as int)")
     goods = goods.crossJoin(F.broadcast(cuts)).select("grp", part("amount").alias("part"), "item", "amount", "tie")

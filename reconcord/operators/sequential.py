@@ -294,22 +294,25 @@ def confirm(inflows: DataFrame, credits: DataFrame, named: DataFrame, candidates
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         spent: set = set()
         out = []
-        for credit, own in frame.groupby("idempotency_key", sort=True):
-            open_ = own.loc[~own["inflow_key"].isin(spent)].drop_duplicates(["inflow_key", "kind"])
-            names, loose, pair = (open_.loc[open_["kind"] == k] for k in ("named", "amount", "set"))
+        by: dict[str, dict] = {}
+        for credit, inflow, short, kind in frame[["idempotency_key", "inflow_key", "short_kobo", "kind"]].itertuples(index=False, name=None):
+            by.setdefault(credit, {}).setdefault((inflow, kind), int(short))
+        for credit in sorted(by):
+            open_ = [(inflow, kind, short) for (inflow, kind), short in by[credit].items() if inflow not in spent]
+            names, loose, pair = ([x for x in open_ if x[1] == kind] for kind in ("named", "amount", "set"))
             pick, how = None, ""
-            if len(names):
-                pick, how = (names.iloc[0], "named") if len(names) == 1 else (None, "")
+            if names:
+                pick, how = (names[0], "named") if len(names) == 1 else (None, "")
             elif len(loose) == 1:
-                pick = loose.iloc[0]
-                how = "amount" if pick["short_kobo"] == 0 else "bank_charge"
-            elif len(pair):
-                pick, how = pair.iloc[0], "amount_set"
-            if how == "named" and not 0 <= pick["short_kobo"] <= allowance:
+                pick = loose[0]
+                how = "amount" if pick[2] == 0 else "bank_charge"
+            elif pair:
+                pick, how = pair[0], "amount_set"
+            if how == "named" and not 0 <= pick[2] <= allowance:
                 out.append((credit, None, "amount_mismatch"))
             elif pick is not None:
-                out.append((credit, pick["inflow_key"], how))
-                spent.add(pick["inflow_key"])
+                out.append((credit, pick[0], how))
+                spent.add(pick[0])
             elif len(open_):
                 out.append((credit, None, "ambiguous"))
         return pd.DataFrame(out, columns=["idempotency_key", "inflow_key", "how"])

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import money, protect
 from ..operators import calendar, fees, ledger, matching, payouts, queue, reserves, sequential
+from ..operators.graph import staged
 from ..sources import statements, webhooks
 from . import reconcile as runs
-from .views import register, with_views
+from .views import register, with_staged, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -318,6 +319,7 @@ def nearest_inflows(v):
 
 @query("select payout_reference, transaction_id, far_kobo, rank from (select p.payout_reference, t.transaction_id, abs(t.gross_kobo - p.gross_kobo) as far_kobo, cast(row_number() over (partition by p.payout_reference order by abs(t.gross_kobo - p.gross_kobo), t.occurred_at, t.transaction_id) as int) as rank from payouts p join promises t on p.source = t.source where t.gross_kobo > 0) x where rank <= 4", *PAY)
 def nearest_promises(v):
+    v = with_staged(v, "payouts")
     return matching.nearest_promises(v["payouts"], v["promises"].withColumnRenamed("gross_kobo", "owed_kobo"), 4)
 
 
@@ -533,7 +535,7 @@ def allocate(v):
 
 @query(None)
 def confirm(v):
-    credits, inflows = _open(v)
+    credits, inflows = (staged(x) for x in _open(with_staged(v, "payouts")))
     return sequential.confirm(inflows, credits, matching.bank_names(credits, inflows), matching.bank_match_candidates(credits, inflows, ALLOWANCE), ALLOWANCE)
 
 

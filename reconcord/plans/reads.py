@@ -12,6 +12,7 @@ from ..operators import calendar, confirmation, fees, ledger, lifecycle, matchin
 from ..operators.graph import shared
 from ..sources import statements
 from .queries import _ASOF, _FEE, _SHARES, _VIEW, AS_OF, MONEY, PAY, _concluded, _shares, query, stamp
+from .views import with_staged
 
 _TWO = "cross join (select 0 as p union all select 1) z"
 _UNDO = "case when k % 10 = 0 then gross_kobo + 1 when k % 10 = 1 then 0 else gross_kobo // (k % 3 + 1) end"
@@ -522,7 +523,7 @@ def _stage_inputs(v):
 
 @query(None)
 def bank_stage(v):
-    return confirmation.bank_stage(*_stage_inputs(v), F.lit(AS_OF).cast("timestamp"))
+    return confirmation.bank_stage(*_stage_inputs(with_staged(v, "payouts")), F.lit(AS_OF).cast("timestamp"))
 
 
 @query("""with i as (select payout_reference as inflow_key, n // 40 * 100 as amount_kobo, value_date, source <> 'monnify' as pairs from payouts),

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.graph import staged
+
 TABLES = ("customer", "documents", "events", "lineitem", "orders", "part", "supplier")
 
 
@@ -148,6 +150,16 @@ def register(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return raw | out
 
 
+def with_staged(v: dict[str, DataFrame], name: str) -> dict[str, DataFrame]:
+    """The views with one of them computed once, and those behind it made of what was written."""
+    out, own = v | {name: staged(v[name])}, texts(SPARK)
+    out[name].createOrReplaceTempView(name)
+    for later in list(own)[list(own).index(name) + 1 :]:
+        out[later] = out[name].sparkSession.sql(own[later])
+        out[later].createOrReplaceTempView(later)
+    return out
+
+
 def with_views(sql: str, *names: str) -> str:
     """DuckDB text with the named views in front."""
     own = texts(DUCK)
