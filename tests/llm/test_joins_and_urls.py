@@ -305,6 +305,23 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert whole == sorted((r["doc_id"], r["ids_crc32"]) for r in seen["packing"])
 
 
+def test_pipeline_workers_take_bounded_batches(spark, tmp_path):
+    import corpus_pipeline as p
+
+    spark.conf.unset(p._BYTES)
+    try:
+        docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 800).alias("text"))
+        spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+        p.toxicity(spark, docs, str(tmp_path))
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").agg(F.max("n"), F.sum("n")).first()
+        assert sizes[0] <= 5 << 20 and sizes[1] > 11 << 20
+        spark.conf.set(p._BYTES, "1048576")  # a session's own setting stays
+        p.personal_data(spark, docs, str(tmp_path))
+        assert spark.conf.get(p._BYTES) == "1048576"
+    finally:
+        spark.conf.unset(p._BYTES)
+
+
 @pytest.mark.parametrize("parts, ways, passed", [(3, 1024, 1 << 20), (7, 2, 20), (40, 3, 1), (1, 2, 7)])
 def test_ngram_ranks_across_runs(parts, ways, passed):
     draw = np.random.default_rng(5)
