@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from ..operators.graph import shared
 from ..streaming import inbox, retries
 from ..streaming.live_queue import LiveQueue
-from ..streaming.parts import KeyedTable
+from ..streaming.parts import KeyedTable, files
 from .queries import query
 
 #: Files that the deliveries are replayed from, in order of time, one a micro-batch.
 FILES = 2
+#: Rows of a file that a stream is replayed from; micro-batches with more rows are several files.
+FILE_ROWS = 1_000_000
 _FAILS = "event_id % 11"
 
 
@@ -51,10 +53,18 @@ def timed_retries(v):
     return back.join(per, "delivery_id").select("event_id", F.col("n").cast("int").alias("attempts"), "state", (F.col("end") - F.col("begin")).alias("waited_ms"), "errors")
 
 
-def _replayed(evidence, at: str, root: str, files: int):
-    """A stream of the rows in order of time, one file a micro-batch."""
-    evidence.repartitionByRange(files, at).sortWithinPartitions(at).write.parquet(f"{root}/in")
-    return evidence.sparkSession.readStream.schema(evidence.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+def _replayed(evidence, at: str, root: str, batches: int):
+    """A stream of the rows in order of time in so many micro-batches; a file is one task's, so a micro-batch has more of them the more rows there are."""
+    spark = evidence.sparkSession
+    each = max(1, -(-evidence.count() // (batches * FILE_ROWS)))
+    evidence.repartitionByRange(batches * each, at).sortWithinPartitions(at).write.parquet(f"{root}/in")
+    fs, folder = files(spark, f"{root}/in")
+    # streams take files by their instants, and tasks end in any order
+    parts = sorted((f.getPath().getName(), f) for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    last = max((f.getModificationTime() for _, f in parts), default=0)
+    for k, (_, f) in enumerate(parts):
+        fs.setTimes(f.getPath(), last - 1000 * (len(parts) - k), -1)
+    return spark.readStream.schema(evidence.schema).option("maxFilesPerTrigger", each).parquet(f"{root}/in")
 
 
 @query("""with e as (select reference as subject_id, 'promise' as kind, gross_kobo as amount_kobo from promises union all select reference, 'settlement', gross_kobo from settlement_lines where status = 'settled'),

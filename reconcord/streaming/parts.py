@@ -55,7 +55,7 @@ class KeyedTable:
         if exists(self.spark, self.path):
             kept = self.read(touched(first, self.key, self.parts)).select(self.key)
             first = first.join(kept, self.key, "left_anti")
-        laid = first.select(*names, part_of(F.col(self.key), self.parts).alias("part")).repartition("part").sortWithinPartitions("part", self.key)
+        laid = first.select(*names, part_of(F.col(self.key), self.parts).alias("part")).hint("rebalance", "part").sortWithinPartitions("part", self.key)
         laid.write.mode("append").partitionBy("part").parquet(self.path)
 
     def _table(self) -> DataFrame:
@@ -115,7 +115,8 @@ class Snapshots:
 
     def write(self, rows: DataFrame, key: str, version: int) -> None:
         """Writes whole parts as one version and removes what no replay reads any more."""
-        laid = rows.select("*", part_of(F.col(key), self.parts).alias("part")).repartition("part")
+        # a large part is written in several tasks, as files of its own each
+        laid = rows.select("*", part_of(F.col(key), self.parts).alias("part")).hint("rebalance", "part")
         laid.write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/version={version}")
         versions = self._versions()
         kept = {e for found in versions.values() for e in found[-2:]}
