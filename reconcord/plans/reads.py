@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -488,22 +491,37 @@ def explain_allocations(v):
     return fees.explain_allocations(v["allocations"], v["promises"], v["contracts"], _shares(v))
 
 
+#: Rows of a page of a statement, which one task writes.
+PAGE_ROWS = 1_000_000
+
+
+def _framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows as one JSON array, a row a line."""
+    lead = "["
+    for batch in batches:
+        if batch.num_rows:
+            leads = pa.array([lead] + [","] * (batch.num_rows - 1))
+            yield pa.RecordBatch.from_arrays([pa.compute.binary_join_element_wise(leads, batch.column(0).cast(pa.string()), "")], names=["line"])
+            lead = ","
+    if lead == ",":
+        yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["line"])
+
+
 @query("""with r as (select event_id, row_number() over (order by event_id) - 1 as position, case when event_id % 50 <> 0 then 'L' || event_id % 900 end as id, case when event_id % 7 = 0 then 'transfer' when event_id % 2 = 0 then 'credit' else 'debit' end as type, case when event_id % 11 <> 0 then cast(cast(value as decimal(20,2)) * 100 as bigint) end as kobo from events),
 s as (select *, row_number() over (partition by id order by position) as rn from r)
 select '$[' || position || ']' as lineage, kobo as amount_kobo, case when id is null then 'missing id' when type = 'transfer' then 'type=transfer' when kobo is null then 'amount' when kobo < 0 then 'negative amount' when rn > 1 then 'colliding identity' end as reject from s""")
 def scan_statement_splits(v):
-    """All events as one bank's one file, written to the shared folder and read back in many tasks."""
+    """All events as one bank's one statement, written to the shared folder in pages of a million rows and read back in many tasks."""
     row = F.to_json(F.struct(
         F.when(F.col("event_id") % 50 != 0, F.concat(F.lit("L"), F.col("event_id") % 900)).alias("id"), F.when(F.col("event_id") % 7 == 0, "transfer").when(F.col("event_id") % 2 == 0, "credit").otherwise("debit").alias("type"),
         F.when(F.col("event_id") % 11 == 0, "n/a").otherwise(F.col("value").cast("decimal(20,2)").cast("string")).alias("amount"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.concat("event_type", F.lit(' said "},{"')).alias("narration"),
     ))
-    first, last = v["events"].agg(F.min("event_id"), F.max("event_id")).first()
-    framed = F.concat(F.when(F.col("event_id") == first, "[").otherwise(","), row, F.when(F.col("event_id") == last, "]").otherwise(""))
-    lines = v["events"].select("event_id", framed.alias("line"))
+    lines = v["events"].select("event_id", row.alias("line"))
     spark = lines.sparkSession
     folder = f"{shared(spark)}/statements/{uuid.uuid4().hex}"
-    lines.repartitionByRange(1, "event_id").sortWithinPartitions("event_id").select("line").write.text(folder)
-    return statements.scan_bank_statement(statements.file_rows(spark, folder), "main").select("lineage", "amount_kobo", "reject")
+    pages = max(1, -(-lines.count() // PAGE_ROWS))
+    lines.repartitionByRange(pages, "event_id").sortWithinPartitions("event_id").select("line").mapInArrow(_framed, "line string").write.text(folder)
+    return statements.scan_bank_statement(statements.paged_rows(spark, folder), "main").select("lineage", "amount_kobo", "reject")
 
 
 def _stage_inputs(v):

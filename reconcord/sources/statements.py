@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import naira_to_kobo
+from ..operators.graph import staged
 from . import json_files
 
 
@@ -25,6 +26,24 @@ def file_rows(spark: SparkSession, path: str, root: str = "$") -> DataFrame:
     return found.join(json_files.evidence(spark, path, found), "path").select("evidence_id", F.col("position").cast("int").alias("position"), "lineage", "row")
 
 
+def paged_rows(spark: SparkSession, path: str, root: str = "$") -> DataFrame:
+    """As ``file_rows`` of one statement that comes in pages: files of a folder in order of their paths, each with an array of its own.
+
+    Positions run on from page to page, and all rows have one evidence: of one
+    page its own, of several ``pages:`` and the SHA-256 over theirs.  The pages'
+    names and counts go to all tasks.
+    """
+    found = json_files.array_rows(spark, path, root)
+    in_order = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # a row for each page
+    counts = found.groupBy("path").agg((F.max("position") + 1).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(in_order), F.lit(0)))
+    own = json_files.evidence(spark, path, found)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("path", "evidence_id"))), lambda x: x["evidence_id"])
+    whole = own.agg(ids.alias("ids")).select(F.when(F.size("ids") == 1, F.col("ids")[0]).otherwise(F.concat(F.lit("pages:"), F.sha2(F.array_join("ids", ","), 256))).alias("evidence_id"))
+    pages = staged(counts.select("path", "before").crossJoin(whole))
+    x = found.join(F.broadcast(pages), "path").withColumn("position", F.col("position") + F.col("before"))
+    return x.select("evidence_id", "position", F.concat(F.lit(root + "["), "position", F.lit("]")).alias("lineage"), "row")
+
+
 def rows(documents: DataFrame, root: str = "$") -> DataFrame:
     """One row per element of a JSON array at ``root`` ($ or $.data): (evidence_id, position, lineage, row); rows of ``file_rows`` as they are."""
     if "row" in documents.columns:
@@ -74,7 +93,9 @@ def scan_bank_statement(documents: DataFrame, bank: str, good_claims: bool = Fal
     )
     x = x.withColumn("reject", reject)
     claims = F.col("reject").isNull() if good_claims else F.lit(True)
-    before = Window.partitionBy("evidence_id", "id").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # rows without an id are rejected for that, and need not meet
+    alone = F.when(F.coalesce(F.col("id"), F.lit("")) == "", F.col("position"))
+    before = Window.partitionBy("evidence_id", "id", alone).orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumn("again", F.count(F.when(claims, 1)).over(before) > 1)
     words = F.array_distinct(F.regexp_extract_all(F.upper("narration"), F.lit(r"[A-Z0-9][A-Z0-9_-]{5,}"), F.lit(0)))
     x = x.withColumn("reject", F.coalesce("reject", F.when(F.col("again"), "colliding identity"))).drop("again")

@@ -4,6 +4,7 @@ import json
 import random
 import subprocess
 import sys
+from datetime import datetime
 
 import pytest
 from hypothesis import given, settings
@@ -118,3 +119,27 @@ def test_evidence_of_files_beyond_one_row(spark, tmp_path, tiny_splits, monkeypa
         rows = json_files.array_rows(spark, str(tmp_path))
         found += [r["evidence_id"] for r in json_files.evidence(spark, str(tmp_path), rows).collect()]
     assert len(found) == 2 and found[0] == found[1] and found[0].startswith("rows:")
+
+
+def test_pages_of_a_statement_run_on(spark, tmp_path, tiny_splits):
+    tiny_splits(100)
+    pages = [[{"id": f"L{i}", "n": i} for i in range(7)], [], [{"id": f"L{i}", "n": "} ]"} for i in range(5, 40)], [{"id": "z"}]]
+    for k, page in enumerate(pages):
+        (tmp_path / f"page-{k}.json").write_text(json.dumps(page))
+    got = statements.paged_rows(spark, str(tmp_path)).orderBy("position").collect()
+    assert [json.loads(r["row"]) for r in got] == sum(pages, [])
+    assert [(r["position"], r["lineage"]) for r in got] == [(i, f"$[{i}]") for i in range(43)]
+    assert len({r["evidence_id"] for r in got}) == 1 and got[0]["evidence_id"].startswith("pages:")
+
+
+def test_statement_of_several_pages_is_scanned_as_one(spark, tmp_path, monkeypatch):
+    from reconcord.plans import reads
+
+    rows = [(i, datetime(2024, 1, 1), "a", float(i)) for i in range(2000)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double")
+    wanted = sorted(map(tuple, reads.scan_statement_splits({"events": events}).collect()), key=str)
+    wrote, was = [], statements.paged_rows
+    monkeypatch.setattr(statements, "paged_rows", lambda s, folder: wrote.append(folder) or was(s, folder))
+    monkeypatch.setattr(reads, "PAGE_ROWS", 300)
+    assert sorted(map(tuple, reads.scan_statement_splits({"events": events}).collect()), key=str) == wanted
+    assert len(wanted) == 2000 and len(spark.read.text(wrote[0]).inputFiles()) > 4
