@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 
 #: ASCII white space; words are maximal runs of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an id and a count or less that are sent to every task (16 MB).
+BROADCAST = 1_000_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +33,19 @@ def _local_dir() -> str:
     return tempfile.mkdtemp(prefix="reconcord-")
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written here leaves no shuffle files; else they stay until the driver's garbage collection.  A session's own value stays."""
+    own = spark.conf.get(_CLEANUP, None)
+    if own is None:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(_CLEANUP)
+
+
 class Stage:
     """Tables written to the shared folder in place of a long lineage.
 
@@ -45,7 +63,8 @@ class Stage:
     def keep(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}"
-        df.write.parquet(path)
+        with shuffles_removed(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
@@ -89,11 +108,11 @@ def components(stage: Stage, edges: DataFrame) -> DataFrame:
             return names
 
 
-def semi_by_size(df: DataFrame, ids: DataFrame, key: str, bound: int = 1_000_000) -> DataFrame:
-    """Rows of ``df`` whose key is in ``ids`` (distinct, staged).
+def by_size(rows: DataFrame) -> DataFrame:
+    """Narrow rows (staged) to join texts with: up to ``BROADCAST`` of them are broadcast, so that texts need no shuffle; beyond that both sides are shuffled."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST else rows
 
-    Up to ``bound`` ids (8 MB) are broadcast, so that texts need no shuffle;
-    beyond that both sides are shuffled.
-    """
-    n = ids.count()
-    return df.join(F.broadcast(ids) if n <= bound else ids, key, "left_semi")
+
+def semi_by_size(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose key is in ``ids`` (distinct, staged)."""
+    return df.join(by_size(ids), key, "left_semi")

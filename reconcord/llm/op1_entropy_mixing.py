@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Stage
+from .common import WORD, Stage, by_size
 
 STRATUM = 512
 #: Equal rows that are written out by one step.
@@ -191,7 +191,8 @@ def mixed_documents(
     often = stage.keep(found.groupBy("mix_id").agg(F.sum("mix_n").alias("rows")).where("rows > 1 or mix_id is null").select("mix_id"))
     own = F.col(id_col).cast("long")
     times = lambda df, c: df.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(0), c.cast("int")))).select(*docs.columns)
-    out = times(docs.join(found.where("mix_copies > 0").join(often, "mix_id", "left_anti"), own == F.col("mix_id")), F.col("mix_copies"))
+    taken = stage.keep(found.where("mix_copies > 0").join(often, "mix_id", "left_anti").select("mix_id", "mix_copies"))
+    out = times(docs.join(by_size(taken), own == F.col("mix_id")), F.col("mix_copies"))
     if often.head(1):
         rows = docs.join(often.withColumnRenamed("mix_id", "mix_often"), own.eqNullSafe(F.col("mix_often")), "left_semi").withColumn("mix_own_key", _key(source_col)).withColumn("mix_own_size", _size(text_col))
         rows = rows.withColumn("mix_row", F.row_number().over(Window.partitionBy(own, "mix_own_key", "mix_own_size").orderBy(text_col)) - 1)

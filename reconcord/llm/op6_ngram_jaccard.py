@@ -8,6 +8,8 @@ a window is a prefix with some slack, so that a set with few frequent hashes
 may leave them out and still shares a rare one with each partner.
 
 1. Documents whose size and window agree are one group; only groups are indexed.
+   Windows are made from the texts when they are indexed and kept in no table; a
+   group that several tasks send is one holder of each list.
 2. A posting list of a rare hash holds at most ``frequent`` groups; its pairs
    are counted, and a pair stays if the hashes in common plus those that can
    still follow reach the needed overlap.
@@ -58,6 +60,8 @@ PART = 1 << 16
 #: Slots that one pass deals elements to, and the elements that a task gathers before it passes them on: about a thousand a row, at any size.
 WAYS = 1 << 10
 PASSED = 1 << 20
+#: Groups that a task remembers to have sent.
+SENT = 1 << 17
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -75,23 +79,28 @@ def _spare(n: int, percent: int) -> int:
     return max(0, min(16 + prefix_length(least, percent) // 4, least - 1))
 
 
+def _windows(column: pa.Array, size: int, percent: int) -> Iterator[tuple[int, int, list[np.ndarray], list[np.ndarray], list[int | None]]]:
+    """Sets, windows and groups of the texts [i, j), a slice at a time; an empty set has no group."""
+    data, offsets = buffers(column)
+    for i, j in slices(offsets):
+        sets = shingle_sets(data, offsets[i : j + 1], size)
+        window = [s[: window_length(len(s), percent)] if len(s) else s for s in sets]
+        yield i, j, sets, window, [int(fingerprint(w, 37) ^ len(s)) if len(s) else None for s, w in zip(sets, window)]
+
+
 def _base_rows(size: int, percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            for i, j in slices(offsets):
-                sets = shingle_sets(data, offsets[i : j + 1], size)
-                n = [len(s) for s in sets]
-                window = [s[: window_length(k, percent)] if k else s for s, k in zip(sets, n)]
+            for i, j, sets, window, group in _windows(batch.column(1), size, percent):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
-                        pa.array(n, pa.int64()),
+                        pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([fingerprint(s, 31) if len(s) else None for s in sets], pa.int64()),
-                        pa.array([int(fingerprint(w, 37) ^ k) if k else None for w, k in zip(window, n)], pa.int64()),
-                        pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(w) for w in window])]).astype(np.int32), np.concatenate(window) if window else np.zeros(0, np.int64)),
+                        pa.array(group, pa.int64()),
+                        pa.array([int(w[-1]) if len(w) else None for w in window], pa.int64()),
                     ],
-                    names=["id", "n", "set_id", "group_id", "window"],
+                    names=["id", "n", "set_id", "group_id", "last"],
                 )
 
     return rows
@@ -108,73 +117,96 @@ def _set_rows(size: int):
     return rows
 
 
-def _postings(frequent: int):
-    """(hash, group, n, times) of each window; a hash that is frequent within the batch sends marks and one count instead of its groups."""
+def _postings(size: int, percent: int, frequent: int):
+    """(hash, group, n, times) of each window of the texts; a hash that is frequent within the batch sends marks and one count instead of its groups.
+
+    A mark has its hash in place of n.  A task sends a group once, as far as it remembers.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
-            window = batch.column(2)
-            lengths = np.diff(np.asarray(window.offsets)).astype(np.int64)
-            value = np.asarray(window.flatten())
-            group = np.repeat(np.asarray(batch.column(0)), lengths)
-            n = np.repeat(np.asarray(batch.column(1)), lengths)
+            found: list[tuple[int, int, np.ndarray]] = []
+            for _, _, sets, window, groups in _windows(batch.column(0), size, percent):
+                for s, w, g in zip(sets, window, groups):
+                    if g is not None and g not in sent:
+                        sent.add(g)
+                        found.append((g, len(s), w.copy()))
+            if len(sent) > SENT:
+                sent.clear()
+            if not found:
+                continue
+            lengths = np.array([len(w) for *_, w in found])
+            value = np.concatenate([w for *_, w in found])
+            group, n = (np.repeat(np.array(x, np.int64), lengths) for x in list(zip(*found))[:2])
             _, inverse, count = np.unique(value, return_inverse=True, return_counts=True)
             hot = count[inverse] > frequent
             h, k = np.unique(value[hot], return_counts=True)
-            times = np.ones(len(value), np.int64)
-            times[hot] = 0
+            none = np.zeros(len(h), np.int64)
             # a mark only passes through: dealt by its group, not by its hash
-            key = np.where(hot, group, value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([key, h])), pa.array(np.concatenate([group, np.zeros(len(h), np.int64)])), pa.array(np.concatenate([n, np.zeros(len(h), np.int64)])), pa.array(np.concatenate([times, k]))],
-                names=["hash", "grp", "n", "times"],
-            )
+            columns = [(np.where(hot, group, value), h), (group, none), (np.where(hot, value, n), none), (np.where(hot, 0, 1), k)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["hash", "grp", "n", "times"])
 
     return rows
 
 
+def _holders(hash_: np.ndarray, group: np.ndarray, n: np.ndarray, times: np.ndarray) -> list[np.ndarray]:
+    """The rows sorted by hash without those that name a holder of a hash again."""
+    order = np.lexsort((group, hash_))
+    hash_, group, n, times = hash_[order], group[order], n[order], times[order]
+    new = np.ones(len(hash_), bool)
+    new[1:] = (hash_[1:] != hash_[:-1]) | (group[1:] != group[:-1])
+    return [hash_[new], group[new], n[new], times[new]]
+
+
 def _candidates(frequent: int, percent: int):
-    """Pairs from the lists of rare hashes; (group, null) for each frequent hash of a group.  Rows come sorted by hash."""
+    """Pairs from the lists of rare hashes; (group, null, hash) for each frequent hash of a group, perhaps several times.  Rows come sorted by hash."""
+
+    def out(a: np.ndarray, b: np.ndarray, group: np.ndarray, hash_: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = pa.array(np.concatenate([a, group]), pa.int64())
+        second = pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(group), pa.int64())])
+        third = pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(hash_, pa.int64())])
+        for i in range(0, len(first), 1 << 16):
+            yield pa.RecordBatch.from_arrays([x.slice(i, 1 << 16) for x in (first, second, third)], names=["a", "b", "hash"])
 
     def done(hash_: np.ndarray, group: np.ndarray, n: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
-        mark = times == 0
-        marked = [group[mark]]
-        hash_, group, n, times = hash_[~mark], group[~mark], n[~mark], times[~mark]
-        left, right = [], []
-        if len(hash_):
-            start = np.flatnonzero(np.concatenate([[True], hash_[1:] != hash_[:-1]]))
-            total = np.add.reduceat(times, start)
-            length = np.diff(np.append(start, len(hash_)))
-            over = np.repeat(total > frequent, length)
-            marked.append(group[over & (n > 0)])
-            few = (total <= frequent) & (length > 1)
-            for k in np.unique(length[few]):
-                at = start[few & (length == k)][:, None] + np.arange(k)[None, :]
-                i, j = np.triu_indices(int(k), 1)
-                a, b = at[:, i].ravel(), at[:, j].ravel()
-                near = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-                a, b = group[a[near]], group[b[near]]
-                left.append(np.minimum(a, b))
-                right.append(np.maximum(a, b))
-        marked = np.concatenate(marked)
-        a = np.concatenate([*left, marked]) if left else marked
-        b = np.concatenate(right) if right else np.zeros(0, np.int64)
-        b = pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(marked), pa.int64())])
-        for i in range(0, len(a), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 16)], pa.int64()), b.slice(i, 1 << 16)], names=["a", "b"])
+        if not len(hash_):
+            return
+        hash_, group, n, times = _holders(hash_, group, n, times)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        start = np.flatnonzero(np.concatenate([[True], hash_[1:] != hash_[:-1]]))
+        total = np.add.reduceat(times, start)
+        length = np.diff(np.append(start, len(hash_)))
+        over = np.repeat(total > frequent, length) & (n > 0)
+        few = (total <= frequent) & (length > 1)
+        for k in np.unique(length[few]):
+            at = start[few & (length == k)][:, None] + np.arange(k)[None, :]
+            i, j = np.triu_indices(int(k), 1)
+            a, b = at[:, i].ravel(), at[:, j].ravel()
+            near = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+            a, b = group[a[near]], group[b[near]]
+            left.append(np.minimum(a, b))
+            right.append(np.maximum(a, b))
+        yield from out(np.concatenate(left), np.concatenate(right), group[over], hash_[over])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
+        none = np.zeros(0, np.int64)
+        held = [none] * 4
         for batch in batches:
-            now = [np.concatenate([x, np.asarray(batch.column(i))]) for i, x in enumerate(held)]
+            own = [np.asarray(x) for x in batch.columns]
+            mark = own[3] == 0
+            yield from out(none, none, own[1][mark], own[2][mark])
+            now = [np.concatenate([x, y[~mark]]) for x, y in zip(held, own)]
             cut = int(np.searchsorted(now[0], now[0][-1], "left")) if len(now[0]) else 0
             yield from done(*(x[:cut] for x in now))
             held = [x[cut:] for x in now]
-            total = int(held[3].sum())
-            if total > frequent:
-                # a frequent hash needs its holders no more: they are marked, and its count goes on alone
-                yield from done(*held)
-                held = [held[0][:1], np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([total])]
+            if held[3].sum() > frequent:
+                held = _holders(*held)
+                total = int(held[3].sum())
+                if total > frequent:
+                    # a frequent hash needs its holders no more: they are marked, and its count goes on alone
+                    yield from done(*held)
+                    held = [held[0][:1], np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([total])]
         yield from done(*held)
 
     return rows
@@ -384,18 +416,16 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     stage = Stage(spark, "ngram-jaccard")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    base = stage.keep(source.mapInArrow(_base_rows(size, percent), "id long, n long, set_id long, group_id long, window array<long>"))
+    base = stage.keep(source.mapInArrow(_base_rows(size, percent), "id long, n long, set_id long, group_id long, last long"))
     full = base.where("n > 0 and id is not null")
 
-    groups = full.select("group_id", "n", "window").dropDuplicates(["group_id"])
     found = stage.keep(
-        groups.mapInArrow(_postings(frequent), "hash long, grp long, n long, times long")
+        source.where("id is not null").select("text").mapInArrow(_postings(size, percent, frequent), "hash long, grp long, n long, times long")
         .repartition("hash").sortWithinPartitions("hash")
-        .mapInArrow(_candidates(frequent, percent), "a long, b long")
+        .mapInArrow(_candidates(frequent, percent), "a long, b long, hash long")
     )
-    last = F.element_at("window", -1)
-    shape = full.groupBy("group_id").agg(F.first("n").alias("n"), F.first(last).alias("last"), F.min("set_id").alias("lead"), F.count_distinct("set_id").alias("kinds"))
-    marks = found.where("b is null").groupBy(F.col("a").alias("group_id")).agg(F.count("*").alias("marks"))
+    shape = full.groupBy("group_id").agg(F.first("n").alias("n"), F.first("last").alias("last"), F.min("set_id").alias("lead"), F.count_distinct("set_id").alias("kinds"))
+    marks = found.where("b is null").groupBy(F.col("a").alias("group_id")).agg(F.count_distinct("hash").alias("marks"))
     p = F.expr(f"n - ceil({percent} * n / 100) + 1")
     least = F.expr(f"ceil({percent} * n / 100)")
     spare = F.least(16 + F.floor((least - F.ceil(least * percent / 100) + 1) / 4), least - 1)

@@ -1,7 +1,10 @@
 """N-gram join, lattice dedup, URL models, shared helpers and the pipeline against brute force."""
 
+import itertools
+import os
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -9,10 +12,13 @@ import pyarrow as pa
 import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
+from reconcord.llm import common
+from reconcord.llm import op1_entropy_mixing as op1
 from reconcord.llm import op6_ngram_jaccard as op6
 from reconcord.llm import op7_lattice_dedup as op7
 from reconcord.llm import op8_url_markov as op8
 from reconcord.llm.common import Stage, components
+from reconcord.llm.shingles import buffers, shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -351,3 +357,83 @@ def test_ngram_ranks_across_runs(parts, ways, passed):
             assert [(r["set_id"], r["rich"], r["n"]) for r in got] == [(r[1], r[2], len(r[3])) for r in own]
             for r, (*_, h) in zip(got, own, strict=True):
                 assert [(x["df"], x["hash"]) for x in r["hashes"]] == (sorted((every[x], x) for x in h if every[x] > 1) if len(known) else [])
+
+
+def shuffle_files(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f for d in dirs for _, _, files in os.walk(str(d)) for f in files if f.startswith("shuffle_")}
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    key = common._CLEANUP
+    before = shuffle_files(spark)
+    assert spark.conf.get(key, None) is None
+    kept = Stage(spark, "t").keep(spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    end = time.time() + 10
+    while (left := shuffle_files(spark) - before) and time.time() < end:
+        time.sleep(0.1)
+    assert not left
+    assert kept.count() == 7 and spark.conf.get(key, None) is None
+    spark.conf.set(key, "false")  # a session's own setting stays
+    try:
+        Stage(spark, "t").keep(spark.range(5))
+        assert spark.conf.get(key) == "false"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_ngram_keeps_no_windows(spark, monkeypatch):
+    """Texts without copies: the tables together stay far below the texts, which the windows do not."""
+    rnd = random.Random(4)
+    texts = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(400)) for _ in range(300)]
+    most, old = [0], Stage.keep
+
+    def keep(self, df):
+        out = old(self, df)
+        paths = [p.removeprefix("file://") for p in self.paths.values()]
+        most.append(sum(os.path.getsize(f"{p}/{f}") for p in paths for f in os.listdir(p) if f.endswith(".parquet")))
+        return out
+
+    monkeypatch.setattr(Stage, "keep", keep)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert {(r["doc_id"], r["component_id"]) for r in op6.ngram_jaccard(df).collect()} == {(i, i) for i in range(300)}
+    assert 0 < max(most) < sum(map(len, texts)) / 8
+
+
+@pytest.mark.parametrize("tasks", [1, 3])
+@pytest.mark.parametrize("holders, step", [(2, 1), (3, 4), (4, 2), (9, 5)])
+def test_ngram_copies_in_many_tasks_are_one_holder(tasks, holders, step):
+    """Tasks that send the same groups make the pairs and marks of one task."""
+    frequent = 3
+    texts = [f"a b c d e f own{i} g{i} h{i} i{i}" for i in range(holders)]
+    sent = [b for _ in range(tasks) for b in op6._postings(5, 75, frequent)(pa.RecordBatch.from_arrays([pa.array(texts[i : i + step])], names=["text"]) for i in range(0, holders, step))]
+    rows = pa.Table.from_batches(sent).combine_chunks().sort_by("hash").to_batches(max_chunksize=2)
+    got = [(r["a"], r["b"], r["hash"]) for b in op6._candidates(frequent, 75)(rows) for r in b.to_pylist()]
+    sets = [shingle_sets(*buffers(pa.array([t])))[0] for t in texts]
+    lists = {}
+    for s in sets:
+        w = s[: op6.window_length(len(s), 75)]
+        for h in w.tolist():
+            lists.setdefault(h, set()).add(op6.fingerprint(w, 37) ^ len(s))
+    assert Counter((a, b) for a, b, h in got if h is None) == Counter(p for g in lists.values() if len(g) <= frequent for p in itertools.combinations(sorted(g), 2))
+    assert {(a, h) for a, b, h in got if h is not None} == {(a, h) for h, g in lists.items() if len(g) > frequent for a in g}
+
+
+def test_ngram_task_forgets_what_it_sent(monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b c d e f", "A b c d e f", "", None, "x"])], names=["text"])
+    assert sum(b.num_rows for b in op6._postings(5, 75, 48)([batch, batch])) == 3
+    monkeypatch.setattr(op6, "SENT", 1)
+    assert sum(b.num_rows for b in op6._postings(5, 75, 48)([batch, batch])) == 6
+
+
+def test_mix_shuffles_no_texts_for_few_counts(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "word " * (i % 9), f"s{i % 3}") for i in range(200)] + [(5, "again", None)], "doc_id long, text string, source string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = op1.mixed_documents(df.where("doc_id <> 5"))
+        assert "BroadcastHashJoin" in few._jdf.queryExecution().toString() and "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(str, op1.mixed_documents(df).collect()))
+        monkeypatch.setattr(common, "BROADCAST", 0)
+        assert got and got == sorted(map(str, op1.mixed_documents(df).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
