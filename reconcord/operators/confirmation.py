@@ -6,16 +6,21 @@ amount that many share costs a row each and no pairs:
 
 * A group of one amount that no name and no allowance ties to others, and whose
   every credit may pay its every inflow, is decided by counts and ranks.
-* What is left is folded in order, a component of tied amounts in one frame,
-  which has a row for each credit and inflow, never one for each pair.  Small
-  components share a frame: nothing of one fits another.
+* What is left is folded in order, by cells of amounts.  A cell's frame has a
+  row for each credit and inflow of the cell and of a strip on both sides of it,
+  never one for each pair.  What credits beyond the strip may take is in doubt; a
+  credit of the cell whose outcome hangs on a doubt is left open.
+* Open credits are folded at last, with what is in doubt for each of them, a
+  component of those that may take the same inflow in one frame.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +31,8 @@ from .matching import SLACK_MINUTES, duplicates_here, line_names, not_before
 CONFIDENCE = {"named": 100, "amount": 90, "amount_set": 85, "bank_charge": 85}
 _SLACK = SLACK_MINUTES * 60 * 1_000_000
 _EARLY = -(2**62)
+#: Of the largest allowance: how wide a cell of amounts is, and the strip on each side of it.
+CELL, STRIP = 16, 4
 #: Credits or debits for which another frame is made.
 FRAME = 10_000
 
@@ -35,6 +42,11 @@ def _frames(rows: DataFrame, key: str) -> F.Column:
     return F.pmod(F.xxhash64(key), F.lit(1 + rows.count() // FRAME))
 
 
+def _part(v: str, width: int) -> F.Column:
+    """The number of the part of ``width`` amounts that ``v`` is in."""
+    return F.expr(f"({v} - pmod({v}, {width}L)) div {width}L")
+
+
 def _micros(c: str) -> F.Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
@@ -55,14 +67,16 @@ def paired(credits: DataFrame, inflows: DataFrame) -> DataFrame:
 
 
 def _tied(credits: DataFrame, inflows: DataFrame, most: int) -> DataFrame:
-    """(a, e): credit amounts and other inflow amounts within an allowance, as distinct values, by bands of ``most + 1``."""
+    """The distinct amounts of credits that an inflow with an allowance is up to ``most`` above, and of such inflows; found by bands, without pairs."""
     if not most:
-        return credits.select(F.col("amount_kobo").alias("a"), F.col("amount_kobo").alias("e")).limit(0)
-    band = most + 1
-    a = credits.select(F.col("amount_kobo").alias("a")).distinct().withColumn("band", F.expr(f"a div {band}"))
-    e = inflows.where("allowance_kobo > 0").groupBy(F.col("expected_net_kobo").alias("e")).agg(F.max("allowance_kobo").alias("w"))
-    e = e.withColumn("band", F.explode(F.array_distinct(F.array(F.expr(f"e div {band}"), F.expr(f"(e - {most}) div {band}")))))
-    return a.join(e, "band").where("a < e and e - a <= w").select("a", "e")
+        return credits.select("amount_kobo").limit(0)
+    values = lambda df, c: df.select(F.col(c).alias("amount_kobo")).distinct().withColumn("band", _part("amount_kobo", most + 1))
+    a, e = values(credits, "amount_kobo"), values(inflows.where("allowance_kobo > 0"), "expected_net_kobo")
+    ends = lambda df: df.groupBy("band").agg(F.min("amount_kobo").alias("least"), F.max("amount_kobo").alias("largest"))
+    above, below = ends(e), ends(a)
+    has_e = a.join(above.select("band", F.col("largest").alias("here")), "band", "left").join(above.select((F.col("band") - 1).alias("band"), F.col("least").alias("next")), "band", "left")
+    has_a = e.join(below.select("band", F.col("least").alias("here")), "band", "left").join(below.select((F.col("band") + 1).alias("band"), F.col("largest").alias("next")), "band", "left")
+    return has_e.where(f"here > amount_kobo or next - amount_kobo <= {most}").select("amount_kobo").union(has_a.where(f"here < amount_kobo or amount_kobo - next <= {most}").select("amount_kobo")).distinct()
 
 
 def _by_counts(credits: DataFrame, inflows: DataFrame) -> DataFrame:
@@ -76,16 +90,35 @@ def _by_counts(credits: DataFrame, inflows: DataFrame) -> DataFrame:
 
 
 OUTCOME = "idempotency_key string, inflow_key string, how string, short_kobo long"
+#: Of open credits there is a row for each inflow that is not taken for sure, with the way in which it may be taken.
+_ROW = f"{OUTCOME}, allowance_kobo long"
+_KINDS = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+_NAME, _FIT, _PAIR, _MANY, _NONE = "open name", "open fit", "open pair", "open many", "open"
+
+
+def _table(rows: list[tuple], n: int) -> pa.Table:
+    names = [c.split()[0] for c in _ROW.split(", ")][:n]
+    return pa.table([pa.array(list(x), kind) for x, kind in zip(zip(*rows, strict=True) if rows else [()] * n, _KINDS[:n], strict=True)], names)
 
 
-def _fold(credits: pd.DataFrame, inflows: pd.DataFrame) -> pd.DataFrame:
-    """Outcomes of the credits of whole components, in the order of their keys."""
-    alive: dict[int, dict[str, tuple[int, int]]] = {}
-    place: dict[str, int] = {}
-    for key, e, allow, at in inflows.sort_values("inflow_key")[["inflow_key", "expected_net_kobo", "allowance_kobo", "at"]].itertuples(index=False, name=None):
-        alive.setdefault(int(e), {})[key] = (int(allow), int(at))
-        place[key] = int(e)
-    amounts, most = sorted(alive), int(inflows["allowance_kobo"].max()) if len(inflows) else 0
+def _cell(low: int, high: int, core: range, most: int, credits: list[tuple], inflows: list[tuple], out: list[tuple]) -> None:
+    """Appends the outcomes of the credits within ``core``, all in the order of their keys.
+
+    Seen are the credits and inflows of amounts from ``low`` to below ``high``.
+    credits: (key, amount, at, names, pair), names (key, amount, allowance);
+    inflows: (key, amount, allowance, at).
+    """
+    known: dict[str, tuple[int, int, int]] = {}  # not taken for sure
+    sure: dict[int, dict[str, None]] = {}  # not taken; the others of known are in doubt
+    doubted: list[tuple[int, str]] = []
+    for key, e, allow, at in inflows:
+        known[key] = (e, allow, at)
+        if e - most >= low:  # who may take it is seen
+            sure.setdefault(e, {})[key] = None
+        else:
+            doubted.append((e, key))
+    doubted.sort()
+    amounts = sorted(sure)
     later = list(range(len(amounts) + 1))  # of each place in amounts, one from which on those without inflows are passed over
 
     def open_from(k: int) -> int:
@@ -94,43 +127,149 @@ def _fold(credits: pd.DataFrame, inflows: pd.DataFrame) -> pd.DataFrame:
         while True:
             while later[end] != end:
                 end = later[end]
-            if end == len(amounts) or alive[amounts[end]]:
+            if end == len(amounts) or sure[amounts[end]]:
                 break
             later[end] = end + 1
         while k != end:
             k, later[k] = later[k], end
         return end
 
-    out = []
-    for key, amount, at, names, pair in credits.sort_values("idempotency_key")[["idempotency_key", "amount_kobo", "at", "names", "pair"]].itertuples(index=False, name=None):
-        amount, pick, how = int(amount), None, None
-        named = [k for k in (names if names is not None else ()) if k in place]
-        if named:
-            pick, how = (named[0], "named") if len(named) == 1 else (None, None)
+    def is_sure(key: str) -> bool:
+        return key in known and key in sure.get(known[key][0], ())
+
+    def gone(key: str, into_doubt: bool) -> None:
+        place = (known[key][0], key)
+        if is_sure(key):
+            sure[place[0]].pop(key)
+            if into_doubt:
+                insort(doubted, place)
+        elif not into_doubt:
+            doubted.pop(bisect_left(doubted, place))
+        if not into_doubt:
+            known.pop(key)
+
+    for key, amount, at, names, pair in credits:
+        pick, how, may, fits, many = None, None, None, [], False
+        named = [x for x in names if x[0] in known or not low <= x[1] < high]
+        certain = [x[0] for x in named if is_sure(x[0])]
+        hangs = len(certain) < 2 and len(certain) < len(named)
+        if len(certain) == 1 and not hangs:
+            pick, how = certain[0], "named"
+        elif certain:
+            may = certain if hangs else None
         else:
-            fits = []
             k = open_from(bisect_left(amounts, amount))
             while k < len(amounts) and (e := amounts[k]) <= amount + most and len(fits) < 2:
-                for inflow, (allow, due) in alive[e].items():
+                for inflow in sure[e]:
+                    _, allow, due = known[inflow]
                     if e - amount <= allow and at >= due - _SLACK:
                         fits.append(inflow)
                         if len(fits) > 1:
                             break
                 k = open_from(k + 1)
-            if len(fits) == 1:
+            many, maybe = len(fits) > 1, []
+            if not many:
+                for k in range(bisect_left(doubted, (amount,)), len(doubted)):
+                    e, inflow = doubted[k]
+                    if e > amount + most:
+                        break
+                    if e - amount <= known[inflow][1] and at >= known[inflow][2] - _SLACK:
+                        maybe.append(inflow)
+            if many:
+                pick, how = (pair, "amount_set") if pair in known else (None, None)
+                hangs = hangs or (pick is not None and not is_sure(pair))
+            elif maybe or amount + most >= high:
+                hangs, may = True, [*(fits or maybe), *([pair] if pair in known else [])]
+            elif fits:
                 pick, how = fits[0], "amount"
-            elif pair is not None and pair in place:
+            elif pair in known:
                 pick, how = pair, "amount_set"
+                hangs = hangs or not is_sure(pair)
+            if hangs:
+                may = [*(may or []), *([pick] if pick is not None else []), *[x[0] for x in named]]
+                fits, pick = [] if many else [*fits, *maybe], None
         short = None
+        if may is not None:
+            for inflow in may:
+                if inflow in known and 0 <= known[inflow][0] - amount <= known[inflow][1]:
+                    gone(inflow, True)
+            if amount in core:
+                out.append((key, None, _MANY if many else _NONE, None, None))
+                out += [(key, k, _NAME, e - amount, allow) for k, e, allow in named]
+                out += [(key, k, _FIT, known[k][0] - amount, known[k][1]) for k in fits if not certain]
+                if pair in known and not certain:
+                    out.append((key, pair, _PAIR, 0, known[pair][1]))
+            continue
         if pick is not None:
-            short = place[pick] - amount
-            if not 0 <= short <= alive[place[pick]][pick][0]:
+            short = known[pick][0] - amount
+            if not 0 <= short <= known[pick][1]:
                 how = "mismatch"
             else:
                 how = "bank_charge" if short else how
-                alive[place.pop(pick)].pop(pick)
-        out.append((key, pick, how, short))
-    return pd.DataFrame(out, columns=["idempotency_key", "inflow_key", "how", "short_kobo"]).astype({"short_kobo": "Int64"})
+                gone(pick, False)
+        if amount in core:
+            out.append((key, pick, how, short, None))
+
+
+def _fold(credits: pa.Table, inflows: pa.Table, most: int, width: int, strip: int) -> pa.Table:
+    """Rows of the credits of whole cells."""
+    if not credits.num_rows:
+        return _table([], 5)
+    credits, inflows = credits.sort_by([("cell", "ascending"), ("idempotency_key", "ascending")]), inflows.sort_by("cell")
+    lists = credits["names"].combine_chunks()
+    named = list(zip(*[lists.flatten().field(c).to_pylist() for c in ("inflow_key", "expected_net_kobo", "allowance_kobo")], strict=True))
+    ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+    cells, keys, amounts, at, pairs = (credits[c].to_pylist() for c in ("cell", "idempotency_key", "amount_kobo", "at", "pair"))
+    of = {cell: list(rows) for cell, rows in groupby(zip(*[inflows[c].to_pylist() for c in ("inflow_key", "expected_net_kobo", "allowance_kobo", "at", "cell")], strict=True), lambda r: r[4])}
+    out: list[tuple] = []
+    for cell, places in groupby(range(len(keys)), cells.__getitem__):
+        core, places = range(cell * width, (cell + 1) * width), list(places)
+        if any(amounts[k] in core for k in places):
+            rows = [(keys[k], amounts[k], at[k], named[ends[k]:ends[k + 1]], pairs[k]) for k in places]
+            _cell(core.start - strip, core.stop + strip, core, most, rows, [r[:4] for r in of.get(cell, ())], out)
+    return _table(out, 5)
+
+
+def _settle(rows: pa.Table) -> pa.Table:
+    """Outcomes of open credits in the order of their keys; ``gone`` says that a settled credit before took the inflow."""
+    rows = rows.sort_by("idempotency_key")
+    taken: set[str] = set()
+    out = []
+    for key, own in groupby(zip(*[rows[c].to_pylist() for c in ("idempotency_key", "inflow_key", "how", "short_kobo", "allowance_kobo", "gone")], strict=True), lambda r: r[0]):
+        own = list(own)
+        left = [r for r in own if r[1] is not None and not r[5] and r[1] not in taken]
+        named, fits, pair = ([r for r in left if r[2] == kind] for kind in (_NAME, _FIT, _PAIR))
+        pick, how = None, None
+        if named:
+            pick, how = (named[0], "named") if len(named) == 1 else (None, None)
+        elif len(fits) == 1:
+            pick, how = fits[0], "amount"
+        elif pair:
+            pick, how = pair[0], "amount_set"
+        if pick is None:
+            out.append((key, None, None, None))
+        elif not 0 <= pick[3] <= pick[4]:
+            out.append((key, pick[1], "mismatch", pick[3]))
+        else:
+            taken.add(pick[1])
+            out.append((key, pick[1], "bank_charge" if pick[3] else how, pick[3]))
+    return _table(out, 4)
+
+
+def _settled(rows: DataFrame) -> DataFrame:
+    """Outcomes of the credits that the cells left open."""
+    takers = rows.where("settled and inflow_key is not null and how <> 'mismatch'").select("inflow_key", F.col("idempotency_key").alias("by"))
+    left = rows.where("not settled").drop("settled").join(takers, "inflow_key", "left")
+    left = staged(left.withColumn("gone", F.coalesce(F.col("by") < F.col("idempotency_key"), F.lit(False))).drop("by"))
+    own = F.col("idempotency_key")
+    if left.count() > FRAME:
+        ends = left.where("inflow_key is not null and not gone").select(F.concat(F.lit("c:"), own).alias("a"), F.concat(F.lit("i:"), "inflow_key").alias("b"))
+        comp = connected(ends).where("id like 'c:%'").select(F.expr("substr(id, 3)").alias("idempotency_key"), "component")
+        left = left.join(comp, "idempotency_key", "left").withColumn("component", F.coalesce("component", own))
+        frame = _frames(left, "component")
+    else:
+        frame = F.lit(0)
+    return left.withColumn("frame", frame).groupBy("frame").applyInArrow(_settle, OUTCOME)
 
 
 def match_credits(credits: DataFrame, inflows: DataFrame, names: DataFrame) -> DataFrame:
@@ -141,27 +280,30 @@ def match_credits(credits: DataFrame, inflows: DataFrame, names: DataFrame) -> D
     credit and an open inflow that it names.  An inflow without date may be paid
     at any time.
     """
-    own = names.join(inflows.select("inflow_key"), "inflow_key", "left_semi")
-    named_credits, named_inflows = own.select("idempotency_key").distinct(), own.select("inflow_key").distinct()
-    pair = paired(credits.join(named_credits, "idempotency_key", "left_anti"), inflows.join(named_inflows, "inflow_key", "left_anti"))
-    lists = own.groupBy("idempotency_key").agg(F.sort_array(F.collect_list("inflow_key")).alias("names"))  # what one statement line names
-    c = staged(credits.join(lists, "idempotency_key", "left").join(pair, "idempotency_key", "left").withColumn("at", F.coalesce(_micros("value_date"), F.lit(_EARLY))))
-    i = inflows.withColumn("at", F.coalesce(_micros("value_date"), F.lit(_EARLY)))
+    own = names.join(inflows.select("inflow_key", "expected_net_kobo", "allowance_kobo"), "inflow_key")
+    lists = own.groupBy("idempotency_key").agg(F.sort_array(F.collect_list(F.struct("inflow_key", "expected_net_kobo", "allowance_kobo"))).alias("names"))  # what one statement line names
+    at = F.coalesce(_micros("value_date"), F.lit(_EARLY)).alias("at")
+    named = staged(credits.join(lists, "idempotency_key", "left").select("idempotency_key", "amount_kobo", "value_date", at, "names"))
+    said = named.select(F.explode("names.inflow_key").alias("inflow_key")).distinct()
+    pair = paired(named.where("names is null"), inflows.join(said, "inflow_key", "left_anti"))
+    c = staged(named.drop("value_date").join(pair, "idempotency_key", "left"))
+    i = inflows.select("inflow_key", "expected_net_kobo", "allowance_kobo", at)
 
     most = inflows.agg(F.max("allowance_kobo")).first()[0] or 0
-    tied = _tied(c, i, most)
-    by_name = own.join(c.select("idempotency_key", F.col("amount_kobo").alias("a")), "idempotency_key").join(i.select("inflow_key", F.col("expected_net_kobo").alias("e")), "inflow_key").select("a", "e")
-    edges = staged(tied.unionByName(by_name).distinct())
     # amounts that a fold must decide: tied to others or to names, or with a credit that may not pay each of the inflows
+    by_name = c.where("names is not null").select(F.explode(F.concat(F.array("amount_kobo"), F.col("names.expected_net_kobo"))).alias("amount_kobo"))
     dates = c.groupBy("amount_kobo").agg(F.min("at").alias("first")).join(i.groupBy(F.col("expected_net_kobo").alias("amount_kobo")).agg(F.max("at").alias("last")), "amount_kobo")
     barred = dates.where(F.col("first") < F.col("last") - _SLACK).select("amount_kobo")
-    loose = staged(edges.select(F.col("a").alias("amount_kobo")).union(edges.select("e")).union(barred).distinct())
-    comp = connected(edges.where("a <> e").withColumnRenamed("e", "b")).select(F.col("id").alias("amount_kobo"), "component")
-    node = staged(loose.join(comp, "amount_kobo", "left").select("amount_kobo", F.coalesce("component", "amount_kobo").alias("component")))
-    inflow_node = node.withColumnRenamed("amount_kobo", "expected_net_kobo")
-    left, right = c.join(node, "amount_kobo"), i.join(inflow_node, "expected_net_kobo")
-    frame = _frames(c, "component").alias("frame")
-    folded = left.select(frame, "idempotency_key", "amount_kobo", "at", "names", "pair").groupBy("frame").cogroup(right.select(frame, "inflow_key", "expected_net_kobo", "allowance_kobo", "at").groupBy("frame")).applyInPandas(_fold, OUTCOME)
+    loose = staged(_tied(c, i, most).union(by_name).union(barred).distinct())
+    # a cell has what lies within it and its strips
+    width, strip = max(1, CELL * most), STRIP * most
+    cells = lambda df, v: df.withColumn("cell", F.explode(F.sequence(_part(f"({v} - {strip})", width), _part(f"({v} + {strip})", width))))
+    left, right = cells(c.join(loose, "amount_kobo", "left_semi"), "amount_kobo"), cells(i.join(loose.withColumnRenamed("amount_kobo", "expected_net_kobo"), "expected_net_kobo", "left_semi"), "expected_net_kobo")
+    frame = _frames(c, "cell").alias("frame")
+    fold = lambda credits, inflows: _fold(credits, inflows, most, width, strip)
+    rows = left.select(frame, "cell", "idempotency_key", "amount_kobo", "at", "names", "pair").groupBy("frame").cogroup(right.select(frame, "cell", "inflow_key", "expected_net_kobo", "allowance_kobo", "at").groupBy("frame")).applyInArrow(fold, _ROW)
+    rows = staged(rows.withColumn("settled", ~F.coalesce(F.col("how").startswith(_NONE), F.lit(False))))
+    folded = rows.where("settled").select("idempotency_key", "inflow_key", "how", "short_kobo").unionByName(_settled(rows))
     apart = _by_counts(c.join(loose, "amount_kobo", "left_anti"), i.join(loose.withColumnRenamed("amount_kobo", "expected_net_kobo"), "expected_net_kobo", "left_anti"))
     return folded.unionByName(apart)
 

@@ -12,12 +12,12 @@ ADJUSTMENT_ACCOUNTS = {
 }
 
 
-def payout_arithmetic(payouts: DataFrame, adjustments: DataFrame) -> DataFrame:
-    """Derived net, what the declared net leaves unexplained, and whether it is consistent."""
+def payout_arithmetic(payouts: DataFrame, adjustments: DataFrame, *kept: str) -> DataFrame:
+    """Derived net, what the declared net leaves unexplained, and whether it is consistent, behind the columns ``kept`` of the payouts."""
     cut = adjustments.groupBy("payout_reference").agg(F.sum("kobo").alias("cut"))
     out = payouts.join(cut, "payout_reference", "left").fillna(0, ["cut"]).withColumn("derived_net_kobo", F.col("gross_kobo") - F.col("cut"))
     unexplained = F.col("expected_net_kobo") - F.col("derived_net_kobo")
-    return out.select("payout_reference", "derived_net_kobo", unexplained.alias("unexplained_kobo"), (unexplained == 0).alias("consistent"))
+    return out.select("payout_reference", *kept, "derived_net_kobo", unexplained.alias("unexplained_kobo"), (unexplained == 0).alias("consistent"))
 
 
 def adjustment_entries(adjustments: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ one group of records that may claim the same things a task.
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ def unique_subset_sum(values: list[int], target: int, max_items: int = MAX_ITEMS
     own = [i for i, v in enumerate(values) if v > 0]
     if len(own) > max_items:
         return "not_attempted", []
+    if (1 << len(own)) - 1 <= max_steps:  # as many steps as a search could take: it would come to its end
+        return _from_halves(values, [i for i in own if values[i] <= target], target, max_subset)
     rest = [0] * (len(own) + 1)
     for k in range(len(own) - 1, -1, -1):
         rest[k] = rest[k + 1] + values[own[k]]
@@ -45,6 +48,30 @@ def unique_subset_sum(values: list[int], target: int, max_items: int = MAX_ITEMS
     return ("unique", found[0]) if found else ("none", [])
 
 
+def _from_halves(values: list[int], own: list[int], target: int, max_subset: int) -> tuple[str, list[int]]:
+    """What a whole search finds, from the sums of each half of the items ``own`` (of values from 1 to the target)."""
+    total = sum([values[i] for i in own])
+    if total <= target:
+        return ("unique", own) if total == target and len(own) <= max_subset else ("none", [])
+    half = len(own) // 2
+    first, second = [0], [0]  # the place of a sum has a bit for each of its items
+    for i in own[:half]:
+        v = values[i]
+        first += [x + v for x in first]
+    for i in own[half:]:
+        v = values[i]
+        second += [x + v for x in second]
+    wanted: dict[int, list[int]] = {}
+    for place, x in enumerate(first):
+        wanted.setdefault(target - x, []).append(place)
+    found = [low | (high << half) for high, x in enumerate(second) if x in wanted for low in wanted[x]]
+    if found and len(own) > max_subset:
+        found = [places for places in found if places.bit_count() <= max_subset]
+    if len(found) != 1:
+        return ("undecidable" if found else "none"), []
+    return "unique", [i for k, i in enumerate(own) if found[0] >> k & 1]
+
+
 def predicted_fee(owed: int, terms: tuple) -> int:
     """Total fee of an amount under (percent_bp, flat_kobo, waived_below_kobo, cap_kobo, vat_bp)."""
     bp, flat, waived, cap, vat = terms
@@ -80,11 +107,10 @@ def _attempts(promises: DataFrame, payouts: DataFrame, rounds: int) -> DataFrame
     day = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01"))
     seen = promises.where("owed_kobo > 0")
     span = seen.groupBy("source").agg(F.max(F.coalesce(day("escalates_at"), F.lit(10**6)) - day("occurred_at")).alias("span"), F.count("*").alias("all"))
-    begun = seen.groupBy("source", day("occurred_at").alias("day")).agg(F.count("*").alias("begun"))
-    ended = seen.where("escalates_at is not null").groupBy("source", day("escalates_at").alias("day")).agg(F.count("*").alias("ended"))
     p = payouts.withColumn("day", day("value_date"))
-    days = p.where("day is not null").groupBy("source", "day").agg(F.count("*").alias("due"))
-    axis = begun.join(ended, ["source", "day"], "full").join(days, ["source", "day"], "full").fillna(0, ["begun", "ended", "due"])
+    one = lambda df, at, what: df.select("source", at.alias("day"), *[F.lit(int(c == what)).alias(c) for c in ("begun", "ended", "due")]).where("day is not null")
+    marks = one(seen, day("occurred_at"), "begun").unionByName(one(seen, day("escalates_at"), "ended")).unionByName(one(p, F.col("day"), "due"))
+    axis = marks.groupBy("source", "day").agg(*[F.sum(c).alias(c) for c in ("begun", "ended", "due")])
     rising = Window.partitionBy("source").orderBy("day")
     within = F.sum("begun").over(rising) - F.col("begun") - F.sum("ended").over(rising)
     axis = axis.withColumn("within", within).where("due > 0").join(span, "source", "left").fillna(0, ["span", "all"])
@@ -112,6 +138,8 @@ def _attempts(promises: DataFrame, payouts: DataFrame, rounds: int) -> DataFrame
 
 #: Days that a payout may lie from another one and still share a promise, where all promises escalate within them.
 SPAN_DAYS = 31
+#: Days of promises that are joined to payouts at once.
+WEEK_DAYS = 8
 #: Rows from which on stretches of time are given to another frame.
 FRAME = 20_000
 #: Rounds after which all payouts of a source count as attempted.
@@ -142,6 +170,7 @@ def allocate(promises: DataFrame, payouts: DataFrame, rounds: int = ROUNDS) -> D
     else:
         promises = promises.select("*", *[F.lit(None).cast("long").alias(t) for t in _TERMS])
     # read several times below
+    week = lambda c: F.floor(F.unix_date(F.to_date(c)) / WEEK_DAYS)
     goods = staged(promises.where("owed_kobo > 0").select("source", "transaction_id", "owed_kobo", "occurred_at", "escalates_at", *_TERMS).withColumn("own_day", F.to_date("occurred_at")))
     alone = F.when(F.col("expected_net_kobo") != F.col("derived_net_kobo"), "PAYOUT_UNBALANCED").when((F.col("gross_kobo") == 0) & (F.col("expected_net_kobo") > 0), "RESERVE_RELEASED")
     tagged = staged(payouts.withColumn("alone", alone))
@@ -152,18 +181,18 @@ def allocate(promises: DataFrame, payouts: DataFrame, rounds: int = ROUNDS) -> D
     searched = tried.where("searched").join(day_span, "source")
     till = F.when(F.col("value_date").isNull(), F.col("last")).otherwise(F.least(F.to_date("value_date"), F.col("last")))
     since = F.when(F.col("value_date").isNull(), F.col("first")).otherwise(F.greatest(F.col("first"), F.date_sub(F.to_date("value_date"), F.least("span", F.lit(40_000)).cast("int"))))
-    reach = searched.withColumn("till", till).withColumn("since", since).where("since <= till").withColumn("own_day", F.explode(F.sequence("since", "till")))
-    ok = F.col("value_date").isNull() | ((F.col("occurred_at") <= F.col("value_date")) & (F.col("escalates_at").isNull() | (F.col("value_date") <= F.col("escalates_at"))))
-    pairs = reach.select("source", "own_day", "payout_reference", "gross_kobo", "expected_net_kobo", "value_date", "near").join(goods, ["source", "own_day"]).where(ok)
-    pairs = staged(pairs)
+    reach = searched.withColumn("till", till).withColumn("since", since).where("since <= till").withColumn("week", F.explode(F.sequence(week("since"), week("till"))))
+    ever = F.col("value_date").isNull()
+    ok = ever | ((F.col("occurred_at") <= F.col("value_date")) & (F.col("escalates_at").isNull() | (F.col("value_date") <= F.col("escalates_at"))))
+    own = F.sort_array(F.collect_list(F.struct("occurred_at", "transaction_id", "owed_kobo", *_TERMS)))  # a number that the search's limits bound
+    pairs = reach.select("source", "week", "payout_reference", "gross_kobo", "expected_net_kobo", "value_date", "near").join(goods.withColumn("week", week("own_day")), ["source", "week"]).where(ok)
+    pairs = staged(pairs.groupBy("source", "payout_reference").agg(own.alias("own"), *[F.first(c).alias(c) for c in ("gross_kobo", "expected_net_kobo", "value_date", "near")]))
     decided = bare(tagged.where("alone is not null"), F.col("alone")).unionByName(bare(tried.where("not searched"), F.lit("BATCH_TOO_LARGE")))
     if not pairs.head(1):  # no promise is in reach of any search
         return decided.unionByName(bare(tried.where("searched"), F.lit("PHANTOM_CREDIT")))
     # payouts that share a promise overlap in the time from their first promise to their value date
-    ever = F.col("value_date").isNull()
-    size = pairs.groupBy("source", "payout_reference").agg(
-        F.count("*").alias("n"), F.min(F.when(ever, F.to_timestamp(F.lit("0001-01-01"))).otherwise(F.col("occurred_at"))).alias("low"), F.max(F.when(ever, F.to_timestamp(F.lit("9999-12-31"))).otherwise(F.col("value_date"))).alias("high"), F.first("near").alias("near")
-    )
+    low, high = F.when(ever, F.to_timestamp(F.lit("0001-01-01"))).otherwise(F.col("own")[0]["occurred_at"]), F.when(ever, F.to_timestamp(F.lit("9999-12-31"))).otherwise(F.col("value_date"))
+    size = pairs.select("source", "payout_reference", F.size("own").alias("n"), low.alias("low"), high.alias("high"), "near")
     many = F.col("n") > MAX_ITEMS + MAX_SUBSET * F.col("near")
     order = Window.partitionBy("source").orderBy("low", "payout_reference")
     apart = F.coalesce((F.col("low") > F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0))
@@ -171,41 +200,37 @@ def allocate(promises: DataFrame, payouts: DataFrame, rounds: int = ROUNDS) -> D
     rows_before = F.sum("n").over(order) - F.col("n")
     begins = F.when((F.col("apart") == 1) | (F.col("rows_before") == 0), F.col("rows_before"))
     islands = size.where(~many).withColumn("apart", apart).withColumn("rows_before", rows_before).withColumn("island", F.floor(F.max(begins).over(order) / FRAME)).select("source", "payout_reference", "island")
-    rows = pairs.drop("near").join(islands, ["source", "payout_reference"])
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        owed = {t: int(k) for t, k in zip(frame["transaction_id"], frame["owed_kobo"], strict=True)}
+    rows = pairs.select("source", "payout_reference", "gross_kobo", "expected_net_kobo", "own").join(islands, ["source", "payout_reference"])
+
+    def fold(frame: pa.Table) -> pa.Table:
+        own = frame["own"].combine_chunks()
+        ends, flat = (own.offsets.to_numpy() - own.offsets[0].as_py()).tolist(), own.flatten()
+        ids = flat.field("transaction_id").to_pylist()
+        owed = dict(zip(ids, flat.field("owed_kobo").to_pylist(), strict=True))
+        terms_of = {t: None if own_terms[0] is None else own_terms for t, *own_terms in zip(ids, *[flat.field(c).to_pylist() for c in _TERMS], strict=True)}
+        source, names, grosses, nets = (frame[c].to_pylist() for c in ("source", "payout_reference", "gross_kobo", "expected_net_kobo"))
         out = []
-        # terms are looked up once for each promise, rows are read once in order
-        terms_of = {r[0]: None if pd.isna(r[1]) else tuple(None if pd.isna(x) else int(x) for x in r[1:]) for r in frame.drop_duplicates("transaction_id")[["transaction_id", *_TERMS]].itertuples(index=False, name=None)}
-        frame = frame.sort_values(["payout_reference", "occurred_at", "transaction_id"], kind="stable")
-        source, names, ids = frame["source"].iloc[0], frame["payout_reference"].tolist(), frame["transaction_id"].tolist()
-        grosses, nets = frame["gross_kobo"].tolist(), frame["expected_net_kobo"].tolist()
-        end = 0
-        while end < len(names):
-            begin, name = end, names[end]
-            while end < len(names) and names[end] == name:
-                end += 1
-            gross, net = int(grosses[begin]), int(nets[begin])
-            near = [(t, terms_of[t]) for t in ids[begin:end] if owed[t] > 0]
-            add = lambda reason, t=None, kobo=None, name=name: out.append((source, name, reason, t, kobo))
-            state, chosen = solve([owed[t] for t, _ in near], [terms for _, terms in near], gross, net)
-            roomy = [t for t, _ in near if owed[t] > gross]
+        for k in sorted(range(len(names)), key=names.__getitem__):
+            name, gross = names[k], grosses[k]
+            near = [t for t in ids[ends[k]:ends[k + 1]] if owed[t] > 0]
+            state, chosen = solve([owed[t] for t in near], [terms_of[t] for t in near], gross, nets[k])
+            roomy = [t for t in near if owed[t] > gross]
             if state == "not_attempted":
-                add("BATCH_TOO_LARGE")
+                out.append((name, "BATCH_TOO_LARGE", None, None))
             elif state == "unique":
-                for c in chosen:
-                    t = near[c][0]
-                    add("PAYOUT_MATCH", t, owed[t])
+                for t in [near[c] for c in chosen]:
+                    out.append((name, "PAYOUT_MATCH", t, owed[t]))
                     owed[t] = 0
             elif len(roomy) == 1 and gross > 0:
-                add("PARTIAL_PAYOUT_MATCH", roomy[0], gross)
+                out.append((name, "PARTIAL_PAYOUT_MATCH", roomy[0], gross))
                 owed[roomy[0]] -= gross
             else:
-                add("PHANTOM_CREDIT")
-        return pd.DataFrame(out, columns=["source", "payout_reference", "reason", "transaction_id", "amount_kobo"]).astype({"amount_kobo": "Int64"})
+                out.append((name, "PHANTOM_CREDIT", None, None))
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
+        columns = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+        return pa.table([pa.array([source[0]] * len(out), pa.string()), *columns], ["source", "payout_reference", "reason", "transaction_id", "amount_kobo"])
 
-    folded = rows.groupBy("source", "island").applyInPandas(fold, schema)
+    folded = rows.groupBy("source", "island").applyInArrow(fold, schema)
     none = tried.where("searched").drop("near").join(size.drop("low", "high"), ["source", "payout_reference"], "left").where(F.col("n").isNull() | many)
     return folded.unionByName(decided).unionByName(bare(none, F.when(F.col("n").isNull(), "PHANTOM_CREDIT").otherwise("BATCH_TOO_LARGE")))
 

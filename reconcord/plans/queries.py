@@ -549,20 +549,22 @@ def _lanes(v):
     """The open promises of each source dealt into lanes of a few a day, payouts and bank lines made from them, and payouts banked before."""
     dim = calendar.calendar_dim(v["promises"].sparkSession, FIRST_DAY, LAST_DAY, list(HOLIDAYS))
     promises = runs.promises_for(v["entries"], v["promises"], v["allocations"].where("false"), dim, "Africa/Lagos", 1020, 2, 1440, v["contracts"])
+    promises = staged(promises)
     lanes = max(1, promises.count() // 8000)  # some 2400 days, four sources, a week in reach
     promises = promises.withColumn("source", F.concat_ws("/", "source", F.pmod(F.xxhash64("transaction_id"), F.lit(lanes)).cast("string")))
     priced = fees.fee_quote(promises, "owed_kobo").withColumn("net", F.col("owed_kobo") - F.coalesce("total_kobo", F.lit(0)))
     per = priced.groupBy("source", F.to_date("occurred_at").alias("day")).agg(F.sum("owed_kobo").alias("gross"), F.sum("net").alias("net"), F.min("owed_kobo").alias("least"))
     kind = F.pmod(F.xxhash64("source", "day"), F.lit(10))
     gross = F.when(kind == 1, F.col("net")).when(kind == 2, F.expr("least div 3")).when(kind == 3, F.col("gross") + 1).otherwise(F.col("gross"))
-    rows = per.select("source", F.concat_ws("-", F.lit("p"), "source", "day").alias("payout_reference"), gross.alias("gross_kobo"), (gross - F.when(kind == 4, 1).otherwise(0)).alias("expected_net_kobo"), (F.col("day").cast("timestamp") + F.make_dt_interval(F.lit(1))).alias("value_date"), kind.alias("kind"))
+    rows = per.select("source", F.concat_ws("-", F.lit("p"), "source", "day").alias("payout_reference"), gross.alias("gross_kobo"), (gross - F.when(kind == 4, 1).otherwise(0)).alias("expected_net_kobo"), (F.col("day").cast("timestamp") + F.make_dt_interval(F.lit(1))).alias("value_date"))
+    rows = staged(rows)
     side = F.pmod(F.xxhash64("payout_reference"), F.lit(12))
     at = F.col("value_date") + F.make_dt_interval(F.lit(0), F.lit(5))
     line = lambda key, direction, amount, said: (F.concat(F.lit(key), "payout_reference").alias("idempotency_key"), F.lit(direction).alias("direction"), amount.alias("amount_kobo"), at.alias("value_date"), said.alias("narration"), F.when(side % 3 == 0, F.col("payout_reference")).alias("stated_reference"))
     net, said = F.col("expected_net_kobo"), F.when(side % 3 == 1, "TRF").otherwise(F.concat(F.lit("TRF "), "payout_reference"))
     lines = rows.where(side != 5).select(*line("bank:", "credit", net - F.when(side == 6, 5000).when(side == 9, 90_000_000).otherwise(0), said))
     lines = lines.unionByName(rows.where(side == 7).select(*line("bank:twice:", "credit", net, said))).unionByName(rows.where(side == 8).select(*line("bank:back:", "debit", net, said)))
-    return promises, rows.drop("kind"), lines
+    return promises, rows, lines
 
 
 @query(None)

@@ -46,15 +46,14 @@ def reconcile(promises: DataFrame, payout_rows: DataFrame, adjustments: DataFram
     predicted fees.  ``banked`` are inflows that earlier runs confirmed, so that
     a second credit or a return is known; without ``as_of`` nothing is overdue.
     """
-    arithmetic = payouts.payout_arithmetic(payout_rows, adjustments).select("payout_reference", "derived_net_kobo")
-    ready = payout_rows.join(arithmetic, "payout_reference").select("source", "payout_reference", "gross_kobo", "expected_net_kobo", "derived_net_kobo", "value_date")
+    ready = payouts.payout_arithmetic(payout_rows, adjustments, "source", "gross_kobo", "expected_net_kobo", "value_date").drop("unexplained_kobo", "consistent")
     promises = staged(promises)
     allocated = staged(sequential.allocate(promises, ready))  # read by each step below
     taken = allocated.where(F.col("reason").isin(*_TAKEN)).select("payout_reference").distinct()
     due = F.col("value_date") + F.make_dt_interval(F.lit(grace_days))
     inflows = ready.join(taken, "payout_reference", "left_semi").select(F.col("payout_reference").alias("inflow_key"), "expected_net_kobo", "value_date", due.alias("escalates_at"), F.lit(allowance).cast("long").alias("allowance_kobo"), F.lit(pairs).alias("pairs"))
     spark = promises.sparkSession
-    before = spark.createDataFrame([], "inflow_key string, credited_kobo long") if banked is None else banked
+    before = spark.range(0).select(F.col("id").cast("string").alias("inflow_key"), F.col("id").alias("credited_kobo")) if banked is None else banked
     now = F.lit(None).cast("timestamp") if as_of is None else as_of
     bank = staged(confirmation.bank_stage(inflows, bank_lines, before, now))
 

@@ -149,3 +149,50 @@ def test_a_frame_of_several_amounts_keeps_them_apart():
     banked = pd.DataFrame({"inflow_key": ["i1", "i2", "i3"], "amount_kobo": [5, 7, 9]})
     got = confirmation._take_back(debits, banked)
     assert list(got.itertuples(index=False, name=None)) == [("d1", "i1"), ("d2", "i2")]
+
+
+def test_near_amounts_are_found_without_pairs(spark):
+    """A row for each amount that is tied, not for each two within an allowance, which grow with the square."""
+    credits = spark.range(400).selectExpr("10000 + 2 * id as amount_kobo")
+    inflows = spark.range(400).selectExpr("10001 + 2 * id as expected_net_kobo", "if(id % 2 = 0, 500L, 0L) as allowance_kobo")
+    tied = confirmation._tied(credits, inflows, 500)
+    assert tied.count() <= 800 and tied.columns == ["amount_kobo"]
+    apart = confirmation._tied(credits.selectExpr("amount_kobo * 1000 as amount_kobo"), inflows.selectExpr("expected_net_kobo * 1000 as expected_net_kobo", "allowance_kobo"), 500)
+    assert apart.count() == 0
+
+
+@pytest.mark.parametrize("seed, n, frame", [(5, 60, 10_000), (6, 60, 2), (9, 200, 2)])
+def test_narrow_cells_leave_credits_open_and_lose_none(spark, monkeypatch, seed, n, frame):
+    case = made(seed, n)
+    monkeypatch.setattr(confirmation, "CELL", 1)
+    monkeypatch.setattr(confirmation, "STRIP", 1)
+    monkeypatch.setattr(confirmation, "FRAME", frame)
+    opened = []
+    settled = confirmation._settled
+    monkeypatch.setattr(confirmation, "_settled", lambda rows: opened.append(rows.where("not settled").count()) or settled(rows))
+    same(outcomes(spark, *case), plain(*case))
+    assert opened[0] > 0
+
+
+def test_a_cell_is_right_or_open(spark):
+    """Chains of amounts over many cells: what a cell settles is what one cell over all of them does."""
+    rnd = random.Random(4)
+    for most, gap in ((10, 3), (10, 12), (10, 40)):
+        amounts = [1000 + rnd.randrange(gap * 300) for _ in range(300)]
+        inflows = [(f"i{k:03d}", a, rnd.choice([0, most // 2, most]), rnd.randrange(5)) for k, a in enumerate(amounts)]
+        named = lambda: [(*x[:2], x[2]) for x in rnd.sample(inflows, rnd.choice([0, 0, 0, 1, 2]))]
+        credits = [(f"c{k:03d}", max(1, rnd.choice(amounts) - rnd.randrange(most)), rnd.randrange(5), named(), None) for k in range(300)]
+        early = [(k, a, allow, due * 2 * confirmation._SLACK) for k, a, allow, due in inflows]
+        credits = [(k, a, at * 2 * confirmation._SLACK, sorted(names), pair) for k, a, at, names, pair in credits]
+        whole: list = []
+        confirmation._cell(-(10**9), 10**9, range(10**8), most, credits, early, whole)
+        assert len(whole) == 300 and not any((r[2] or "").startswith("open") for r in whole)
+        right, n = {r[0]: r for r in whole}, 0
+        for begin in range(960, 1000 + gap * 300, 40):
+            low, high, out = begin - 20, begin + 60, []
+            confirmation._cell(low, high, range(begin, begin + 40), most, [c for c in credits if low <= c[1] < high], [i for i in early if low <= i[1] < high], out)
+            for r in out:
+                if not (r[2] or "").startswith("open"):
+                    assert r == right[r[0]]
+                    n += 1
+        assert n > 100

@@ -33,6 +33,17 @@ def test_subset_sum_limits():
     assert sequential.unique_subset_sum([2**i for i in range(14)], 2**12 - 1) == ("unique", list(range(12)))
 
 
+def test_halves_find_what_the_search_does(monkeypatch):
+    halves, used = sequential._from_halves, []
+    monkeypatch.setattr(sequential, "_from_halves", lambda *a: used.append(a) or halves(*a))
+    rnd = random.Random(2)
+    for n in (*range(1, 15), 17):
+        for values in ([rnd.randint(1, 40) for _ in range(n)], [rnd.randint(1, 10**6) for _ in range(n)], [1] * n):
+            for target in (sum(values), sum(values) - 1, sum(rnd.sample(values, (n + 1) // 2)), rnd.randint(1, 10**6)):
+                assert sequential.unique_subset_sum(values, target) == plain_subset(values, target)
+    assert used
+
+
 def at(day, hour=9):
     return datetime(2026, 8, day, hour)
 
