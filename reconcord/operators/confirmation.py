@@ -21,18 +21,20 @@ from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected, staged
 from .matching import SLACK_MINUTES, duplicates_here, line_names, not_before
+from .sequential import plain
 
 #: Per cent of confidence of each way that an inflow is confirmed.
 CONFIDENCE = {"named": 100, "amount": 90, "amount_set": 85, "bank_charge": 85}
 _SLACK = SLACK_MINUTES * 60 * 1_000_000
 _EARLY = -(2**62)
 #: Of the largest allowance: how wide a cell of amounts is, and the strip on each side of it.
-CELL, STRIP = 16, 4
+CELL, STRIP = 32, 4
 #: Credits or debits for which another frame is made.
 FRAME = 10_000
 
@@ -86,23 +88,24 @@ def _by_counts(credits: DataFrame, inflows: DataFrame) -> DataFrame:
     x = credits.join(n, "amount_kobo", "left").join(first, "amount_kobo")
     takes = F.when((F.col("m") == 1) & (F.col("idempotency_key") == F.col("first")), F.col("only")).otherwise(F.col("pair"))
     how = F.when((F.col("m") == 1) | (F.col("idempotency_key") == F.col("last")), "amount").otherwise("amount_set")
-    return x.select("idempotency_key", takes.alias("inflow_key"), F.when(takes.isNotNull(), how).alias("how"), F.when(takes.isNotNull(), F.lit(0)).cast("long").alias("short_kobo"))
+    return x.select("idempotency_key", takes.alias("inflow_key"), F.when(takes.isNotNull(), how).alias("how"), F.when(takes.isNotNull(), F.lit(0)).cast("long").alias("short_kobo"), F.col("amount_kobo").alias("kobo"))
 
 
-OUTCOME = "idempotency_key string, inflow_key string, how string, short_kobo long"
+OUTCOME = "idempotency_key string, inflow_key string, how string, short_kobo long, kobo long"
 #: Of open credits there is a row for each inflow that is not taken for sure, with the way in which it may be taken.
 _ROW = f"{OUTCOME}, allowance_kobo long"
-_KINDS = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
 _NAME, _FIT, _PAIR, _MANY, _NONE = "open name", "open fit", "open pair", "open many", "open"
 
 
-def _table(rows: list[tuple], n: int) -> pa.Table:
-    names = [c.split()[0] for c in _ROW.split(", ")][:n]
-    return pa.table([pa.array(list(x), kind) for x, kind in zip(zip(*rows, strict=True) if rows else [()] * n, _KINDS[:n], strict=True)], names)
+def _table(keys: pa.Array, inflows: pa.Array, rows: list[tuple]) -> pa.Table:
+    """Rows (place of the key, place of the inflow, how, short_kobo, kobo, allowance_kobo)."""
+    row, inflow, how, *numbers = zip(*rows, strict=True) if rows else [()] * 6
+    columns = [keys.take(pa.array(row, pa.int64())), inflows.take(pa.array(inflow, pa.int64())), pa.array(how, pa.string()), *[pa.array(x, pa.int64()) for x in numbers]]
+    return pa.table(columns, [c.split()[0] for c in _ROW.split(", ")])
 
 
 def _cell(low: int, high: int, core: range, most: int, credits: list[tuple], inflows: list[tuple], out: list[tuple]) -> None:
-    """Appends the outcomes of the credits within ``core``, all in the order of their keys.
+    """Appends the outcomes (key, inflow, how, short, amount, allowance) of the credits within ``core``, all in the order of their keys.
 
     Seen are the credits and inflows of amounts from ``low`` to below ``high``.
     credits: (key, amount, at, names, pair), names (key, amount, allowance);
@@ -119,7 +122,8 @@ def _cell(low: int, high: int, core: range, most: int, credits: list[tuple], inf
             doubted.append((e, key))
     doubted.sort()
     amounts = sorted(sure)
-    later = list(range(len(amounts) + 1))  # of each place in amounts, one from which on those without inflows are passed over
+    n = len(amounts)
+    later = list(range(n + 1))  # of each place in amounts, one from which on those without inflows are passed over
 
     def open_from(k: int) -> int:
         """The first place from ``k`` on whose amount has an inflow left."""
@@ -127,7 +131,7 @@ def _cell(low: int, high: int, core: range, most: int, credits: list[tuple], inf
         while True:
             while later[end] != end:
                 end = later[end]
-            if end == len(amounts) or sure[amounts[end]]:
+            if end == n or sure[amounts[end]]:
                 break
             later[end] = end + 1
         while k != end:
@@ -159,14 +163,16 @@ def _cell(low: int, high: int, core: range, most: int, credits: list[tuple], inf
             may = certain if hangs else None
         else:
             k = open_from(bisect_left(amounts, amount))
-            while k < len(amounts) and (e := amounts[k]) <= amount + most and len(fits) < 2:
+            while k < n and (e := amounts[k]) <= amount + most and len(fits) < 2:
                 for inflow in sure[e]:
                     _, allow, due = known[inflow]
                     if e - amount <= allow and at >= due - _SLACK:
                         fits.append(inflow)
                         if len(fits) > 1:
                             break
-                k = open_from(k + 1)
+                k += 1
+                if later[k] != k or (k < n and not sure[amounts[k]]):
+                    k = open_from(k)
             many, maybe = len(fits) > 1, []
             if not many:
                 for k in range(bisect_left(doubted, (amount,)), len(doubted)):
@@ -194,11 +200,11 @@ def _cell(low: int, high: int, core: range, most: int, credits: list[tuple], inf
                 if inflow in known and 0 <= known[inflow][0] - amount <= known[inflow][1]:
                     gone(inflow, True)
             if amount in core:
-                out.append((key, None, _MANY if many else _NONE, None, None))
-                out += [(key, k, _NAME, e - amount, allow) for k, e, allow in named]
-                out += [(key, k, _FIT, known[k][0] - amount, known[k][1]) for k in fits if not certain]
+                out.append((key, None, _MANY if many else _NONE, None, amount, None))
+                out += [(key, k, _NAME, e - amount, amount, allow) for k, e, allow in named]
+                out += [(key, k, _FIT, known[k][0] - amount, amount, known[k][1]) for k in fits if not certain]
                 if pair in known and not certain:
-                    out.append((key, pair, _PAIR, 0, known[pair][1]))
+                    out.append((key, pair, _PAIR, 0, amount, known[pair][1]))
             continue
         if pick is not None:
             short = known[pick][0] - amount
@@ -208,26 +214,29 @@ def _cell(low: int, high: int, core: range, most: int, credits: list[tuple], inf
                 how = "bank_charge" if short else how
                 gone(pick, False)
         if amount in core:
-            out.append((key, pick, how, short, None))
+            out.append((key, pick, how, short, amount, None))
 
 
 def _fold(credits: pa.Table, inflows: pa.Table, most: int, width: int, strip: int) -> pa.Table:
-    """Rows of the credits of whole cells."""
-    if not credits.num_rows:
-        return _table([], 5)
+    """Rows of the credits of whole cells; credits and inflows go by places in the frame."""
     credits, inflows = credits.sort_by([("cell", "ascending"), ("idempotency_key", "ascending")]), inflows.sort_by("cell")
-    lists = credits["names"].combine_chunks()
-    named = list(zip(*[lists.flatten().field(c).to_pylist() for c in ("inflow_key", "expected_net_kobo", "allowance_kobo")], strict=True))
-    ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
-    cells, keys, amounts, at, pairs = (credits[c].to_pylist() for c in ("cell", "idempotency_key", "amount_kobo", "at", "pair"))
-    of = {cell: list(rows) for cell, rows in groupby(zip(*[inflows[c].to_pylist() for c in ("inflow_key", "expected_net_kobo", "allowance_kobo", "at", "cell")], strict=True), lambda r: r[4])}
+    lists, coded = credits["names"].combine_chunks(), inflows["inflow_key"].combine_chunks().dictionary_encode()
+    said = lists.flatten()
+    all_keys = pa.concat_arrays([coded.dictionary, said.field("inflow_key")])  # named ones that are not here have places behind the others
+    known = lambda keys: plain(pc.index_in(keys, value_set=coded.dictionary))
+    places = [len(coded.dictionary) + k if x is None else x for k, x in enumerate(known(said.field("inflow_key")))]
+    named = list(zip(places, *[plain(said.field(c)) for c in ("expected_net_kobo", "allowance_kobo")], strict=True))
+    ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist() if len(lists) else []
+    cells, amounts, at = (plain(credits[c]) for c in ("cell", "amount_kobo", "at"))
+    pairs = known(credits["pair"].combine_chunks())
+    of = {cell: [r[:4] for r in rows] for cell, rows in groupby(zip(plain(coded.indices), *[plain(inflows[c]) for c in ("expected_net_kobo", "allowance_kobo", "at", "cell")], strict=True), lambda r: r[4])}
     out: list[tuple] = []
-    for cell, places in groupby(range(len(keys)), cells.__getitem__):
-        core, places = range(cell * width, (cell + 1) * width), list(places)
-        if any(amounts[k] in core for k in places):
-            rows = [(keys[k], amounts[k], at[k], named[ends[k]:ends[k + 1]], pairs[k]) for k in places]
-            _cell(core.start - strip, core.stop + strip, core, most, rows, [r[:4] for r in of.get(cell, ())], out)
-    return _table(out, 5)
+    for cell, own in groupby(range(len(cells)), cells.__getitem__):
+        core, own = range(cell * width, (cell + 1) * width), list(own)
+        if any(amounts[k] in core for k in own):
+            rows = [(k, amounts[k], at[k], named[ends[k]:ends[k + 1]], pairs[k]) for k in own]
+            _cell(core.start - strip, core.stop + strip, core, most, rows, of.get(cell, []), out)
+    return _table(credits["idempotency_key"], all_keys, out)
 
 
 def _settle(rows: pa.Table) -> pa.Table:
@@ -235,10 +244,12 @@ def _settle(rows: pa.Table) -> pa.Table:
     rows = rows.sort_by("idempotency_key")
     taken: set[str] = set()
     out = []
-    for key, own in groupby(zip(*[rows[c].to_pylist() for c in ("idempotency_key", "inflow_key", "how", "short_kobo", "allowance_kobo", "gone")], strict=True), lambda r: r[0]):
+    keys, inflows, ways, gone = (rows[c].to_pylist() for c in ("idempotency_key", "inflow_key", "how", "gone"))
+    shorts, amounts, allowed = (plain(rows[c]) for c in ("short_kobo", "kobo", "allowance_kobo"))
+    for _, own in groupby(range(len(keys)), keys.__getitem__):
         own = list(own)
-        left = [r for r in own if r[1] is not None and not r[5] and r[1] not in taken]
-        named, fits, pair = ([r for r in left if r[2] == kind] for kind in (_NAME, _FIT, _PAIR))
+        left = [k for k in own if inflows[k] is not None and not gone[k] and inflows[k] not in taken]
+        named, fits, pair = ([k for k in left if ways[k] == way] for way in (_NAME, _FIT, _PAIR))
         pick, how = None, None
         if named:
             pick, how = (named[0], "named") if len(named) == 1 else (None, None)
@@ -247,13 +258,13 @@ def _settle(rows: pa.Table) -> pa.Table:
         elif pair:
             pick, how = pair[0], "amount_set"
         if pick is None:
-            out.append((key, None, None, None))
-        elif not 0 <= pick[3] <= pick[4]:
-            out.append((key, pick[1], "mismatch", pick[3]))
+            out.append((own[0], None, None, None, amounts[own[0]], None))
+        elif not 0 <= shorts[pick] <= allowed[pick]:
+            out.append((pick, pick, "mismatch", shorts[pick], amounts[pick], None))
         else:
-            taken.add(pick[1])
-            out.append((key, pick[1], "bank_charge" if pick[3] else how, pick[3]))
-    return _table(out, 4)
+            taken.add(inflows[pick])
+            out.append((pick, pick, "bank_charge" if shorts[pick] else how, shorts[pick], amounts[pick], None))
+    return _table(rows["idempotency_key"], rows["inflow_key"], out).drop_columns("allowance_kobo")
 
 
 def _settled(rows: DataFrame) -> DataFrame:
@@ -273,7 +284,7 @@ def _settled(rows: DataFrame) -> DataFrame:
 
 
 def match_credits(credits: DataFrame, inflows: DataFrame, names: DataFrame) -> DataFrame:
-    """(idempotency_key, inflow_key, how, short_kobo) of each credit; without inflow where none fits, 'mismatch' where the named one does not.
+    """(idempotency_key, inflow_key, how, short_kobo, kobo) of each credit; without inflow where none fits, 'mismatch' where the named one does not.
 
     credits: idempotency_key, amount_kobo, value_date; inflows: inflow_key,
     expected_net_kobo, value_date, allowance_kobo, pairs; names: all pairs of a
@@ -303,7 +314,7 @@ def match_credits(credits: DataFrame, inflows: DataFrame, names: DataFrame) -> D
     fold = lambda credits, inflows: _fold(credits, inflows, most, width, strip)
     rows = left.select(frame, "cell", "idempotency_key", "amount_kobo", "at", "names", "pair").groupBy("frame").cogroup(right.select(frame, "cell", "inflow_key", "expected_net_kobo", "allowance_kobo", "at").groupBy("frame")).applyInArrow(fold, _ROW)
     rows = staged(rows.withColumn("settled", ~F.coalesce(F.col("how").startswith(_NONE), F.lit(False))))
-    folded = rows.where("settled").select("idempotency_key", "inflow_key", "how", "short_kobo").unionByName(_settled(rows))
+    folded = rows.where("settled").select("idempotency_key", "inflow_key", "how", "short_kobo", "kobo").unionByName(_settled(rows))
     apart = _by_counts(c.join(loose, "amount_kobo", "left_anti"), i.join(loose.withColumnRenamed("amount_kobo", "expected_net_kobo"), "expected_net_kobo", "left_anti"))
     return folded.unionByName(apart)
 
@@ -357,7 +368,7 @@ def bank_stage(inflows: DataFrame, lines: DataFrame, banked: DataFrame, as_of: F
     inflows, banked = staged(inflows), staged(banked.select("inflow_key", "credited_kobo"))
     known = inflows.select("inflow_key").union(banked.select("inflow_key")).distinct()
     names = staged(line_names(credits, known))
-    found = staged(match_credits(credits, inflows, names).join(credits.select("idempotency_key", F.col("amount_kobo").alias("kobo")), "idempotency_key"))
+    found = staged(match_credits(credits, inflows, names))
     taken = staged(found.where("inflow_key is not null and how <> 'mismatch'"))
     here = taken.select("inflow_key", F.col("idempotency_key").alias("confirmed_by"), F.col("kobo").alias("credited_kobo"))
     # what was banked in earlier runs comes before every credit of this one

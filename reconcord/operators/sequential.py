@@ -6,6 +6,8 @@ one group of records that may claim the same things a task.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -92,6 +94,14 @@ def solve(owed: list[int], terms: list[tuple | None], gross: int, net: int) -> t
     return (state, chosen) if state == "unique" else ("none", [])
 
 
+def plain(column: pa.Array | pa.ChunkedArray) -> list:
+    """The integers of a column; nulls are None."""
+    column = pa.chunked_array([column]) if isinstance(column, pa.Array) else column
+    if not column.null_count:
+        return column.to_numpy().tolist()
+    return [x if valid else None for x, valid in zip(column.fill_null(0).to_numpy().tolist(), column.is_valid().to_numpy().tolist(), strict=True)]
+
+
 _TERMS = ("percent_bp", "flat_kobo", "waived_below_kobo", "cap_kobo", "vat_bp")
 
 
@@ -160,9 +170,10 @@ def allocate(promises: DataFrame, payouts: DataFrame, rounds: int = ROUNDS) -> D
     are reachable if they occurred by the value date and were not overdue then.
 
     Payouts with far too many promises in reach are decided by counts.  The
-    others are joined to the promises in their reach, a number that is bounded
-    for each, and folded by stretches of time: between two stretches no promise
-    is in reach of both.  A frame takes stretches until it has ``FRAME`` rows.
+    others count the promises in their reach, a number that is bounded for each,
+    and are folded by stretches of time with the promises of the stretch: no
+    promise is in reach of two stretches.  A frame takes stretches until its
+    payouts have counted ``FRAME`` promises.
     """
     schema = "source string, payout_reference string, reason string, transaction_id string, amount_kobo long"
     if "contract" in promises.columns:
@@ -182,56 +193,68 @@ def allocate(promises: DataFrame, payouts: DataFrame, rounds: int = ROUNDS) -> D
     till = F.when(F.col("value_date").isNull(), F.col("last")).otherwise(F.least(F.to_date("value_date"), F.col("last")))
     since = F.when(F.col("value_date").isNull(), F.col("first")).otherwise(F.greatest(F.col("first"), F.date_sub(F.to_date("value_date"), F.least("span", F.lit(40_000)).cast("int"))))
     reach = searched.withColumn("till", till).withColumn("since", since).where("since <= till").withColumn("week", F.explode(F.sequence(week("since"), week("till"))))
-    ever = F.col("value_date").isNull()
-    ok = ever | ((F.col("occurred_at") <= F.col("value_date")) & (F.col("escalates_at").isNull() | (F.col("value_date") <= F.col("escalates_at"))))
-    own = F.sort_array(F.collect_list(F.struct("occurred_at", "transaction_id", "owed_kobo", *_TERMS)))  # a number that the search's limits bound
-    pairs = reach.select("source", "week", "payout_reference", "gross_kobo", "expected_net_kobo", "value_date", "near").join(goods.withColumn("week", week("own_day")), ["source", "week"]).where(ok)
-    pairs = staged(pairs.groupBy("source", "payout_reference").agg(own.alias("own"), *[F.first(c).alias(c) for c in ("gross_kobo", "expected_net_kobo", "value_date", "near")]))
+    ok = F.col("value_date").isNull() | ((F.col("occurred_at") <= F.col("value_date")) & (F.col("escalates_at").isNull() | (F.col("value_date") <= F.col("escalates_at"))))
+    own = ("source", "payout_reference", "gross_kobo", "expected_net_kobo", "value_date", "near")
+    weeks = goods.withColumn("week", week("own_day"))
+    pairs = reach.select(*own, "week").join(weeks.select("source", "week", "occurred_at", "escalates_at"), ["source", "week"]).where(ok)
+    size = staged(pairs.groupBy(*own).agg(F.count("*").alias("n"), F.min("occurred_at").alias("low"), F.max("occurred_at").alias("high")))
     decided = bare(tagged.where("alone is not null"), F.col("alone")).unionByName(bare(tried.where("not searched"), F.lit("BATCH_TOO_LARGE")))
-    if not pairs.head(1):  # no promise is in reach of any search
+    if not size.head(1):  # no promise is in reach of any search
         return decided.unionByName(bare(tried.where("searched"), F.lit("PHANTOM_CREDIT")))
-    # payouts that share a promise overlap in the time from their first promise to their value date
-    low, high = F.when(ever, F.to_timestamp(F.lit("0001-01-01"))).otherwise(F.col("own")[0]["occurred_at"]), F.when(ever, F.to_timestamp(F.lit("9999-12-31"))).otherwise(F.col("value_date"))
-    size = pairs.select("source", "payout_reference", F.size("own").alias("n"), low.alias("low"), high.alias("high"), "near")
+    # payouts that share a promise overlap in the time from their first promise to their last one
     many = F.col("n") > MAX_ITEMS + MAX_SUBSET * F.col("near")
     order = Window.partitionBy("source").orderBy("low", "payout_reference")
     apart = F.coalesce((F.col("low") > F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0))
     # of several stretches with few rows one task's frame is made: the fold of one touches nothing of another
     rows_before = F.sum("n").over(order) - F.col("n")
     begins = F.when((F.col("apart") == 1) | (F.col("rows_before") == 0), F.col("rows_before"))
-    islands = size.where(~many).withColumn("apart", apart).withColumn("rows_before", rows_before).withColumn("island", F.floor(F.max(begins).over(order) / FRAME)).select("source", "payout_reference", "island")
-    rows = pairs.select("source", "payout_reference", "gross_kobo", "expected_net_kobo", "own").join(islands, ["source", "payout_reference"])
-
-    def fold(frame: pa.Table) -> pa.Table:
-        own = frame["own"].combine_chunks()
-        ends, flat = (own.offsets.to_numpy() - own.offsets[0].as_py()).tolist(), own.flatten()
-        ids = flat.field("transaction_id").to_pylist()
-        owed = dict(zip(ids, flat.field("owed_kobo").to_pylist(), strict=True))
-        terms_of = {t: None if own_terms[0] is None else own_terms for t, *own_terms in zip(ids, *[flat.field(c).to_pylist() for c in _TERMS], strict=True)}
-        source, names, grosses, nets = (frame[c].to_pylist() for c in ("source", "payout_reference", "gross_kobo", "expected_net_kobo"))
-        out = []
-        for k in sorted(range(len(names)), key=names.__getitem__):
-            name, gross = names[k], grosses[k]
-            near = [t for t in ids[ends[k]:ends[k + 1]] if owed[t] > 0]
-            state, chosen = solve([owed[t] for t in near], [terms_of[t] for t in near], gross, nets[k])
-            roomy = [t for t in near if owed[t] > gross]
+    islands = size.where(~many).withColumn("apart", apart).withColumn("rows_before", rows_before).withColumn("island", F.floor(F.max(begins).over(order) / FRAME))
+    islands = staged(islands.select(*own, "low", "high", "island"))
+    span_of = islands.groupBy("source", "island").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    claimed = span_of.withColumn("week", F.explode(F.sequence(week("low"), week("high")))).join(weeks, ["source", "week"]).where("occurred_at between low and high")
+    frame = [F.col(c).alias(c) for c in ("source", "island")]  # columns of their own on each side
+    claimed = claimed.select(*frame, "transaction_id", "owed_kobo", F.unix_micros("occurred_at").alias("at"), F.unix_micros("escalates_at").alias("till"), *_TERMS)
+
+    def fold(payouts: pa.Table, promises: pa.Table) -> pa.Table:
+        payouts, promises = payouts.sort_by("payout_reference"), promises.sort_by([("at", "ascending"), ("transaction_id", "ascending")])
+        at, till, owed = (plain(promises[c]) for c in ("at", "till", "owed_kobo"))
+        terms = [None if t[0] is None else t for t in zip(*[plain(promises[c]) for c in _TERMS], strict=True)]
+        ended, endless = [k for k, x in enumerate(till) if x is not None], [k for k, x in enumerate(till) if x is None]
+        span = max((till[k] - at[k] for k in ended), default=0)
+        at_ended, at_endless = [at[k] for k in ended], [at[k] for k in endless]
+        rows, reasons, of, kobo = [], [], [], []
+
+        def add(row: int, reason: str, k: int | None = None, amount: int | None = None) -> None:
+            rows.append(row), reasons.append(reason), of.append(k), kobo.append(amount)
+
+        for row, (gross, net, day) in enumerate(zip(*[plain(payouts[c]) for c in ("gross_kobo", "expected_net_kobo", "day")], strict=True)):
+            if day is None:
+                near = [k for k, left in enumerate(owed) if left > 0]
+            else:
+                near = [k for k in ended[bisect_left(at_ended, day - span):bisect_right(at_ended, day)] if owed[k] > 0 and day <= till[k]]
+                if endless:
+                    near = sorted(near + [k for k in endless[:bisect_right(at_endless, day)] if owed[k] > 0])
+            state, chosen = solve([owed[k] for k in near], [terms[k] for k in near], gross, net)
             if state == "not_attempted":
-                out.append((name, "BATCH_TOO_LARGE", None, None))
+                add(row, "BATCH_TOO_LARGE")
             elif state == "unique":
-                for t in [near[c] for c in chosen]:
-                    out.append((name, "PAYOUT_MATCH", t, owed[t]))
-                    owed[t] = 0
-            elif len(roomy) == 1 and gross > 0:
-                out.append((name, "PARTIAL_PAYOUT_MATCH", roomy[0], gross))
-                owed[roomy[0]] -= gross
+                for k in [near[c] for c in chosen]:
+                    add(row, "PAYOUT_MATCH", k, owed[k])
+                    owed[k] = 0
             else:
-                out.append((name, "PHANTOM_CREDIT", None, None))
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
-        columns = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)]
-        return pa.table([pa.array([source[0]] * len(out), pa.string()), *columns], ["source", "payout_reference", "reason", "transaction_id", "amount_kobo"])
-
-    folded = rows.groupBy("source", "island").applyInArrow(fold, schema)
-    none = tried.where("searched").drop("near").join(size.drop("low", "high"), ["source", "payout_reference"], "left").where(F.col("n").isNull() | many)
+                roomy = [k for k in near if owed[k] > gross]
+                if len(roomy) == 1 and gross > 0:
+                    add(row, "PARTIAL_PAYOUT_MATCH", roomy[0], gross)
+                    owed[roomy[0]] -= gross
+                else:
+                    add(row, "PHANTOM_CREDIT")
+        taken = payouts.select(["source", "payout_reference"]).take(pa.array(rows, pa.int64()))
+        columns = (pa.array(reasons, pa.string()), promises["transaction_id"].take(pa.array(of, pa.int64())), pa.array(kobo, pa.int64()))
+        return pa.table([*taken.columns, *columns], ["source", "payout_reference", "reason", "transaction_id", "amount_kobo"])
+
+    rows = islands.select(*frame, "payout_reference", "gross_kobo", "expected_net_kobo", F.unix_micros("value_date").alias("day"))
+    folded = rows.groupBy("source", "island").cogroup(claimed.groupBy("source", "island")).applyInArrow(fold, schema)
+    none = tried.where("searched").drop("near").join(size.select("source", "payout_reference", "n", "near"), ["source", "payout_reference"], "left").where(F.col("n").isNull() | many)
     return folded.unionByName(decided).unionByName(bare(none, F.when(F.col("n").isNull(), "PHANTOM_CREDIT").otherwise("BATCH_TOO_LARGE")))
 
 
